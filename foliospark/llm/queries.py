@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import langid, quality, toxicity
+from foliospark.llm import langid, quality, topk, toxicity, unigram, urlfilter
 from foliospark.llm.common import crc_part
 
 
@@ -31,5 +31,35 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_part("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op10_quality)}
-ORACLES: dict[str, str] = {}
+def op4_unigram_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and whether they decode to its text again."""
+    return unigram.encode(_table(spark, sf_dir, "documents"))
+
+
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best inner products of every vector whose id is divisible by 100."""
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), queries=F.col("vec_id") % 100 == 0)
+
+
+OP6_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+         CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on the url of every page."""
+    return urlfilter.judge(_table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op4_unigram_tokens, op6_exact_top_k, op9_url_filter, op10_quality)}
+ORACLES: dict[str, str] = {"op6_exact_top_k": OP6_SQL}
