@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import langid, quality, topk, toxicity, unigram, urlfilter
+from foliospark.llm import decontaminate, jaccard, langid, quality, topk, toxicity, unigram, urlfilter
 from foliospark.llm.common import crc_part
 
 
@@ -56,10 +56,50 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with every benchmark item of which it holds at least 0.8."""
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+OP7_SQL = """
+WITH t AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
+w AS (
+  SELECT kind, id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '(?:[a-z0-9]|[^\\x00-\\x7F])+') AS w FROM t),
+s AS (
+  SELECT DISTINCT kind, id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS s
+  FROM w WHERE len(w) > 0),
+n AS (SELECT id AS item_id, count(*) AS n FROM s WHERE kind = 'i' GROUP BY id),
+c AS (SELECT d.id AS doc_id, i.id AS item_id, count(*) AS shared FROM s d JOIN s i ON d.s = i.s AND d.kind = 'd' AND i.kind = 'i' GROUP BY 1, 2)
+SELECT doc_id, item_id, CAST(n AS INTEGER) AS item_shingles, CAST(shared AS INTEGER) AS shared, shared / n AS containment
+FROM c JOIN n USING (item_id) WHERE shared >= 0.8 * n
+"""
+
+
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and class of every document: 4-word shingles, similarity of at least 85 / 100."""
+    return jaccard.similar_documents(_table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
+OP8_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 3, 1) + 1), lambda i: w[i:i + 3])) AS s
+  FROM w WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= 85 * (na.n + nb.n - k)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+SELECT doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(r.b) AS component_id
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN r ON r.a = doc_id GROUP BY doc_id
+"""
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on the url of every page."""
     return urlfilter.judge(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op4_unigram_tokens, op6_exact_top_k, op9_url_filter, op10_quality)}
-ORACLES: dict[str, str] = {"op6_exact_top_k": OP6_SQL}
+QUERIES = {f.__name__: f for f in (
+    op1_language_id, op2_toxicity, op4_unigram_tokens, op6_exact_top_k, op7_decontamination, op8_jaccard_join, op9_url_filter, op10_quality)}
+ORACLES: dict[str, str] = {"op6_exact_top_k": OP6_SQL, "op7_decontamination": OP7_SQL, "op8_jaccard_join": OP8_SQL}
