@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import decontaminate, jaccard, langid, quality, topk, toxicity, unigram, urlfilter
+from foliospark.llm import decontaminate, htmltext, jaccard, langid, quality, topk, toxicity, unigram, urlfilter, warc
 from foliospark.llm.common import crc_part
 
 
@@ -31,11 +31,34 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_part("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op3_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the archives of all pages hold, read back and in the order of the merged index."""
+    index = warc.archive_and_index(_table(spark, sf_dir, "pages"), least=0)
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP3_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, html, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS h, max(page_id) OVER (PARTITION BY html) AS original FROM p)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda j:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((CAST('0x' || substr(h, CAST(5 * (j // 4) + 1 AS INTEGER), 5) AS INTEGER) >> CAST(15 - 5 * (j % 4) AS INTEGER)) & 31) + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> original THEN original END AS refers_to
+FROM d
+"""
+
+
 def op4_unigram_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, and whether they decode to its text again."""
     return unigram.encode(_table(spark, sf_dir, "documents"))
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return htmltext.extract(_table(spark, sf_dir, "pages"))
+
+
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 best inner products of every vector whose id is divisible by 100."""
     return topk.top_k(_table(spark, sf_dir, "embeddings"), queries=F.col("vec_id") % 100 == 0)
@@ -101,5 +124,5 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_language_id, op2_toxicity, op4_unigram_tokens, op6_exact_top_k, op7_decontamination, op8_jaccard_join, op9_url_filter, op10_quality)}
-ORACLES: dict[str, str] = {"op6_exact_top_k": OP6_SQL, "op7_decontamination": OP7_SQL, "op8_jaccard_join": OP8_SQL}
+    op1_language_id, op2_toxicity, op3_warc_index, op4_unigram_tokens, op5_main_text, op6_exact_top_k, op7_decontamination, op8_jaccard_join, op9_url_filter, op10_quality)}
+ORACLES: dict[str, str] = {"op3_warc_index": OP3_SQL, "op6_exact_top_k": OP6_SQL, "op7_decontamination": OP7_SQL, "op8_jaccard_join": OP8_SQL}
