@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import atexit
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -115,6 +115,45 @@ def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total
     return split.unionByName(dealt.select(split.columns))
 
 
+def kept_rows(df: DataFrame, inputs: list[Column], keep: Callable[[list[pa.Array]], np.ndarray]) -> DataFrame:
+    """The rows of ``df`` for which ``keep`` says True, given batches of the ``inputs``; all columns stay, whatever their names."""
+    width = len(df.columns)
+    schema = df.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                mask = pa.array(np.asarray(keep(batch.columns[width:]), dtype=bool))
+                yield pa.RecordBatch.from_arrays([c.filter(mask) for c in batch.columns[:width]], names=batch.schema.names[:width])
+
+    return df.select("*", *[c.alias(f"_input_{i}") for i, c in enumerate(inputs)]).mapInArrow(run, schema)
+
+
+#: Bits of an ``IdFilter``: a broadcast of 1 MB.
+ID_BITS = 23
+
+
+class IdFilter:
+    """A fixed-size filter of ids: ``may_hold`` is true for all of them and, while they are far fewer than 2 ** ID_BITS, for few others."""
+
+    def __init__(self, ids: DataFrame, column: str):
+        slot = self.slot(F.col(column))
+        words = ids.filter(F.col(column).isNotNull()).select(F.shiftright(slot, 15).alias("word"), F.pmod(slot, F.lit(1 << 15)).alias("bit"))
+        flags = np.zeros((1 << (ID_BITS - 15), 4096), np.uint8)
+        for r in words.groupBy("word").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():  # 256 rows of 4 KB at most
+            flags[r["word"]] = np.frombuffer(r["bits"], np.uint8)
+        self.flags = ids.sparkSession.sparkContext.broadcast(flags.ravel())
+
+    @staticmethod
+    def slot(c: Column) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(1 << ID_BITS))
+
+    def may_hold(self, slots: pa.Array) -> np.ndarray:
+        """For each value of ``slot``; bit p of a word is at byte p // 8."""
+        at = slots.to_numpy()
+        return ((self.flags.value[(at >> 15) * 4096 + (at & 0x7FFF) // 8] >> (at % 8).astype(np.uint8)) & 1).astype(bool)
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of an Arrow string column and the offsets of its rows; a null is an empty row. No copies."""
     if isinstance(column, pa.ChunkedArray):

@@ -13,10 +13,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import small_batches, text_buffers
+from foliospark.llm.common import kept_rows, small_batches, text_buffers
 from foliospark.llm.ngrams import as_batch
 from foliospark.llm.shingles import ALPHANUMERIC, mix, shingles
 
@@ -116,39 +117,57 @@ def leaks(documents: DataFrame, benchmark: DataFrame, words: int = 5, threshold:
     ``words`` words has one shingle, the whole; null texts and texts without words have none and match nothing. Each row of a repeated
     id is searched by itself.
     """
+    out = None
+    for index in _blocks(documents, benchmark, words, block_chars):
+
+        def search(batches: Iterator[pa.RecordBatch], index: Broadcast = index) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                hits = list(_hits(index.value, batch.column(1), words, threshold))
+                if hits:
+                    row, item, n, held = zip(*hits, strict=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(pa.array(row)), pa.array(item, pa.int64()), pa.array(n, pa.int32()), pa.array(held, pa.int32()),
+                         pa.array(np.array(held) / np.array(n), pa.float64())],
+                        names=["doc_id", "item_id", "item_shingles", "shared", "containment"])
+
+        part = documents.select("doc_id", "text").mapInArrow(search, "doc_id long, item_id long, item_shingles int, shared int, containment double")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def without_leaks(documents: DataFrame, benchmark: DataFrame, words: int = 5, threshold: float = 0.8, block_chars: int = 4_000_000) -> DataFrame:
+    """The rows whose text holds no item (see ``leaks``); all columns stay."""
+    for index in _blocks(documents, benchmark, words, block_chars):
+
+        def clean(x: list[pa.Array], index: Broadcast = index) -> np.ndarray:
+            mask = np.ones(len(x[0]), bool)
+            mask[[hit[0] for hit in _hits(index.value, x[0], words, threshold)]] = False
+            return mask
+
+        documents = kept_rows(documents, [F.col("text")], clean)
+    return documents
+
+
+def _blocks(documents: DataFrame, benchmark: DataFrame, words: int, block_chars: int) -> Iterator[Broadcast]:
+    """The items' index in parts of bounded size; one empty part if there are none."""
     spark = documents.sparkSession
     small_batches(spark, 128)
     size = benchmark.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // block_chars))
-    out = None
     for b in range(blocks):
         rows = benchmark.filter(F.col("text").isNotNull() & (F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)).select("item_id", "text").collect()
-        rows.sort(key=lambda r: (r["item_id"] is None, r["item_id"], r["text"]))
-        part = _search(documents, index_items([r["item_id"] for r in rows], [r["text"] for r in rows], words), words, threshold)
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def _search(documents: DataFrame, items: ItemIndex, words: int, threshold: float) -> DataFrame:
-    shared = documents.sparkSession.sparkContext.broadcast(items)
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
-        for batch in batches:
-            codes, begin = shingles(*text_buffers(batch.column(1)), words, ALPHANUMERIC)
-            hits, last, own = [], -1, None
-            for row, item in candidates(index, codes, begin).tolist():
-                if row != last:
-                    own, last = np.unique(codes[begin[row]:begin[row + 1]]), row
-                s = index.sets[item]
-                held = int((own[np.minimum(np.searchsorted(own, s), len(own) - 1)] == s).sum())
-                if held >= threshold * len(s):
-                    hits.append((row, index.ids[item], len(s), held))
-            if hits:
-                row, item, n, held = zip(*hits, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(row)), pa.array(item, pa.int64()), pa.array(n, pa.int32()), pa.array(held, pa.int32()),
-                     pa.array(np.array(held) / np.array(n), pa.float64())],
-                    names=["doc_id", "item_id", "item_shingles", "shared", "containment"])
-
-    return documents.select("doc_id", "text").mapInArrow(search, "doc_id long, item_id long, item_shingles int, shared int, containment double")
+        rows.sort(key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["text"]))
+        yield spark.sparkContext.broadcast(index_items([r["item_id"] for r in rows], [r["text"] for r in rows], words))
+
+
+def _hits(index: ItemIndex, texts: pa.Array, words: int, threshold: float) -> Iterator[tuple[int, int, int, int]]:
+    """(row, item id, item's shingles, shared shingles) of verified candidates."""
+    codes, begin = shingles(*text_buffers(texts), words, ALPHANUMERIC)
+    last, own = -1, None
+    for row, item in candidates(index, codes, begin).tolist():
+        if row != last:
+            own, last = np.unique(codes[begin[row]:begin[row + 1]]), row
+        s = index.sets[item]
+        held = int((own[np.minimum(np.searchsorted(own, s), len(own) - 1)] == s).sum())
+        if held >= threshold * len(s):
+            yield row, index.ids[item], len(s), held

@@ -19,7 +19,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import attach_groups, small_batches, text_buffers, written
+from foliospark.llm.common import IdFilter, attach_groups, kept_rows, small_batches, text_buffers, written
 from foliospark.llm.components import components
 from foliospark.llm.shingles import mix, shingles
 
@@ -29,8 +29,6 @@ SKETCH, PIECES = 1 << 20, 32
 BITMAP = 512
 #: Rows of a list that one block holds; larger lists are compared block by block.
 BLOCK = 2048
-#: Bits of the filter that tells which texts a verification needs; beyond about as many texts, it only lets more of them through.
-NEEDED_BITS = 23
 
 
 def _ratio(n: int, percent: int) -> int:
@@ -227,25 +225,8 @@ def _candidates(lists: DataFrame, percent: int, forest: bool) -> DataFrame:
 def verified(documents: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose documents' sets are similar enough, by exact intersection of the shingle sets."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << NEEDED_BITS))
-    words = ids.select(F.shiftright(slot, 15).alias("word"), F.pmod(slot, F.lit(1 << 15)).alias("bit"))
-    filter_ = words.groupBy("word").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()  # NEEDED_BITS / 2**15 rows of 4 KB
-    flags = np.zeros((1 << (NEEDED_BITS - 15), 4096), np.uint8)
-    for r in filter_:
-        flags[r["word"]] = np.frombuffer(r["bits"], np.uint8)
-    needed = documents.sparkSession.sparkContext.broadcast(flags.ravel())
-
-    def let(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.column(2).to_numpy()
-            bit = (at & 0x7FFF).astype(np.int64)
-            # Spark puts bit position p at byte p // 8, bit p % 8; positions of the values 0 to 32767 are the values
-            hit = (needed.value[(at >> 15) * 4096 + bit // 8] >> (bit % 8).astype(np.uint8)) & 1
-            keep = np.flatnonzero(hit)
-            if len(keep):
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep))], names=["doc_id", "text"])
-
-    texts = documents.filter(F.col("doc_id").isNotNull()).select("doc_id", "text", slot.alias("slot")).mapInArrow(let, "doc_id long, text string")
+    needed = IdFilter(ids, "doc_id")
+    texts = kept_rows(documents.filter(F.col("doc_id").isNotNull()), [IdFilter.slot(F.col("doc_id"))], lambda x: needed.may_hold(x[0]))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -316,3 +297,22 @@ def _classes_of_sets(spark: SparkSession, documents: DataFrame, live: DataFrame,
     if more.isEmpty():
         return found
     return components(links.unionByName(more))
+
+
+def one_of_each(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """``documents`` with one row of each class of linked documents, that with the least doc_id; all columns stay.
+
+    Rows with a null id and texts without words stay. Of rows that repeat an id one stays.
+    Only documents that may have to go are dealt out by id; the others pass where they are.
+    """
+    found = written(similar_documents(documents, words, percent).select("doc_id", "component_id"), "classes")
+    gone = written(found.filter("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    suspects = IdFilter(gone, "doc_id")
+    slot = [IdFilter.slot(F.col("doc_id"))]
+    clear = kept_rows(documents, slot, lambda x: ~suspects.may_hold(x[0]))
+    rest = kept_rows(documents, slot, lambda x: suspects.may_hold(x[0])).join(gone, "doc_id", "left_anti")
+    out = clear.unionByName(rest.select(clear.columns))
+    ids = documents.filter(F.col("doc_id").isNotNull()).agg(F.count("doc_id"), F.countDistinct("doc_id")).first()
+    if ids[0] == ids[1]:
+        return out
+    return out.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(out.filter("doc_id IS NULL"))

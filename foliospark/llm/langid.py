@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import hash_share, small_batches, text_buffers
+from foliospark.llm.common import kept_rows, small_batches, text_buffers
 from foliospark.llm.ngrams import NgramIndex, as_batch, distinct_codes
 
 ORDERS = (1, 2, 3)
@@ -107,11 +107,23 @@ def identify(documents: DataFrame, train: Column, sample: int = 400, max_chars:
                 continue
             scores = model.value.scores(*text_buffers(batch.column(1)))
             best = scores.argmax(1)
-            lettered = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            has_letter = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.where(lettered, names[best], UNDETERMINED), pa.string()),
-                 pa.array(np.where(lettered, scores[np.arange(len(best)), best], 0.0), pa.float64())],
+                [batch.column(0), pa.array(np.where(has_letter, names[best], UNDETERMINED), pa.string()),
+                 pa.array(np.where(has_letter, scores[np.arange(len(best)), best], 0.0), pa.float64())],
                 names=["doc_id", "lang_pred", "score"])
 
-    lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return documents.select("doc_id", F.lower("text").alias("text"), lettered.alias("lettered")).mapInArrow(score, "doc_id long, lang_pred string, score double")
+    return documents.select("doc_id", F.lower("text").alias("text"), lettered().alias("lettered")).mapInArrow(score, "doc_id long, lang_pred string, score double")
+
+
+def lettered() -> Column:
+    return F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+
+
+def in_known_language(documents: DataFrame, train: Column, least: float = 0.3, sample: int = 400, max_chars: int = 20_000, **options) -> DataFrame:
+    """The rows whose text some learned language fits with a score of at least ``least``; all columns stay. Texts without a letter go."""
+    spark = documents.sparkSession
+    small_batches(spark, 128)
+    model = spark.sparkContext.broadcast(fit(*training_sample(documents, train, sample, max_chars), **options))
+    return kept_rows(documents, [F.lower("text"), lettered()],
+                     lambda x: (model.value.scores(*text_buffers(x[0])).max(1) >= least) & x[1].to_numpy(zero_copy_only=False).astype(bool))

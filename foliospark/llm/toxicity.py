@@ -11,10 +11,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import labelled_sample, small_batches, text_buffers
+from foliospark.llm.common import kept_rows, labelled_sample, small_batches, text_buffers
 from foliospark.llm.ngrams import NgramIndex, as_batch, distinct_codes
 
 ORDERS = (2, 3, 4, 5)
@@ -31,7 +32,7 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(margin.astype(np.float64), -50, 50)))
 
 
-def fit(texts: list[str], labels: np.ndarray, features: int = 6144, smooth: float = 1.0, l1: float = 1e-3, steps: int = 150) -> ToxicityModel:
+def fit(texts: list[str], labels: np.ndarray, features: int = 6144, smooth: float = 1.0, l1: float = 3e-3, steps: int = 150) -> ToxicityModel:
     """Learn from whole lower-cased texts; both labels count alike, however many rows they have.
 
     ``features`` n-grams with the strongest evidence (log ratio over its standard error) are kept.
@@ -79,17 +80,20 @@ def fit(texts: list[str], labels: np.ndarray, features: int = 6144, smooth: floa
     return ToxicityModel(index, (w * r).astype(np.float32), bias)
 
 
+def _trained(documents: DataFrame, labels: DataFrame, train: Column, label: str, sample: int, options: dict) -> Broadcast:
+    spark = documents.sparkSession
+    small_batches(spark, 128)
+    texts, y = labelled_sample(documents, labels, label, train, sample, max_chars=20_000)
+    return spark.sparkContext.broadcast(fit([t.lower() for t in texts], y, **options))
+
+
 def score(documents: DataFrame, labels: DataFrame, train: Column, label: str = "toxic", sample: int = 1200, **options) -> DataFrame:
     """Score each whole text: ``doc_id``, ``score`` (0 to 1, higher: more likely toxic), ``predicted`` (1 from 0.5 on).
 
     Learned from about ``sample`` labelled rows of each label among those that ``train`` marks. Null and empty
     texts are scored like a text without n-grams. Every row is answered once, repeated and null ids too.
     """
-    spark = documents.sparkSession
-    small_batches(spark, 128)
-    texts, y = labelled_sample(documents, labels, label, train, sample, max_chars=20_000)
-    model = spark.sparkContext.broadcast(fit([t.lower() for t in texts], y, **options))
-    del texts
+    model = _trained(documents, labels, train, label, sample, options)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,3 +103,9 @@ def score(documents: DataFrame, labels: DataFrame, train: Column, label: str = "
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     return documents.select("doc_id", F.lower("text").alias("text")).mapInArrow(apply, "doc_id long, score double, predicted int")
+
+
+def without_toxic(documents: DataFrame, labels: DataFrame, train: Column, label: str = "toxic", sample: int = 1200, **options) -> DataFrame:
+    """The rows whose text scores below 0.5; all columns stay."""
+    model = _trained(documents, labels, train, label, sample, options)
+    return kept_rows(documents, [F.lower("text")], lambda x: model.value.scores(*text_buffers(x[0])) < 0.5)
