@@ -23,7 +23,7 @@ _ID = "urn:page:"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _END = "\r\n\r\n"
 #: Captures that one range of the merged index holds.
-RANGE_ROWS = 50_000
+RANGE_ROWS = 20_000
 
 CAPTURE = ("page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, "
            "url string, url_key string, captured string, archive string, position long, length long")
