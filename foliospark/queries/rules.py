@@ -82,3 +82,14 @@ def autotune_step(spark, sf_dir):
                        F.to_json(F.struct(F.lit("SKEWED").alias("defect_code"), verdict.alias("verdict"))).alias("payload"))
     values = calibration.false_positives(reviews, F.lit("SKEWED")).withColumn("value", F.abs("value"))
     return calibration.next_value(values, "value", rules.THRESHOLDS["skew_deg"], calibration.BOUNDS["skew_deg"], "higher_bad")
+
+
+@query()
+def image_metrics(spark, sf_dir):
+    """Each embedding drawn as an 8 by 8 picture: measured, then judged."""
+    from foliospark.operators import measure
+
+    level = F.transform("embedding", lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(x.cast("double") * 128 + 128))))
+    pixels = F.unhex(F.array_join(F.transform(level, lambda v: F.lpad(F.hex(v), 2, "0")), ""))
+    images = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("page_id"), F.concat(F.lit("P5 8 8 255\n").cast("binary"), pixels).alias("content"))
+    return rules.judge(measure.measured(images)).select("page_id", "median_luma", "hash", "overall", "score", "error")
