@@ -61,9 +61,9 @@ class Boosted:
 
 
 def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 4, rate: float = 0.2, bins: int = 32, least: float = 5.0, ridge: float = 1.0, weight: np.ndarray | None = None) -> Boosted:
-    """Newton boosting of the logistic loss on quantile bins. A single label gives that label's prior alone."""
+    """Newton boosting of the logistic loss on quantile bins. A single label gives that label's prior alone, no rows a low one."""
     weight = np.ones(len(y)) if weight is None else weight
-    p = np.clip((weight @ y + 0.5) / (weight.sum() + 1), 0.01, 0.99)
+    p = np.clip((weight @ y + 0.5) / (weight.sum() + 1), 0.01, 0.99) if len(y) else 0.01
     model = Boosted([], float(np.log(p / (1 - p))))
     if not len(y) or y.min() == y.max():
         return model
