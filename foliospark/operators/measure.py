@@ -158,6 +158,8 @@ def measured(images: DataFrame) -> DataFrame:
             frame = pd.DataFrame(out, columns=names)
             for c in ("text_component_count", "rotation_deg", "tile_count", "low_contrast_tiles", "hash"):
                 frame[c] = frame[c].astype("Int64")
+            for c in ("cutoff_edges", "error", "is_bitonal", "likely_spread"):
+                frame[c] = frame[c].astype(object).where(frame[c].notna(), None)
             yield frame
 
     return images.select("page_id", "content").mapInPandas(run, METRICS)

@@ -34,7 +34,10 @@ def printed_label(text: Column) -> Column:
 
 
 def scan(spark: SparkSession, path: str, most: int = MAX_BYTES) -> DataFrame:
-    """Files below ``path`` with reason (null: accepted), mime and SHA-256; contents of refused files aren't hashed."""
+    """Files below ``path`` with reason (null: accepted), mime and SHA-256; contents of refused files aren't hashed.
+
+    Spark's reader leaves out files of no bytes; where listings come from elsewhere, ``validated`` names them empty.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     reason = validated(name, F.col("length"), most)
