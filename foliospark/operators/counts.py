@@ -103,9 +103,9 @@ def ordered_join(rows: DataFrame, key: str, value: Column, order: list[str], sep
 
 
 def percent_of_max(counts: DataFrame, count: str) -> DataFrame:
-    """Whole percent of the largest count, halves up. ``counts`` is a short table of groups: its maximum is joined as a scalar."""
-    top = counts.agg(F.max(count).alias("_top"))
-    return counts.crossJoin(F.broadcast(top)).withColumn("percent", F.when(F.col("_top") > 0, F.floor(F.col(count) * 100 / F.col("_top") + 0.5)).otherwise(0)).drop("_top")
+    """Whole percent of the largest count, halves up; the maximum is a scalar subquery."""
+    top = counts.agg(F.max(count)).scalar()
+    return counts.withColumn("percent", F.when(top > 0, F.floor(F.col(count) * 100 / top + 0.5)).otherwise(0))
 
 
 def elapsed(rows: DataFrame, key: str, start: str, end: str) -> DataFrame:
