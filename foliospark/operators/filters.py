@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 from functools import reduce
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -102,3 +103,9 @@ def by_reference(text: str) -> Column:
     """A search text that begins with ip (any case) looks in encounter_ref, any other in patient_ref."""
     column = "encounter_ref" if text[:2].lower() == "ip" else "patient_ref"
     return F.col(column).ilike(f"%{text}%")
+
+
+def local_window(day: str, zone: str, start: str = "00:00", end: str = "23:59") -> tuple[str, str]:
+    """A day (and times) where the user lives as UTC instants; the end includes its whole minute."""
+    at = lambda text: datetime.fromisoformat(f"{day}T{text}").replace(tzinfo=ZoneInfo(zone)).astimezone(UTC)
+    return at(f"{start}:00").isoformat(), at(f"{end}:59.999000").isoformat()

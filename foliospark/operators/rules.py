@@ -19,6 +19,10 @@ THRESHOLDS = {
     "glare_area_fraction": 0.015, "glare_area_fraction_severe": 0.07, "shadow_area_fraction": 0.10, "illumination_ratio": 2.2,
     "unreadable_tile_fraction": 0.20, "min_text_height_px": 9.0, "rescan_severity_score": 6.0, "review_severity_score": 2.5,
 }
+LABELS = {
+    "BLUR": "Blurred / out of focus", "FAINT": "Faint — ink barely separated from paper", "DARK": "Under-exposed / too dark", "LOW_CONTRAST": "Low overall contrast", "NOISE": "Noisy / speckled", "ROTATED": "Incorrectly rotated",
+    "SKEWED": "Excessively skewed", "GLARE": "Glare / blown highlights", "SHADOW": "Shadow across the page", "UNREADABLE_REGION": "Region(s) likely unreadable", "SUSPECTED_CUTOFF": "Suspected cut-off page edge or text",
+    "BITONAL_LOSS": "Saved as 1-bit — mid-tones lost", "LOW_RESOLUTION": "Text too small for reliable reading", "NEAR_BLANK": "Nearly blank"}
 SEVERE_TILES = 0.45
 WEIGHTS = {"low": 1.0, "medium": 2.5, "high": 6.0}
 #: One high finding of these sends a page to be scanned again.
@@ -128,3 +132,12 @@ def with_provider(rows: DataFrame, defects: str = "provider_defects", rotation_c
     merged_ = rows.withColumn("findings", F.concat(ours, theirs.cast(f"array<{FINDING}>")))
     overall, score = classified(F.col("findings"), merged(overrides))
     return merged_.withColumns({"overall": overall, "score": score})
+
+
+def reason(found: Column, fallback: Column) -> Column:
+    """Labels with severities, each code once where it is first seen, joined by ``; ``; ``fallback`` without findings."""
+    label = F.create_map(*[F.lit(x) for k, v in LABELS.items() for x in (k, v)])
+    codes = F.array_distinct(F.transform(found, lambda f: f["code"]))
+    first = F.transform(codes, lambda c: F.filter(found, lambda f: f["code"] == c)[0])
+    text = F.array_join(F.transform(first, lambda f: F.concat(F.coalesce(F.try_element_at(label, f["code"]), f["code"]), F.lit(" ("), f["severity"], F.lit(")"))), "; ")
+    return F.coalesce(F.nullif(text, F.lit("")), fallback)

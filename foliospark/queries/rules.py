@@ -53,6 +53,14 @@ def rule_engine_findings(spark, sf_dir):
     return rules.judge(metrics(spark, sf_dir)).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", text.alias("findings"))
 
 
+_LABELLED = "CASE x.code " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in rules.LABELS.items()) + " END || ' (' || x.severity || ')'"
+
+
+@query(_JUDGED + f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, coalesce(nullif(array_to_string(list_transform(findings, lambda x: {_LABELLED}), '; '), ''), 'no finding') AS reason FROM p")
+def reason_text(spark, sf_dir):
+    return rules.judge(metrics(spark, sf_dir)).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", rules.reason(F.col("findings"), F.lit("no finding")).alias("reason"))
+
+
 @query(_JUDGED + """SELECT CASE kind WHEN 'failed' THEN 'failed' WHEN 'dark' THEN 'rescan' WHEN 'blank' THEN 'blank' ELSE CASE WHEN forced OR penalty >= 6 THEN 'rescan' WHEN penalty >= 2.5 THEN 'review' ELSE 'acceptable' END END AS overall,
 CASE kind WHEN 'failed' THEN 0.0 WHEN 'dark' THEN 0.0 WHEN 'blank' THEN 1.0 ELSE round(greatest(0.0, 1 - least(1.0, penalty / 12)), 3) END::DOUBLE AS score, count(*) AS pages FROM p GROUP BY ALL""")
 def rule_engine_class(spark, sf_dir):

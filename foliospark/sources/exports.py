@@ -95,3 +95,19 @@ def xlsx(df: DataFrame, headings: dict[str, str], parameters: dict[str, str], mo
         z.writestr("xl/worksheets/sheet1.xml", sheet([[k, v] for k, v in parameters.items()]))
         z.writestr("xl/worksheets/sheet2.xml", sheet([[headings[c] for c in names], *map(list, rows)]))
     return out.getvalue()
+
+
+def summary(totals: dict) -> list[tuple[str, str]]:
+    """Nested totals as label and value lines, in their order."""
+    out = []
+    for name, value in totals.items():
+        if isinstance(value, dict):
+            out += [(f"{name}: {label}", text) for label, text in summary(value)]
+        else:
+            out.append((name, "" if value is None else str(value)))
+    return out
+
+
+def described(filters) -> list[tuple[str, str]]:
+    """The filters that are set, as lines of a report's head."""
+    return [(name.replace("_", " ").capitalize(), ", ".join(value) if isinstance(value, list) else str(value)) for name, value in vars(filters).items() if value and name != "strict"]

@@ -9,6 +9,7 @@ from foliospark.operators import checks, counts, filters, listing, reviews
 from foliospark.operators.filters import PageFilters, day_bound, parse_enum
 from foliospark.plans import model
 from foliospark.plans.records import core_view, from_tables, versioned
+from foliospark.sources import exports
 
 
 @pytest.fixture(scope="module")
@@ -81,6 +82,15 @@ def test_day_bounds():
     assert day_bound("rubbish", True) is None and day_bound(None, True) is None
 
 
+def test_local_window_in_utc():
+    assert filters.local_window("2026-09-17", "Asia/Kolkata") == ("2026-09-16T18:30:00+00:00", "2026-09-17T18:29:59.999000+00:00")
+
+
+def test_report_head_lists_what_is_set():
+    assert exports.described(PageFilters(page_class="review", defect_code=["BLUR", "DARK"], strict=True)) == [("Page class", "review"), ("Defect code", "BLUR, DARK")]
+    assert exports.summary({"files": 3, "quality": {"review": 1, "blank": None}}) == [("files", "3"), ("quality: review", "1"), ("quality: blank", "")]
+
+
 def test_unknown_enum_values():
     assert parse_enum("review, nonsense", model.PAGE_CLASSES) == ["review"]
     assert parse_enum("nonsense", model.PAGE_CLASSES) is None and parse_enum("nonsense", model.PAGE_CLASSES, strict=True) == []
