@@ -4,6 +4,9 @@ A text is the set of its character n-grams (orders 1 to 3: a blended spectrum, b
 two texts is the number of n-grams they share, divided by the geometric mean of their set sizes. Nyström landmarks
 stand for the training set: one ridge regression per language is solved on kernels to the landmarks, and a batch
 is scored by two matrix products, n-grams by landmarks and landmarks by languages.
+
+Regression scores only compare the learned languages. Whether a text is in one of them at all is judged by how many of its letters
+stand between neighbours as that language's training texts have them, against what held-out texts of the language reach.
 """
 
 from __future__ import annotations
@@ -17,11 +20,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import kept_rows, small_batches, text_buffers
-from foliospark.llm.ngrams import NgramIndex, as_batch, distinct_codes
+from foliospark.llm.common import kept_rows, small_batches, text_buffers, windows
+from foliospark.llm.ngrams import WINDOW, NgramIndex, as_batch, code_points, distinct_codes, rolling
 
 ORDERS = (1, 2, 3)
 UNDETERMINED = "und"
+#: A text fits a language with this part of what nearly all of its held-out texts reach.
+MARGIN = 0.75
+_LETTER = np.char.isalpha(np.arange(0x110000, dtype=np.uint32).view("U1"))
 
 
 @dataclass
@@ -32,9 +38,9 @@ class LanguageModel:
     languages: list[str]
 
     def scores(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Rows by languages, in 0 to 1: the regression's -1 to 1, cut at its ends."""
+        """Rows by languages, in 0 to 1: the regression's -1 to 1, cut at its ends; 0 without an n-gram that a landmark holds."""
         kernel = kernels(self.index.presence(raw, offsets), self.landmarks)
-        return np.clip((kernel @ self.weights + 1) / 2, 0, 1)
+        return np.where(kernel.any(1, keepdims=True), np.clip((kernel @ self.weights + 1) / 2, 0, 1), 0)
 
 
 def kernels(presence: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
@@ -44,6 +50,74 @@ def kernels(presence: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
     return (dense @ landmarks) / size
 
 
+class TrigramIndex(NgramIndex):
+    """Some thousand trigrams need a small table only."""
+
+    BITS = 17
+
+
+@dataclass
+class Spelling:
+    """Which letters stand between which neighbours in each language; all that is no letter counts as one sign."""
+
+    index: TrigramIndex
+    held: np.ndarray  # trigrams by languages: 1 where the language has it
+    least: np.ndarray  # of each language, the share of known letters that a long text needs
+
+    def known(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Letters of each row, and how many of them each language knows (rows by languages). Texts come with a blank at both ends."""
+        rows, names = len(offsets) - 1, self.held.shape[1]
+        letters, known = np.zeros(rows), np.zeros((rows, names))
+        for row, codes in centred(raw, offsets):
+            letters += np.bincount(row, minlength=rows)
+            at, feature = self.index._find(codes)
+            for n in range(names):
+                known[:, n] += np.bincount(row[at], self.held[feature, n], rows)
+        return letters, known
+
+    def fits(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Rows by languages: True where enough letters are known, less one standard deviation, so that short texts get the benefit of doubt."""
+        letters, known = self.known(raw, offsets)
+        n = letters[:, None]
+        return known >= np.maximum(1, self.least * n - np.sqrt(n * self.least * (1 - self.least)))
+
+
+def centred(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, code of the letter with its two neighbours) of the letters of a batch, in pieces."""
+    for first, end, low, high in windows(offsets, WINDOW, 12):
+        points, starts = code_points(raw[low:high], np.clip(offsets[first:end + 1] - low, 0, high - low))
+        letter = _LETTER[points.astype(np.int64)]
+        row = np.repeat(np.arange(first, end), np.diff(starts))
+        for _, codes in rolling(np.where(letter, points, np.uint64(32)), (3,)):
+            at = np.flatnonzero(letter[1:-1] & (row[2:] == row[:-2]))
+            yield row[at], codes[at]
+
+
+def spelling(texts: list[str], languages: list[str]) -> Spelling:
+    """Learn from whole lower-cased texts; the least shares come from halves of the texts that are judged by the other half."""
+    names = sorted(set(languages))
+    own = [[np.unique(np.concatenate([c for _, c in centred(*as_batch([f" {t} "]))] or [np.zeros(0, np.uint64)])) for t, x in zip(texts, languages, strict=True) if x == n] for n in names]
+
+    def common(sets: list[np.ndarray]) -> np.ndarray:
+        codes, number = np.unique(np.concatenate(sets), return_counts=True)
+        return codes[number >= (2 if len(sets) >= 50 else 1)]  # what a single one of many texts has may be noise
+
+    least = np.full(len(names), MARGIN)
+    for n, name in enumerate(names):
+        mine, shares = [f" {t} " for t, x in zip(texts, languages, strict=True) if x == name], []
+        for half in (0, 1) if len(mine) > 1 else ():
+            codes = common(own[n][half::2])
+            judge = Spelling(TrigramIndex(codes, (3,)), np.ones((len(codes), 1)), np.zeros(1))
+            letters, known = judge.known(*as_batch(mine[1 - half::2]))
+            shares.append((known[:, 0] / np.maximum(letters, 1))[letters > 0])
+        held_out = np.concatenate(shares) if shares else np.zeros(0)
+        if len(held_out):  # a few odd texts among them don't open the door
+            least[n] *= max(np.quantile(held_out, 0.01), 0.8 * np.median(held_out))
+    sets = [common(x) for x in own]
+    codes = np.unique(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
+    return Spelling(TrigramIndex(codes, (3,)), np.stack([np.isin(codes, x) for x in sets], 1).astype(float) if sets else np.zeros((0, 0)), least)
+
+
 def fit(texts: list[str], languages: list[str], landmarks: int = 128, features: int = 4096, ridge: float = 1e-2, seed: int = 7) -> LanguageModel:
     """Learn from whole lower-cased texts. Landmarks are dealt evenly over the languages.
 
@@ -93,8 +167,8 @@ def training_sample(documents: DataFrame, train: Column, limit: int, max_chars:
 def identify(documents: DataFrame, train: Column, sample: int = 400, max_chars: int = 20_000, **options) -> DataFrame:
     """Predict the language of each whole text: adds ``lang_pred`` and ``score`` (0 to 1) to ``doc_id``.
 
-    ``train`` marks the rows whose ``lang`` may be learned; ``sample`` rows of each language are. A null text and a
-    text without a letter are ``und`` with score 0. Every row is answered once, repeated ids and null ids too.
+    ``train`` marks the rows whose ``lang`` may be learned; ``sample`` rows of each language are. A null text, a text without a
+    letter and one without any learned n-gram are ``und`` with score 0. Every row is answered once, repeated ids and null ids too.
     """
     spark = documents.sparkSession
     small_batches(spark, 128)
@@ -107,7 +181,7 @@ def identify(documents: DataFrame, train: Column, sample: int = 400, max_chars:
                 continue
             scores = model.value.scores(*text_buffers(batch.column(1)))
             best = scores.argmax(1)
-            has_letter = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            has_letter = batch.column(2).to_numpy(zero_copy_only=False).astype(bool) & scores.any(1)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(np.where(has_letter, names[best], UNDETERMINED), pa.string()),
                  pa.array(np.where(has_letter, scores[np.arange(len(best)), best], 0.0), pa.float64())],
@@ -121,9 +195,21 @@ def lettered() -> Column:
 
 
 def in_known_language(documents: DataFrame, train: Column, least: float = 0.3, sample: int = 400, max_chars: int = 20_000, **options) -> DataFrame:
-    """The rows whose text some learned language fits with a score of at least ``least``; all columns stay. Texts without a letter go."""
+    """The rows whose text is in a learned language; all columns stay. Texts without a letter go.
+
+    Some language must score at least ``least`` and know as many of the text's letters as its spelling asks for (see ``Spelling``).
+    """
     spark = documents.sparkSession
     small_batches(spark, 128)
-    model = spark.sparkContext.broadcast(fit(*training_sample(documents, train, sample, max_chars), **options))
-    return kept_rows(documents, [F.lower("text"), lettered()],
-                     lambda x: (model.value.scores(*text_buffers(x[0])).max(1) >= least) & x[1].to_numpy(zero_copy_only=False).astype(bool))
+    texts, languages = training_sample(documents, train, sample, max_chars)
+    model = spark.sparkContext.broadcast((fit(texts, languages, **options), spelling(texts, languages)))
+
+    def keep(x: list[pa.Array]) -> np.ndarray:
+        judge, letters = model.value
+        scores = judge.scores(*text_buffers(x[0]))
+        if not letters.least.size:
+            return np.zeros(len(scores), bool)
+        return ((scores >= least) & letters.fits(*text_buffers(x[1]))).any(1) & x[2].to_numpy(zero_copy_only=False).astype(bool)
+
+    text = F.lower("text")
+    return kept_rows(documents, [text, F.concat(F.lit(" "), text, F.lit(" ")), lettered()], keep)

@@ -47,6 +47,28 @@ def test_language_filter_keeps_columns(corpus):
     assert not ids & {100, 101, 102} and {103, 104, None} <= ids
 
 
+UNLEARNED = [
+    "人人生而自由,在尊严和权利上一律平等。", "你好。", "ყველა ადამიანი იბადება თავისუფალი და თანასწორი", "Все люди рождаются свободными и равными в своем достоинстве", "да.",
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.", "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan.",
+    "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar.", "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti.",
+    "xqzt bvkrw plmqz wrtgh zxcvb nmkjh qwrtp sdfgh", "zzzzzzzzzz"]
+
+
+def test_texts_of_unlearned_languages_go(spark, sf_dir):
+    learned = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("doc_id", F.col("doc_id") + 1000)
+    short = learned.filter("length(text) between 1 and 400").select(F.col("doc_id") + 100_000, F.substring_index("text", " ", 2), "lang", "source", "n_chars")
+    foreign = spark.createDataFrame([(i, t, None, "s", len(t)) for i, t in enumerate(UNLEARNED)], learned.schema)
+    kept = {r["doc_id"] for r in langid.in_known_language(learned.union(short).union(foreign), train=F.col("doc_id").between(1000, 99_999)).select("doc_id").collect()}
+    assert not [t for i, t in enumerate(UNLEARNED) if i in kept]
+    assert learned.count() + short.count() == len(kept)
+
+
+def test_unknown_texts_score_nothing(corpus, spark):
+    foreign = docs(spark, [(900, "ყველაადამიანი", None)])
+    found = langid.identify(corpus.union(foreign), train=crc_part("doc_id", 4) != 2).filter("doc_id = 900").first()
+    assert (found["lang_pred"], found["score"]) == ("und", 0)
+
+
 def test_kernel_values_match_set_intersections():
     texts = ["the cat", "a cat sat", "zebra"]
     model = langid.fit(texts * 3, ["x", "y", "z"] * 3, landmarks=9, features=10_000)
