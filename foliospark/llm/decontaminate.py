@@ -1,6 +1,7 @@
 """Benchmark decontamination: short test items inside long documents.
 
-Items are parted by the size of their shingle set. For each part a document's shingle sequence is cut into overlapping windows of twice the
+Items are parted by the size of their shingle set. Items of up to ``CELL`` shingles are listed by so many of their shingles that a document
+with enough of the item holds one of them, and each shingle of a document is looked up, which misses none. For each other part a document's shingle sequence is cut into overlapping windows of twice the
 part's largest size, so that a passage as long as an item lies whole in a window of comparable size, and
 minhashes of windows are looked up among those of the part's items. Every candidate is then verified by the exact containment of the
 item's set in the whole document's.
@@ -23,7 +24,7 @@ from foliospark.llm.shingles import ALPHANUMERIC, mix, shingles
 
 #: Shingles of the cells that windows consist of.
 CELL = 8
-#: Minhashes of a set. A passage with 0.8 of an item's shingles has a Jaccard similarity of at least 0.25 to its window, and is missed with a chance of 0.75 ** HASHES.
+#: Minhashes of a set of more than CELL shingles. A passage with 0.8 of the shingles of such an item has a Jaccard similarity of at least 0.25 to its window, and is missed with a chance of 0.75 ** HASHES at most.
 HASHES = 48
 _FACTORS = mix(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
 _FILTER_BITS = 22
@@ -39,7 +40,7 @@ class ItemIndex:
     ids: list[int]
     sets: list[np.ndarray]  # sorted distinct shingles of each item
     parts: list[int]  # largest size of each part
-    keys: np.ndarray  # sorted codes of (part, hash function, minhash)
+    keys: np.ndarray  # sorted codes of (part, hash function, minhash); in the first part of (0, 0, shingle)
     items: np.ndarray  # of each key
     known: np.ndarray  # which codes can be keys, by their first bits
 
@@ -61,7 +62,7 @@ def part_sizes(largest: int) -> list[int]:
     return out
 
 
-def index_items(ids: list[int], texts: list[str], k: int) -> ItemIndex:
+def index_items(ids: list[int], texts: list[str], k: int, threshold: float = 0.8) -> ItemIndex:
     raw, offsets = as_batch(texts)
     codes, begin = shingles(raw, offsets, k, ALPHANUMERIC)
     sets = [np.unique(codes[a:b]) for a, b in zip(begin[:-1], begin[1:], strict=True)]
@@ -71,9 +72,12 @@ def index_items(ids: list[int], texts: list[str], k: int) -> ItemIndex:
     keys, items = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for i, s in enumerate(sets):
         part = next(p for p, most in enumerate(parts) if most >= len(s))
-        minima = (s[:, None] * _FACTORS[None, :]).min(0)
-        keys.append(mix(minima + _salts(part)))
-        items.append(np.full(HASHES, i))
+        if part == 0:  # who lacks all of these shingles holds too few of the others
+            listed = s[: next((h for h in range(1, len(s) + 1) if len(s) - h < threshold * len(s)), len(s))]
+            keys.append(mix(listed + _salts(0)[0]))
+        else:
+            keys.append(mix((s[:, None] * _FACTORS[None, :]).min(0) + _salts(part)))
+        items.append(np.full(len(keys[-1]), i))
     keys, items = np.concatenate(keys), np.concatenate(items)
     order = np.argsort(keys, kind="stable")
     known = np.zeros(1 << _FILTER_BITS, bool)
@@ -82,7 +86,7 @@ def index_items(ids: list[int], texts: list[str], k: int) -> ItemIndex:
 
 
 def candidates(index: ItemIndex, codes: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """(row, item) pairs whose windows share a minhash, each once."""
+    """(row, item) pairs that share a listed shingle of the item, or whose windows share a minhash, each once."""
     rows = len(begin) - 1
     cells = -(-np.diff(begin) // CELL)
     first_cell = np.concatenate([[0], np.cumsum(cells)])
@@ -90,7 +94,7 @@ def candidates(index: ItemIndex, codes: np.ndarray, begin: np.ndarray) -> np.nda
         return np.zeros((0, 2), np.int64)
     cuts = np.repeat(begin[:-1] - first_cell[:-1] * CELL, cells) + np.arange(first_cell[-1]) * CELL
     views = []
-    for p, most in enumerate(index.parts):
+    for p, most in enumerate(index.parts[1:], 1):
         length = 2 * most // CELL
         step = length // 2
         number = np.where(cells > 0, np.maximum(1, -(-(cells - length) // step) + 1), 0)
@@ -98,8 +102,9 @@ def candidates(index: ItemIndex, codes: np.ndarray, begin: np.ndarray) -> np.nda
         begins = first_cell[:-1][row] + step * (np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number))
         ends = np.minimum(begins + length, first_cell[1:][row])
         views.append((p, row, np.stack([begins, ends], 1).ravel()))
-    found = []
-    for j in range(HASHES):
+    at, item = index.find(0, 0, codes)
+    found = [(np.searchsorted(begin, at, side="right") - 1) * len(index.ids) + item] if len(at) else []
+    for j in range(HASHES if views else 0):
         minima = np.append(np.minimum.reduceat(codes * _FACTORS[j], cuts), np.uint64(2**64 - 1))
         for p, row, spans in views:
             at, item = index.find(p, j, np.minimum.reduceat(minima, spans)[::2])
@@ -114,11 +119,11 @@ def leaks(documents: DataFrame, benchmark: DataFrame, words: int = 5, threshold:
 
     Words are runs of ASCII letters, digits and characters beyond ASCII; A-Z count as a-z. Items go to the workers in blocks of about
     ``block_chars`` characters, each matched with all documents, so no broadcast follows the size of the benchmark. A text of fewer than
-    ``words`` words has one shingle, the whole; null texts and texts without words have none and match nothing. Each row of a repeated
+    ``words`` words has one shingle, the whole, so an item that short is found only where it is all of a document; null texts and texts without words have none and match nothing. Each row of a repeated
     id is searched by itself.
     """
     out = None
-    for index in _blocks(documents, benchmark, words, block_chars):
+    for index in _blocks(documents, benchmark, words, threshold, block_chars):
 
         def search(batches: Iterator[pa.RecordBatch], index: Broadcast = index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -137,7 +142,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, words: int = 5, threshold:
 
 def without_leaks(documents: DataFrame, benchmark: DataFrame, words: int = 5, threshold: float = 0.8, block_chars: int = 4_000_000) -> DataFrame:
     """The rows whose text holds no item (see ``leaks``); all columns stay."""
-    for index in _blocks(documents, benchmark, words, block_chars):
+    for index in _blocks(documents, benchmark, words, threshold, block_chars):
 
         def clean(x: list[pa.Array], index: Broadcast = index) -> np.ndarray:
             mask = np.ones(len(x[0]), bool)
@@ -148,7 +153,7 @@ def without_leaks(documents: DataFrame, benchmark: DataFrame, words: int = 5, th
     return documents
 
 
-def _blocks(documents: DataFrame, benchmark: DataFrame, words: int, block_chars: int) -> Iterator[Broadcast]:
+def _blocks(documents: DataFrame, benchmark: DataFrame, words: int, threshold: float, block_chars: int) -> Iterator[Broadcast]:
     """The items' index in parts of bounded size; one empty part if there are none."""
     spark = documents.sparkSession
     small_batches(spark, 128)
@@ -157,7 +162,7 @@ def _blocks(documents: DataFrame, benchmark: DataFrame, words: int, block_chars:
     for b in range(blocks):
         rows = benchmark.filter(F.col("text").isNotNull() & (F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)).select("item_id", "text").collect()
         rows.sort(key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["text"]))
-        yield spark.sparkContext.broadcast(index_items([r["item_id"] for r in rows], [r["text"] for r in rows], words))
+        yield spark.sparkContext.broadcast(index_items([r["item_id"] for r in rows], [r["text"] for r in rows], words, threshold))
 
 
 def _hits(index: ItemIndex, texts: pa.Array, words: int, threshold: float) -> Iterator[tuple[int, int, int, int]]:

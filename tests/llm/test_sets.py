@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -208,6 +209,25 @@ def test_leaks_match_brute_force(spark):
     assert decontaminate.leaks(table, benchmark.limit(0)).count() == 0 and decontaminate.leaks(table.limit(0), benchmark).count() == 0
 
 
+@pytest.mark.parametrize("threshold", [0.5, 0.8, 1.0])
+def test_short_items_are_never_missed(threshold):
+    draw = random.Random(9)
+    some = lambda n: [f"t{draw.randrange(5000)}" for _ in range(n)]
+    items = [some(5 + i % 8) for i in range(1600)]
+    rows = []
+    for i in range(0, 1600, 8):  # each document holds eight items among other words, every other item with its last word changed
+        w = some(20)
+        for j, x in enumerate(items[i:i + 8]):
+            w += (x[:-1] + ["changed"] if j % 2 else x) + some(30)
+        rows.append(w)
+    index = decontaminate.index_items(list(range(1600)), [" ".join(x) for x in items], 5, threshold)
+    found = {(r, i) for r, i, _, _ in decontaminate._hits(index, pa.array([" ".join(w) for w in rows]), 5, threshold)}
+    sets = lambda w: {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
+    own = [sets(w) for w in rows]
+    expected = {(i // 8, i) for i, x in enumerate(items) if len(sets(x) & own[i // 8]) >= threshold * len(sets(x))}
+    assert len(expected) >= 800 and expected <= found
+
+
 # ---- top-k
 
 
