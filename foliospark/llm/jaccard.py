@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from foliospark.llm.common import IdFilter, attach_groups, kept_rows, small_batches, text_buffers, written
 from foliospark.llm.components import components
@@ -65,6 +66,11 @@ def count_sketch(documents: DataFrame, k: int) -> np.ndarray:
     return total.ravel()
 
 
+def _set_key(u: np.ndarray) -> bytes:
+    """Equal for equal sets of shingles."""
+    return np.array([mix(u).sum(), np.bitwise_xor.reduce(u * np.uint64(3)) if len(u) else 0, len(u)], np.uint64).tobytes()
+
+
 def signatures(documents: DataFrame, sketch: Broadcast, k: int, percent: int) -> DataFrame:
     """Of each row: its set's size and key (equal for equal sets), parity bitmap and first shingles.
 
@@ -80,7 +86,7 @@ def signatures(documents: DataFrame, sketch: Broadcast, k: int, percent: int) ->
                 u = np.unique(codes[a:b])
                 n = len(u)
                 size.append(n)
-                key.append(np.array([mix(u).sum(), np.bitwise_xor.reduce(u * np.uint64(3)) if n else 0, n], np.uint64).tobytes())
+                key.append(_set_key(u))
                 bits.append(np.packbits(np.bincount((u >> np.uint64(55)).astype(np.int64), minlength=BITMAP) & 1).tobytes())
                 often = counts[(u & np.uint64(SKETCH - 1)).astype(np.int64)]
                 first = np.lexsort((u, often))[: n - _ratio(n, percent) + 1 if n else 0]
@@ -260,9 +266,14 @@ def similar_documents(documents: DataFrame, words: int = 4, percent: int = 85) -
     documents = documents.select("doc_id", "text")
     sketch = spark.sparkContext.broadcast(count_sketch(documents, words))
     signed = written(signatures(documents, sketch, words, percent), "signatures")
+    key = F.xxhash64("set_key")
+    of_id = signed.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(key).alias("low"), F.max(key).alias("high"), F.count("*").alias("rows"))
+    ids = of_id.agg(F.max(F.col("rows") > 1).alias("repeated"), F.max(F.col("low") < F.col("high")).alias("mixed")).first()
+    if ids["mixed"]:
+        return _classes_of_mixed_ids(documents, signed, words, percent)
     live = signed.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     classes = written(live.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.count("*").alias("size")), "classes")
-    labels = _classes_of_sets(spark, documents, live, classes, words, percent)
+    labels = _classes_of_sets(spark, documents, live, classes, bool(ids["repeated"]), words, percent)
 
     named = classes.join(labels, "node", "left").select("set_key", "size", F.coalesce("component", "node").alias("component"))
     total = signed.count()
@@ -272,10 +283,10 @@ def similar_documents(documents: DataFrame, words: int = 4, percent: int = 85) -
             .select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id")))
 
 
-def _classes_of_sets(spark: SparkSession, documents: DataFrame, live: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+def _classes_of_sets(spark: SparkSession, documents: DataFrame, live: DataFrame, classes: DataFrame, repeated: bool, words: int, percent: int) -> DataFrame:
     """``node`` and ``component`` of the distinct sets that have links."""
     sets = live.join(classes.select(F.col("node").alias("doc_id"), "set_key"), ["doc_id", "set_key"], "left_semi").withColumnRenamed("doc_id", "node")
-    if live.count() > live.select("doc_id").distinct().count():  # repeated rows are one node
+    if repeated:  # repeated rows are one node
         sets = sets.dropDuplicates(["node", "set_key"])
     # the sketch never counts too little, so a rare shingle's list is short
     rare = sets.select("node", F.explode("rare").alias("token"))
@@ -299,20 +310,69 @@ def _classes_of_sets(spark: SparkSession, documents: DataFrame, live: DataFrame,
     return components(links.unionByName(more))
 
 
+def _by_set(documents: DataFrame, words: int) -> DataFrame:
+    """``documents``, written, with ``_node``: an id of each row's doc_id and set, null where the doc_id is. Rows that repeat both share it."""
+    schema = documents.schema
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes, begin = shingles(*text_buffers(batch.column(batch.num_columns - 1)), words)
+            keys = [_set_key(np.unique(codes[a:b])) for a, b in zip(begin[:-1], begin[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(keys, pa.binary())], names=[*batch.schema.names[:-1], "_set_key"])
+
+    keyed = documents.select("*", F.col("text").alias("_input")).mapInArrow(sign, StructType([*schema.fields, StructField("_set_key", BinaryType())]))
+    return written(keyed.withColumn("_node", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "_set_key"))).drop("_set_key"), "keyed")
+
+
+def _classes_of_nodes(keyed: DataFrame, words: int, percent: int) -> DataFrame:
+    """``doc_id``, ``_node`` and ``component`` (of nodes) of each node; ids don't link here."""
+    nodes = keyed.filter("_node IS NOT NULL")
+    found = similar_documents(nodes.select(F.col("_node").alias("doc_id"), "text"), words, percent).select(F.col("doc_id").alias("_node"), F.col("component_id").alias("component"))
+    return written(found.distinct().join(nodes.select("doc_id", "_node").distinct(), "_node"), "nodes")
+
+
+def _classes_of_mixed_ids(documents: DataFrame, signed: DataFrame, words: int, percent: int) -> DataFrame:
+    """``similar_documents`` where an id has several sets: classes of (doc_id, set), then links between the sets of each id."""
+    nodes = _classes_of_nodes(_by_set(documents, words), words, percent)
+    total = nodes.count()
+    least = nodes.groupBy("doc_id").agg(F.min("component").alias("a"), F.count("*").alias("size"))
+    links = attach_groups(nodes, least, "doc_id", "size", total).select("a", F.col("component").alias("b"))
+    roots = written(components(links), "components").select(F.col("node").alias("component"), F.col("component").alias("root"))
+    rooted = nodes.groupBy("component").agg(F.count("*").alias("size")).join(roots, "component", "left").select("component", "size", F.coalesce("root", "component").alias("root"))
+    nodes = written(attach_groups(nodes, rooted, "component", "size", total), "rooted")
+    names = nodes.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("size"))
+    named = attach_groups(nodes, names, "root", "size", total).select("doc_id", "component_id").distinct()
+    sizes = signed.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("size"))
+    rows = attach_groups(signed.select("doc_id", "n"), written(sizes.join(named, "doc_id"), "named"), "doc_id", "size", signed.count())
+    return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+
+
 def one_of_each(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``documents`` with one row of each class of linked documents, that with the least doc_id; all columns stay.
+    """``documents`` with one row of each class of linked texts, that with the least doc_id; all columns stay.
 
-    Rows with a null id and texts without words stay. Of rows that repeat an id one stays.
+    Rows with a null id stay, and texts without words. Where ids repeat, each row is judged by its own text: of rows with the same id and the
+    same set one stays, and rows with the same id and unlike sets all do.
     Only documents that may have to go are dealt out by id; the others pass where they are.
     """
-    found = written(similar_documents(documents, words, percent).select("doc_id", "component_id"), "classes")
-    gone = written(found.filter("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    suspects = IdFilter(gone, "doc_id")
-    slot = [IdFilter.slot(F.col("doc_id"))]
-    clear = kept_rows(documents, slot, lambda x: ~suspects.may_hold(x[0]))
-    rest = kept_rows(documents, slot, lambda x: suspects.may_hold(x[0])).join(gone, "doc_id", "left_anti")
-    out = clear.unionByName(rest.select(clear.columns))
     ids = documents.filter(F.col("doc_id").isNotNull()).agg(F.count("doc_id"), F.countDistinct("doc_id")).first()
     if ids[0] == ids[1]:
-        return out
-    return out.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(out.filter("doc_id IS NULL"))
+        found = written(similar_documents(documents, words, percent).select("doc_id", "component_id"), "classes")
+        return _without(documents, found.filter("doc_id <> component_id").select("doc_id").distinct())
+    small_batches(documents.sparkSession, 128)
+    keyed = _by_set(documents, words)
+    nodes = _classes_of_nodes(keyed, words, percent)
+    first = nodes.groupBy("component").agg(F.min(F.struct("doc_id", "_node")).alias("first"), F.count("*").alias("size"))
+    gone = attach_groups(nodes, first, "component", "size", nodes.count()).filter(F.col("_node") != F.col("first._node"))
+    out = _without(keyed, gone.select("_node"))
+    return out.filter("_node IS NOT NULL").dropDuplicates(["_node"]).unionByName(out.filter("_node IS NULL")).drop("_node")
+
+
+def _without(documents: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows whose id isn't in ``gone``, a table of one column of the same name."""
+    (name,) = gone.columns
+    gone = written(gone, "gone")
+    suspects = IdFilter(gone, name)
+    slot = [IdFilter.slot(F.col(name))]
+    clear = kept_rows(documents, slot, lambda x: ~suspects.may_hold(x[0]))
+    rest = kept_rows(documents, slot, lambda x: suspects.may_hold(x[0])).join(gone, name, "left_anti")
+    return clear.unionByName(rest.select(clear.columns))

@@ -117,6 +117,29 @@ def test_one_of_each_keeps_columns_and_clean_rows(spark):
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([4, 9, None, 7, 8], key=str)
 
 
+A, B, C = "a b c d e f g", "q r s t u v w", "h i j k l m n"
+
+
+def test_ids_with_several_texts_lose_no_clean_one(spark):
+    rows = [(3, A), (5, A), (5, B), (5, B), (7, C), (7, ""), (7, None), (None, A), (9, "x y"), (2, "X y z"), (2, "other words")]
+    kept = jaccard.one_of_each(docs(spark, rows))
+    assert kept.columns == docs(spark, rows).columns
+    found = sorted(((r["doc_id"], r["text"] or "") for r in kept.collect()), key=str)
+    assert found == sorted([(3, A), (5, B), (7, C), (7, ""), (None, A), (9, "x y"), (2, "X y z"), (2, "other words")], key=str)
+    hot = [(1, " ".join(f"h{i}n{j}" for j in range(9))) for i in range(40)] + [(i, B) for i in range(2, 6)]
+    assert jaccard.one_of_each(docs(spark, hot)).count() == 41
+
+
+def test_classes_link_through_ids_with_several_texts(spark):
+    rows = [(3, A), (5, A), (5, B), (8, B), (8, ""), (8, B), (9, C), (1, None), (None, C)]
+    rows += [(1000 + i % 40, t) for i, (_, t) in enumerate(near_copies(random.Random(3), 70))]
+    found = jaccard.similar_documents(docs(spark, rows).repartition(3), 4, 85).collect()
+    expected = brute_components([r for r in rows if r[0]], 4, 85)
+    assert [expected[i] for i in (5, 8, 9)] == [3, 3, 9] and len(found) == len(rows)
+    assert all(r["component_id"] == expected.get(r["doc_id"]) for r in found)
+    assert sorted(r["n_shingles"] for r in found) == sorted(len(shingle_set(t, 4)) for _, t in rows)
+
+
 def test_forest_spans():
     draw = np.random.default_rng(2)
     a, b = draw.integers(0, 30, 200), draw.integers(0, 30, 200)
