@@ -96,6 +96,6 @@ def redact_meta(spark, sf_dir):
 @query()
 def labelled_entries(spark, sf_dir):
     lines = _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "text"))
-    label = F.when(F.col("n") % 9 == 3, F.concat(F.lit("Provisional Diagnosis: "), F.left("text", F.lit(60)))).otherwise(F.col("text"))
+    label = F.when(F.col("n") % 9 == 3, F.concat(F.lit("Provisional Diagnosis: "), "text")).otherwise(F.col("text"))
     page = lines.select(F.col("doc_id").alias("page_id"), label.alias("text"), F.lit(60.0).alias("x"), (F.col("n") * 40.0).alias("y"), F.lit(30.0).alias("height"), F.lit(0.9).alias("confidence"))
     return extract.entries(extract.labelled_values(page)).select("page_id", "label", "raw_text", "cleaned_text", "qualifier", "status")

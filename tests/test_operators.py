@@ -190,3 +190,10 @@ def test_some_queries_against_sql(spark, sf_dir):
         theirs = db.execute(f"SELECT {', '.join(chr(34) + c + chr(34) for c in columns)} FROM ({ORACLES[name]})").fetchall()
         ours = [tuple(r) for r in df.select(*[F.col(f"`{c}`") for c in columns]).collect()]
         assert sorted(map(repr, ours)) == sorted(map(repr, theirs)), name
+
+
+def test_labelled_entries_read_whole_lines(spark, tmp_path):
+    line = "fever with chills since the monsoon and no relief from earlier tablets; r/o sepsis of unknown origin"
+    spark.createDataFrame([(1, "one\ntwo\nthree\n" + line + "\nfive")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = [(r["raw_text"], r["qualifier"]) for r in QUERIES["labelled_entries"](spark, str(tmp_path)).collect()]
+    assert found == [("fever with chills since the monsoon", "provisional"), ("no relief from earlier tablets", "provisional"), ("r/o sepsis of unknown origin", "ruled_out")]
