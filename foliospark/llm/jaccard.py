@@ -1,12 +1,14 @@
-"""Exact n-gram Jaccard join, with classes of linked documents.
+"""Exact n-gram Jaccard join, with classes of linked documents, by set relations.
 
 Documents are sets of word shingles. Sets are ordered by a count sketch of the whole corpus (rare shingles first), so that two similar
-sets share one of their first shingles (prefix filter); the index lists sets by those shingles. A list is sorted by set size, and a set skips the
-blocks of a list whose sizes can't match. Parity bitmaps bound the overlap of the rest.
-
-Answers are derived, not searched again: a first pass links each set to its most similar ones (a spanning forest of each
-list's candidates), and sets linked so far share one answer. The second pass only reads lists that still hold different answers, and verifies
-all candidates between them. Each link is verified on the exact sets.
+sets share one of their first shingles (prefix filter). The index lists sets by those shingles with the shingle's position in the set, in blocks
+of positions: a set skips the blocks of a list whose positions leave too few shingles to share, and in the other blocks the sizes that can't match.
+Parity bitmaps bound the overlap of the rest.
+
+Each list gives a spanning forest of its candidates only; what candidates connect is a cluster, and no link leaves one. Each set then travels once to
+the task of its cluster. There a set's answer, its overlap with all sets of the cluster, is derived from that of the most similar set answered
+before: only shingles that one of both lacks are looked up. Sets of the largest class needn't be answered, since the others' answers hold
+their links. Large clusters are cut into blocks; links between blocks are searched for the sets outside of the cluster's largest class.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
@@ -24,12 +26,20 @@ from foliospark.llm.common import IdFilter, attach_groups, kept_rows, small_batc
 from foliospark.llm.components import components
 from foliospark.llm.shingles import mix, shingles
 
-#: Counters of the sketch, and the pieces that it travels in.
-SKETCH, PIECES = 1 << 20, 32
+#: Counters of the sketch (least, most, bytes of text for each between) and those of the pieces that it travels in.
+SKETCH, LARGEST_SKETCH, SERVED, PIECE = 1 << 20, 1 << 24, 1 << 12, 1 << 15
+#: Tasks that count for the sketch, if they have less than so many bytes of text for each counter that they send.
+COUNTING_TASKS, COUNTED = 64, 64
 #: Bits of a set's parity bitmap.
 BITMAP = 512
-#: Rows of a list that one block holds; larger lists are compared block by block.
+#: Positions in a block of a list.
+POSITIONS = 16
+#: Rows of a list whose candidates are told apart; in a larger one all sets are candidates of each other.
 BLOCK = 2048
+#: Sets and bytes of text that a block of a cluster holds about.
+SETS, BYTES = 2048, 8 << 20
+#: Answers that a task keeps at a time to derive others from.
+ANSWERS = 32
 
 
 def _ratio(n: int, percent: int) -> int:
@@ -37,32 +47,35 @@ def _ratio(n: int, percent: int) -> int:
 
 
 def count_sketch(documents: DataFrame, k: int) -> np.ndarray:
-    """How often shingles occur in the corpus, by hash: an upper bound for each. One array of fixed size, whatever the input."""
+    """How often shingles occur in the corpus, by hash: an upper bound for each, up to 2**32 - 1. More text gets more counters, within bounds.
+
+    It only orders shingles: however full it gets, no link is lost.
+    """
+    documents = documents.select("text")
+    size = documents.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    width = min(LARGEST_SKETCH, max(SKETCH, 1 << (size // SERVED).bit_length()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH, np.int64)
+        total = np.zeros(width, np.int64)
         for batch in batches:
             codes, _ = shingles(*text_buffers(batch.column(0)), k)
-            np.add(total, np.bincount((codes & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH), out=total)
-        yield pieces(total)
-
-    def pieces(total: np.ndarray) -> pa.RecordBatch:
-        parts = [p.tobytes() for p in total.reshape(PIECES, -1)]
-        return pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array(parts, pa.binary())], names=["piece", "counts"])
+            np.add(total, np.bincount((codes & np.uint64(width - 1)).astype(np.int64), minlength=width), out=total)
+        parts = [p.tobytes() for p in total.reshape(-1, PIECE)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["piece", "counts"])
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum((np.frombuffer(x.as_buffer(), np.int64) for x in table.column("counts")), np.zeros(SKETCH // PIECES, np.int64))
+        total = sum((np.frombuffer(x.as_buffer(), np.int64) for x in table.column("counts")), np.zeros(PIECE, np.int64))
         return pa.table({"piece": pa.array([table.column("piece")[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
-    parts = documents.select("text").mapInArrow(count, "piece int, counts binary")
-    number = documents.rdd.getNumPartitions() if documents.isStreaming is False else 1
+    number = min(documents.rdd.getNumPartitions(), max(COUNTING_TASKS, size // (COUNTED * width)))
+    documents = documents.coalesce(number)
+    parts = documents.mapInArrow(count, "piece int, counts binary")
     while number > 64:  # no task adds up more than 64 pieces
         number = -(-number // 64)
         parts = parts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(number))).groupBy("piece", "salt").applyInArrow(add, "piece int, counts binary")
-    rows = parts.groupBy("piece").applyInArrow(add, "piece int, counts binary").collect()
-    total = np.zeros((PIECES, SKETCH // PIECES), np.int64)
-    for r in rows:
-        total[r["piece"]] = np.frombuffer(r["counts"], np.int64)
+    total = np.zeros((width // PIECE, PIECE), np.uint32)
+    for r in parts.groupBy("piece").applyInArrow(add, "piece int, counts binary").toLocalIterator():
+        total[r["piece"]] = np.minimum(np.frombuffer(r["counts"], np.int64), 2**32 - 1)
     return total.ravel()
 
 
@@ -72,35 +85,27 @@ def _set_key(u: np.ndarray) -> bytes:
 
 
 def signatures(documents: DataFrame, sketch: Broadcast, k: int, percent: int) -> DataFrame:
-    """Of each row: its set's size and key (equal for equal sets), parity bitmap and first shingles.
-
-    ``rare`` are those that the sketch bounds to lists of ``BLOCK`` rows, ``common`` the others, with the number of blocks that their lists need.
-    """
+    """Of each row: its set's size and key (equal for equal sets), the text's bytes, parity bitmap, and the set's first shingles, rare ones first."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sketch.value
         for batch in batches:
-            codes, begin = shingles(*text_buffers(batch.column(1)), k)
-            size, key, bits, rare, common, blocks = [], [], [], [], [], []
+            raw, offsets = text_buffers(batch.column(1))
+            codes, begin = shingles(raw, offsets, k)
+            size, key, bits, first = [], [], [], []
             for a, b in zip(begin[:-1], begin[1:], strict=True):
                 u = np.unique(codes[a:b])
                 n = len(u)
                 size.append(n)
                 key.append(_set_key(u))
                 bits.append(np.packbits(np.bincount((u >> np.uint64(55)).astype(np.int64), minlength=BITMAP) & 1).tobytes())
-                often = counts[(u & np.uint64(SKETCH - 1)).astype(np.int64)]
-                first = np.lexsort((u, often))[: n - _ratio(n, percent) + 1 if n else 0]
-                token, often = u[first].view(np.int64), often[first]
-                many = often > BLOCK
-                rare.append(token[~many])
-                common.append(token[many])
-                blocks.append(np.minimum(-(-often[many] // BLOCK), 1 << 15).astype(np.int32))
+                order = np.lexsort((u, counts[(u & np.uint64(len(counts) - 1)).astype(np.int64)]))
+                first.append(u[order[: n - _ratio(n, percent) + 1 if n else 0]].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size, pa.int32()), pa.array(key, pa.binary()), pa.array(bits, pa.binary()), _lists(rare, pa.int64()), _lists(common, pa.int64()), _lists(blocks, pa.int32())],
-                names=["doc_id", "n", "set_key", "bits", "rare", "common", "blocks"])
+                [batch.column(0), pa.array(size, pa.int32()), pa.array(key, pa.binary()), pa.array(np.diff(offsets)), pa.array(bits, pa.binary()), _lists(first, pa.int64())],
+                names=["doc_id", "n", "set_key", "bytes", "bits", "tokens"])
 
-    return documents.select("doc_id", "text").mapInArrow(
-        sign, "doc_id long, n int, set_key binary, bits binary, rare array<long>, common array<long>, blocks array<int>")
+    return documents.select("doc_id", "text").mapInArrow(sign, "doc_id long, n int, set_key binary, bytes long, bits binary, tokens array<long>")
 
 
 def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
@@ -108,148 +113,273 @@ def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.zeros(0), kind))
 
 
-def _forest(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Numbers of the edges of a minimum spanning forest (Borůvka, ties by number)."""
+def _least(a: np.ndarray, b: np.ndarray, nodes: int) -> np.ndarray:
+    """The least node that edges reach from each of the nodes 0, 1, ..."""
+    label = np.arange(nodes)
+    while True:
+        low, was = np.minimum(label[a], label[b]), label.copy()
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        label = np.minimum(label, label[label])
+        if (was == label).all():
+            return label
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Numbers of the edges of a spanning forest: rounds that pick an edge of each tree to another."""
     nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
     u, v = ends[: len(a)], ends[len(a):]
-    label, order, chosen = np.arange(len(nodes)), np.lexsort((np.arange(len(a)), weight)), []
-    while True:
-        x, y = label[u[order]], label[v[order]]
-        order = order[x != y]
-        if not len(order):
-            break
-        x, y = label[u[order]], label[v[order]]
-        best = np.full(len(nodes), len(order))
-        np.minimum.at(best, x, np.arange(len(order)))
-        np.minimum.at(best, y, np.arange(len(order)))
-        pick = np.unique(best[best < len(order)])
-        chosen.append(order[pick])
-        p, q = x[pick], y[pick]
-        while True:  # join what the picked edges connect
-            low = np.minimum(label[p], label[q])
-            was = label.copy()
-            np.minimum.at(label, label[p], low)
-            np.minimum.at(label, label[q], low)
-            label = label[label]
-            if (was == label).all():
-                break
-    return np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
-
-
-def _pairs(group: np.ndarray, n: np.ndarray, part: np.ndarray, comp: np.ndarray, bits: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(row, row, distance) of candidates in lists that are sorted by set size, in slices.
-
-    ``part`` tells which of the two blocks of a list a row is from (-1: both are one block): pairs are made across blocks only.
-    A set leaves a list where sizes get too large for it, without looking at the rest.
-    """
-    last = np.searchsorted(group, group, side="right")
-    key = group.astype(np.float64) * 2.0**32 + n
-    reach = np.minimum(last, np.searchsorted(key, group.astype(np.float64) * 2.0**32 + (n.astype(np.int64) * 100) // percent, side="right"))
-    at, step = np.arange(len(group)), 1
+    label, left, chosen = np.arange(len(nodes)), np.arange(len(a)), [np.zeros(0, np.int64)]
     while True:
-        at = at[at + step < reach[at]]
-        if not len(at):
-            return
-        to = at + step
-        ok = (comp[at] != comp[to]) & ((part[at] < 0) | (part[at] != part[to]))
-        x, y = at[ok], to[ok]
-        if len(x):
-            apart = np.bitwise_count(bits[x] ^ bits[y]).sum(1)
-            near = apart.astype(np.int64) * (100 + percent) <= (n[x].astype(np.int64) + n[y]) * (100 - percent)
-            if near.any():
-                yield x[near], y[near], apart[near]
-        step += 1
+        left = left[label[u[left]] != label[v[left]]]
+        if not len(left):
+            return np.concatenate(chosen)
+        upper = np.maximum(label[u[left]], label[v[left]])  # each tree joins one with a lower label: no circles
+        _, first = np.unique(upper, return_index=True)
+        pick = left[first]
+        chosen.append(pick)
+        label = _least(label[u[pick]], label[v[pick]], len(nodes))[label]
 
 
-def _candidates(lists: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """Candidate pairs (a < b) of nodes with different ``comp`` in the same list; of a spanning forest only, if so asked."""
+def _pairs(listed: np.ndarray, at: np.ndarray, n: np.ndarray, bits: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, row) of candidates of the same list, in slices.
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        rows = 0
-
-        def flush(table: pa.Table) -> pa.RecordBatch | None:
-            node, n, comp, part = (table.column(c).to_numpy() for c in ("node", "n", "comp", "part"))
-            bits = np.frombuffer(text_buffers(table.column("bits"))[0], np.uint64).reshape(-1, BITMAP // 64)
-            listed = np.stack([table.column(c).to_numpy() for c in ("token", "i", "j")])
-            group = np.cumsum(np.append(0, (listed[:, 1:] != listed[:, :-1]).any(0)))
-            a, b, w = [], [], []
-            size = 0
-
-            def shrink() -> None:
-                nonlocal a, b, w, size
-                x, y, d = np.concatenate(a), np.concatenate(b), np.concatenate(w)
-                if forest:
-                    keep = _forest(x, y, d)
-                else:
-                    keep = np.unique(np.stack([x, y]), axis=1, return_index=True)[1]
-                a, b, w, size = [x[keep]], [y[keep]], [d[keep]], len(keep)
-
-            for x, y, d in _pairs(group, n, part, comp, bits, percent):
-                p, q = node[x], node[y]
-                a.append(np.minimum(p, q))
-                b.append(np.maximum(p, q))
-                w.append(d)
-                size += len(x)
-                if size > 500_000 and forest:
-                    shrink()
-            if not size:
-                return None
-            shrink()
-            return pa.RecordBatch.from_arrays([pa.array(a[0]), pa.array(b[0])], names=["a", "b"])
+    Rows are sorted by list, block of positions and set size. With its shingle at position p and q, sets of n and m have min(p, q) + min(n - p, m - q) in common
+    at most, so a set of n only visits the blocks up to n * (1 - t) / t positions on, and there the sizes from t * n to n / t.
+    """
+    block = at // POSITIONS
+    group = listed * (int(block.max()) + 1) + block
+    key = (group << 32) + n
+    low, high = -(-n * percent // 100), n * 100 // percent
+    reach = np.minimum((at + n * (100 - percent) // percent) // POSITIONS, block.max()) - block
+    rows = np.arange(len(n))
+    for step in range(int(reach.max()) + 1):
+        rows = rows[reach[rows] >= step]
+        there = (group[rows] + step) << 32
+        begin = rows + 1 if step == 0 else np.searchsorted(key, there + low[rows], side="left")
+        number = np.maximum(0, np.searchsorted(key, there + high[rows], side="right") - begin)
+        ends = np.cumsum(number)
+        cuts = np.unique(np.searchsorted(ends, np.arange(0, int(ends[-1]) + 1_000_000, 1_000_000) if len(ends) else [0]))
+        for a, b in zip(cuts, np.append(cuts[1:], len(rows)), strict=True):
+            m = number[a:b]
+            x = np.repeat(rows[a:b], m)
+            y = np.arange(len(x)) + np.repeat(begin[a:b] - np.cumsum(m) + m, m)
+            p, q, s, t = at[x], at[y], n[x], n[y]
+            ok = (np.minimum(p, q) + np.minimum(s - p, t - q)) * (100 + percent) >= percent * (s + t)
+            x, y = x[ok], y[ok]
+            near = np.bitwise_count(bits[x] ^ bits[y]).sum(1).astype(np.int64) * (100 + percent) <= (n[x] + n[y]) * (100 - percent)
+            if near.any():
+                yield x[near], y[near]
+
+
+def _candidates(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that connect what candidates of some list connect, as stars: no more rows than the lists have."""
+
+    def forest(table: pa.Table) -> pa.RecordBatch | None:
+        node, at, n = (table.column(c).to_numpy().astype(np.int64) for c in ("node", "position", "n"))
+        bits = np.frombuffer(text_buffers(table.column("bits"))[0], np.uint64).reshape(-1, BITMAP // 64)
+        token = table.column("token").to_numpy()
+        listed = np.cumsum(np.append(0, token[1:] != token[:-1]))
+        a, b, size = [], [], 0
+
+        def shrink() -> None:
+            nonlocal a, b, size
+            x, y = np.concatenate(a), np.concatenate(b)
+            keep = _forest(x, y)
+            a, b, size = [x[keep]], [y[keep]], len(keep)
+
+        for x, y in _pairs(listed, at, n, bits, percent):
+            a.append(node[x])
+            b.append(node[y])
+            size += len(x)
+            if size > 500_000:
+                shrink()
+        if not size:
+            return None
+        shrink()
+        nodes, ends = np.unique(np.concatenate([a[0], b[0]]), return_inverse=True)
+        least = nodes[_least(ends[: len(a[0])], ends[len(a[0]):], len(nodes))]
+        return pa.RecordBatch.from_arrays([pa.array(nodes[least < nodes]), pa.array(least[least < nodes])], names=["a", "b"])
 
-        for batch in batches:
-            held.append(batch)
-            rows += batch.num_rows
-            if rows < 4 * BLOCK:
-                continue
-            table = pa.Table.from_batches(held).combine_chunks()
-            listed = np.stack([table.column(c).to_numpy() for c in ("token", "i", "j")])
-            whole = int(np.flatnonzero((listed[:, 1:] != listed[:, :-1]).any(0))[-1]) + 1 if (listed[:, :1] != listed[:, -1:]).any() else 0
-            if whole:
-                out = flush(table.slice(0, whole))
-                if out is not None:
-                    yield out
-            rest = table.slice(whole)
-            held, rows = rest.to_batches(), rest.num_rows
-        if rows:
-            out = flush(pa.Table.from_batches(held).combine_chunks())
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ["token"], 4 * BLOCK):
+            out = forest(table)
             if out is not None:
                 yield out
 
-    # a list of one block is (0, 0); of more, each row goes to the pairs of its block with every other and with itself
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    single = lists.filter("blocks <= 1").select("token", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(-1).alias("part"), "node", "n", "bits", "comp")
-    dealt = (lists.filter("blocks > 1").withColumn("own", own)
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-                     F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).alias("part"), "node", "n", "bits", "comp"))
-    return (single.unionByName(dealt).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "node")
-            .mapInArrow(join, "a long, b long").distinct())
-
-
-def verified(documents: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose documents' sets are similar enough, by exact intersection of the shingle sets."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    needed = IdFilter(ids, "doc_id")
-    texts = kept_rows(documents.filter(F.col("doc_id").isNotNull()), [IdFilter.slot(F.col("doc_id"))], lambda x: needed.may_hold(x[0]))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, x_begin = shingles(*text_buffers(batch.column(2)), k)
-            y, y_begin = shingles(*text_buffers(batch.column(3)), k)
-            keep = []
-            for i in range(batch.num_rows):
-                p, q = np.unique(x[x_begin[i]:x_begin[i + 1]]), np.unique(y[y_begin[i]:y_begin[i + 1]])
-                both = len(p) + len(q) - len(np.union1d(p, q))
-                if both and 100 * both >= percent * (len(p) + len(q) - both):
-                    keep.append(i)
-            if keep:
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep))], names=["a", "b"])
-
-    first = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a")
-    both = first.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").distinct()
+    return (lists.repartition("token").sortWithinPartitions("token", F.expr(f"position div {POSITIONS}"), "n", "node")
+            .select("token", "position", "node", "n", "bits").mapInArrow(join, "a long, b long"))
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: list[str], rows: int, size: str | None = None) -> Iterator[pa.Table]:
+    """Runs of whole groups out of sorted batches, of ``rows`` rows or ``BYTES`` in the column ``size`` about, or of one group where that is larger."""
+    held: list[pa.RecordBatch] = []
+    number = weight = 0
+
+    def cut(table: pa.Table) -> int:
+        """Where the last group begins."""
+        other = np.zeros(table.num_rows - 1, bool)
+        for c in key:
+            x = table.column(c).to_numpy()
+            other |= x[1:] != x[:-1]
+        ends = np.flatnonzero(other)
+        return int(ends[-1]) + 1 if len(ends) else 0
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        number += batch.num_rows
+        weight += int(batch.column(size).to_numpy().sum()) if size else 0
+        if number < rows and weight < BYTES:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        at = cut(table)
+        if at:
+            yield table.slice(0, at)
+        rest = table.slice(at).combine_chunks()
+        held, number = rest.to_batches(), rest.num_rows
+        weight = int(rest.column(size).to_numpy().sum()) if size else 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+class Answers:
+    """Overlaps of each set of one block with all of them; an answer is derived from that of a similar set."""
+
+    def __init__(self, sets: list[np.ndarray], percent: int):
+        self.percent = percent
+        self.n = np.array([len(s) for s in sets], np.int64)
+        tokens, self.of_set = np.unique(np.concatenate(sets), return_inverse=True)
+        self.begin = np.concatenate([[0], np.cumsum(self.n)])
+        self.rows = np.repeat(np.arange(len(sets)), self.n)[np.argsort(self.of_set, kind="stable")]
+        self.lists = np.concatenate([[0], np.cumsum(np.bincount(self.of_set, minlength=len(tokens)))])
+        self.mark = np.zeros(len(tokens), bool)
+        self.kept: dict[int, np.ndarray] = {}
+
+    def _tokens(self, x: int) -> np.ndarray:
+        return self.of_set[self.begin[x]:self.begin[x + 1]]
+
+    def _count(self, tokens: np.ndarray) -> np.ndarray:
+        """How many of the shingles each set holds."""
+        low, m = self.lists[tokens], self.lists[tokens + 1] - self.lists[tokens]
+        at = np.arange(m.sum()) + np.repeat(low - np.cumsum(m) + m, m)
+        return np.bincount(self.rows[at], minlength=len(self.n))
+
+    def _less(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        self.mark[y] = True
+        out = x[~self.mark[x]]
+        self.mark[y] = False
+        return out
+
+    def overlaps(self, x: int) -> np.ndarray:
+        best, like = -1, 0.5
+        for r, o in self.kept.items():
+            share = o[x] / (self.n[x] + self.n[r] - o[x])
+            if share > like:
+                best, like = r, share
+        mine = self._tokens(x)
+        if best < 0:
+            out = self._count(mine)
+        else:
+            theirs = self._tokens(best)
+            out = self.kept[best] + self._count(self._less(mine, theirs)) - self._count(self._less(theirs, mine))
+        if like < 0.9:
+            if len(self.kept) == ANSWERS:
+                self.kept.pop(next(iter(self.kept)))
+            self.kept[x] = out
+        return out
+
+    def links(self, x: int) -> np.ndarray:
+        """The sets that link with set ``x``, itself among them."""
+        o = self.overlaps(x)
+        return np.flatnonzero((o > 0) & (100 * o >= self.percent * (self.n + self.n[x] - o)))
+
+
+def classes(sets: list[np.ndarray], percent: int, label: np.ndarray, ask: np.ndarray | None = None) -> np.ndarray:
+    """The labels, where labels that links connect have become their least one.
+
+    ``ask`` marks the sets whose links to all others are searched; without it all links count: sets are answered until all that aren't have one label.
+    """
+    answers, (names, label) = Answers(sets, percent), np.unique(label, return_inverse=True)
+    todo = np.ones(len(sets), bool) if ask is None else ask.copy()
+    while True:
+        open_ = np.flatnonzero(todo)
+        if ask is None and len(open_):
+            open_ = open_[label[open_] != np.bincount(label[open_]).argmax()]
+        if not len(open_):
+            return names[label]
+        x = int(open_[0])
+        todo[x] = False
+        joined = np.unique(label[answers.links(x)])
+        if len(joined) > 1:
+            label[np.isin(label, joined)] = joined[0]
+
+
+def _classes(rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """``node``, its ``label`` and the ``least`` label that links reach from there within the block, where that is another.
+
+    ``rows``: ``cluster``, ``block``, ``chunk``, ``node``, ``label``, ``ask`` (null: see ``classes``), ``bytes`` and ``text``.
+    """
+    key = ["cluster", "block", "chunk"]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, key, 256, "bytes"):
+            codes, begin = shingles(*text_buffers(table.column("text")), words)
+            node, label = table.column("node").to_numpy(), table.column("label").to_numpy()
+            ask = table.column("ask").to_numpy(zero_copy_only=False)
+            other = np.zeros(table.num_rows - 1, bool)
+            for c in key:
+                x = table.column(c).to_numpy()
+                other |= x[1:] != x[:-1]
+            cuts = np.concatenate([[0], np.flatnonzero(other) + 1, [table.num_rows]])
+            least = label.copy()
+            for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+                sets = [np.unique(codes[begin[i]:begin[i + 1]]) for i in range(low, high)]
+                least[low:high] = classes(sets, percent, label[low:high], None if ask[low] is None else ask[low:high].astype(bool))
+            new = np.flatnonzero(least != label)
+            if len(new):
+                yield pa.RecordBatch.from_arrays([pa.array(x[new], pa.int64()) for x in (node, label, least)], names=["node", "label", "least"])
+
+    return (rows.repartition(*key).sortWithinPartitions(*key, "node")
+            .select(*key, "node", "label", "ask", "bytes", "text").mapInArrow(search, "node long, label long, least long"))
+
+
+def classes_of_clusters(documents: DataFrame, sets: DataFrame, clusters: DataFrame, words: int, percent: int) -> DataFrame:
+    """``node`` and ``component`` of sets that link with one of a lower id. ``sets`` has ``node`` and ``bytes``, ``clusters`` ``node`` and ``component``.
+
+    A cluster of one block is done in one task. Of larger ones, blocks come first; then the sets outside of the cluster's largest class so far go to all blocks.
+    """
+    members = written(clusters.join(sets.select("node", "bytes"), "node").withColumnRenamed("component", "cluster"), "members")
+    number = lambda size, weight: F.greatest(F.ceil(size / F.lit(SETS)), F.ceil(weight / F.lit(BYTES)), F.lit(1)).cast("int")
+    sizes = (members.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("bytes").alias("weight"))
+             .select("cluster", "size", number(F.col("size"), F.col("weight")).alias("blocks")))
+    sizes = written(sizes, "sizes")
+    total, most = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("blocks"), F.lit(0))).first()
+    place = lambda salt, of: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(of)).cast("int")
+    placed = attach_groups(members, sizes, "cluster", "size", total).withColumn("block", place(1, "blocks"))
+    needed = IdFilter(members, "node")
+    texts = kept_rows(documents.filter(F.col("doc_id").isNotNull()), [IdFilter.slot(F.col("doc_id"))], lambda x: needed.may_hold(x[0])).withColumnRenamed("doc_id", "node")
+    inside = placed.select("cluster", "block", F.lit(0).alias("chunk"), "node", F.col("node").alias("label"), F.lit(None).cast("boolean").alias("ask"), "bytes").join(texts, "node")
+    found = written(_classes(inside, words, percent).select("node", F.col("least").alias("component")), "found")
+    if most <= 1:
+        return found
+    large = written(placed.filter("blocks > 1").join(found, "node", "left").select("cluster", "blocks", "block", "node", F.coalesce("component", "node").alias("label"), "bytes"), "large")
+    main = large.groupBy("cluster", "label").agg(F.count("*").alias("k")).groupBy("cluster").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.sum("k").alias("size"))
+    large = written(attach_groups(large, written(main, "main"), "cluster", "size", total), "large")
+    odd = large.filter("label <> main").groupBy("cluster").agg(F.count("*").alias("k"), F.sum("bytes").alias("weight")).select("cluster", number(F.col("k"), F.col("weight")).alias("chunks"))
+    odd = written(large.groupBy("cluster").agg(F.count("*").alias("size")).join(odd, "cluster"), "odd")
+    dealt = attach_groups(large, odd, "cluster", "size", total).filter("chunks IS NOT NULL")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["cluster", "block", "chunk", "node", "label", "ask", "bytes"]
+    asking = dealt.filter("label <> main").withColumn("chunk", place(2, "chunks")).withColumn("block", each("blocks")).withColumn("ask", F.lit(True))
+    held = dealt.withColumn("chunk", each("chunks")).withColumn("ask", F.lit(False))
+    links = _classes(asking.select(columns).unionByName(held.select(columns)).join(texts, "node"), words, percent)
+    roots = components(links.select(F.col("label").alias("a"), F.col("least").alias("b")))
+    names = roots.withColumnRenamed("node", "label").withColumnRenamed("component", "root")
+    sized = written(large.groupBy("label").agg(F.count("*").alias("size")).join(names, "label"), "names")
+    changed = written(attach_groups(large.select("node", "label"), sized, "label", "size", total).select("node", F.coalesce("root", "label").alias("component")).filter("node <> component"), "changed")
+    return found.join(large.select("node"), "node", "left_anti").unionByName(changed)
 
 
 def similar_documents(documents: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
@@ -272,10 +402,10 @@ def similar_documents(documents: DataFrame, words: int = 4, percent: int = 85) -
     if ids["mixed"]:
         return _classes_of_mixed_ids(documents, signed, words, percent)
     live = signed.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    classes = written(live.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.count("*").alias("size")), "classes")
-    labels = _classes_of_sets(spark, documents, live, classes, bool(ids["repeated"]), words, percent)
+    distinct = written(live.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.count("*").alias("size")), "distinct")
+    labels = _classes_of_sets(documents, live, distinct, bool(ids["repeated"]), words, percent)
 
-    named = classes.join(labels, "node", "left").select("set_key", "size", F.coalesce("component", "node").alias("component"))
+    named = distinct.join(labels, "node", "left").select("set_key", "size", F.coalesce("component", "node").alias("component"))
     total = signed.count()
     rows = attach_groups(live.select("doc_id", "n", "set_key"), written(named, "named"), "set_key", "size", total)
     rest = signed.filter(F.col("doc_id").isNull() | (F.col("n") == 0)).select("doc_id", "n", F.col("doc_id").alias("component"))
@@ -283,31 +413,20 @@ def similar_documents(documents: DataFrame, words: int = 4, percent: int = 85) -
             .select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id")))
 
 
-def _classes_of_sets(spark: SparkSession, documents: DataFrame, live: DataFrame, classes: DataFrame, repeated: bool, words: int, percent: int) -> DataFrame:
-    """``node`` and ``component`` of the distinct sets that have links."""
-    sets = live.join(classes.select(F.col("node").alias("doc_id"), "set_key"), ["doc_id", "set_key"], "left_semi").withColumnRenamed("doc_id", "node")
-    if repeated:  # repeated rows are one node
+def _classes_of_sets(documents: DataFrame, live: DataFrame, distinct: DataFrame, repeated: bool, words: int, percent: int) -> DataFrame:
+    """``node`` and ``component`` (the least node that links reach) of the distinct sets that aren't that node themselves."""
+    sets = live.join(distinct.select(F.col("node").alias("doc_id"), "set_key"), ["doc_id", "set_key"], "left_semi").withColumnRenamed("doc_id", "node")
+    if repeated:  # repeated rows are one node, and any of their texts has its set
         sets = sets.dropDuplicates(["node", "set_key"])
-    # the sketch never counts too little, so a rare shingle's list is short
-    rare = sets.select("node", F.explode("rare").alias("token"))
-    shared = rare.withColumn("many", F.count("*").over(Window.partitionBy("token"))).filter("many > 1").select("token", "node", F.lit(1).alias("blocks"))
-    common = sets.select("node", F.explode(F.arrays_zip("common", "blocks")).alias("e")).select(F.col("e.common").alias("token"), "node", F.col("e.blocks").alias("blocks"))
-    lists = written(shared.unionByName(common), "lists")
-    of_node = sets.select("node", "n", "bits")
-
-    pairs = written(_candidates(lists.join(of_node, "node").withColumn("comp", F.col("node")), percent, forest=True), "pairs")
-    links = written(verified(documents, pairs, words, percent), "links")
-    found = written(components(links), "components")
-
-    # what is linked has one answer: only lists with different answers are read again
-    answered = lists.join(found, "node", "left").select("token", "node", "blocks", F.coalesce("component", "node").alias("comp"))
-    open_ = answered.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("token")
-    again = answered.join(open_, "token", "left_semi").join(of_node, "node")
-    second = written(_candidates(again, percent, forest=False).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    more = written(verified(documents, second, words, percent), "links")
-    if more.isEmpty():
-        return found
-    return components(links.unionByName(more))
+        documents = documents.groupBy("doc_id").agg(F.min("text").alias("text"))
+    sets = written(sets.drop("set_key"), "sets")
+    postings = sets.select("node", F.posexplode("tokens").alias("position", "token"))
+    lists = postings.groupBy("token").agg(F.count("*").alias("size"), F.min("node").alias("first")).filter("size > 1").withColumn("large", F.col("size") > BLOCK)
+    total = sets.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()[0]
+    shared = written(attach_groups(postings, written(lists, "lists"), "token", "size", total).filter("first IS NOT NULL"), "shared")
+    near = _candidates(shared.filter("NOT large").join(sets.select("node", "n", "bits"), "node"), percent)
+    stars = shared.filter("large AND node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    return classes_of_clusters(documents, sets, components(near.unionByName(stars)), words, percent)
 
 
 def _by_set(documents: DataFrame, words: int) -> DataFrame:

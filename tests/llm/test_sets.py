@@ -90,9 +90,11 @@ def near_copies(draw, n=90):
     return rows
 
 
-@pytest.mark.parametrize("k,percent,block", [(4, 85, 2048), (5, 80, 4)])
-def test_classes_match_brute_force(spark, monkeypatch, k, percent, block):
-    monkeypatch.setattr(jaccard, "BLOCK", block)  # with 4, lists are cut into blocks
+@pytest.mark.parametrize("k,percent,block,sets", [(4, 85, 2048, 2048), (5, 80, 4, 5), (4, 85, 4, 3)])
+def test_classes_match_brute_force(spark, monkeypatch, k, percent, block, sets):
+    monkeypatch.setattr(jaccard, "BLOCK", block)  # with 4, lists are large, and clusters are cut into blocks
+    monkeypatch.setattr(jaccard, "SETS", sets)
+    monkeypatch.setattr(jaccard, "POSITIONS", sets)
     rows = near_copies(random.Random(k)) + [(900, ""), (901, None), (902, "A b"), (903, "a B"), (904, "w1 " * 20_000), (905, "w1 " * 20_001)]
     rows = list(dict(rows).items())
     found = jaccard.similar_documents(docs(spark, rows).repartition(3), k, percent).collect()
@@ -140,36 +142,52 @@ def test_classes_link_through_ids_with_several_texts(spark):
     assert sorted(r["n_shingles"] for r in found) == sorted(len(shingle_set(t, 4)) for _, t in rows)
 
 
+def test_answers_are_derived_exactly():
+    draw = random.Random(8)
+    base = [draw.randrange(10**6) for _ in range(60)]
+    sets = [np.unique(np.array([x if draw.random() > i % 7 / 20 else draw.randrange(10**6) for x in base], np.uint64)) for i in range(80)]
+    answers = jaccard.Answers(sets, 80)
+    plain = [set(s.tolist()) for s in sets]
+    for x in range(80):
+        assert answers.overlaps(x).tolist() == [len(plain[x] & p) for p in plain]
+    assert 1 < len(answers.kept) < 80
+    joined = jaccard.classes(sets, 80, np.arange(80))
+    for a in range(80):
+        assert joined[a] <= a and all(joined[a] == joined[b] for b in range(80) if 100 * len(plain[a] & plain[b]) >= 80 * len(plain[a] | plain[b]))
+
+
+def test_a_large_group_of_near_copies_gives_rows_in_proportion(spark, monkeypatch):
+    """Candidates and links of one group grow with its size, not with its square, and the classes are those of brute force."""
+    made = {}
+    candidates, links = jaccard._candidates, jaccard._classes
+    monkeypatch.setattr(jaccard, "_candidates", lambda *x: made.setdefault("candidates", candidates(*x)))
+    monkeypatch.setattr(jaccard, "_classes", lambda *x: made.setdefault("links", links(*x)))
+    rows = {}
+    for size in (200, 1000):
+        draw = random.Random(size)
+        made.clear()
+        base = [f"b{i}" for i in range(60)]
+        texts = []
+        for _ in range(size):
+            w = list(base)
+            for _ in range(draw.randint(0, 3)):
+                w[draw.randrange(60)] = f"x{draw.randrange(10**6)}"
+            texts.append(" ".join(w))
+        table = docs(spark, list(enumerate(texts)))
+        found = {r["doc_id"]: r["component_id"] for r in jaccard.similar_documents(table, 5, 80).collect()}
+        if size == 200:
+            assert found == brute_components(list(enumerate(texts)), 5, 80)
+        assert 0.3 * size < len(set(found.values())) < 0.7 * size  # about half stay alone, candidates of each other
+        rows[size] = made["candidates"].count(), made["links"].count()
+    assert all(b <= 7 * a for a, b in zip(rows[200], rows[1000], strict=True))
+
+
 def test_forest_spans():
     draw = np.random.default_rng(2)
-    a, b = draw.integers(0, 30, 200), draw.integers(0, 30, 200)
-    ok = a != b
-    a, b, w = a[ok], b[ok], draw.integers(0, 9, ok.sum())
-    kept = jaccard._forest(a, b, w)
-    label = {i: i for i in range(30)}
-
-    def find(x):
-        while label[x] != x:
-            x = label[x]
-        return x
-
-    for e in kept:
-        p, q = find(int(a[e])), find(int(b[e]))
-        assert p != q
-        label[p] = q
-    assert all(find(int(x)) == find(int(y)) for x, y in zip(a, b))
-    order, parent, best = np.argsort(w, kind="stable"), {i: i for i in range(30)}, 0
-
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for e in order:
-        p, q = root(int(a[e])), root(int(b[e]))
-        if p != q:
-            parent[p], best = q, best + w[e]
-    assert w[kept].sum() == best
+    a, b = draw.integers(0, 60, 150), draw.integers(0, 60, 150)
+    kept = jaccard._forest(a, b)
+    whole, part = jaccard._least(a, b, 60), jaccard._least(a[kept], b[kept], 60)
+    assert (whole == part).all() and len(kept) == 60 - len(set(whole.tolist()))
 
 
 def test_components_of_chains_and_stars(spark):
