@@ -3,7 +3,7 @@
 Documents are sets of word shingles. Sets are ordered by a count sketch of the whole corpus (rare shingles first), so that two similar
 sets share one of their first shingles (prefix filter). The index lists sets by those shingles with the shingle's position in the set, in blocks
 of positions: a set skips the blocks of a list whose positions leave too few shingles to share, and in the other blocks the sizes that can't match.
-Parity bitmaps bound the overlap of the rest.
+Parity bitmaps bound the overlap of the rest. Of lists that hold the same sets one is read.
 
 Each list gives a spanning forest of its candidates only; what candidates connect is a cluster, and no link leaves one. Each set then travels once to
 the task of its cluster. There a set's answer, its overlap with all sets of the cluster, is derived from that of the most similar set answered
@@ -30,8 +30,8 @@ from foliospark.llm.shingles import mix, shingles
 SKETCH, LARGEST_SKETCH, SERVED, PIECE = 1 << 20, 1 << 24, 1 << 12, 1 << 15
 #: Tasks that count for the sketch, if they have less than so many bytes of text for each counter that they send.
 COUNTING_TASKS, COUNTED = 64, 64
-#: Bits of a set's parity bitmap.
-BITMAP = 512
+#: Bits of a set's parity bitmap: half as many as its shingles up to the next power of 2, within these bounds.
+LEAST_BITS, MOST_BITS = 1 << 9, 1 << 16
 #: Positions in a block of a list.
 POSITIONS = 16
 #: Rows of a list whose candidates are told apart; in a larger one all sets are candidates of each other.
@@ -85,7 +85,10 @@ def _set_key(u: np.ndarray) -> bytes:
 
 
 def signatures(documents: DataFrame, sketch: Broadcast, k: int, percent: int) -> DataFrame:
-    """Of each row: its set's size and key (equal for equal sets), the text's bytes, parity bitmap, and the set's first shingles, rare ones first."""
+    """Of each row: its set's size and key (equal for equal sets), the text's bytes, parity bitmap, and the set's first shingles, rare ones first.
+
+    Bit i of the bitmap tells whether an odd number of shingles has i as its last bits.
+    """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sketch.value
@@ -98,7 +101,8 @@ def signatures(documents: DataFrame, sketch: Broadcast, k: int, percent: int) ->
                 n = len(u)
                 size.append(n)
                 key.append(_set_key(u))
-                bits.append(np.packbits(np.bincount((u >> np.uint64(55)).astype(np.int64), minlength=BITMAP) & 1).tobytes())
+                width = min(MOST_BITS, max(LEAST_BITS, 1 << (n // 2).bit_length()))
+                bits.append(np.packbits(np.bincount((u & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1).tobytes())
                 order = np.lexsort((u, counts[(u & np.uint64(len(counts) - 1)).astype(np.int64)]))
                 first.append(u[order[: n - _ratio(n, percent) + 1 if n else 0]].view(np.int64))
             yield pa.RecordBatch.from_arrays(
@@ -141,7 +145,40 @@ def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = _least(label[u[pick]], label[v[pick]], len(nodes))[label]
 
 
-def _pairs(listed: np.ndarray, at: np.ndarray, n: np.ndarray, bits: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+class Bitmaps:
+    """Parity bitmaps of unlike widths; the wider of two is folded."""
+
+    def __init__(self, column: pa.Array):
+        raw, offsets = text_buffers(column)
+        width = np.diff(offsets)
+        self.kind = (width * 8 // LEAST_BITS).astype(np.float64)
+        self.kind = np.log2(np.maximum(self.kind, 1)).astype(np.int64)
+        self.place, self.rows = np.zeros(len(width), np.int64), {}
+        for k in np.unique(self.kind).tolist():
+            at = np.flatnonzero(self.kind == k)
+            self.place[at] = np.arange(len(at))
+            size = (LEAST_BITS // 8) << k
+            self.rows[k] = np.ascontiguousarray(raw[offsets[at][:, None] + np.arange(size)]).view(np.uint64)
+
+    def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """In how many shingles the sets differ at least, pair by pair."""
+        out = np.empty(len(x), np.int64)
+        kinds = self.kind[x] * 64 + self.kind[y]
+        for kind in np.unique(kinds).tolist():
+            at, (i, j) = np.flatnonzero(kinds == kind), divmod(kind, 64)
+            step = max(1, (1 << 22) // self.rows[max(i, j)].shape[1] // 8)
+            for low in range(0, len(at), step):
+                part = at[low:low + step]
+                p, q = self.rows[i][self.place[x[part]]], self.rows[j][self.place[y[part]]]
+                while p.shape[1] > q.shape[1]:
+                    p = p[:, : p.shape[1] // 2] ^ p[:, p.shape[1] // 2:]
+                while q.shape[1] > p.shape[1]:
+                    q = q[:, : q.shape[1] // 2] ^ q[:, q.shape[1] // 2:]
+                out[part] = np.bitwise_count(p ^ q).sum(1)
+        return out
+
+
+def _pairs(listed: np.ndarray, at: np.ndarray, n: np.ndarray, bits: Bitmaps, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(row, row) of candidates of the same list, in slices.
 
     Rows are sorted by list, block of positions and set size. With its shingle at position p and q, sets of n and m have min(p, q) + min(n - p, m - q) in common
@@ -167,7 +204,7 @@ def _pairs(listed: np.ndarray, at: np.ndarray, n: np.ndarray, bits: np.ndarray,
             p, q, s, t = at[x], at[y], n[x], n[y]
             ok = (np.minimum(p, q) + np.minimum(s - p, t - q)) * (100 + percent) >= percent * (s + t)
             x, y = x[ok], y[ok]
-            near = np.bitwise_count(bits[x] ^ bits[y]).sum(1).astype(np.int64) * (100 + percent) <= (n[x] + n[y]) * (100 - percent)
+            near = bits.apart(x, y) * (100 + percent) <= (n[x] + n[y]) * (100 - percent)
             if near.any():
                 yield x[near], y[near]
 
@@ -177,7 +214,7 @@ def _candidates(lists: DataFrame, percent: int) -> DataFrame:
 
     def forest(table: pa.Table) -> pa.RecordBatch | None:
         node, at, n = (table.column(c).to_numpy().astype(np.int64) for c in ("node", "position", "n"))
-        bits = np.frombuffer(text_buffers(table.column("bits"))[0], np.uint64).reshape(-1, BITMAP // 64)
+        bits = Bitmaps(table.column("bits"))
         token = table.column("token").to_numpy()
         listed = np.cumsum(np.append(0, token[1:] != token[:-1]))
         a, b, size = [], [], 0
@@ -421,7 +458,10 @@ def _classes_of_sets(documents: DataFrame, live: DataFrame, distinct: DataFrame,
         documents = documents.groupBy("doc_id").agg(F.min("text").alias("text"))
     sets = written(sets.drop("set_key"), "sets")
     postings = sets.select("node", F.posexplode("tokens").alias("position", "token"))
-    lists = postings.groupBy("token").agg(F.count("*").alias("size"), F.min("node").alias("first")).filter("size > 1").withColumn("large", F.col("size") > BLOCK)
+    mark = lambda salt: F.bit_xor(F.xxhash64("node", F.lit(salt)))
+    lists = postings.groupBy("token").agg(F.count("*").alias("size"), F.min("node").alias("first"), mark(1).alias("x"), mark(2).alias("y")).filter("size > 1")
+    lists = lists.groupBy("size", "first", "x", "y").agg(F.min("token").alias("token"))  # of lists that hold the same sets, one is enough
+    lists = lists.select("token", "size", "first", (F.col("size") > BLOCK).alias("large"))
     total = sets.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()[0]
     shared = written(attach_groups(postings, written(lists, "lists"), "token", "size", total).filter("first IS NOT NULL"), "shared")
     near = _candidates(shared.filter("NOT large").join(sets.select("node", "n", "bits"), "node"), percent)

@@ -142,6 +142,22 @@ def test_classes_link_through_ids_with_several_texts(spark):
     assert sorted(r["n_shingles"] for r in found) == sorted(len(shingle_set(t, 4)) for _, t in rows)
 
 
+def test_bitmaps_bound_differences(monkeypatch):
+    monkeypatch.setattr(jaccard, "LEAST_BITS", 64)
+    draw = random.Random(5)
+    sets = [set(draw.sample(range(3000), n)) for n in (3, 40, 90, 180, 300, 700)]
+    sets += [s ^ set(draw.sample(range(3000), 5)) for s in sets]
+    made = []
+    for s in sets:
+        width = max(64, 1 << (len(s) // 2).bit_length())
+        made.append(np.packbits(np.bincount(np.array(sorted(s)) & (width - 1), minlength=width) & 1).tobytes())
+    bits = jaccard.Bitmaps(pa.array(made, pa.binary()))
+    x, y = map(np.array, zip(*[(i, j) for i in range(12) for j in range(12)], strict=True))
+    apart = bits.apart(x, y)
+    assert all(d <= len(sets[i] ^ sets[j]) for d, i, j in zip(apart, x, y, strict=True))
+    assert apart[5 * 12 + 4] > 100 and all(apart[i * 12 + i] == 0 for i in range(12))
+
+
 def test_answers_are_derived_exactly():
     draw = random.Random(8)
     base = [draw.randrange(10**6) for _ in range(60)]
