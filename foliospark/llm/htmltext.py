@@ -1,8 +1,9 @@
 """Main text of web pages: boosted trees over DOM-node features, decoded so that nodes agree with their ancestors.
 
 Block elements and the runs of text between them are the nodes. Trees give each node log odds of being main text, from its subtree's
-text and link density, attribute tokens, depth and siblings. Decoding picks for each element one of content (all below is content too),
-boilerplate (all below is dropped) or container (children choose), with the largest total; so no dropped node has kept descendants.
+text and link density, attribute tokens, depth and siblings. What a token of class, id and role says is learned from the training pages, too: its log
+odds of standing on main text. Decoding picks for each element one of content (all below is content too),
+boilerplate (all below is dropped) or container (children choose, at a price), with the largest total; so no dropped node has kept descendants.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -24,7 +26,7 @@ from foliospark.llm.common import small_batches
 
 # Element names of HTML by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes template svg math select object canvas audio video".split())
+RAW = frozenset("script style textarea title iframe noembed noframes template".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav noscript ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul head button".split())
@@ -32,14 +34,8 @@ BLOCK = frozenset(
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tr", "td", "th", "thead", "tbody"), "tfoot": ("tr", "td", "th", "tbody")}
 BOUNDARY = frozenset("ul ol menu dl table html body div section article".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Words of class, id and role that speak for main text or against it.
-FOR = frozenset("article articlebody content main post posts entry story body text blog page prose copy hentry".split())
-AGAINST = frozenset(
-    "nav navbar navigation menu menubar header head masthead footer foot bottom sidebar side aside rail ad ads adv advert adverts advertisement advertising banner promo promotion sponsor sponsored "
-    "cookie cookies consent gdpr notice notices alert warning message comment comments commentlist reply replies respond discussion disqus feedback share sharing social follow related recommended "
-    "more widget widgets login signin signup register subscribe subscription newsletter popup modal overlay dialog toolbar breadcrumb breadcrumbs pagination pager tags tag meta "
-    "byline copyright legal disclaimer search form skip hidden teaser toc contentinfo complementary".split())
-COMMENTS = frozenset("comment comments commentlist reply replies respond discussion disqus feedback".split())
+#: What it costs to part the children of an element that hold text.
+PARTING = 4.0
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)|<[!?][^>]*(?:>|\Z)", re.S)
 _REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
@@ -79,7 +75,9 @@ def _attributes(source: str) -> tuple[frozenset, bool, int]:
     for name, value in _NAMES.findall(source):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id", "role"):
-            tokens.update(_TOKEN.findall(value))
+            found = _TOKEN.findall(value)
+            tokens.update(found)
+            tokens.update(f"^{t}" for t in found[:1])  # what stands first is the name, the rest may speak of other things
         elif name == "data-truth":
             truth = int(value)
         else:
@@ -91,6 +89,7 @@ def parse(source: str) -> Page:
     """A forgiving parse: inline elements only count as features, unclosed and stray tags are mended as browsers do."""
     page, stack, at = Page(), [0], 0
     run: list[str] = []
+    open_: Counter = Counter()  # of each name, so that a stray end tag needs no look at the stack
     links = linked = inline = 0
 
     def close_run() -> None:
@@ -108,6 +107,14 @@ def parse(source: str) -> Page:
         if links:
             linked += len(text)
 
+    def end(names: tuple[str, ...]) -> None:
+        """Leave the innermost open element of one of the names, and all in it."""
+        while len(stack) > 1:
+            name = page.tag[stack.pop()]
+            open_[name] -= 1
+            if name in names:
+                return
+
     while True:
         m = _TAG.search(source, at)
         if not m:
@@ -120,19 +127,17 @@ def parse(source: str) -> Page:
             at = m.end()
             continue
         name = name.lower()
-        end = _REST.match(source, m.end())
-        stop = end.end() if end else source.find(">", m.end()) + 1 or len(source)
+        done = _REST.match(source, m.end())
+        stop = done.end() if done else source.find(">", m.end()) + 1 or len(source)
         rest, at = source[m.end():stop], stop
         if m.group(1):
             if name == "a":
                 links = max(0, links - 1)
             elif name in BLOCK:
                 close_run()
-                for depth in range(len(stack) - 1, 0, -1):
-                    if page.tag[stack[depth]] == name:
-                        del stack[depth:]
-                        links = 0
-                        break
+                if open_[name]:
+                    end((name,))
+                    links = 0
             continue
         if name in RAW:
             if not rest.rstrip(">").endswith("/"):
@@ -148,21 +153,23 @@ def parse(source: str) -> Page:
             continue
         close_run()
         links = 0
-        if page.tag[stack[-1]] == "p" or (name in BLOCK and "p" in (page.tag[i] for i in stack[-3:])):
-            for depth in range(len(stack) - 1, 0, -1):
-                if page.tag[stack[depth]] == "p":
-                    del stack[depth:]
-                    break
-        for depth in range(len(stack) - 1, 0, -1):
-            if page.tag[stack[depth]] in ENDS.get(name, ()):
-                del stack[depth:]
-                break
-            if page.tag[stack[depth]] in BOUNDARY:
+        if open_["p"] and "p" in (page.tag[i] for i in stack[-3:]):
+            end(("p",))
+        for other in ENDS.get(name, ()):
+            if open_[other]:
+                for depth in range(len(stack) - 1, 0, -1):
+                    tag = page.tag[stack[depth]]
+                    if tag in ENDS[name]:
+                        end((tag,))
+                        break
+                    if tag in BOUNDARY:
+                        break
                 break
-        if name in ("html", "body") and any(page.tag[i] == name for i in stack[1:]):
+        if name in ("html", "body") and open_[name]:
             continue
         tokens, hidden, truth = _attributes(rest)
         stack.append(page.add(name, stack[-1], tokens, hidden, truth=truth))
+        open_[name] += 1
     close_run()
     return page
 
@@ -170,18 +177,25 @@ def parse(source: str) -> Page:
 #: Names of a node's features, in the order of ``node_features``.
 FEATURES = (
     "chars", "words", "link_density", "tag_density", "punctuation", "text_runs", "paragraphs", "headings", "items", "share_of_page", "share_of_parent", "depth", "position", "siblings", "place_among_siblings",
-    "alike_siblings", "own_for", "own_against", "above_for", "above_against", "above_comment", "kind", "above_kind", "hidden", "above_hidden", "short_run", "before_chars", "after_chars", "capitals")
+    "alike_siblings", "own_low", "own_high", "above_low", "above_high", "part_low", "part_high", "kind", "above_kind", "part_kind", "hidden", "above_hidden", "short_run", "before_chars", "after_chars", "capitals",
+    "parent_chars", "parent_paragraphs", "parent_link_density", "parent_punctuation", "chars_of_a_sibling")
+#: An element with more of the page's text than this isn't a part of the page.
+WHOLE = 0.9
 
 _KINDS = {"nav": 1, "menu": 1, "footer": 2, "aside": 3, "header": 4, "form": 5, "button": 5, "fieldset": 5, "noscript": 5, "dialog": 5, "search": 5, "head": 5, "option": 5, "legend": 5,
           "article": 10, "main": 11, "p": 9, "blockquote": 9, "pre": 9, "h1": 8, "h2": 8, "h3": 8, "h4": 8, "h5": 8, "h6": 8, "li": 6, "ul": 6, "ol": 6, "table": 7, "td": 7, "tr": 7, "#": 7.5}
 
 
-def node_features(page: Page) -> np.ndarray:
+def node_features(page: Page, weights: dict[str, float]) -> np.ndarray:
+    """Features of each node. ``weights``: log odds of attribute tokens; others count as 0.
+
+    Features of what is above a node come twice: of all ancestors, and of those that are parts of the page.
+    """
     n = len(page.tag)
     parent = page.parent
     chars, words, linked, tags, punct, runs, paras, heads, items, caps = ([0] * n for _ in range(10))
     depth, kids, place = [0] * n, [[] for _ in range(n)], [0] * n
-    above = [(0, 0, 0, 7.0, 0)] * n
+    low, high = [0.0] * n, [0.0] * n
     for i in range(n):
         tag, t = page.tag[i], page.text[i]
         if i:
@@ -189,55 +203,65 @@ def node_features(page: Page) -> np.ndarray:
             depth[i] = depth[p] + 1
             place[i] = len(kids[p])
             kids[p].append(i)
-            f, a, c, k, h = above[p]
-            tokens = page.tokens[p]
-            kind = _KINDS.get(page.tag[p], 7.0)
-            above[i] = (f + bool(tokens & FOR), a + bool(tokens & AGAINST), c + bool(tokens & COMMENTS), kind if (kind <= 5 or kind >= 10) and not k <= 5 else k, h or page.hidden[p])
         if tag == "#":
             chars[i], words[i], linked[i], runs[i], tags[i] = len(t), t.count(" ") + 1, min(page.linked[i], len(t)), 1, page.inline[i]
-            punct[i], caps[i] = len(_PUNCT.findall(t)), sum(map(str.isupper, t)) if len(t) < 200 else 0
+            punct[i], caps[i] = len(_PUNCT.findall(t)), sum(map(str.isupper, t))
         else:
             tags[i] = 1
             paras[i], heads[i], items[i] = tag == "p", tag in HEADINGS, tag == "li"
+            if page.tokens[i]:
+                known = [weights.get(x, 0.0) for x in page.tokens[i]]
+                low[i], high[i] = min(0.0, *known), max(0.0, *known)
     for i in range(n - 1, 0, -1):
         p = parent[i]
-        for total in (chars, words, linked, tags, punct, runs, paras, heads, items):
+        for total in (chars, words, linked, tags, punct, runs, paras, heads, items, caps):
             total[p] += total[i]
     out = np.empty((n, len(FEATURES)))
     all_chars, before = max(1, chars[0]), 0
+    above = [(0.0, 0.0, 0.0, 0.0, 7.0, 7.0, False)] * n
+    alike = [0.0] * n
     for i in range(n):
         p = parent[i] if i else 0
-        c = chars[i]
-        sib = kids[p] if i else [0]
-        tokens = page.tokens[i]
+        c, share = chars[i], chars[p] / all_chars
+        if i:
+            l1, h1, l2, h2, k1, k2, hid = above[p]
+            kind = _KINDS.get(page.tag[p], 7.0)
+            strong = kind <= 5 or kind >= 10
+            part = share <= WHOLE
+            above[i] = (min(l1, low[p]), max(h1, high[p]), min(l2, low[p]) if part else l2, max(h2, high[p]) if part else h2,
+                        kind if strong and not k1 <= 5 else k1, kind if part and strong and not k2 <= 5 else k2, hid or page.hidden[p])
+        sib = len(kids[p]) if i else 1
+        l1, h1, l2, h2, k1, k2, hid = above[i]
+        if kids[i]:
+            names = Counter(page.tag[k] for k in kids[i])
+            for k in kids[i]:
+                alike[k] = names[page.tag[k]] / len(kids[i])
         out[i] = (
             c, words[i], linked[i] / max(1, c), tags[i] / max(1, c), punct[i] / max(1, words[i]), runs[i], paras[i], heads[i], items[i], c / all_chars, c / max(1, chars[p]), depth[i], before / all_chars,
-            len(sib), place[i] / len(sib), 0, bool(tokens & FOR), bool(tokens & AGAINST), above[i][0], above[i][1], above[i][2], _KINDS.get(page.tag[i], 7.0), above[i][3],
-            page.hidden[i], above[i][4], page.tag[i] == "#" and c < 40, before, all_chars - before - c, caps[i] / max(1, c))
+            sib, place[i] / sib, alike[i], low[i], high[i], l1, h1, l2, h2, _KINDS.get(page.tag[i], 7.0), k1, k2,
+            page.hidden[i], hid, page.tag[i] == "#" and c < 40, before, all_chars - before - c, caps[i] / max(1, c),
+            chars[p], paras[p], linked[p] / max(1, chars[p]), punct[p] / max(1, words[p]), chars[p] / sib)
         if page.tag[i] == "#":
             before += c
-    for i in range(n):
-        if kids[i]:
-            names = [page.tag[k] for k in kids[i]]
-            for k, name in zip(kids[i], names, strict=True):
-                out[k, 15] = names.count(name) / len(names) if len(names) < 200 else 1
     return out
 
 
 def decode(page: Page, margin: np.ndarray) -> list[str]:
-    """Texts of the runs that are kept, in page order."""
+    """Texts of the runs that are kept, in page order. Parting costs only where more than one child holds text."""
     n = len(page.tag)
     whole, free = [float(x) for x in margin], [0.0] * n  # all of the subtree content; the best choice of the children
-    kids = [False] * n
+    kids, full = [False] * n, [0] * n
     best = [0.0] * n
     for i in range(n - 1, -1, -1):
-        leaf = not kids[i]
-        best[i] = abs(whole[i]) if leaf else max(whole[i], -whole[i], free[i])
+        if full[i] > 1:
+            free[i] -= PARTING
+        best[i] = max(whole[i], -whole[i], free[i]) if kids[i] else abs(whole[i])
         if i:
             p = page.parent[i]
             whole[p] += whole[i]
             free[p] += best[i]
             kids[p] = True
+            full[p] += page.tag[i] == "#" or full[i] > 0
     state, out = [0] * n, []  # 1 content, -1 boilerplate, 0 container
     for i in range(n):
         above = state[page.parent[i]] if i else 0
@@ -264,19 +288,39 @@ def _prose(draw: random.Random, low: int, high: int) -> str:
 
 
 def _name(draw: random.Random, plain: float, *names: str) -> str:
+    dull = draw.choice(["", f' class="c{draw.randint(1, 99)}"', f' class="box-{draw.choice("qwzvk")}{draw.randint(1, 9)}"', ' class="row mt-4 px-2"', ' class="col-md-8 flex wide"', f' class="css-{draw.randint(1, 999)}x"'])
     if draw.random() > plain:
-        return draw.choice(["", f' class="c{draw.randint(1, 99)}"', f' class="box-{draw.choice("qwzvk")}{draw.randint(1, 9)}"'])
-    return f' {draw.choice(["class", "class", "id"])}="{draw.choice(names)}{draw.choice(["", "-1", "-wrap", "-box", " wide", ""])}"'
+        return dull
+    extra = draw.choice(["", "", "", "-1", "-wrap", "-box", "-area", " wide", " clearfix", " mt-2 p-3", " inner"])
+    return f' {draw.choice(["class", "class", "id"])}="{draw.choice(names)}{extra}"'
+
+
+#: Words that layouts put on pages and articles to say what surrounds them, though they are no such thing themselves.
+ASIDES = "tag category more meta sidebar comments comment share header footer nav ad banner notice related side message widget menu social popup form search open closed has no with format standard single type status".split()
+
+
+def _beside(draw: random.Random) -> str:
+    """Class names that speak of other things: ``tag-news category-more has-sidebar``."""
+    return "".join(f' {draw.choice(ASIDES)}{draw.choice(["", "-", "-", "_"])}{draw.choice(["news", "open", "more", "box", "x", "top", "7"]) if draw.random() < 0.7 else draw.choice(ASIDES)}' for _ in range(draw.randint(1, 4)))
 
 
 def training_page(draw: random.Random) -> str:
     """A page of random layout whose elements say in ``data-truth`` whether they hold main text."""
-    plain = draw.choice([1.0, 1.0, 0.8, 0.5])
+    plain = draw.choice([1.0, 1.0, 1.0, 0.95, 0.8])
     semantic = draw.random() < 0.6
+    named = draw.choice([1.0, 0.7, 0.3, 0.0])  # how often what holds main text says so
     words = lambda k: " ".join("".join(draw.choices(_SYLLABLES, k=draw.randint(1, 3))) for _ in range(k))
-    link = lambda: f'<a href="/{words(1)}">{words(draw.randint(1, 3))}</a>'
+    label = lambda: draw.choice([str, str.capitalize])(words(draw.randint(1, 3))) + draw.choice(["", "", "", ".", ",", "?"])
+    link = lambda: f'<a href="/{words(1)}">{label()}</a>'
     el = lambda tag, names, inner, y: f'<{tag}{_name(draw, plain, *names)} data-truth="{y}">{inner}</{tag}>'
 
+    def holder(tag: str, names: tuple[str, ...], inner: str, truth: str = "") -> str:
+        """An element of main text or of all: its name may be dull or speak of other things as well."""
+        name = _name(draw, named, *names)
+        if 'class="' in name and draw.random() < 0.35:
+            name = name[:-1] + _beside(draw) + '"'
+        return f"<{tag}{name}{truth}>{inner}</{tag}>"
+
     def menu(tag: str, *names: str) -> str:
         if draw.random() < 0.7:
             inner = "<ul>" + "".join(f"<li>{link()}</li>" for _ in range(draw.randint(2, 12))) + "</ul>"
@@ -285,14 +329,16 @@ def training_page(draw: random.Random) -> str:
         return el(tag if semantic else "div", names, inner, 0)
 
     def paragraph() -> str:
-        text = _prose(draw, 9, draw.choice([30, 90, 250]))
+        text = _prose(draw, 9, draw.choice([30, 90, 250])) if draw.random() < 0.88 else f"{words(draw.randint(1, 4)).capitalize()}."
         if draw.random() < 0.2:
             text = f"<b>{text}<br>" if draw.random() < 0.5 else f"{text} {link()} {words(5)}."
         return f"<p>{text}" + draw.choice(["</p>", "</p>", "</p>", ""])
 
     def article() -> str:
         parts = [f"<h1>{words(draw.randint(2, 9)).capitalize()}</h1>"] if draw.random() < 0.8 else []
-        for _ in range(draw.choice([0, 1, 1, 2, 3, 5, 8, 14])):
+        if parts and semantic and draw.random() < 0.15:
+            parts = [f"<header>{parts[0]}</header>"]
+        for _ in range(draw.choice([0, 1, 1, 2, 3, 5, 8, 14, 30, 60])):
             kind = draw.random()
             if kind < 0.8:
                 parts.append(paragraph())
@@ -306,39 +352,45 @@ def training_page(draw: random.Random) -> str:
                 parts.append(f"<table><tr><td>{words(3)}</td><td>{words(4)}</td></tr><tr><td>{words(3)}</td><td>{words(6)}</td></tr></table>")
         if not parts:
             parts.append(_prose(draw, 2, 60))
-        if draw.random() < 0.25:
+        for _ in range(draw.choice([0, 0, 0, 1, 1, 2])):
             parts.insert(draw.randint(0, len(parts)), side())
         body = "".join(parts)
         if draw.random() < 0.3:
-            body = f"<div>{body}</div>"
-        return el(draw.choice(["article", "main", "section"]) if semantic else "div", ("article", "content", "post", "entry-content", "main", "story-body", "text"), body, 1)
+            body = holder("div", ("entry-content", "text", "inner", "body", "article-body"), body)
+        return holder(draw.choice(["article", "main", "section"]) if semantic else "div", ("article", "content", "post hentry", "entry", "post", "entry-content", "main", "story-body", "text", "page-content", "prose", "copy", "blog-post"), body, ' data-truth="1"')
 
     def side() -> str:
         kind = draw.random()
         if kind < 0.35:
-            return el("div", ("ad", "ads", "advert", "banner", "promo", "sponsored"), draw.choice([_prose(draw, 3, 12), _prose(draw, 9, 60), link(), f"<p>{_prose(draw, 5, 30)}</p>"]), 0)
+            return el("div", ("ad", "ads", "advert", "advertisement", "banner", "promo", "promotion", "sponsor", "sponsored"), draw.choice([_prose(draw, 3, 12), _prose(draw, 9, 60), link(), f"<p>{_prose(draw, 5, 30)}</p>"]), 0)
         if kind < 0.55:
-            return el(draw.choice(["div", "section"]), ("notice", "cookie-notice", "consent", "alert", "newsletter"), f"<p>{_prose(draw, 5, 40)}</p>" + draw.choice(["", f"<button>{words(1)}</button>"]), 0)
+            return el(draw.choice(["div", "section"]), ("notice", "notices", "cookie-notice", "cookies", "consent", "gdpr", "alert", "warning", "newsletter", "message", "popup", "modal", "overlay", "subscribe", "disclaimer"), f"<p>{_prose(draw, 5, 40)}</p>" + draw.choice(["", f"<button>{words(1)}</button>"]), 0)
         if kind < 0.75:
-            return el("form", ("search", "login", "subscribe", "form"), f"<label>{words(2)}</label><input name=q><button>{words(1)}</button>", 0)
-        return menu("div", "share", "social", "related", "tags", "breadcrumb")
+            return el("form", ("search", "login", "signin", "signup", "register", "subscribe", "subscription", "form", "feedback"), f"<label>{words(2)}</label><input name=q><button>{words(1)}</button>", 0)
+        return menu("div", "share", "sharing", "social", "follow", "related", "recommended", "more", "tags", "breadcrumb", "breadcrumbs", "pagination", "pager", "toc", "toolbar", "byline", "teaser")
 
     def comments() -> str:
         inner = f"<h3>{words(1).capitalize()}</h3>" + "".join(f'<div class="{draw.choice(["comment", "reply", "c1"])}"><p>{_prose(draw, 5, 80)}</p></div>' for _ in range(draw.randint(1, 8)))
-        return el(draw.choice(["section", "div", "ol"]), ("comments", "comment-list", "respond", "discussion", "reader-comments"), inner, 0).replace('class="c', 'class="comment c', 1)
+        return el(draw.choice(["section", "div", "ol"]), ("comments", "comment-list", "commentlist", "respond", "replies", "discussion", "disqus", "reader-comments"), inner, 0).replace('class="c', 'class="comment c', 1)
 
-    top = [menu("nav", "nav", "menu", "navbar")] + [side() for _ in range(draw.choice([0, 0, 1, 2]))]
-    if draw.random() < 0.5:
-        top.insert(0, el("header" if semantic else "div", ("header", "masthead", "site-header"), f"<h1>{words(2)}</h1>" + draw.choice(["", f"<p>{words(6)}</p>", link()]), 0))
+    top = [menu("nav", "nav", "menu", "navbar", "navigation", "main-menu", "menubar", "skip")] if draw.random() < 0.9 else [] + [side() for _ in range(draw.choice([0, 0, 1, 2]))]
+    if draw.random() < 0.6:
+        top.insert(0, el("header" if semantic else "div", ("header", "masthead", "site-header", "head", "page-header"), f"<h1>{words(draw.randint(1, 3)).capitalize()}</h1>" + draw.choice(["", f"<p>{words(6).capitalize()}</p>", link()]), 0))
     bottom = [comments()] if draw.random() < 0.35 else []
     if draw.random() < 0.45:
-        bottom.append(el("aside" if semantic else "div", ("sidebar", "side", "widget"), f"<h3>{words(2)}</h3>" + draw.choice([f"<p>{_prose(draw, 9, 60)}</p>", "<ul>" + "".join(f"<li>{link()}</li>" for _ in range(5)) + "</ul>"]), 0))
-    bottom.append(el("footer" if semantic else "div", ("footer", "site-footer", "copyright"), f"&copy; {words(2)} &middot; " + draw.choice([_prose(draw, 9, 30), words(6), link() + " " + link()]), 0))
+        bottom.append(el("aside" if semantic else "div", ("sidebar", "side", "widget", "widgets", "rail", "complementary", "aside"), f"<h3>{words(2)}</h3>" + draw.choice([f"<p>{_prose(draw, 9, 60)}</p>", "<ul>" + "".join(f"<li>{link()}</li>" for _ in range(5)) + "</ul>"]), 0))
+    if draw.random() < 0.9:
+        bottom.append(el("footer" if semantic else "div", ("footer", "site-footer", "foot", "bottom", "copyright", "legal", "contentinfo"), draw.choice(["&copy; ", "&copy; ", ""]) + f"{words(2)} &middot; " + draw.choice([_prose(draw, 9, 30), _prose(draw, 30, 200), words(6), link() + " " + link()]), 0))
     middle = [article()]
-    if draw.random() < 0.3:
+    if draw.random() < 0.25:
         middle.insert(draw.randint(0, 1), bottom.pop(0) if len(bottom) > 1 else side())
-    body = "".join(top) + (f"<div{_name(draw, plain, 'wrap', 'container', 'page')}>{''.join(middle)}</div>" if draw.random() < 0.5 else "".join(middle)) + "".join(bottom)
-    return f"<!DOCTYPE html><html><head><title>{words(4)}</title><script>var a='<p>';</script></head><body>{body}</body></html>"
+    wrap = lambda inner: holder("div", ("wrap", "container", "page", "site", "content", "main", "layout"), inner)
+    inner = wrap("".join(middle)) if draw.random() < 0.5 else "".join(middle)
+    body = inner if draw.random() < 0.14 else "".join(top) + inner + "".join(bottom)
+    if draw.random() < 0.3:
+        body = wrap(body)
+    of_body = f' class="page{_beside(draw)}"' if draw.random() < 0.3 else ""
+    return f"<!DOCTYPE html><html><head><title>{words(4)}</title><script>var a='<p>';</script></head><body{of_body}>{body}</body></html>"
 
 
 def labelled_nodes(page: Page) -> np.ndarray:
@@ -354,33 +406,62 @@ def labelled_nodes(page: Page) -> np.ndarray:
     return np.array([next(iter(h)) if len(h) == 1 else -1 for h in held])
 
 
+@dataclass
+class Extractor:
+    """What is learned: log odds of attribute tokens, and the trees."""
+
+    weights: dict[str, float]
+    trees: gbt.Boosted
+
+    def margins(self, pages: list[Page]) -> list[np.ndarray]:
+        """Of each node of each page: log odds of main text. A wrapper of nearly all of the page says nothing itself."""
+        features = [node_features(p, self.weights) for p in pages]
+        if not features:
+            return []
+        x = np.concatenate(features)
+        element = np.array([tag not in ("#", "article", "main") for p in pages for tag in p.tag])
+        margin = np.where(element & (x[:, FEATURES.index("share_of_page")] > WHOLE), 0.0, self.trees.margin(x))
+        return np.split(margin, np.cumsum([len(f) for f in features])[:-1])
+
+
+def token_weights(pages: list[Page], most: float = 4.0) -> dict[str, float]:
+    """Smoothed log odds of each token of standing on or in main text; on elements that hold both it counts for both."""
+    counts: dict[str, list[float]] = {}
+    total = [1.0, 1.0]
+    for page in pages:
+        truth = labelled_nodes(page)
+        for tokens, y in zip(page.tokens, truth.tolist(), strict=True):
+            for t in tokens:
+                c = counts.setdefault(t, [0.5, 0.5])
+                for side in (0, 1) if y < 0 else (y,):
+                    c[side] += 1
+                    total[side] += 1
+    base = float(np.log(total[1] / total[0]))
+    return {t: float(np.clip(np.log(c[1] / c[0]) - base, -most, most)) for t, c in counts.items() if sum(c) >= 4}
+
+
 @lru_cache(maxsize=2)
-def trained(pages: int = 260, seed: int = 11, trees: int = 40, depth: int = 5) -> gbt.Boosted:
-    """The boosted trees, learned from generated pages of many layouts."""
+def trained(pages: int = 600, seed: int = 11, trees: int = 90, depth: int = 5) -> Extractor:
+    """Learned from generated pages of many layouts."""
     draw = random.Random(seed)
+    parsed = [parse(training_page(draw)) for _ in range(pages)]
+    weights = token_weights(parsed[: pages * 3 // 4])  # the trees see other pages too, so that they don't trust tokens too much
     x, y, w = [], [], []
-    for _ in range(pages):
-        page = parse(training_page(draw))
+    for page in parsed[pages // 4:]:
         truth = labelled_nodes(page)
         at = np.flatnonzero(truth >= 0)
-        x.append(node_features(page)[at])
+        x.append(node_features(page, weights)[at])
         y.append(truth[at].astype(float))
         w.append(np.full(len(at), 30 / max(1, len(at))))
-    return gbt.fit(np.concatenate(x), np.concatenate(y), trees=trees, depth=depth, weight=np.concatenate(w))
+    return Extractor(weights, gbt.fit(np.concatenate(x), np.concatenate(y), trees=trees, depth=depth, least=25, ridge=3.0, weight=np.concatenate(w)))
 
 
-def main_texts(sources: list[str], model: gbt.Boosted) -> list[str]:
+def main_texts(sources: list[str], model: Extractor) -> list[str]:
     pages = [parse(s) for s in sources]
-    features = [node_features(p) for p in pages]
-    margins = model.margin(np.concatenate(features)) if features else np.zeros(0)
-    out, at = [], 0
-    for page, f in zip(pages, features, strict=True):
-        out.append(" ".join(decode(page, margins[at:at + len(f)])))
-        at += len(f)
-    return out
+    return [" ".join(decode(page, m)) for page, m in zip(pages, model.margins(pages), strict=True)]
 
 
-def extract(pages: DataFrame, model: gbt.Boosted | None = None) -> DataFrame:
+def extract(pages: DataFrame, model: Extractor | None = None) -> DataFrame:
     """``page_id``, ``url``, ``text`` and ``n_chars`` of each page: the main text of its whole html.
 
     Null and empty html give an empty text. Every row is answered once, repeated and null ids too.

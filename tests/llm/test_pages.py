@@ -3,6 +3,8 @@
 import base64
 import hashlib
 import random
+import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -68,12 +70,12 @@ def test_real_template(spark, sf_dir, model):
         assert text == " ".join(html.unescape(re.sub(r"<[^>]*>", " ", body)).split())
 
 
-def test_held_out_layouts(model):
+def test_held_out_pages(model):
     draw, right, all_ = random.Random(99), 0, 0
     for _ in range(60):
         page = htmltext.parse(htmltext.training_page(draw))
         truth = htmltext.labelled_nodes(page)
-        kept = htmltext.decode(page, model.margin(htmltext.node_features(page)))
+        kept = htmltext.decode(page, model.margins([page])[0])
         for i, tag in enumerate(page.tag):
             if tag == "#" and truth[i] >= 0:
                 all_ += len(page.text[i])
@@ -81,6 +83,68 @@ def test_held_out_layouts(model):
     assert right / all_ > 0.93
 
 
+def prose(d, low, high):
+    w = "the of river market people garden winter letter stone morning window village story paper number early light house water green under after never often".split()
+    out = []
+    for _ in range(d.randint(low, high)):
+        x = [d.choice(w) for _ in range(d.randint(5, 18))]
+        out.append(" ".join(x).capitalize() + ".")
+    return " ".join(out)
+
+
+def layout(d, kind):
+    """Layouts of common publishing software, written apart from the training pages: (html, main text)."""
+    title = prose(d, 1, 1)[:-1]
+    paras = [prose(d, 1, d.choice([2, 4, 7])) for _ in range(d.choice([1, 2, 4, 9, 25, 50]))]
+    inner = f"<h1>{title}</h1>" + "".join(f"<p>{p}</p>" for p in paras)
+    text = " ".join([title, *paras])
+    links = "".join(f'<li class="menu-item"><a href="/{i}">{d.choice(["Home", "About us", "News", "Contact", "Shop", "Archive"])}</a></li>' for i in range(d.randint(3, 9)))
+    note = prose(d, 1, 2)
+    if kind == 0:
+        cls = d.choice(["post type-post status-publish format-standard hentry category-news tag-more", "post tag-news", "post hentry tag-news category-more", "content more", "entry meta-box"])
+        return f'<html><body class="single single-post has-sidebar comments-open"><header class="site-header"><div class="site-title"><a href="/">{title[:9]}</a></div><nav class="main-navigation"><ul class="menu">{links}</ul></nav></header><div class="site-content"><{"article" if d.random() < .5 else "div"} class="{cls}">{inner}</article></div><div id="comments" class="comments-area"><h2>Responses</h2><ol class="comment-list"><li class="comment"><p>{note}</p></li><li class="comment"><p>{prose(d, 1, 4)}</p></li></ol></div></div><aside class="widget-area sidebar"><section class="widget"><h3>Recent</h3><ul>{links}</ul></section></aside><footer class="site-footer">&copy; {title[:12]} All rights reserved.</footer></body></html>', text
+    if kind == 1:
+        return f'<body><nav class="navbar navbar-expand-lg"><ul class="navbar-nav">{links}</ul></nav><div class="container"><div class="row"><div class="c7 col-md-9">{inner}</div><div class="col-md-3 sidebar"><h4>Links</h4><ul>{links}</ul></div></div></div><div class="footer"><p>Copyright 2020 {title[:10]}.</p></div></body>', text
+    if kind == 2:
+        return f'<body><div id=top><ul>{links}</ul></div><div class=c7>{inner}</div><div class="cookie-banner"><p>{note}</p><button>OK</button></div><footer><p>{prose(d, 1, 1)}</p></footer></body>', text
+    if kind == 3:
+        return f'<body><main>{inner}</main></body>', text
+    if kind == 4:
+        return f'<!doctype html><html><head><title>x</title></head><body><div class="wrapper"><div class="masthead"><a href=/>Site</a></div><div class="topnav"><a href=/1>One</a><a href=/2>Two</a><a href=/3>Three</a></div><div class="story"><h1>{title}</h1>' + "".join(f"<p>{p}</p>" + ('<div class="advertisement"><p>Buy this now, only today.</p></div>' if i == 1 else "") for i, p in enumerate(paras)) + f'</div><div class="related-posts"><h3>More</h3><ul>{links}</ul></div><div class="newsletter-signup"><p>{note}</p><form><input><button>Go</button></form></div><div id="footer">{prose(d, 1, 1)}</div></div></body></html>', text
+    return f'<body><header><h1>Site name</h1><p>A slogan of the site</p></header><nav><a href=/>a</a> | <a href=/b>b</a></nav><section class="section"><article><header><h1>{title}</h1></header>' + "".join(f"<p>{p}</p>" for p in paras) + f'</article></section><section class="comments"><h3>Comments</h3><div class="comment"><p>{note}</p></div></section><footer><small>Made by us</small></footer></body>', text
+
+
+@pytest.mark.parametrize("kind", range(6))
+def test_layouts_of_other_hands(model, kind):
+    draw, both, found, wanted = random.Random(4), 0, 0, 0
+    for _ in range(40):
+        source, text = layout(draw, kind)
+        got, text = Counter(htmltext.main_texts([source], model)[0].split()), Counter(text.split())
+        both, found, wanted = both + (got & text).total(), found + got.total(), wanted + text.total()
+    assert 2 * both / (found + wanted) > 0.985
+
+
+@pytest.mark.parametrize("name", ["post", "post tag-news", "post hentry tag-news category-more", "content more", "entry meta-box", "c7"])
+@pytest.mark.parametrize("paragraphs", [9, 50])
+def test_names_that_speak_of_other_things(model, name, paragraphs):
+    words = [f"This is the clear paragraph number {i} of the text, with words." for i in range(paragraphs)]
+    for tag in ("article", "div"):
+        source = (f'<html><body><nav><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li></ul></nav><{tag} class="{name}"><h1>Headline of it</h1>' + "".join(f"<p>{w}</p>" for w in words)
+                  + f"</{tag}><footer>&copy; site words at the foot.</footer></body></html>")
+        assert htmltext.main_texts([source], model) == [" ".join(["Headline of it", *words])]
+
+
+def test_odd_markup(model):
+    assert htmltext.main_texts(["<main><h1>Title</h1><p>Short.</p></main>", "<article><p>Then <math><mi>E</mi>=<mi>m</mi></math> follows.</p></article>"], model) == ["Title Short.", "Then E=m follows."]
+    words = "long text with <object>words</object> in it, and more; " * 40_000
+    (text,) = htmltext.main_texts([f"<article><p>{words}</p></article>"], model)
+    assert text == " ".join(("long text with words in it, and more; " * 40_000).split())
+    began = time.time()
+    for source in ("<div>" * 40_000, "</div>" * 100_000, "<blockquote>" * 20_000 + "<li>" * 2000, "<td><p>" * 10_000, "<!--" * 9, "<svg><a><math>x"):
+        htmltext.main_texts([source], model)
+    assert time.time() - began < 20
+
+
 # ---- archives
 
 HTML = [(1, "http://a.example.com/x?y=1#z", "<p>same</p>"), (2, None, "<p>same</p>"), (3, "http://b.example.com/\r\nX: y", "ü € \r\n\r\nWARC/1.1\r\n\r\n"), (4, "http://a.example.com/x", None), (5, "HTTP://WWW.Example.ORG/Q", ""),
