@@ -1,9 +1,10 @@
 """Benchmark decontamination: short test items inside long documents.
 
-Items are parted by the size of their shingle set. Items of up to ``CELL`` shingles are listed by so many of their shingles that a document
-with enough of the item holds one of them, and each shingle of a document is looked up, which misses none. For each other part a document's shingle sequence is cut into overlapping windows of twice the
+Items are parted by the size of their shingle set. For each part a document's shingle sequence is cut into overlapping windows of twice the
 part's largest size, so that a passage as long as an item lies whole in a window of comparable size, and
-minhashes of windows are looked up among those of the part's items. Every candidate is then verified by the exact containment of the
+minhashes of windows are looked up among those of the part's items. What minhashes can't promise, shingles do: each item lists some of its shingles, so many that
+a document with enough of the item, in whatever pieces, holds a number of them, and each shingle of a document is looked up. That misses none; it is the
+only way for items of up to ``CELL`` shingles. Every candidate is then verified by the exact containment of the
 item's set in the whole document's.
 """
 
@@ -40,7 +41,8 @@ class ItemIndex:
     ids: list[int]
     sets: list[np.ndarray]  # sorted distinct shingles of each item
     parts: list[int]  # largest size of each part
-    keys: np.ndarray  # sorted codes of (part, hash function, minhash); in the first part of (0, 0, shingle)
+    keys: np.ndarray  # sorted codes of (part, hash function, minhash); of listed shingles (0, 0, shingle)
+    needed: np.ndarray  # of each item, how many of its listed shingles a document with enough of it holds
     items: np.ndarray  # of each key
     known: np.ndarray  # which codes can be keys, by their first bits
 
@@ -69,24 +71,24 @@ def index_items(ids: list[int], texts: list[str], k: int, threshold: float = 0.8
     kept = [i for i, s in enumerate(sets) if len(s)]
     ids, sets = [ids[i] for i in kept], [sets[i] for i in kept]
     parts = part_sizes(max(map(len, sets), default=CELL))
-    keys, items = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    keys, items, needed = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], np.ones(len(sets), np.int64)
     for i, s in enumerate(sets):
+        lacked = next((h for h in range(len(s)) if len(s) - h - 1 < threshold * len(s)), len(s) - 1)  # at most, of a document with enough of the item
         part = next(p for p, most in enumerate(parts) if most >= len(s))
-        if part == 0:  # who lacks all of these shingles holds too few of the others
-            listed = s[: next((h for h in range(1, len(s) + 1) if len(s) - h < threshold * len(s)), len(s))]
-            keys.append(mix(listed + _salts(0)[0]))
-        else:
+        needed[i] = 1 if part == 0 else min(len(s) - lacked, lacked + 1)
+        keys.append(mix(s[: lacked + int(needed[i])] + _salts(0)[0]))
+        if part:
             keys.append(mix((s[:, None] * _FACTORS[None, :]).min(0) + _salts(part)))
-        items.append(np.full(len(keys[-1]), i))
+        items += [np.full(len(k), i) for k in keys[-1 - bool(part):]]
     keys, items = np.concatenate(keys), np.concatenate(items)
     order = np.argsort(keys, kind="stable")
     known = np.zeros(1 << _FILTER_BITS, bool)
     known[(keys >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
-    return ItemIndex(ids, sets, parts, keys[order], items[order], known)
+    return ItemIndex(ids, sets, parts, keys[order], needed, items[order], known)
 
 
 def candidates(index: ItemIndex, codes: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """(row, item) pairs that share a listed shingle of the item, or whose windows share a minhash, each once."""
+    """(row, item) pairs that share enough listed shingles of the item, or whose windows share a minhash, each once."""
     rows = len(begin) - 1
     cells = -(-np.diff(begin) // CELL)
     first_cell = np.concatenate([[0], np.cumsum(cells)])
@@ -103,7 +105,14 @@ def candidates(index: ItemIndex, codes: np.ndarray, begin: np.ndarray) -> np.nda
         ends = np.minimum(begins + length, first_cell[1:][row])
         views.append((p, row, np.stack([begins, ends], 1).ravel()))
     at, item = index.find(0, 0, codes)
-    found = [(np.searchsorted(begin, at, side="right") - 1) * len(index.ids) + item] if len(at) else []
+    found = []
+    if len(at):
+        pair, code = (np.searchsorted(begin, at, side="right") - 1) * len(index.ids) + item, codes[at]
+        order = np.lexsort((code, pair))
+        pair, code = pair[order], code[order]
+        new = np.append(True, (pair[1:] != pair[:-1]) | (code[1:] != code[:-1]))
+        pair, held = np.unique(pair[new], return_counts=True)
+        found.append(pair[held >= index.needed[pair % len(index.ids)]])
     for j in range(HASHES if views else 0):
         minima = np.append(np.minimum.reduceat(codes * _FACTORS[j], cuts), np.uint64(2**64 - 1))
         for p, row, spans in views:

@@ -285,6 +285,28 @@ def test_short_items_are_never_missed(threshold):
     assert len(expected) >= 800 and expected <= found
 
 
+def test_scattered_items_are_never_missed():
+    draw = random.Random(12)
+    some = lambda n: [f"t{draw.randrange(9000)}" for _ in range(n)]
+    items = [some(n) for n in range(5, 105)]
+    rows = []
+    for x in items:  # the item in pieces of a third with two thousand words between, now and then with a word changed
+        w, cut = some(50), max(1, len(x) // 3)
+        for a in range(0, len(x), cut):
+            w += x[a:a + cut] + some(2000)
+        rows += [w, some(300) + [v if draw.random() > 0.02 else "changed" for v in x] + some(300)]
+    index = decontaminate.index_items(list(range(100)), [" ".join(x) for x in items], 5)
+    found = {(r, i) for r, i, _, _ in decontaminate._hits(index, pa.array([" ".join(w) for w in rows]), 5, 0.8)}
+    sets = lambda w: {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
+    own = [sets(w) for w in rows]
+    expected = {(r, i) for i, x in enumerate(items) for r in range(len(rows)) if len(sets(x) & own[r]) >= 0.8 * len(sets(x))}
+    assert found == expected and sum(r % 2 == 0 for r, _ in expected) > 25
+    for threshold in (0.3, 0.5, 1.0):
+        some_index = decontaminate.index_items(list(range(100)), [" ".join(x) for x in items], 5, threshold)
+        hits = {(r, i) for r, i, _, _ in decontaminate._hits(some_index, pa.array([" ".join(w) for w in rows]), 5, threshold)}
+        assert hits == {(r, i) for i, x in enumerate(items) for r in range(len(rows)) if len(sets(x) & own[r]) >= threshold * len(sets(x))}
+
+
 # ---- top-k
 
 
