@@ -3,7 +3,8 @@
 A text is the set of its character n-grams (orders 1 to 3: a blended spectrum, by presence). The kernel of
 two texts is the number of n-grams they share, divided by the geometric mean of their set sizes. Nyström landmarks
 stand for the training set: one ridge regression per language is solved on kernels to the landmarks, and a batch
-is scored by two matrix products, n-grams by landmarks and landmarks by languages.
+is scored by two matrix products, n-grams by landmarks and landmarks by languages. All n-grams of the landmarks take part; a text's
+other n-grams count in its set's size.
 
 Regression scores only compare the learned languages. Whether a text is in one of them at all is judged by how many of its letters
 stand between neighbours as that language's training texts have them, against what held-out texts of the language reach.
@@ -11,7 +12,6 @@ stand between neighbours as that language's training texts have them, against wh
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,15 +39,15 @@ class LanguageModel:
 
     def scores(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Rows by languages, in 0 to 1: the regression's -1 to 1, cut at its ends; 0 without an n-gram that a landmark holds."""
-        kernel = kernels(self.index.presence(raw, offsets), self.landmarks)
+        kernel = kernels(*self.index.spectra(raw, offsets), self.landmarks)
         return np.where(kernel.any(1, keepdims=True), np.clip((kernel @ self.weights + 1) / 2, 0, 1), 0)
 
 
-def kernels(presence: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
+def kernels(presence: np.ndarray, sizes: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
     """Normalised kernel values of rows to landmarks; a text without known n-grams is 0 to all."""
-    dense = presence.astype(np.float32)
-    size = np.sqrt(np.maximum(dense.sum(1, keepdims=True), 1))
-    return (dense @ landmarks) / size
+    parts = [presence[at:at + 32].astype(np.float32) @ landmarks for at in range(0, len(presence), 32)]
+    shared = np.concatenate(parts) if parts else np.zeros((0, landmarks.shape[1]), np.float32)
+    return shared / np.sqrt(np.maximum(sizes, 1))[:, None].astype(np.float32)
 
 
 class TrigramIndex(NgramIndex):
@@ -118,30 +118,18 @@ def spelling(texts: list[str], languages: list[str]) -> Spelling:
     return Spelling(TrigramIndex(codes, (3,)), np.stack([np.isin(codes, x) for x in sets], 1).astype(float) if sets else np.zeros((0, 0)), least)
 
 
-def fit(texts: list[str], languages: list[str], landmarks: int = 128, features: int = 4096, ridge: float = 1e-2, seed: int = 7) -> LanguageModel:
-    """Learn from whole lower-cased texts. Landmarks are dealt evenly over the languages.
-
-    The kernel counts the ``features`` n-grams that most landmarks hold (ties by code).
-    """
+def fit(texts: list[str], languages: list[str], landmarks: int = 128, ridge: float = 1e-2, seed: int = 7) -> LanguageModel:
+    """Learn from whole lower-cased texts. Landmarks are dealt evenly over the languages."""
     names = sorted(set(languages))
     if not names:
         return LanguageModel(NgramIndex(np.zeros(0, np.uint64), ORDERS), np.zeros((0, 1), np.float32), np.zeros((1, 1), np.float32), [UNDETERMINED])
     draw = np.random.default_rng(seed)
     by_name = {n: draw.permutation([i for i, x in enumerate(languages) if x == n]) for n in names}
     chosen = [i for n in names for i in by_name[n][: max(1, landmarks // len(names))]]
-    seen: Counter = Counter()
-    for i in chosen:
-        seen.update(distinct_codes(texts[i], ORDERS).tolist())
-    top = sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:features]
-    index = NgramIndex(np.array(sorted(c for c, _ in top), np.uint64), ORDERS)
-
-    raw, offsets = as_batch([texts[i] for i in chosen])
-    marks = index.presence(raw, offsets).astype(np.float32)
-    marks = (marks / np.sqrt(np.maximum(marks.sum(1, keepdims=True), 1))).T.copy()
-    rows = []
-    for at in range(0, len(texts), 256):
-        raw, offsets = as_batch(texts[at:at + 256])
-        rows.append(kernels(index.presence(raw, offsets), marks))
+    index = NgramIndex(np.unique(np.concatenate([distinct_codes(texts[i], ORDERS) for i in chosen])), ORDERS)
+    held, sizes = index.spectra(*as_batch([texts[i] for i in chosen]))
+    marks = (held.astype(np.float32) / np.sqrt(np.maximum(sizes, 1))[:, None].astype(np.float32)).T.copy()
+    rows = [kernels(*index.spectra(*as_batch(texts[at:at + 256])), marks) for at in range(0, len(texts), 256)]
     k = np.concatenate(rows).astype(np.float64)
     among = k[chosen]
     y = np.array([[1.0 if x == n else -1.0 for n in names] for x in languages])
@@ -151,13 +139,18 @@ def fit(texts: list[str], languages: list[str], landmarks: int = 128, features:
 
 
 def training_sample(documents: DataFrame, train: Column, limit: int, max_chars: int) -> tuple[list[str], list[str]]:
-    """About ``limit`` lower-cased texts of each language, of ``max_chars`` characters at most: what the driver gets is bounded."""
-    usable = documents.filter(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}  # a row per language
-    share = F.create_map(*[F.lit(x) for n, c in sorted(counts.items()) for x in (n, min(1.0, limit / c))]) if counts else None
+    """About ``limit`` lower-cased texts of each language, of ``max_chars`` characters at most: what the driver gets is bounded.
+
+    Of a language that only has longer texts, their beginnings are taken.
+    """
+    usable = documents.filter(train & F.col("lang").isNotNull() & (F.length("text") > 0))
+    fits = F.length("text") <= max_chars
+    counts = {r["lang"]: (r["n"], r["short"]) for r in usable.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(fits).alias("short")).collect()}  # a row per language
+    share = F.create_map(*[F.lit(x) for n, (c, k) in sorted(counts.items()) for x in (n, min(1.0, limit / (k or c)))]) if counts else None
     if share is None:
         return [], []
-    rows = (usable.filter(F.length("text").between(1, max_chars))
+    only_long = [n for n, (_, k) in counts.items() if not k]
+    rows = (usable.filter(fits | F.col("lang").isin(*only_long)).withColumn("text", F.left("text", F.lit(max_chars)))
             .filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
             .select("doc_id", F.lower("text").alias("text"), "lang").collect())
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))

@@ -74,25 +74,41 @@ class NgramIndex:
             same[other[hit]] = True
         return at[same], feature[same]
 
-    def occurrences(self, raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(row, feature) of each occurrence in a batch of UTF-8 rows; n-grams don't reach over a row's end."""
+    def occurrences(self, raw: np.ndarray, offsets: np.ndarray, seen: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(row, feature) of each occurrence in a batch of UTF-8 rows; n-grams don't reach over a row's end.
+
+        ``seen`` (rows by slots) gets a 1 in the slot of every n-gram of a row, chosen or not.
+        """
         for first, end, low, high in windows(offsets, WINDOW, 4 * max(self.orders)):
             points, starts = code_points(raw[low:high], np.clip(offsets[first:end + 1] - low, 0, high - low))
             row_of = np.repeat(np.arange(first, end, dtype=np.int32), np.diff(starts))
             for n, codes in rolling(points, self.orders):
+                if seen is not None:
+                    whole = np.flatnonzero(row_of[: len(codes)] == row_of[n - 1:])
+                    seen[row_of[whole], ((codes[whole] * _STEP) >> np.uint64(64 - seen.shape[1].bit_length() + 1)).astype(np.int64)] = 1
                 at, feature = self._find(codes)
                 row = row_of[at]
                 inside = row == row_of[at + (n - 1)]
                 yield (row, feature) if inside.all() else (row[inside], feature[inside])
 
-    def presence(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Rows by features: 1 where the text holds the n-gram anywhere."""
-        rows, width = len(offsets) - 1, len(self)  # rows * width fits 32 bits: batches are short
+    def presence(self, raw: np.ndarray, offsets: np.ndarray, seen: np.ndarray | None = None) -> np.ndarray:
+        """Rows by features: 1 where the text holds the n-gram anywhere. ``seen``: see ``occurrences``."""
+        rows, width = len(offsets) - 1, len(self)
         flags = np.zeros(rows * width, np.uint8)
-        for row, feature in self.occurrences(raw, offsets):
-            flags[row * np.int32(width) + feature] = 1
+        for row, feature in self.occurrences(raw, offsets, seen):
+            flags[row.astype(np.int64) * width + feature] = 1
         return flags.reshape(rows, width)
 
+    SLOT_BITS = 16
+
+    def spectra(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Presence of the chosen n-grams, and of each row the number of all its distinct n-grams, by linear counting in ``2 ** SLOT_BITS`` slots."""
+        slots = 1 << self.SLOT_BITS
+        seen = np.zeros((len(offsets) - 1, slots), np.uint8)
+        flags = self.presence(raw, offsets, seen)
+        free = slots - seen.sum(1, dtype=np.int64)
+        return flags, np.where(free == slots, 0.0, -slots * np.log(np.maximum(free, 1) / slots))
+
 
 def distinct_codes(text: str, orders: tuple[int, ...]) -> np.ndarray:
     """Codes of the distinct n-grams of one text."""

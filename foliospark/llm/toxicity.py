@@ -83,8 +83,8 @@ def fit(texts: list[str], labels: np.ndarray, features: int = 6144, smooth: floa
 def _trained(documents: DataFrame, labels: DataFrame, train: Column, label: str, sample: int, options: dict) -> Broadcast:
     spark = documents.sparkSession
     small_batches(spark, 128)
-    texts, y = labelled_sample(documents, labels, label, train, sample, max_chars=20_000)
-    return spark.sparkContext.broadcast(fit([t.lower() for t in texts], y, **options))
+    lowered = documents.select("doc_id", F.lower("text").alias("text"))
+    return spark.sparkContext.broadcast(fit(*labelled_sample(lowered, labels, label, train, sample, max_chars=20_000), **options))
 
 
 def score(documents: DataFrame, labels: DataFrame, train: Column, label: str = "toxic", sample: int = 1200, **options) -> DataFrame:

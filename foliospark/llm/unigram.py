@@ -7,6 +7,7 @@ All start positions of a batch walk the trie together, and all distinct words of
 
 from __future__ import annotations
 
+import os
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,8 +22,8 @@ from foliospark.llm.common import small_batches, text_buffers
 MARK = "▁"
 #: What an unknown character costs below the worst piece, as in the library that defined the format.
 UNKNOWN_PENALTY = 10.0
-#: Where the box keeps its public vocabularies; pass another path for another model.
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: Where public vocabularies lie by default; FOLIOSPARK_PIECES or the argument ``path`` names another model.
+MODEL = os.environ.get("FOLIOSPARK_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 
 
 class DoubleArray:
@@ -146,6 +147,8 @@ class Unigram:
     def viterbi(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words of a batch, one after another, and where each word's ids begin."""
         words, sizes = len(offsets) - 1, np.diff(offsets)
+        if not len(data):
+            return np.zeros(0, np.int32), np.zeros(words + 1, np.int64)
         word_of = np.repeat(np.arange(words), sizes)
         start, end, key = self._edges(data, np.repeat(offsets[1:], sizes))
         gain = np.where(key >= 0, self.scores[np.maximum(key, 0)], self.scores.min() - np.float32(UNKNOWN_PENALTY)).astype(np.float32)
@@ -210,6 +213,36 @@ class Unigram:
         flat = ids[np.repeat(begin[at] - out[:-1], lengths) + np.arange(out[-1])]
         return flat, out[np.searchsorted(cuts, shifted)]
 
+    def encode_all(self, raw: np.ndarray, offsets: np.ndarray, limit: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+        """``encode`` in turns of about ``limit`` bytes, so that memory doesn't follow the batch.
+
+        A longer text is cut before a space that follows another character: words are encoded apart, and each piece's own first space stands for the one left out.
+        """
+        turns: list[list[tuple[int, int, int]]] = [[]]
+        size = 0
+        for row in range(len(offsets) - 1):
+            at, end = int(offsets[row]), int(offsets[row + 1])
+            while True:
+                stop = end
+                if end - at > limit and self.words_apart:
+                    there = np.flatnonzero((raw[at + limit // 2:at + limit] == 32) & (raw[at + limit // 2 - 1:at + limit - 1] != 32))
+                    stop = at + limit // 2 + int(there[-1]) if len(there) else end
+                if size and size + stop - at > limit:
+                    turns.append([])
+                    size = 0
+                turns[-1].append((row, at, stop))
+                size += stop - at
+                if stop == end:
+                    break
+                at = stop + 1
+        parts, number = [np.zeros(0, np.int32)], np.zeros(len(offsets), np.int64)
+        for turn in turns:
+            data = np.concatenate([raw[a:b] for _, a, b in turn]) if len(turn) > 1 else raw[turn[0][1]:turn[0][2]] if turn else raw[:0]
+            ids, begin = self.encode(data, np.concatenate([[0], np.cumsum([b - a for _, a, b in turn])]).astype(np.int64))
+            parts.append(ids)
+            np.add.at(number, [row + 1 for row, _, _ in turn], np.diff(begin))
+        return np.concatenate(parts), np.cumsum(number)
+
     def decode(self, ids: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """UTF-8 bytes of a batch of id lists and their offsets; markers become spaces and the one before the text goes. Control pieces are empty."""
         taken = self.surface.take(pa.array(ids))
@@ -235,7 +268,7 @@ def encode(documents: DataFrame, path: str = MODEL, scores: str = "zipf") -> Dat
             raw, offsets = text_buffers(batch.column(1))
             if not batch.num_rows:
                 continue
-            ids, begin = model.value.encode(raw, offsets)
+            ids, begin = model.value.encode_all(raw, offsets)
             again, places = model.value.decode(ids, begin)
             same = np.diff(places) == np.diff(offsets)
             if same.all():
@@ -250,11 +283,11 @@ def encode(documents: DataFrame, path: str = MODEL, scores: str = "zipf") -> Dat
     return documents.select("doc_id", "text").mapInArrow(apply, "doc_id long, ids array<int>, n_tokens int, round_trip boolean")
 
 
-def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
+def decode(encoded: DataFrame, path: str = MODEL, scores: str = "zipf") -> DataFrame:
     """``doc_id`` and ``text`` of lists of ids; null lists decode to empty texts, bytes that aren't UTF-8 to U+FFFD."""
     spark = encoded.sparkSession
     small_batches(spark, 128)
-    model = spark.sparkContext.broadcast(Unigram.load(path))
+    model = spark.sparkContext.broadcast(Unigram.load(path, scores))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -209,6 +209,24 @@ def test_rules(spark):
     assert urlfilter.judge(pages(spark, [])).count() == 0
 
 
+def test_hosts_paths_and_rules_match_sql(spark, sf_dir):
+    duckdb = pytest.importorskip("duckdb")
+    rules = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+    fits = "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h}{p}'" for h, p, _ in sorted(rules, key=lambda r: -len(r[0] + r[1]))) + " END"
+    db = duckdb.connect()
+    db.execute("CREATE TABLE p AS SELECT page_id, url FROM '" + sf_dir + "/pages.parquet'")
+    db.executemany("INSERT INTO p VALUES (?, ?)", [(10_000 + i, u[0]) for i, u in enumerate(URLS)])
+    theirs = db.execute(f"""WITH a AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM p),
+        b AS (SELECT page_id, regexp_extract(r, '^[^/?#]*') AS h, r FROM a),
+        c AS (SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(r, length(h) + 1), '^[^?#]*') AS path FROM b)
+        SELECT page_id, coalesce(host, ''), coalesce(path, ''), {fits} FROM c""").fetchall()
+    table = spark.createDataFrame([(i, u, "") for i, u in db.execute("SELECT page_id, url FROM p").fetchall()], "page_id long, url string, html string")
+    ours = urlfilter.judge(table).collect()
+    assert sorted(tuple(r)[:4] for r in ours) == sorted(theirs)
+    verdict = {f"{h}{p}": v for h, p, v in rules}
+    assert all(r["verdict"] == verdict.get(r["rule"], r["verdict"]) for r in ours)
+
+
 def test_trees_as_columns_match_numpy(spark):
     draw = np.random.default_rng(5)
     x = draw.normal(size=(400, 3)).round(2)

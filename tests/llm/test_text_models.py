@@ -70,12 +70,23 @@ def test_unknown_texts_score_nothing(corpus, spark):
 
 
 def test_kernel_values_match_set_intersections():
-    texts = ["the cat", "a cat sat", "zebra"]
-    model = langid.fit(texts * 3, ["x", "y", "z"] * 3, landmarks=9, features=10_000)
-    sets = [set(distinct_codes(t, langid.ORDERS).tolist()) for t in texts]
-    k = langid.kernels(model.index.presence(*as_batch(texts)), model.landmarks)
-    expected = sorted(len(sets[0] & s) / np.sqrt(len(sets[0]) * len(s)) for s in sets for _ in range(3))
-    assert np.allclose(sorted(k[0]), expected, atol=1e-5)
+    """With the options of the query: against sets of all n-grams, of landmarks' texts and of others."""
+    texts = [EN, DE, EN[::-1] * 3, "zebra", "日本語の文"]
+    model = langid.fit(texts * 3, ["x", "y", "z", "u", "v"] * 3)
+    marks = [set(distinct_codes(t, langid.ORDERS).tolist()) for t in texts * 3]
+    asked = [*texts, "the zebra und 日本", EN + "äöü with more of its own: 0123456789"]
+    k = langid.kernels(*model.index.spectra(*as_batch(asked)), model.landmarks)
+    for row, t in zip(k, asked, strict=True):
+        own = set(distinct_codes(t, langid.ORDERS).tolist())
+        assert np.allclose(sorted(row), sorted(len(own & m) / np.sqrt(len(own) * len(m)) for m in marks), atol=0.01)
+    scores = model.scores(*as_batch(asked))
+    assert np.allclose(scores, np.clip((k @ model.weights + 1) / 2, 0, 1), atol=1e-5) and scores[:5].argmax(1).tolist() == [model.languages.index(x) for x in "xyzuv"]
+
+
+def test_language_with_long_texts_only(spark):
+    table = docs(spark, [(i, EN * 3 + str(i), "en") for i in range(10)] + [(i, DE * 40 + str(i), "de") for i in range(10, 14)])
+    found = {r["doc_id"]: r["lang_pred"] for r in langid.identify(table, train=F.lit(True), max_chars=1000).collect()}
+    assert found == {i: "en" if i < 10 else "de" for i in range(14)}
 
 
 def test_ngram_index_is_exact():
@@ -113,6 +124,62 @@ def test_toxicity_learns_and_filters(spark):
     assert kept.columns == table.columns and {r["doc_id"] for r in kept.collect()} == {i for i in range(120) if i % 3} | {500, 501, None}
 
 
+def test_toxicity_matches_plain_sums(monkeypatch):
+    draw = np.random.default_rng(4)
+    vocabulary = ["idiot", "moron", "the", "house", "Öl", "日本", "hate", "river", "morning"]
+    texts = [" ".join(draw.choice(vocabulary, draw.integers(1, 30))) for _ in range(80)]
+    model = toxicity.fit(texts, np.array([float("idiot" in t or "hate" in t) for t in texts]))
+    weight = dict(zip(model.index.codes.tolist(), model.weights.tolist(), strict=True))
+    asked = [*texts, "", "x", "idiot " * 3000 + "river"]
+    monkeypatch.setattr("foliospark.llm.ngrams.WINDOW", 4096)
+    for t, s in zip(asked, model.scores(*as_batch(asked)), strict=True):
+        margin = model.bias + sum(weight.get(c, 0.0) for c in distinct_codes(t, toxicity.ORDERS).tolist())
+        assert s == pytest.approx(1 / (1 + np.exp(-margin)), abs=1e-4)
+
+
+def plain_buckets(text, bits):
+    """Buckets of a text, one by one, as the module's docstrings define them."""
+    mask = 2**64 - 1
+    step, spread, mix_, place = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0x9E3779B97F4A7C15
+    points = [max(32, ord(c)) for c in text]
+    out, words, at = [], [], None
+    for n in quality.ORDERS:
+        for i in range(len(points) - n + 1):
+            if 32 not in points[i + 1:i + n - 1]:
+                code = 0
+                for p in points[i:i + n]:
+                    code = (code * step + (p + 1) * spread) & mask
+                out.append(((code + n) * mix_ & mask) >> (64 - bits))
+    for i, p in enumerate([*points, 32]):
+        if p == 32:
+            at = None
+            continue
+        if at is None:
+            at = i
+            words.append(0)
+        letter = (p * mix_ + (i - at) * place) & mask
+        words[-1] = (words[-1] + (letter ^ letter >> 29) * mix_) & mask
+    return out + [(w * mix_ & mask) >> (64 - bits) for w in words] + [(((a ^ b) * place + mix_) & mask) >> (64 - bits) for a, b in zip(words, words[1:])]
+
+
+def test_quality_matches_plain_means():
+    draw = np.random.default_rng(6)
+    texts = [" ".join(draw.choice(["good", "words", "bad###", "Öl", "日本語", "a\n\tb"], draw.integers(1, 25))) for _ in range(60)]
+    model = quality.fit(texts, np.array([float("bad" not in t) for t in texts]))
+    asked = [*texts, "", " ", "q", "long words here " * 20_000]
+    for t, s in zip(asked, model.scores(*as_batch(asked)), strict=True):
+        found = plain_buckets(t, model.bits)
+        margin = model.bias + (np.mean(model.margins[found]) if found else 0.0)
+        assert s == pytest.approx(1 / (1 + np.exp(-margin)), abs=1e-4)
+
+
+def test_classifiers_of_empty_tables(spark, corpus):
+    none = corpus.limit(0)
+    assert toxicity.score(none, labels(spark, [(1, 1, 1)]), train=F.lit(True)).count() == 0
+    assert quality.score(none, labels(spark, [(1, 1, 1)]), train=F.lit(True)).count() == 0
+    assert toxicity.without_toxic(none, labels(spark, []), train=F.lit(True)).columns == corpus.columns
+
+
 def test_classifiers_without_labels(spark, corpus):
     none = labels(spark, [])
     assert {r["predicted"] for r in toxicity.score(corpus, none, train=F.lit(True)).collect()} == {0}
@@ -174,6 +241,21 @@ def test_segmentation_is_the_best(model):
         assert theirs == ours or total(theirs) == pytest.approx(total(ours), abs=1e-3), t
 
 
+def test_turns_of_bytes_change_nothing(model):
+    texts = [*ODD, "words of a  long text, with\nlines and  spaces " * 300, "日本語 " * 500, "nospace" * 400, ""]
+    raw, offsets = as_batch(texts)
+    whole, begin = model.encode(raw, offsets)
+    for limit in (40, 700, 5000):
+        ids, at = model.encode_all(raw, offsets, limit)
+        assert (ids == whole).all() and (at == begin).all()
+    assert model.encode_all(*as_batch([]))[1].tolist() == [0] and model.encode_all(*as_batch(["", ""]))[1].tolist() == [0, 0, 0]
+
+
+def test_long_texts_round_trip(spark):
+    table = docs(spark, [(1, "some words, and more of them. " * 200_000, "en"), (2, "x" * 100_000, "en")])
+    assert all(r["round_trip"] for r in unigram.encode(table).collect())
+
+
 def test_encode_table(spark, model):
     table = docs(spark, [(i, t, "en") for i, t in enumerate(ODD)] + [(50, None, "en"), (None, "same", "en"), (1, "same", "en")])
     rows = unigram.encode(table).collect()
