@@ -71,16 +71,20 @@ def sequence_gaps(labels: DataFrame, key: str, number: str, least: int = 3, show
     return seen.select(key, missing.alias("missing")).filter(F.size("missing") > 0).select(key, F.size("missing").alias("n_missing"), F.array_join(F.slice("missing", 1, shown), ",").alias("missing"))
 
 
-def checklist_coverage(documents: DataFrame, items: DataFrame) -> DataFrame:
+def checklist_coverage(documents: DataFrame, items: DataFrame, cases: DataFrame | None = None) -> DataFrame:
     """Pages that each case has of each checklist item, and what is wrong with it.
 
+    ``cases`` (case_id) are those with the checklist; without documents they have no page of any item. By default all cases with documents have it.
+
     An item covers the documents whose name holds its doc_type (any case). The checklist is configuration: a short list that becomes
     expressions. ``documents``: case_id, filename, pages. ``items``: doc_type, min_pages, required.
     """
     wanted = items.orderBy("doc_type").collect()
     stem = F.lower(F.regexp_replace("filename", r"\.[^.]*$", ""))
     counted = documents.groupBy("case_id").agg(*[F.sum(F.when(stem.contains(w["doc_type"].lower()), F.col("pages")).otherwise(0)).alias(f"_{i}") for i, w in enumerate(wanted)])
-    rows = F.array(*[F.struct(F.lit(w["doc_type"]).alias("doc_type"), F.col(f"_{i}").alias("pages"), F.lit(w["min_pages"]).alias("min_pages"), F.lit(w["required"]).alias("required")) for i, w in enumerate(wanted)])
+    if cases is not None:
+        counted = cases.select("case_id").join(counted, "case_id", "left")
+    rows = F.array(*[F.struct(F.lit(w["doc_type"]).alias("doc_type"), F.coalesce(f"_{i}", F.lit(0)).alias("pages"), F.lit(w["min_pages"]).alias("min_pages"), F.lit(w["required"]).alias("required")) for i, w in enumerate(wanted)])
     problem = F.when(F.col("required") & (F.col("pages") == 0), "missing").when((F.col("pages") > 0) & (F.col("pages") < F.col("min_pages")), "too_few").otherwise("ok")
     return counted.select("case_id", F.inline(rows)).withColumn("state", problem)
 

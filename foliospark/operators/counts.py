@@ -52,7 +52,8 @@ def overlaps(view: DataFrame, findings: DataFrame) -> DataFrame:
 def defect_breakdown(view: DataFrame, findings: DataFrame, order: tuple[str, ...]) -> DataFrame:
     """Distinct pages of each code with its place in the report: most pages first, then the codes' own order."""
     seen = findings.join(view.select("page_id"), "page_id", "left_semi").distinct()
-    return seen.groupBy("code").agg(F.countDistinct("page_id").alias("pages")).withColumn("code_order", F.coalesce(rank(F.col("code"), order), F.lit(len(order))))
+    counted = seen.groupBy("code").agg(F.countDistinct("page_id").alias("pages")).withColumn("code_order", F.coalesce(rank(F.col("code"), order), F.lit(len(order))))
+    return counted.orderBy(F.desc("pages"), "code_order", "code")
 
 
 def batch_rollup(batches: DataFrame, cases: DataFrame, documents: DataFrame, view: DataFrame) -> DataFrame:

@@ -58,7 +58,7 @@ class PageFilters:
     strict: bool = False
 
     def predicates(self) -> list[Column]:
-        out = [F.col(c) == F.lit(v) for c in ("batch_id", "case_id", "document_id", "patient_ref", "encounter_ref", "uploader") if (v := getattr(self, c))]
+        out = [F.col(c) == F.lit(v) for c in ("batch_id", "case_id", "document_id", "patient_ref", "encounter_ref", "uploader") if (v := getattr(self, c)) is not None and v != ""]
         for text, end in ((self.uploaded_from, False), (self.uploaded_to, True)):
             bound = day_bound(text, end)
             if bound is not None:
@@ -79,20 +79,29 @@ class PageFilters:
         return out
 
 
+def _given(table: DataFrame | None, name: str) -> DataFrame:
+    if table is None:
+        raise ValueError(f"this filter needs the table of {name}")
+    return table
+
+
 def apply_filters(view: DataFrame, f: PageFilters, findings: DataFrame | None = None, regions: DataFrame | None = None, diagnoses: DataFrame | None = None) -> DataFrame:
-    """Rows of the core view that pass. Child tables only decide (semi joins); they never multiply pages."""
+    """Rows of the core view that pass. Child tables only decide (semi joins); they never multiply pages. A filter whose table is absent is an error."""
     for p in f.predicates():
         view = view.filter(p)
-    if f.defect_code and findings is not None:
+    if f.defect_code:
+        findings = _given(findings, "findings")
         view = view.join(findings.filter(F.col("code").isin(*f.defect_code)).select("page_id"), "page_id", "left_semi")
     status = parse_enum(f.handwriting, HANDWRITING, f.strict)
     category = parse_enum(f.handwriting, HANDWRITING_CATEGORIES)
     if status:
         view = view.filter(F.col("handwriting").isin(*status))
-    if category and regions is not None:
+    if category:
+        regions = _given(regions, "regions")
         view = view.join(regions.filter(F.col("category").isin(*category)).select("page_id"), "page_id", "left_semi")
     wanted = parse_enum(f.diagnosis_status, DIAGNOSIS, f.strict)
-    if wanted is not None and diagnoses is not None:
+    if wanted is not None:
+        diagnoses = _given(diagnoses, "diagnoses")
         has = diagnoses.groupBy("page_id").agg(F.bool_or(F.col("diagnosis_status").isin(*wanted)).alias("_has") if wanted else F.lit(False).alias("_has"))
         joined = view.join(has, "page_id", "left")
         view = joined.filter(F.col("_has") | (F.col("_has").isNull() & F.lit("pending" in wanted))).drop("_has")

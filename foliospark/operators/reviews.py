@@ -41,7 +41,7 @@ def latest_correction(reviews: DataFrame, key: str, order: list[str]) -> DataFra
 
 
 def ai_vs_reviewed(reviews: DataFrame, key: str) -> DataFrame:
-    """corrected over confirmed over ai_only, by all reviews of each key."""
-    strength = F.when(F.col("action").isin("correct", "reject", "correct_finding"), 2).when(F.col("action").isin("confirm", "accept"), 1).otherwise(0)
+    """corrected over confirmed (either closing decision counts) over ai_only, by all reviews of each key."""
+    strength = F.when(F.col("action").isin("correct", "reject", "correct_finding"), 2).when(F.col("action").isin("confirm", *CLOSING_ACTIONS), 1).otherwise(0)
     return reviews.groupBy(key).agg(F.max(strength).alias("s")).select(
         key, F.when(F.col("s") == 2, "corrected").when(F.col("s") == 1, "confirmed").otherwise("ai_only").alias("ai_vs_reviewed"))

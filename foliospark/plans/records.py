@@ -13,15 +13,18 @@ from foliospark.plans.model import FLAGGED
 
 @dataclass(frozen=True)
 class Records:
-    """Tables of the hierarchy. A page without a row in ``quality`` or ``handwriting`` was never looked at."""
+    """Tables of the hierarchy. A page without a row in ``quality`` or ``handwriting`` was never looked at.
+
+    Where these two are None, ``versions`` has their columns itself (``overall``, ``handwriting_status``; null: never looked at), and no join is needed.
+    """
 
     batches: DataFrame  # batch_id, batch
     cases: DataFrame  # case_id, batch_id, patient_ref, encounter_ref
     documents: DataFrame  # document_id, case_id, filename, uploaded_at, uploader, status
     versions: DataFrame  # page_id, document_id, ordinal, version_no, is_active and what was measured
-    quality: DataFrame  # page_id, overall
+    quality: DataFrame | None  # page_id, overall
     findings: DataFrame  # page_id, code, severity
-    handwriting: DataFrame  # page_id, handwriting_status
+    handwriting: DataFrame | None  # page_id, handwriting_status
     reviews: DataFrame  # review_id, case_id, action, created_at, payload, value
 
 
@@ -33,10 +36,10 @@ def versioned(rows: DataFrame, key: list[str], newest: list[str]) -> DataFrame:
 
 
 def active(rows: DataFrame, key: list[str], newest: list[str]) -> DataFrame:
-    """The newest version of each key, by a partial aggregate instead of a sort; ``versions`` counts all."""
-    rest = [c for c in rows.columns if c not in key and c not in newest]
-    top = F.max(F.struct(*newest, *rest)).alias("_newest")
-    return rows.groupBy(*key).agg(top, F.count("*").alias("versions")).select(*key, "_newest.*", "versions")
+    """The newest version of each key; ``versions`` counts all. One shuffle and one sort by key; a key has few versions."""
+    whole = Window.partitionBy(*key)
+    place = F.row_number().over(whole.orderBy(*[F.desc_nulls_last(c) for c in newest]))
+    return rows.withColumns({"versions": F.count("*").over(whole), "_place": place}).filter("_place = 1").drop("_place")
 
 
 def from_tables(spark: SparkSession, sf_dir: str) -> Records:
@@ -56,6 +59,8 @@ def from_tables(spark: SparkSession, sf_dir: str) -> Records:
         F.when(F.col("discount") >= 0.06, F.struct(F.lit("BLUR").alias("code"), F.when(F.col("discount") >= 0.09, "high").otherwise("medium").alias("severity"))),
         F.when(F.col("tax") >= 0.06, F.struct(F.lit("NOISE").alias("code"), F.lit("medium").alias("severity"))),
         F.when(F.col("quantity") < 5, F.struct(F.lit("NEAR_BLANK").alias("code"), F.lit("low").alias("severity")))))
+    shot = F.col("discount") > 0
+    pages = pages.withColumns({"overall": F.when(shot, overall), "handwriting_status": F.when(F.col("flag") == "R", "detected").when(F.col("flag") != "N", "none_detected")})
     events = table("events")
     actions = F.create_map(*[F.lit(x) for p in (("purchase", "accept"), ("error", "request_rescan"), ("click", "correct_finding"), ("view", "comment")) for x in p])
     return Records(
@@ -65,9 +70,9 @@ def from_tables(spark: SparkSession, sf_dir: str) -> Records:
             F.col("o_orderkey").alias("document_id"), F.col("o_custkey").alias("case_id"), F.format_string("scan_%d.pdf", "o_orderkey").alias("filename"),
             F.col("o_orderdate").alias("uploaded_at"), F.col("o_orderpriority").alias("uploader"), F.col("o_orderstatus").alias("status")),
         pages,
-        pages.filter("discount > 0").select("page_id", overall.alias("overall")),
-        pages.filter("discount > 0").select("page_id", F.inline(found)),
-        pages.filter("flag <> 'N'").select("page_id", F.when(F.col("flag") == "R", "detected").otherwise("none_detected").alias("handwriting_status")),
+        None,
+        pages.filter(shot).select("page_id", F.inline(found)),
+        None,
         events.select(F.col("event_id").alias("review_id"), F.col("user_id").alias("case_id"), F.coalesce(actions[F.col("event_type")], F.col("event_type")).alias("action"),
                       F.col("ts").alias("created_at"), F.col("props").alias("payload"), F.col("value")))
 
@@ -78,9 +83,10 @@ def core_view(r: Records) -> DataFrame:
     Only joins to one row: nothing fans out. Quality and handwriting are left joins, so that absence stays visible as null;
     ``effective_class`` and ``handwriting`` name it (unchecked, pending).
     """
-    joined = (r.versions.join(r.documents, "document_id")
-              .join(r.cases, "case_id", "left").join(r.batches, "batch_id", "left")
-              .join(r.quality, "page_id", "left").join(r.handwriting, "page_id", "left")
+    pages = r.versions
+    for child in (r.quality, r.handwriting):
+        pages = pages if child is None else pages.join(child, "page_id", "left")
+    joined = (pages.join(r.documents, "document_id").join(r.cases, "case_id", "left").join(r.batches, "batch_id", "left")
               .join(latest_closing(r.reviews, "case_id"), "case_id", "left"))
     return joined.withColumns({
         "effective_class": effective_class(F.col("overall"), F.col("latest_action")),

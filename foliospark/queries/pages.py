@@ -218,19 +218,19 @@ def filter_unknown_enum(spark, sf_dir):
     return _listed(spark, sf_dir, PageFilters(page_class="no_such_class"))
 
 
-@query("""WITH r AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 1 THEN 'correct' ELSE 'comment' END AS action, CASE WHEN length(text) % 3 = 0 THEN '' ELSE left(text, 20) END AS t,
+@query("""WITH r AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 1 THEN 'correct' ELSE 'comment' END AS action, CASE WHEN length(text) % 3 = 0 THEN '' ELSE text END AS t,
 CASE WHEN length(text) % 2 = 0 THEN role END AS q, role FROM conversations), c AS (SELECT * FROM r WHERE action = 'correct')
 SELECT conv_id, (SELECT t FROM c x WHERE x.conv_id = k.conv_id AND t <> '' ORDER BY turn DESC LIMIT 1) AS text, (SELECT q FROM c x WHERE x.conv_id = k.conv_id AND q IS NOT NULL ORDER BY turn DESC LIMIT 1) AS qualifier,
 (SELECT role FROM c x WHERE x.conv_id = k.conv_id AND (t <> '' OR q IS NOT NULL) ORDER BY turn DESC LIMIT 1) AS corrected_by,
 coalesce((SELECT turn FROM c x WHERE x.conv_id = k.conv_id AND (t <> '' OR q IS NOT NULL) ORDER BY turn DESC LIMIT 1), -1) AS corrected_at FROM (SELECT DISTINCT conv_id FROM c) k""")
 def latest_correction(spark, sf_dir):
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumns({
-        "action": F.when(F.col("turn") % 2 == 1, "correct").otherwise("comment"), "corrected_text": F.when(F.length("text") % 3 == 0, "").otherwise(F.left("text", F.lit(20))),
+        "action": F.when(F.col("turn") % 2 == 1, "correct").otherwise("comment"), "corrected_text": F.when(F.length("text") % 3 == 0, "").otherwise(F.col("text")),
         "corrected_qualifier": F.when(F.length("text") % 2 == 0, F.col("role")), "reviewer": F.col("role")})
     return reviews.latest_correction(c, "conv_id", ["turn"]).withColumn("corrected_at", F.coalesce("corrected_at", F.lit(-1)))
 
 
-@query(CORE + "SELECT case_id, CASE max(CASE WHEN action = 'correct_finding' THEN 2 WHEN action = 'accept' THEN 1 ELSE 0 END) WHEN 2 THEN 'corrected' WHEN 1 THEN 'confirmed' ELSE 'ai_only' END AS ai_vs_reviewed FROM reviews GROUP BY case_id")
+@query(CORE + "SELECT case_id, CASE max(CASE WHEN action = 'correct_finding' THEN 2 WHEN action IN ('accept', 'request_rescan') THEN 1 ELSE 0 END) WHEN 2 THEN 'corrected' WHEN 1 THEN 'confirmed' ELSE 'ai_only' END AS ai_vs_reviewed FROM reviews GROUP BY case_id")
 def ai_vs_reviewed(spark, sf_dir):
     return reviews.ai_vs_reviewed(from_tables(spark, sf_dir).reviews, "case_id")
 
@@ -250,16 +250,38 @@ def ordered_string_agg(spark, sf_dir):
     return counts.ordered_join(spark.read.parquet(f"{sf_dir}/conversations.parquet"), "conv_id", F.col("role"), ["turn"], "; ", distinct=True)
 
 
-@query(CORE + """, d AS (SELECT page_id, string_agg(code, '; ' ORDER BY code) AS c, string_agg(severity, '; ' ORDER BY code) AS s FROM findings GROUP BY 1),
-m AS (SELECT case_id, string_agg('[page/' || action || ']', ' | ' ORDER BY created_at, review_id) AS joined FROM reviews GROUP BY 1)
-SELECT page_id, batch, patient_ref, encounter_ref, filename, ordinal AS page_no, versions AS version, coalesce(overall, 'unchecked') AS scan_status, coalesce(c, '') AS defect_codes, coalesce(s, '') AS defect_severities,
-handwriting AS handwriting_status, coalesce(joined, '') AS reviewer_comment, CASE WHEN latest_action IS NULL THEN 'ai_only' ELSE 'confirmed' END AS ai_vs_reviewed
-FROM core LEFT JOIN d USING (page_id) LEFT JOIN m ON m.case_id = core.case_id""")
+@query(CORE + """, d AS (SELECT page_id, string_agg(code, '; ' ORDER BY o) AS c, string_agg(severity, '; ' ORDER BY o) AS s FROM (SELECT *, CASE code WHEN 'BLUR' THEN 0 WHEN 'NOISE' THEN 4 ELSE 13 END AS o FROM findings) GROUP BY 1),
+m AS (SELECT case_id, string_agg('[page/' || action || ']', ' | ' ORDER BY created_at, review_id) AS joined,
+  CASE max(CASE WHEN action = 'correct_finding' THEN 2 WHEN action IN ('accept', 'request_rescan') THEN 1 ELSE 0 END) WHEN 2 THEN 'corrected' WHEN 1 THEN 'confirmed' ELSE 'ai_only' END AS avr FROM reviews GROUP BY 1),
+u AS (SELECT case_id, string_agg(who, '; ' ORDER BY first_at, rid) AS reviewers FROM (SELECT case_id, who, min(created_at) AS first_at, arg_min(review_id, row(created_at, review_id)) AS rid FROM (SELECT *, 'user ' || (review_id % 7) AS who FROM reviews) GROUP BY 1, 2) GROUP BY 1),
+t AS (SELECT conv_id * 100 + 1 AS page_id, CASE length(text) % 4 WHEN 0 THEN 'processing_failed' WHEN 1 THEN 'unreadable' WHEN 2 THEN 'uncertain' ELSE 'extracted_pending_review' END AS st, role, text, turn FROM conversations),
+g AS (SELECT page_id, min(CASE st WHEN 'extracted_pending_review' THEN 0 WHEN 'uncertain' THEN 1 WHEN 'unreadable' THEN 2 ELSE 3 END) AS r, string_agg(nullif(text, ''), chr(10) || '---' || chr(10) ORDER BY turn) AS raw,
+  string_agg(CASE WHEN role = 'user' THEN nullif(text, '') END, chr(10) || '---' || chr(10) ORDER BY turn) AS fixed FROM t GROUP BY 1),
+q AS (SELECT page_id, string_agg(role, '; ' ORDER BY turn) AS qualifiers FROM (SELECT page_id, role, min(turn) AS turn FROM t GROUP BY 1, 2) GROUP BY 1),
+h AS (SELECT page_id, string_agg(k || CASE WHEN n > 1 THEN ' x' || n ELSE '' END, '; ' ORDER BY k) AS labels FROM (SELECT page_id, CASE WHEN length(text) % 2 = 0 THEN 'note' ELSE 'tick' END AS k, count(*) AS n FROM t GROUP BY 1, 2) GROUP BY 1)
+SELECT core.page_id, coalesce(batch, '') AS batch, coalesce(patient_ref, '') AS patient_ref, coalesce(encounter_ref, '') AS encounter_ref, filename, ordinal AS page_no, '(' || ordinal || ')' AS printed_label, versions AS version,
+  coalesce(overall, 'unchecked') AS scan_status, coalesce(c, '') AS defect_codes, coalesce(s, '') AS defect_severities, handwriting AS handwriting_status, coalesce(labels, '') AS handwriting_categories,
+  coalesce(CASE g.r WHEN 0 THEN 'extracted_pending_review' WHEN 1 THEN 'uncertain' WHEN 2 THEN 'unreadable' WHEN 3 THEN 'processing_failed' END, 'pending') AS diagnosis_status, coalesce(qualifiers, '') AS diagnosis_qualifier,
+  coalesce(raw, '') AS diagnosis_text_raw, coalesce(fixed, '') AS diagnosis_text_reviewed, coalesce(reviewers, '') AS reviewed_by, coalesce(joined, '') AS reviewer_comment, coalesce(avr, 'ai_only') AS ai_vs_reviewed
+FROM core LEFT JOIN d ON d.page_id = core.page_id LEFT JOIN m ON m.case_id = core.case_id LEFT JOIN u ON u.case_id = core.case_id LEFT JOIN g ON g.page_id = core.page_id LEFT JOIN q ON q.page_id = core.page_id LEFT JOIN h ON h.page_id = core.page_id""")
 def export_row(spark, sf_dir):
+    """All public columns; a page's extractions are the turns of the conversation with its document's number."""
     r, view = _view(spark, sf_dir)
-    tagged = F.concat(F.lit("[page/"), F.col("action"), F.lit("]"))
-    comments = counts.ordered_join(r.reviews, "case_id", tagged, ["created_at", "review_id"], " | ", distinct=False)
-    return exports.export_rows(view, counts.worst_severity(r.findings), comments)
+    who = r.reviews.withColumns({"who": F.concat(F.lit("user "), (F.col("review_id") % 7).cast("string")), "tag": F.concat(F.lit("[page/"), F.col("action"), F.lit("]"))})
+    log = ["created_at", "review_id"]
+    comments = counts.ordered_join(who, "case_id", F.col("tag"), log, " | ", distinct=False)
+    people = counts.ordered_join(who, "case_id", F.col("who"), log, "; ", distinct=True).withColumnRenamed("joined", "reviewers")
+    reviewed = comments.join(people, "case_id").join(reviews.ai_vs_reviewed(r.reviews, "case_id"), "case_id")
+    k = F.length("text") % 4
+    status = F.when(k == 0, "processing_failed").when(k == 1, "unreadable").when(k == 2, "uncertain").otherwise("extracted_pending_review")
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select((F.col("conv_id") * 100 + 1).alias("page_id"), "turn", "role", F.nullif("text", F.lit("")).alias("text"), status.alias("diagnosis_status"),
+                                                                          F.when(F.length("text") % 2 == 0, "note").otherwise("tick").alias("category"))
+    joined = lambda value, name, separator, distinct: counts.ordered_join(turns, "page_id", value, ["turn"], separator, distinct).withColumnRenamed("joined", name)
+    rule = "\n---\n"
+    diagnoses = (counts.priority_status(turns, "page_id", "diagnosis_status", model.DIAGNOSIS).join(joined(F.col("role"), "qualifiers", "; ", True), "page_id")
+                 .join(joined(F.col("text"), "raw", rule, False), "page_id").join(joined(F.when(F.col("role") == "user", F.col("text")), "corrected", rule, False), "page_id"))
+    view = view.withColumn("printed_label", F.concat(F.lit("("), F.col("ordinal").cast("string"), F.lit(")")))
+    return exports.export_rows(view, counts.worst_severity(r.findings), reviewed, diagnoses, counts.counted_labels(turns, "page_id", "category"))
 
 
 @query("SELECT doc_id, CASE WHEN length(replace(text, chr(13), ' ')) <= 40 THEN replace(text, chr(13), ' ') ELSE regexp_replace(left(replace(text, chr(13), ' '), 39), '\\s+$', '') || '…' END AS short FROM documents")

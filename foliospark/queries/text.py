@@ -35,30 +35,30 @@ def split_pieces(spark, sf_dir):
     return _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(extract.pieces(F.col("text"))).alias("n", "piece"))
 
 
-@query("""WITH c AS (SELECT doc_id, lower(CASE doc_id % 7 WHEN 0 THEN 'r/o TB' WHEN 1 THEN 'K/C/O diabetes' WHEN 2 THEN 'd/d sepsis' WHEN 3 THEN 'suspected ' WHEN 4 THEN 'provisional ' WHEN 5 THEN 'no evidence of ' ELSE 'x' END || ' ' || left(text, 30)) AS t FROM documents)
+@query("""WITH c AS (SELECT doc_id, lower(CASE doc_id % 7 WHEN 0 THEN 'r/o TB' WHEN 1 THEN 'K/C/O diabetes' WHEN 2 THEN 'd/d sepsis' WHEN 3 THEN 'suspected ' WHEN 4 THEN 'provisional ' WHEN 5 THEN 'no evidence of ' ELSE 'x' END || ' ' || text) AS t FROM documents)
 SELECT doc_id, CASE WHEN regexp_matches(t, '\\br/?o\\b|\\brule[d]?\\s+out\\b') THEN 'ruled_out' WHEN regexp_matches(t, '\\bk/?c/?o\\b|\\bknown\\s+case\\s+of\\b|\\bh/?o\\b|\\bpast\\s+history\\b|\\bs/?p\\b|\\bstatus\\s+post\\b') THEN 'past_history'
 WHEN regexp_matches(t, '\\bd/?d\\b|\\bdifferential\\b') THEN 'differential' WHEN regexp_matches(t, '\\bsusp(?:ected|icion)?\\b|\\?\\s*\\w') THEN 'suspected' WHEN regexp_matches(t, '\\bprovisional\\b') THEN 'provisional'
 WHEN regexp_matches(t, '\\bno\\s+evidence\\s+of\\b|\\bnot\\s+\\w+\\b|\\bnegative\\s+for\\b') THEN 'negated' WHEN regexp_matches(t, '\\bconfirmed\\b|\\bfinal\\b') THEN 'final' ELSE 'unspecified' END AS qualifier FROM c""")
 def qualifier_precedence(spark, sf_dir):
     cues = F.get(F.array(*map(F.lit, ("r/o TB", "K/C/O diabetes", "d/d sepsis", "suspected ", "provisional ", "no evidence of ", "x"))), (F.col("doc_id") % 7).cast("int"))
-    text = F.concat(cues, F.lit(" "), F.left("text", F.lit(30)))
+    text = F.concat(cues, F.lit(" "), "text")
     return _t(spark, sf_dir, "documents").select("doc_id", extract.qualifier(text, F.lit("unspecified")).alias("qualifier"))
 
 
-_ABBREVIATED = "CASE doc_id % 4 WHEN 0 THEN 'TB with HTN ' WHEN 1 THEN 'MI/CA, D/M, COPD ' WHEN 2 THEN 'tb HTNX ' ELSE '' END || regexp_replace(upper(left(text, 60)), '[^\\x00-\\x7F]', '', 'g')"
+_ABBREVIATED = "CASE doc_id % 4 WHEN 0 THEN 'TB with HTN ' WHEN 1 THEN 'MI/CA, D/M, COPD ' WHEN 2 THEN 'tb HTNX ' ELSE '' END || regexp_replace(upper(text), '[^\\x00-\\x7F]', '', 'g')"
 
 
 @query(f"""WITH t AS (SELECT doc_id, list_transform(regexp_extract_all({_ABBREVIATED}, '\\b([A-Z][A-Z/]{{1,6}})\\b', 1), lambda x: replace(x, '/', '')) AS x FROM documents)
 SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(x, lambda v: v IN ({', '.join(f"'{a}'" for a in extract.ABBREVIATIONS)})))), ',') AS flags FROM t""")
 def abbreviation_flags(spark, sf_dir):
     heads = F.get(F.array(*map(F.lit, ("TB with HTN ", "MI/CA, D/M, COPD ", "tb HTNX ", ""))), (F.col("doc_id") % 4).cast("int"))
-    return _t(spark, sf_dir, "documents").select("doc_id", F.array_join(extract.abbreviations(F.concat(heads, F.regexp_replace(F.upper(F.left("text", F.lit(60))), r"[^\x00-\x7F]", ""))), ",").alias("flags"))
+    return _t(spark, sf_dir, "documents").select("doc_id", F.array_join(extract.abbreviations(F.concat(heads, F.regexp_replace(F.upper("text"), r"[^\x00-\x7F]", ""))), ",").alias("flags"))
 
 
-@query("""WITH t AS (SELECT doc_id, left(text, CAST(doc_id % 40 AS INTEGER)) AS x, CASE WHEN doc_id % 3 > 0 THEN (doc_id % 10) / 10.0 END AS c FROM documents), s AS (SELECT *, regexp_replace(x, '^\\s+|\\s+$', '', 'g') AS t FROM t)
+@query("""WITH t AS (SELECT doc_id, text AS x, CASE WHEN doc_id % 3 > 0 THEN (doc_id % 10) / 10.0 END AS c FROM documents), s AS (SELECT *, regexp_replace(x, '^\\s+|\\s+$', '', 'g') AS t FROM t)
 SELECT doc_id, CASE WHEN NOT (length(t) >= 2 AND length(regexp_replace(t, '[^\\pL]', '', 'g')) / greatest(length(t), 1) >= 0.45 AND coalesce(c >= 0.35, true)) THEN 'unreadable' WHEN coalesce(c < 0.6, false) THEN 'uncertain' ELSE 'extracted_pending_review' END AS status FROM s""")
 def legibility_status(spark, sf_dir):
-    rows = _t(spark, sf_dir, "documents").select("doc_id", F.left("text", (F.col("doc_id") % 40).cast("int")).alias("x"), F.when(F.col("doc_id") % 3 > 0, (F.col("doc_id") % 10) / F.lit(10.0)).alias("c"))
+    rows = _t(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("x"), F.when(F.col("doc_id") % 3 > 0, (F.col("doc_id") % 10) / F.lit(10.0)).alias("c"))
     return rows.select("doc_id", extract.status(extract.readable(F.col("x"), F.col("c")), F.col("c")).alias("status"))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions.text import safe_part
+from foliospark.operators.rules import DEFECTS
 
 # Columns of an export in order, with their headings.
 EXPORT = {
@@ -22,19 +23,30 @@ EXPORT = {
 CELL = 32_000
 
 
-def export_rows(view: DataFrame, severities: DataFrame, comments: DataFrame) -> DataFrame:
-    """One row per active page for reports. Children are aggregated by their key first and joined once each.
+def export_rows(view: DataFrame, severities: DataFrame, reviewed: DataFrame, diagnoses: DataFrame | None = None, categories: DataFrame | None = None) -> DataFrame:
+    """One row per active page for reports, with the columns of ``EXPORT``. Children are aggregated by their key first and joined once each.
 
-    ``scan_status`` is the engine's class, not the effective one, so an accepted page still shows what was measured. ``severities``: page_id, code,
-    severity; ``comments``: case_id, joined.
+    ``scan_status`` is the engine's class, not the effective one, so an accepted page still shows what was measured.
+
+    * ``severities``: page_id, code, severity (the worst of each code).
+    * ``reviewed``: case_id, joined (comments), reviewers, ai_vs_reviewed (see ``operators.reviews.ai_vs_reviewed``).
+    * ``diagnoses``: page_id, diagnosis_status, qualifiers, raw, corrected. Without a row: pending, and no texts.
+    * ``categories``: page_id, labels. A page's ``printed_label`` is taken from the view if that has it.
     """
-    defects = severities.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("code", "severity"))).alias("_d"))
-    rows = view.join(defects, "page_id", "left").join(comments, "case_id", "left")
+    order = F.create_map(*[F.lit(x) for i, c in enumerate(DEFECTS) for x in (c, i)])
+    place = F.coalesce(F.try_element_at(order, F.col("code")), F.lit(999))
+    defects = severities.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct(place.alias("place"), "code", "severity"))).alias("_d"))
+    rows = view.join(defects, "page_id", "left").join(reviewed, "case_id", "left")
+    rows = rows.join(diagnoses, "page_id", "left") if diagnoses is not None else rows.withColumns({c: F.lit(None).cast("string") for c in ("diagnosis_status", "qualifiers", "raw", "corrected")})
+    rows = rows.join(categories, "page_id", "left") if categories is not None else rows.withColumn("labels", F.lit(None).cast("string"))
     text = lambda f: F.coalesce(F.array_join(F.transform("_d", lambda x: x[f]), "; "), F.lit(""))
+    plain = lambda c, name: F.coalesce(c, F.lit("")).alias(name)
     return rows.select(
-        "page_id", "batch", "patient_ref", "encounter_ref", "filename", F.col("ordinal").alias("page_no"), F.col("versions").alias("version"), F.coalesce("overall", F.lit("unchecked")).alias("scan_status"),
-        text("code").alias("defect_codes"), text("severity").alias("defect_severities"), F.col("handwriting").alias("handwriting_status"), F.coalesce("joined", F.lit("")).alias("reviewer_comment"),
-        F.when(F.col("latest_action").isNotNull(), "confirmed").otherwise("ai_only").alias("ai_vs_reviewed"))
+        "page_id", plain("batch", "batch"), plain("patient_ref", "patient_ref"), plain("encounter_ref", "encounter_ref"), "filename", F.col("ordinal").alias("page_no"),
+        plain("printed_label" if "printed_label" in view.columns else F.lit(None).cast("string"), "printed_label"), F.col("versions").alias("version"), F.coalesce("overall", F.lit("unchecked")).alias("scan_status"),
+        text("code").alias("defect_codes"), text("severity").alias("defect_severities"), F.col("handwriting").alias("handwriting_status"), plain("labels", "handwriting_categories"),
+        F.coalesce("diagnosis_status", F.lit("pending")).alias("diagnosis_status"), plain("qualifiers", "diagnosis_qualifier"), plain("raw", "diagnosis_text_raw"), plain("corrected", "diagnosis_text_reviewed"),
+        plain("reviewers", "reviewed_by"), plain("joined", "reviewer_comment"), F.coalesce("ai_vs_reviewed", F.lit("ai_only")).alias("ai_vs_reviewed"))
 
 
 def public(df: DataFrame) -> DataFrame:

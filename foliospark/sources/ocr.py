@@ -25,9 +25,13 @@ def snapped(angle: Column) -> Column:
     return F.array_min(F.transform(F.array(*map(F.lit, (0, 90, 180, 270))), lambda t: F.struct(turn(t).alias("d"), t.alias("t"))))["t"]
 
 
+ANSWER = "struct<medicines:array<struct<name:string,dose:string,confidence:string>>,uncertainties:array<string>,needs_confirmation:boolean,summary:string>"
+
+
 def reasoning(answer: Column) -> Column:
-    """A model's JSON answer; null if it isn't valid, which callers report as an error."""
-    return F.from_json(answer, "struct<medicines:array<struct<name:string,dose:string,confidence:string>>,uncertainties:array<string>,needs_confirmation:boolean,summary:string>", {"mode": "PERMISSIVE"})
+    """A model's JSON answer; null if it isn't a valid JSON object, which callers report as an error."""
+    whole = F.try_parse_json(answer).isNotNull() & answer.rlike(r"^\s*\{")
+    return F.when(whole, F.from_json(answer, ANSWER))
 
 
 def needs_confirmation(r: Column) -> Column:

@@ -59,6 +59,38 @@ def test_extraction_of_one_page(spark):
                      ("HTN", "final", "extracted_pending_review", None), (None, "unspecified", "not_found", None)]
 
 
+PENDING = "extracted_pending_review"
+VALUES = [
+    (["Diagnosis: History of TB"], [("History of TB", PENDING)]),  # only following lines are looked at for form fields
+    (["Diagnosis", "Date 1.1.2020"], [(None, "not_found")]),
+    ([("Diagnosis", 0), ("Anaemia", 60), ("Malaria", 105), ("Typhoid", 106)], [("Anaemia\nMalaria", PENDING)]),  # 2.5 heights from the label's lower end
+    (["Diagnosis", "  ", "", "Anaemia"], [("Anaemia", PENDING)]),  # blank lines are left out
+    (["Diagnosis: x", "Anaemia"], [("x\nAnaemia", PENDING)]),  # one character is no value
+    (["Diagnosis:", "Anaemia", "Department of Radio-Diagnosis"], [("Anaemia", PENDING)]),  # such a line ends a value
+    (["Diagnosis: TLC, DLC, ESR"], []), (["Diagnosis: TLC; Anaemia"], [("TLC", PENDING), ("Anaemia", PENDING)]), (["Diagnosis", "TLC, DLC"], [(None, "not_found")]),
+    (["Diagnosis: ;"], [(None, "not_found")]), (["nothing here"], []), (["Impression - Fever and chills"], [("Fever", PENDING), ("chills", PENDING)])]
+
+
+def test_labelled_values(spark):
+    rows = []
+    for i, (lines, _) in enumerate(VALUES):
+        step = 25.0 if "  " in lines else 40.0
+        rows += [(i, t, 60.0, float(y), 30.0, 0.9) for t, y in [x if isinstance(x, tuple) else (x, step * n) for n, x in enumerate(lines)]]
+    page = spark.createDataFrame(rows, "page_id long, text string, x double, y double, height double, confidence double")
+    found: dict = {}
+    for r in extract.entries(extract.labelled_values(page)).collect():
+        found.setdefault(r["page_id"], []).append((r["raw_text"], r["status"]))
+    for i, (lines, expected) in enumerate(VALUES):
+        assert sorted(found.get(i, []), key=str) == sorted(expected, key=str), lines
+
+
+def test_labelled_regions(spark):
+    rows = [(1, "Final Diagnosis", 50.0, 10.0, 30.0, 0.9, 100.0), (1, "Anaemia", 40.0, 50.0, 30.0, 0.4, 200.0), (1, "ICD D64", 40.0, 90.0, 30.0, 0.9, 50.0), (2, "ICD X10", 0.0, 0.0, 9.0, 0.1, 1.0)]
+    page = spark.createDataFrame(rows, "page_id long, text string, x double, y double, height double, confidence double, width double")
+    r = extract.labelled_values(page).collect()
+    assert [tuple(x) for x in r] == [(1, "Final Diagnosis", "final", "Anaemia", 0.4, "D64", 40.0, 10.0, 200.0, 70.0)]
+
+
 def test_word_groups_and_categories(spark):
     words = spark.createDataFrame([(1, 0, 0, 30), (1, 35, 2, 30), (1, 200, 0, 30), (1, 0, 60, 10)], "p int, x int, y int, w int")
     assert sorted((r["x"], r["y"], r["group_no"]) for r in extract.word_groups(words, ["p"], F.lit(20.0)).collect()) == [(0, 0, 0), (0, 60, 2), (35, 2, 0), (200, 0, 1)]
@@ -75,7 +107,10 @@ def test_recognised_text(spark):
         ocr.snapped(F.lit(359.0)).alias("a"), ocr.snapped(F.lit(-100.0)).alias("b"), ocr.snapped(F.lit(45.0)).alias("c"),
         ocr.prescription_status(ocr.reasoning(F.lit("not json"))).alias("bad"), ocr.prescription_status(ocr.reasoning(F.lit('{"medicines":[],"summary":"This is not a prescription."}'))).alias("none"),
         ocr.needs_confirmation(ocr.reasoning(F.lit('{"medicines":[{"name":"x","confidence":"low"}],"uncertainties":[]}'))).alias("ask")).first()
-    assert tuple(r) == ("Hellowo", 0, 270, 0, "extracted" if r["bad"] == "extracted" else "failed", "not_a_prescription", True)
+    assert tuple(r) == ("Hellowo", 0, 270, 0, "failed", "not_a_prescription", True)
+    answers = ["{\"medicines\":[", "5", "null", "", None, "[]", '{"medicines":[{"name":"x","confidence":"high"}]}', ' {"summary":"other"}']
+    rows = spark.createDataFrame([(i, a) for i, a in enumerate(answers)], "i int, a string")
+    assert [x["s"] for x in rows.orderBy("i").select(ocr.prescription_status(ocr.reasoning(F.col("a"))).alias("s")).collect()] == ["failed"] * 6 + ["extracted"] * 2
 
 
 def test_files(spark, tmp_path):
@@ -172,6 +207,17 @@ def test_job_sweep_and_fan_out(spark):
     assert jobs.fan_out(pages).count() == 6 and jobs.fan_out(pages, ()).count() == 0
 
 
+def test_export_columns(spark):
+    view = spark.createDataFrame([(1, 7, "b", None, None, "f.pdf", 3, 2, "rescan", "detected"), (2, 8, None, "p", "e", "g.pdf", 1, 1, None, "pending")],
+                                 "page_id long, case_id long, batch string, patient_ref string, encounter_ref string, filename string, ordinal int, versions int, overall string, handwriting string")
+    severities = spark.createDataFrame([(1, "NEAR_BLANK", "low"), (1, "BLUR", "high"), (1, "OTHER", "low")], "page_id long, code string, severity string")
+    reviewed = spark.createDataFrame([(7, "c | d", "A; B", "corrected")], "case_id long, joined string, reviewers string, ai_vs_reviewed string")
+    found = {r["page_id"]: r for r in exports.export_rows(view, severities, reviewed).collect()}
+    assert list(found[1].asDict())[1:] == list(exports.EXPORT)
+    assert (found[1]["defect_codes"], found[1]["defect_severities"], found[1]["ai_vs_reviewed"], found[1]["reviewed_by"]) == ("BLUR; NEAR_BLANK; OTHER", "high; low; low", "corrected", "A; B")
+    assert (found[2]["scan_status"], found[2]["diagnosis_status"], found[2]["ai_vs_reviewed"], found[2]["batch"]) == ("unchecked", "pending", "ai_only", "")
+
+
 def test_profiles(spark):
     df = spark.createDataFrame([(1, "12"), (2, "x"), (3, None)], "a int, b string")
     assert tuple(profiling.unparseable(df, F.col("b"), "bigint").first()) == (2, 1, 12)

@@ -1,5 +1,6 @@
 """Page view, reviews, filters, counts, lists: the invariants that hold on any data."""
 
+import dataclasses
 from datetime import UTC, datetime
 
 import pytest
@@ -117,6 +118,30 @@ def test_view_plan_has_no_python_and_prunes_columns(records):
     assert "Python" not in plan and "Pandas" not in plan and "Cartesian" not in plan
     scans = [line for line in plan.splitlines() if "ReadSchema" in line and "lineitem" in line]
     assert scans and all("l_linestatus" not in s.split("ReadSchema")[1] for s in scans)
+    analyzed = core_view(records)._jdf.queryExecution().analyzed().toString()
+    assert sum("Relation [l_orderkey" in line for line in analyzed.splitlines()) == 1
+
+
+def test_separate_children_give_the_same_view(records, view):
+    apart = dataclasses.replace(records, versions=records.versions.drop("overall", "handwriting_status"), quality=records.versions.filter("overall IS NOT NULL").select("page_id", "overall"),
+                                handwriting=records.versions.filter("handwriting_status IS NOT NULL").select("page_id", "handwriting_status"))
+    columns = ["page_id", "effective_class", "handwriting", "review_state", "flagged"]
+    assert core_view(apart).select(columns).exceptAll(view.select(columns)).isEmpty() and core_view(apart).count() == view.count()
+
+
+def test_filters_need_their_tables(view):
+    for f in (PageFilters(defect_code=["BLUR"]), PageFilters(handwriting="note"), PageFilters(diagnosis_status="pending")):
+        with pytest.raises(ValueError, match="needs the table"):
+            filters.apply_filters(view, f)
+    assert filters.apply_filters(view, PageFilters(batch_id=0)).count() == view.filter("batch_id = 0").count() < view.count()
+
+
+def test_a_case_without_documents_is_incomplete(spark):
+    cases = spark.createDataFrame([(1,), (2,), (3,)], "case_id long")
+    documents = spark.createDataFrame([(1, "Referral A.pdf", 2)], "case_id long, filename string, pages long")
+    items = spark.createDataFrame([("referral", 1, True)], "doc_type string, min_pages int, required boolean")
+    coverage = checks.checklist_coverage(documents, items, cases.filter("case_id < 3"))
+    assert {r["case_id"]: r["status"] for r in checks.completeness(coverage, cases).collect()} == {1: "verified", 2: "incomplete", 3: "not_verified"}
 
 
 def test_leaders_depend_on_scan_order(spark):
