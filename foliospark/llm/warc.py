@@ -36,15 +36,16 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def records(pages: DataFrame, least: int) -> DataFrame:
-    """One text row for each page: its WARC record without the two line ends behind it."""
+def records(pages: DataFrame, least: int) -> tuple[DataFrame, int]:
+    """A row for each page, ``value`` its WARC record without the two line ends behind it and ``bytes`` its payload's size; and the largest of these."""
     payload = F.coalesce("html", F.lit(""))
     rows = (pages.select("page_id", "url", payload.alias("payload"))
             .withColumns({"digest": base32_sha1(F.col("payload").cast("binary")), "bytes": F.octet_length("payload").cast("long")}))
     large = F.when(F.col("bytes") >= least, F.col("digest"))
     groups = (rows.select("page_id", large.alias("same")).filter("same IS NOT NULL")
               .groupBy("same").agg(F.max("page_id").alias("original"), F.count("*").alias("copies")).filter("copies > 1"))
-    rows = attach_groups(rows.withColumn("same", large), written(groups, "copies"), "same", "copies", rows.count())
+    total, largest = rows.agg(F.count("*"), F.coalesce(F.max("bytes"), F.lit(0))).first()
+    rows = attach_groups(rows.withColumn("same", large), written(groups, "copies"), "same", "copies", total)
     revisit = F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original"))
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes"), F.lit(_END))
     block = F.concat(head, F.when(revisit, "").otherwise(F.col("payload")))
@@ -62,17 +63,30 @@ def records(pages: DataFrame, least: int) -> DataFrame:
         F.lit("Content-Type: application/http; msgtype=response\r\n"),
         field("Content-Length", F.octet_length(block)),
         F.lit("\r\n"), block)
-    return rows.select(record.alias("value"))
+    return rows.select(record.alias("value"), "bytes"), largest
 
 
-def write_archives(pages: DataFrame, path: str, least: int = 0, per_archive: int = 1000, compression: str = "gzip") -> None:
-    """Write a record of each page below ``path``, at most ``per_archive`` in a file (that bounds what reading one takes).
+def write_archives(pages: DataFrame, path: str, least: int = 0, per_archive: int = 1000, archive_bytes: int = 1 << 28, compression: str = "gzip") -> None:
+    """Write a record of each page below ``path``, at most ``per_archive`` and about ``archive_bytes`` in a file (that bounds what reading one takes).
+
+    Payloads of more than ``archive_bytes / per_archive`` bytes go to files of their own kind, fewer in each; a larger one than ``archive_bytes`` has its file to itself.
 
     Of payloads that are equal and have ``least`` bytes or more, the one with the largest page_id is a response and the others revisit it. Captures are
     dated a second apart from 2020 on, by page_id. With gzip a file is one member.
     """
-    (records(pages, least).write.option("lineSep", _END).option("compression", compression)
-     .option("maxRecordsPerFile", per_archive).text(path))
+    rows, largest = records(pages, least)
+
+    def write(part: DataFrame, number: int) -> None:
+        part.select("value").write.mode("append").option("lineSep", _END).option("compression", compression).option("maxRecordsPerFile", number).text(path)
+
+    each = archive_bytes // per_archive
+    if largest <= each:
+        write(rows, per_archive)
+        return
+    write(rows.filter(F.col("bytes") <= each), per_archive)
+    while each < largest:  # kinds of 16 times the size, up to the largest
+        write(rows.filter((F.col("bytes") > each) & (F.col("bytes") <= 16 * each)), max(1, archive_bytes // (16 * each)))
+        each *= 16
 
 
 _SCHEME = re.compile(r"^[a-z][a-z0-9+.-]*://")

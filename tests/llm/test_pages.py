@@ -167,6 +167,17 @@ def test_archives_round_trip(spark):
     assert warc.archive_and_index(pages(spark, [])).count() == 0
 
 
+def test_large_pages_have_archives_of_their_own(spark, tmp_path):
+    rows = [(i, f"http://a.com/{i}", ("x" * (3_000_000 if i % 4 == 0 else 100)) + str(i % 8)) for i in range(24)]
+    path = str(tmp_path / "archives")
+    warc.write_archives(pages(spark, rows).coalesce(1), path, per_archive=50, archive_bytes=8_000_000, compression="none")
+    sizes = sorted(f.stat().st_size for f in (tmp_path / "archives").glob("part-*"))
+    assert sizes[-1] < 10_000_000 and len(sizes) >= 3
+    found = warc.merged_index(warc.read_archives(spark, path)).collect()
+    assert sorted((r["page_id"], r["payload_bytes"]) for r in found) == [(i, len(h)) for i, _, h in rows]
+    assert sum(r["record_type"] == "response" for r in found) == 8
+
+
 def test_small_payloads_stay_responses(spark):
     found = {(r["page_id"], r["record_type"]) for r in warc.archive_and_index(pages(spark, HTML[:2]), least=100).collect()}
     assert found == {(1, "response"), (2, "response")}
@@ -175,7 +186,7 @@ def test_small_payloads_stay_responses(spark):
 def test_plain_archive_is_valid_warc(spark, tmp_path):
     path = str(tmp_path / "plain")
     warc.write_archives(pages(spark, HTML[:1]).coalesce(1), path, compression="none")
-    data = next((tmp_path / "plain").glob("part-*")).read_bytes()
+    data = b"".join(f.read_bytes() for f in sorted((tmp_path / "plain").glob("part-*")))
     assert data.startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and data.endswith(b"<p>same</p>\r\n\r\n")
     broken = data.replace(b"<p>same</p>", b"<p>Same</p>")
     with pytest.raises(ValueError, match="digest"):
