@@ -45,7 +45,11 @@ def records(pages: DataFrame, least: int) -> tuple[DataFrame, int]:
     groups = (rows.select("page_id", large.alias("same")).filter("same IS NOT NULL")
               .groupBy("same").agg(F.max("page_id").alias("original"), F.count("*").alias("copies")).filter("copies > 1"))
     total, largest = rows.agg(F.count("*"), F.coalesce(F.max("bytes"), F.lit(0))).first()
-    rows = attach_groups(rows.withColumn("same", large), written(groups, "copies"), "same", "copies", total)
+    copies, rows = written(groups, "copies"), rows.withColumn("same", large)
+    if copies.isEmpty():  # then no payload has to move
+        rows = rows.withColumn("original", F.lit(None).cast("long"))
+    else:
+        rows = attach_groups(rows, copies, "same", "copies", total)
     revisit = F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original"))
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes"), F.lit(_END))
     block = F.concat(head, F.when(revisit, "").otherwise(F.col("payload")))
