@@ -45,7 +45,7 @@ STAGES = [
     ("token encoding", encode_tokens),
 ]
 
-#: The classifiers and the encoder have no SQL; tests hold the stages against plain versions.
+#: The classifiers and the encoder have no SQL; tests hold the operators that the stages call against plain versions.
 ORACLE_SQL = None
 
 
