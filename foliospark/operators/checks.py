@@ -107,3 +107,21 @@ def weighted_median(rows: DataFrame, key: str, value: str, weight: str) -> DataF
     return (rows.withColumns({"_c": F.sum(weight).over(w), "_t": F.sum(weight).over(total)}).filter(F.col("_c") * 2 >= F.col("_t"))
             .groupBy(key).agg(F.min(value).alias("median")))
 
+
+
+# What a case's completeness is called.
+COMPLETENESS_LABELS = {"verified": "Complete against the attached checklist", "incomplete": "Incomplete against the attached checklist", "not_verified": "Completeness not verified"}
+
+
+def completeness_label(status: Column) -> Column:
+    """The words for a status; a case that was never checked is not verified."""
+    words = F.create_map(*[F.lit(x) for pair in COMPLETENESS_LABELS.items() for x in pair])
+    return F.coalesce(F.try_element_at(words, status), F.lit(COMPLETENESS_LABELS["not_verified"]))
+
+
+def strict_date(text: Column) -> tuple[Column, Column]:
+    """(date, malformed) of a field: an empty one is null and fine, one that is no ISO date is null and malformed."""
+    value = F.regexp_replace(text, r"^\s+|\s+$", "")
+    iso = value.rlike(r"^(\d{4}-\d{2}-\d{2}|\d{8})$")
+    date = F.when(iso, F.try_to_date(F.replace(value, F.lit("-"), F.lit("")), "yyyyMMdd"))
+    return date, F.coalesce((value != "") & date.isNull(), F.lit(False))

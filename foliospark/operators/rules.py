@@ -141,3 +141,14 @@ def reason(found: Column, fallback: Column) -> Column:
     first = F.transform(codes, lambda c: F.filter(found, lambda f: f["code"] == c)[0])
     text = F.array_join(F.transform(first, lambda f: F.concat(F.coalesce(F.try_element_at(label, f["code"]), f["code"]), F.lit(" ("), f["severity"], F.lit(")"))), "; ")
     return F.coalesce(F.nullif(text, F.lit("")), fallback)
+
+
+def applied_settings(values: dict) -> tuple[dict, list[str]]:
+    """(thresholds, rejected keys) of a change: known keys take the default's type; unknown keys and unreadable values are rejected."""
+    fine, rejected = {}, []
+    for key, value in values.items():
+        try:
+            fine[key] = type(THRESHOLDS[key])(value)
+        except (KeyError, TypeError, ValueError):
+            rejected.append(key)
+    return THRESHOLDS | fine, sorted(rejected)

@@ -30,6 +30,21 @@ def fan_out(pages: DataFrame, stages: tuple[str, ...] | None = None) -> DataFram
     return rows.withColumn("job_key", idempotency_key(F.col("kind"), F.col("page_id"), F.lit(None)))
 
 
+def enqueued(jobs: DataFrame, requests: DataFrame, now: Column) -> DataFrame:
+    """The job table after requests for work, each key once: a job that failed or was cancelled starts anew, any other stays as it is.
+
+    ``requests``: kind, page_id, document_id and salt, all may be null but kind. ``jobs``: job_key, kind, page_id, document_id, state, attempt, error, queued_at.
+    One outer join by key; repeated requests are one, since equal keys have equal parts.
+    """
+    keyed = requests.withColumn("job_key", idempotency_key(F.col("kind"), F.col("page_id"), F.col("document_id"), F.col("salt")))
+    asked = keyed.groupBy("job_key").agg(*[F.min(c).alias(f"_{c}") for c in ("kind", "page_id", "document_id")], F.lit(True).alias("_asked"))
+    new, again = F.col("state").isNull(), F.col("_asked").isNotNull() & F.col("state").isin("failed", "cancelled")
+    start = F.coalesce(new | again, F.lit(False))
+    return jobs.join(asked, "job_key", "full").select(
+        "job_key", *[F.coalesce(c, f"_{c}").alias(c) for c in ("kind", "page_id", "document_id")], F.when(start, "queued").otherwise(F.col("state")).alias("state"),
+        F.when(start, 0).otherwise(F.col("attempt")).alias("attempt"), F.when(~start, F.col("error")).alias("error"), F.when(start, now).otherwise(F.col("queued_at")).alias("queued_at"))
+
+
 def stalled_sweep(jobs: DataFrame, now: Column, most: int = MAX_ATTEMPTS) -> DataFrame:
     """Running jobs without a recent heartbeat go back to the queue, or fail when their attempts are used up; others stay."""
     late = (F.col("state") == "running") & (F.col("heartbeat_at").isNull() | (F.col("heartbeat_at") < now - F.expr(f"INTERVAL {STALLED_MINUTES} MINUTES")))
