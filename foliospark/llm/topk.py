@@ -1,20 +1,26 @@
 """Exact top-k inner products with block bounds.
 
-Vectors become integers and lie in blocks, ranges of document numbers within a group of similar vectors. A block keeps its forward index (the vectors)
-and, for each dimension, its largest and smallest value. A query orders blocks by the sum of the largest
-products that each dimension allows, scores blocks in that order, and stops when the bound falls below its k-th score.
+Vectors become integers and lie in blocks of similar ones. A block keeps its forward index (the vectors) and, for each dimension, its largest and
+smallest value. For each query, the sum of the largest products that each dimension allows bounds what a block holds. A query first scores its blocks of
+the highest bounds; the k-th score found there, shared by all tasks, then decides which other blocks have to be scored. Vectors and queries only
+travel to blocks that are scored: where bounds decide nothing (vectors without clusters), these are all.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 256
-#: Vectors of a data tile and of a query tile: what one task holds at a time.
-TILE, QUERIES = 4_096, 1_024
+from foliospark.llm.common import written
+
+#: Vectors of a block, and bits that may name a block's place.
+BLOCK, MOST_BITS = 1_024, 16
+#: Block summaries and queries that one task holds at a time; blocks that a query scores first of each tile of summaries.
+TILE, QUERIES, SEEDS = 4_096, 1_024, 2
 
 
 def quantised(embedding: Column, scale: int = 1024) -> Column:
@@ -36,39 +42,111 @@ def scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return q @ x.T
 
 
-def search_tile(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each query's k best of one tile (ties to the smaller id, itself left out): query, id, score."""
-    order = np.lexsort((ids, locality(x)))
-    ids, x = ids[order], x[order]
-    cuts = np.arange(0, len(ids), BLOCK)
-    top, low = np.maximum.reduceat(x, cuts), np.minimum.reduceat(x, cuts)
-    bounds = scores(np.maximum(q, 0), top) + scores(np.minimum(q, 0), low)
-    found = []
-    for i in range(len(q)):
-        best_score, best_id = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for b in np.argsort(-bounds[i], kind="stable"):
-            if len(best_score) == k and bounds[i, b] < best_score[-1]:
-                break
-            part = slice(cuts[b], cuts[b] + BLOCK)
-            s, d = scores(q[i:i + 1], x[part])[0], ids[part]
-            other = d != q_ids[i]
-            if len(best_score) == k:
-                other &= s >= best_score[-1]
-            if not other.any():
-                continue
-            s, d = np.concatenate([best_score, s[other]]), np.concatenate([best_id, d[other]])
-            first = np.lexsort((d, -s))[:k]
-            best_score, best_id = s[first], d[first]
-        found.append((np.full(len(best_id), q_ids[i]), best_id, best_score))
-    return tuple(np.concatenate(p) for p in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
-
-
-def locality(x: np.ndarray) -> np.ndarray:
-    """A number that similar vectors share, for tight blocks: the pattern of the tile's 8 most varied dimensions above or below their medians."""
-    if not x.shape[1] or len(x) < 2:
-        return np.zeros(len(x), np.int64)
-    dims = np.argsort(-x.std(0), kind="stable")[:8]
-    return ((x[:, dims] > np.median(x[:, dims], axis=0)) @ (1 << np.arange(len(dims)))).astype(np.int64)
+def best_of_block(q_ids: np.ndarray, q: np.ndarray, floors: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each query's k best of one block at or above its floor (ties to the smaller id, its own id left out): query, id, score."""
+    s = scores(q, x)
+    own = q_ids[:, None] == ids[None, :]
+    least = np.where(own, np.iinfo(np.int64).min, s)
+    kth = np.partition(least, -k, axis=1)[:, -k] if k < len(ids) else np.full(len(q), np.iinfo(np.int64).min)
+    row, column = np.nonzero((s >= np.maximum(kth, floors)[:, None]) & ~own)
+    order = np.lexsort((ids[column], -s[row, column], row))
+    row, column = row[order], column[order]
+    first = np.searchsorted(row, row)  # rows are in order: where each one's run starts
+    taken = np.arange(len(row)) - first < k
+    return q_ids[row[taken]], ids[column[taken]], s[row[taken], column[taken]]
+
+
+def bounds(q: np.ndarray, top: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """What each query can reach at most in each block."""
+    return scores(np.maximum(q, 0), top) + scores(np.minimum(q, 0), low)
+
+
+def _stacked(column: pd.Series) -> np.ndarray:
+    return np.stack(column.to_numpy()).astype(np.int64).reshape(len(column), -1)
+
+
+def _located(rows: DataFrame, sizes: dict[int, tuple[int, int]]) -> DataFrame:
+    """Adds ``block``: vectors that lie on the same sides of the means of the most varied dimensions, cut into parts of about ``BLOCK`` vectors."""
+    spread: dict[int, list] = {d: [] for d in sizes}
+    for r in (rows.select("dim", F.posexplode("v").alias("at", "x")).groupBy("dim", "at").agg(F.stddev_pop("x").alias("sd"), F.avg("x").alias("mean")).collect()):  # a row for each dimension
+        spread[r["dim"]].append((-r["sd"], r["at"], r["mean"]))
+    side = F.lit(0).cast("long")
+    for d, (n, _) in sizes.items():
+        bits = min(MOST_BITS, max(0, math.ceil(math.log2(n / BLOCK))))
+        for i, (_, at, mean) in enumerate(sorted(spread[d])[:bits]):
+            side = side + F.when((F.col("dim") == d) & (F.get("v", at) > mean), 1 << i).otherwise(0)
+    rows = rows.withColumn("side", side)
+    groups = rows.groupBy("dim", "side").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    part = F.pmod(F.xxhash64("vec_id"), F.col("parts"))
+    return (rows.join(F.broadcast(groups), ["dim", "side"])  # at most 2 ** MOST_BITS rows a length of vector
+            .withColumn("block", F.col("side") * (1 << 40) + part).drop("side", "parts"))
+
+
+def search(vectors: DataFrame, queries: Column, k: int = 10, scale: int = 1024) -> tuple[DataFrame, DataFrame] | None:
+    """What ``top_k`` returns, and the pairs (dim, query_id, block) that were scored for it; None if nothing asks."""
+    usable_rows = (vectors.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
+                   .select("vec_id", quantised(F.col("embedding"), scale).alias("v"), F.coalesce(queries, F.lit(False)).alias("asks")))
+    sizes = {r["dim"]: (r["n"], r["asking"]) for r in usable_rows.groupBy(F.size("v").alias("dim")).agg(
+        F.count("*").alias("n"), F.count_if("asks").alias("asking")).collect() if r["asking"]}  # a row for each length of vector
+    if not sizes:
+        return None
+    per_length = lambda of: F.create_map(*[F.lit(x) for d, s in sizes.items() for x in (d, of(*s))])[F.col("dim")]
+    rows = usable_rows.withColumn("dim", F.size("v")).filter(F.col("dim").isin(*sizes))
+    data = written(_located(rows, sizes), "vectors")
+    q_tile = lambda key: F.pmod(F.xxhash64(key, F.lit(2)), per_length(lambda n, a: -(-a // QUERIES))).cast("int").alias("q_tile")
+    asking = data.filter("asks").select("dim", F.col("vec_id").alias("query_id"), q_tile("vec_id"), "v")
+
+    def summary(block: pd.DataFrame) -> pd.DataFrame:
+        x = _stacked(block["v"])
+        return pd.DataFrame({"dim": [x.shape[1]], "block": block["block"].iloc[:1].to_numpy(), "top": [x.max(0)], "low": [x.min(0)]})
+
+    blocks = written(data.select("dim", "block", "v").groupBy("dim", "block").applyInPandas(summary, "dim int, block long, top array<long>, low array<long>"), "blocks")
+    n_tiles = {r["dim"]: -(-r["n"] // TILE) for r in blocks.groupBy("dim").agg(F.count("*").alias("n")).collect()}
+    b_tiles = F.create_map(*[F.lit(x) for p in n_tiles.items() for x in p])[F.col("dim")]
+    spread_blocks = (blocks.withColumn("b_tile", F.pmod(F.xxhash64("block"), b_tiles).cast("int"))
+                     .withColumn("q_tile", F.explode(F.sequence(F.lit(0), per_length(lambda n, a: -(-a // QUERIES)).cast("int") - 1))))
+    key = ["dim", "b_tile", "q_tile"]
+
+    def bounded(asked: DataFrame, all_above: bool) -> DataFrame:
+        """Pairs of queries and blocks: those of the highest bounds, or all whose bound reaches the query's floor."""
+
+        def pick(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            if not len(q) or not len(b):
+                return pd.DataFrame({"dim": [], "query_id": [], "block": []}, dtype=np.int64)
+            most = bounds(_stacked(q["v"]), _stacked(b["top"]), _stacked(b["low"]))
+            if all_above:
+                row, column = np.nonzero(most >= q["floor"].to_numpy()[:, None])
+            else:
+                column = np.argsort(-most, axis=1, kind="stable")[:, :SEEDS]
+                row, column = np.repeat(np.arange(len(q)), column.shape[1]), column.ravel()
+            return pd.DataFrame({"dim": np.full(len(row), b["dim"].iloc[0]), "query_id": q["query_id"].to_numpy()[row], "block": b["block"].to_numpy()[column]})
+
+        dealt = asked.withColumn("b_tile", F.explode(F.sequence(F.lit(0), b_tiles - 1)))
+        found = dealt.groupBy(*key).cogroup(spread_blocks.groupBy(*key)).applyInPandas(pick, "dim int, query_id long, block long")
+        return found.distinct()  # rows that share an id ask for the same blocks
+
+    def scored(pairs: DataFrame, asked: DataFrame) -> DataFrame:
+        def meet(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+            if not len(q) or not len(x):
+                return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype=np.int64)
+            a, b, s = best_of_block(q["query_id"].to_numpy(), _stacked(q["v"]), q["floor"].to_numpy(), x["vec_id"].to_numpy(), _stacked(x["x"]), k)
+            return pd.DataFrame({"query_id": a, "vec_id": b, "score": s})
+
+        place = ["dim", "block", "q_tile"]
+        wanted = pairs.select("dim", "block", q_tile("query_id")).distinct()
+        return (pairs.join(asked, ["dim", "query_id"]).select(*place, "query_id", "v", "floor").groupBy(*place)
+                .cogroup(data.select("dim", "block", "vec_id", F.col("v").alias("x")).join(wanted, ["dim", "block"]).groupBy(*place))
+                .applyInPandas(meet, "query_id long, vec_id long, score long"))
+
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # at most k rows a query and block
+    ranked = lambda found: found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    none = F.lit(-(1 << 63)).cast("long")
+    seeds = written(bounded(asking, False), "seeds")
+    first = written(ranked(scored(seeds, asking.withColumn("floor", none))), "first")
+    floors = first.filter(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
+    asked = written(asking.join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", none)), "queries")
+    rest = written(bounded(asked, True).join(seeds, ["dim", "query_id", "block"], "left_anti"), "rest")
+    return ranked(first.drop("rank").unionByName(scored(rest, asked))), seeds.unionByName(rest)
 
 
 def top_k(vectors: DataFrame, queries: Column, k: int = 10, scale: int = 1024) -> DataFrame:
@@ -78,33 +156,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, scale: int = 1024) -
     take no part; vectors of different lengths don't meet; empty vectors score 0. Ids are expected to be unique:
     each row of a repeated id is a candidate, and what they find as queries is ranked together. Products are 64-bit: components beyond about 2**31 / scale wrap.
 
-    Data tiles meet query tiles by an equality join on the tile pair, so a task holds one of each, whatever the input.
+    Blocks meet queries by equality joins on the block and a part of the queries, so a task holds one block and one part, whatever the input.
     """
-    usable_rows = (vectors.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
-                   .select("vec_id", quantised(F.col("embedding"), scale).alias("v"), F.coalesce(queries, F.lit(False)).alias("asks")))
-    sizes = {r["dim"]: (r["n"], r["asking"]) for r in usable_rows.groupBy(F.size("v").alias("dim")).agg(
-        F.count("*").alias("n"), F.count_if("asks").alias("asking")).collect()}  # a row for each length of vector
-    tiles = {d: (max(1, -(-n // TILE)), max(1, -(-a // QUERIES))) for d, (n, a) in sizes.items() if a}
-    if not tiles:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    count = lambda i: F.create_map(*[F.lit(x) for d, t in tiles.items() for x in (d, t[i])])[F.size("v")]
-    rows = usable_rows.withColumns({"dim": F.size("v"), "d_tiles": count(0), "q_tiles": count(1)}).filter(F.col("d_tiles").isNotNull())
-    place = lambda salt, n: F.pmod(F.xxhash64("vec_id", F.lit(salt)), n).cast("int")
-    data = rows.withColumn("d_tile", place(1, F.col("d_tiles"))).withColumn("q_tile", F.explode(F.sequence(F.lit(0), F.col("q_tiles").cast("int") - 1)))
-    asking = rows.filter("asks").withColumn("q_tile", place(2, F.col("q_tiles"))).withColumn("d_tile", F.explode(F.sequence(F.lit(0), F.col("d_tiles").cast("int") - 1)))
-    key = ["dim", "d_tile", "q_tile"]
-
-    def meet(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(x):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype=np.int64)
-        stacked = lambda p: np.stack(p["v"].to_numpy()).astype(np.int64).reshape(len(p), -1)
-        a, b, s = search_tile(q["vec_id"].to_numpy(), stacked(q), x["vec_id"].to_numpy(), stacked(x), k)
-        return pd.DataFrame({"query_id": a, "vec_id": b, "score": s})
-
-    near = (asking.select(*key, "vec_id", "v").groupBy(*key)
-            .cogroup(data.select(*key, "vec_id", "v").groupBy(*key))
-            .applyInPandas(meet, "query_id long, vec_id long, score long"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # k rows a query and data tile
-    return (near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-            .select("query_id", "rank", "vec_id", "score"))
-
+    found = search(vectors, queries, k, scale)
+    return found[0] if found else vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")

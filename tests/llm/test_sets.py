@@ -334,6 +334,24 @@ def test_top_k_matches_brute_force(spark, monkeypatch):
     assert topk.top_k(table.limit(0), F.lit(True)).count() == 0 and topk.top_k(table, F.lit(False)).count() == 0
 
 
+def test_top_k_skips_blocks_of_clustered_vectors(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    monkeypatch.setattr(topk, "QUERIES", 7)
+    draw = np.random.default_rng(4)
+    centres = draw.normal(size=(30, 8)) * 3
+    rows = [(i, [float(np.float32(x)) for x in centres[i % 30] + draw.normal(size=8) * 0.05]) for i in range(900)]
+    rows += [(40, rows[41][1]), (40, rows[42][1])]  # an id that repeats asks once, for all its rows
+    found, pairs = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0, k=3)
+    blocks = -(-900 // 16)
+    assert pairs.count() < 0.3 * 45 * blocks and pairs.count() == pairs.distinct().count()
+    plain = []
+    for i in sorted({i for i, _ in rows if i % 20 == 0}):
+        asked = [np.floor(1024 * np.array(x)).astype(np.int64) for j, x in rows if j == i]
+        best = sorted((-int((q * np.floor(1024 * np.array(x)).astype(np.int64)).sum()), j) for q in asked for j, x in rows if j != i)[:3]
+        plain += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    assert sorted(map(tuple, found.collect())) == plain
+
+
 def test_large_products_stay_exact():
     q, x = np.array([[2**30, 3]]), np.array([[2**30, 5], [2**31, 7]])
     assert topk.scores(q, x).tolist() == [[2**60 + 15, 2**61 + 21]]
