@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import decontaminate, htmltext, jaccard, langid, quality, topk, toxicity, unigram, urlfilter, warc
+from foliospark.llm import decontaminate, htmltext, jaccard, langid, licenses, negatives, quality, resample, topk, toxicity, unigram, urlfilter, warc
 from foliospark.llm.common import crc_part
 
 
@@ -123,6 +123,73 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(_table(spark, sf_dir, "pages"))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and passages of every document."""
+    return licenses.digest(licenses.scan(_table(spark, sf_dir, "documents")))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 10 negatives of each of the 5 positives of every vector whose id is divisible by 100."""
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(_table(spark, sf_dir, "embeddings"), anchors=F.col("vec_id") % 100 == 0, label=shifted)
+
+
+OP12_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id AS vec_id, a.label = c.label AS alike,
+         CAST(list_sum(list_transform(list_zip(a.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT alike AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and place in the draw of every document, towards the benchmark's words."""
+    drawn = resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+#: crc32 is spelled out: a table of 256 steps by rule, then one look-up a byte, once for each distinct word.
+OP13_SQL = """
+WITH t AS (
+  SELECT list(list_reduce(range(0, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS step FROM range(0, 256) r(i)),
+d AS (SELECT row_number() OVER () AS no, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '(?:[a-z0-9]|[^\x00-\x7F])+') AS w FROM documents),
+dw AS (SELECT no, w, count(*) AS n FROM (SELECT no, unnest(w) AS w FROM d) GROUP BY ALL),
+bw AS (SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '(?:[a-z0-9]|[^\x00-\x7F])+')) AS w FROM benchmark) GROUP BY 1),
+h AS (SELECT w, hex(encode(w)) AS h FROM (SELECT w FROM dw UNION SELECT w FROM bw)),
+b AS (
+  SELECT w, xor(list_reduce(list_transform(range(0, length(h) // 2), lambda i: CAST('0x' || substr(h, CAST(2 * i + 1 AS INTEGER), 2) AS BIGINT)),
+                            lambda c, x: xor(c >> 8, step[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) % 10000 AS bucket
+  FROM h, t),
+s AS (SELECT bucket, sum(n) AS s FROM dw JOIN b USING (w) GROUP BY 1),
+u AS (SELECT bucket, sum(n) AS t FROM bw JOIN b USING (w) GROUP BY 1),
+g AS (
+  SELECT bucket, CAST(floor(1000 * ln(CAST((coalesce(t, 0) + 1) AS DOUBLE) * ((SELECT coalesce(sum(n), 0) FROM dw) + 10000)
+                                      / (CAST((coalesce(s, 0) + 1) AS DOUBLE) * ((SELECT coalesce(sum(n), 0) FROM bw) + 10000)))) AS BIGINT) AS gain
+  FROM s FULL JOIN u USING (bucket)),
+f AS (SELECT no, CAST(sum(n) AS BIGINT) AS n_features, CAST(floor(CAST(sum(n * gain) AS DOUBLE) / CAST(sum(n) AS DOUBLE)) AS BIGINT) AS weight FROM dw JOIN b USING (w) JOIN g USING (bucket) GROUP BY 1),
+r AS (
+  SELECT no, d.doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST(CAST('0x' || substr(sha256('2024:' || CAST(d.doc_id AS VARCHAR)), 1, 8) AS BIGINT) AS DOUBLE) + 0.5) / 4294967296))) AS BIGINT) AS score
+  FROM d LEFT JOIN f USING (no)),
+k AS (SELECT no, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM r WHERE n_features >= 20 AND doc_id IS NOT NULL)
+SELECT r.doc_id, n_features, weight, score, CASE WHEN rank <= 10 * (SELECT count(*) FROM k) // 100 THEN rank END AS rank FROM r LEFT JOIN k USING (no)
+"""
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_language_id, op2_toxicity, op3_warc_index, op4_unigram_tokens, op5_main_text, op6_exact_top_k, op7_decontamination, op8_jaccard_join, op9_url_filter, op10_quality)}
-ORACLES: dict[str, str] = {"op3_warc_index": OP3_SQL, "op6_exact_top_k": OP6_SQL, "op7_decontamination": OP7_SQL, "op8_jaccard_join": OP8_SQL}
+    op1_language_id, op2_toxicity, op3_warc_index, op4_unigram_tokens, op5_main_text, op6_exact_top_k, op7_decontamination, op8_jaccard_join, op9_url_filter, op10_quality,
+    op11_license_scan, op12_hard_negatives, op13_importance_resampling)}
+ORACLES: dict[str, str] = {"op3_warc_index": OP3_SQL, "op6_exact_top_k": OP6_SQL, "op7_decontamination": OP7_SQL, "op8_jaccard_join": OP8_SQL,
+                           "op12_hard_negatives": OP12_SQL, "op13_importance_resampling": OP13_SQL}
