@@ -270,6 +270,7 @@ def scan(documents: DataFrame, phrases: tuple = PHRASES, templates: tuple = TEMP
     Templates are short lists held in each task; texts are read whole, a turn of ``TURN`` bytes or one text at a time.
     """
     rules = rules or Rules()
+    _compiled(phrases, templates)  # so that faulty templates are an error here, not in a task
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton, labels = _compiled(phrases, templates)
