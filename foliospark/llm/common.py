@@ -187,3 +187,12 @@ def windows(offsets: np.ndarray, limit: int, overlap: int) -> Iterator[tuple[int
         stop = max(row + 1, min(stop, rows))
         yield row, stop, int(offsets[row]), int(offsets[stop])
         row = stop
+
+
+def turns(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Whole rows (first, end) of about ``limit`` bytes; a longer row is a turn by itself."""
+    row, rows = 0, len(offsets) - 1
+    while row < rows:
+        stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + limit, side="right")) - 1)
+        yield row, stop
+        row = stop

@@ -60,42 +60,45 @@ class Boosted:
         return total
 
 
-def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 4, rate: float = 0.2, bins: int = 32, least: float = 5.0, ridge: float = 1.0, weight: np.ndarray | None = None) -> Boosted:
-    """Newton boosting of the logistic loss on quantile bins. A single label gives that label's prior alone, no rows a low one."""
+def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 4, rate: float = 0.2, bins: int = 32, least: float = 5.0, ridge: float = 1.0, weight: np.ndarray | None = None,
+        share: float = 1.0, seed: int = 1) -> Boosted:
+    """Newton boosting of the logistic loss on quantile bins; each tree may use a random ``share`` of the features. A single label gives that label's prior alone, no rows a low one."""
     weight = np.ones(len(y)) if weight is None else weight
     p = np.clip((weight @ y + 0.5) / (weight.sum() + 1), 0.01, 0.99) if len(y) else 0.01
     model = Boosted([], float(np.log(p / (1 - p))))
     if not len(y) or y.min() == y.max():
         return model
     edges = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1])) for c in x.T]
+    width = max(len(e) for e in edges) + 1
     binned = np.stack([np.searchsorted(e, c, side="left") for e, c in zip(edges, x.T, strict=True)], 1)
-    margin = np.full(len(y), model.base)
+    real = np.arange(width - 1)[None, :] < np.array([len(e) for e in edges])[:, None]
+    margin, draw = np.full(len(y), model.base), np.random.default_rng(seed)
     for _ in range(trees):
+        chosen = np.arange(x.shape[1]) if share >= 1 else np.sort(draw.permutation(x.shape[1])[: max(1, int(share * x.shape[1]))])
+        slots = binned[:, chosen] + np.arange(len(chosen)) * width  # of each feature's bin in one histogram of all features
+        cut = real[chosen]
         q = 1 / (1 + np.exp(-margin))
         g, h = weight * (y - q), weight * q * (1 - q)
         tree = Tree()
 
-        def grow(rows: np.ndarray, level: int, g: np.ndarray = g, h: np.ndarray = h, tree: Tree = tree) -> int:
+        def grow(rows: np.ndarray, level: int, g: np.ndarray = g, h: np.ndarray = h, tree: Tree = tree, slots: np.ndarray = slots, cut: np.ndarray = cut, chosen: np.ndarray = chosen) -> int:
             gs, hs = g[rows].sum(), h[rows].sum()
             at = tree.add(float(rate * gs / (hs + ridge)))
             best = (1e-6, -1, -1)
             if level < depth and len(rows) >= 2 * least:
-                for j, e in enumerate(edges):
-                    if not len(e):
-                        continue
-                    b = binned[rows, j]
-                    gl, hl = np.cumsum(np.bincount(b, g[rows], len(e) + 1))[:-1], np.cumsum(np.bincount(b, h[rows], len(e) + 1))[:-1]
-                    n = np.cumsum(np.bincount(b, minlength=len(e) + 1))[:-1]
-                    gain = gl**2 / (hl + ridge) + (gs - gl) ** 2 / (hs - hl + ridge) - gs**2 / (hs + ridge)
-                    gain[(n < least) | (len(rows) - n < least)] = -1
-                    k = int(gain.argmax())
-                    if gain[k] > best[0]:
-                        best = (float(gain[k]), j, k)
+                held = slots[rows].ravel()
+                below = lambda w: np.cumsum(np.bincount(held, None if w is None else np.repeat(w[rows], len(chosen)), len(chosen) * width).reshape(-1, width), axis=1)[:, :-1]
+                gl, hl, n = below(g), below(h), below(None)
+                gain = gl**2 / (hl + ridge) + (gs - gl) ** 2 / (hs - hl + ridge) - gs**2 / (hs + ridge)
+                gain[(n < least) | (len(rows) - n < least) | ~cut] = -1
+                j, k = divmod(int(gain.argmax()), width - 1)
+                if gain[j, k] > best[0]:
+                    best = (float(gain[j, k]), j, k)
             if best[1] >= 0:
-                below = binned[rows, best[1]] <= best[2]
-                tree.feature[at], tree.threshold[at] = best[1], float(edges[best[1]][best[2]])
-                tree.left[at] = grow(rows[below], level + 1)
-                tree.right[at] = grow(rows[~below], level + 1)
+                low = slots[rows, best[1]] <= best[2] + best[1] * width
+                tree.feature[at], tree.threshold[at] = int(chosen[best[1]]), float(edges[chosen[best[1]]][best[2]])
+                tree.left[at] = grow(rows[low], level + 1)
+                tree.right[at] = grow(rows[~low], level + 1)
             else:
                 margin[rows] += tree.value[at]
             return at

@@ -15,6 +15,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm import gbt
-from foliospark.llm.common import small_batches
+from foliospark.llm.common import small_batches, turns
 
 # Element names of HTML by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -69,7 +70,8 @@ class Page:
         return len(self.tag) - 1
 
 
-def _attributes(source: str) -> tuple[frozenset, bool, int]:
+def _attributes(source: str, marks: bool) -> tuple[frozenset, bool, int]:
+    """Tokens of class, id and role, whether the element is hidden, and the mark of a training page (-1 without, or where ``marks`` are not read)."""
     tokens: set[str] = set()
     hidden, truth = False, -1
     for name, value in _NAMES.findall(source):
@@ -79,14 +81,17 @@ def _attributes(source: str) -> tuple[frozenset, bool, int]:
             tokens.update(found)
             tokens.update(f"^{t}" for t in found[:1])  # what stands first is the name, the rest may speak of other things
         elif name == "data-truth":
-            truth = int(value)
+            truth = int(value) if marks else -1
         else:
             hidden |= name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", "")
     return frozenset(tokens), hidden, truth
 
 
-def parse(source: str) -> Page:
-    """A forgiving parse: inline elements only count as features, unclosed and stray tags are mended as browsers do."""
+def parse(source: str, marks: bool = False) -> Page:
+    """A forgiving parse: inline elements only count as features, unclosed and stray tags are mended as browsers do.
+
+    ``marks``: read ``data-truth``, as generated training pages have it; in other pages it is an attribute like any other.
+    """
     page, stack, at = Page(), [0], 0
     run: list[str] = []
     open_: Counter = Counter()  # of each name, so that a stray end tag needs no look at the stack
@@ -167,13 +172,15 @@ def parse(source: str) -> Page:
                 break
         if name in ("html", "body") and open_[name]:
             continue
-        tokens, hidden, truth = _attributes(rest)
+        tokens, hidden, truth = _attributes(rest, marks)
         stack.append(page.add(name, stack[-1], tokens, hidden, truth=truth))
         open_[name] += 1
     close_run()
     return page
 
 
+#: Characters of html of a turn, where pages aren't longer themselves; nodes that the trees judge at a time.
+TURN, NODES = 1 << 20, 1 << 16
 #: Names of a node's features, in the order of ``node_features``.
 FEATURES = (
     "chars", "words", "link_density", "tag_density", "punctuation", "text_runs", "paragraphs", "headings", "items", "share_of_page", "share_of_parent", "depth", "position", "siblings", "place_among_siblings",
@@ -186,63 +193,105 @@ _KINDS = {"nav": 1, "menu": 1, "footer": 2, "aside": 3, "header": 4, "form": 5,
           "article": 10, "main": 11, "p": 9, "blockquote": 9, "pre": 9, "h1": 8, "h2": 8, "h3": 8, "h4": 8, "h5": 8, "h6": 8, "li": 6, "ul": 6, "ol": 6, "table": 7, "td": 7, "tr": 7, "#": 7.5}
 
 
-def node_features(page: Page, weights: dict[str, float]) -> np.ndarray:
-    """Features of each node. ``weights``: log odds of attribute tokens; others count as 0.
+@lru_cache(maxsize=1)
+def _is_upper() -> np.ndarray:
+    return np.fromiter((chr(i).isupper() for i in range(0x110000)), bool, 0x110000)
+
+
+def _text_counts(texts: list[str]) -> tuple[np.ndarray, ...]:
+    """Characters, spaces, punctuation marks and capitals of each text, from one array of all code points."""
+    size = np.array([len(t) for t in texts], np.int64)
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    ends = np.append(0, np.cumsum(size))
+    within = lambda marked: np.diff(np.append(0, np.cumsum(marked))[ends])
+    return size, within(points == 32), within(np.isin(points, [ord(c) for c in ".,;:!?"])), within(_is_upper()[points])
 
-    Features of what is above a node come twice: of all ancestors, and of those that are parts of the page.
+
+def node_features(pages: list[Page], weights: dict[str, float]) -> np.ndarray:
+    """Features of all nodes of all pages, page by page. ``weights``: log odds of attribute tokens; others count as 0.
+
+    Nodes come in page order, so that a subtree is a run of nodes. What is above a node is passed down level by level and comes twice: of all
+    ancestors, and of those that are parts of the page.
     """
-    n = len(page.tag)
-    parent = page.parent
-    chars, words, linked, tags, punct, runs, paras, heads, items, caps = ([0] * n for _ in range(10))
-    depth, kids, place = [0] * n, [[] for _ in range(n)], [0] * n
-    low, high = [0.0] * n, [0.0] * n
-    for i in range(n):
-        tag, t = page.tag[i], page.text[i]
-        if i:
-            p = parent[i]
-            depth[i] = depth[p] + 1
-            place[i] = len(kids[p])
-            kids[p].append(i)
-        if tag == "#":
-            chars[i], words[i], linked[i], runs[i], tags[i] = len(t), t.count(" ") + 1, min(page.linked[i], len(t)), 1, page.inline[i]
-            punct[i], caps[i] = len(_PUNCT.findall(t)), sum(map(str.isupper, t))
-        else:
-            tags[i] = 1
-            paras[i], heads[i], items[i] = tag == "p", tag in HEADINGS, tag == "li"
-            if page.tokens[i]:
-                known = [weights.get(x, 0.0) for x in page.tokens[i]]
-                low[i], high[i] = min(0.0, *known), max(0.0, *known)
-    for i in range(n - 1, 0, -1):
+    joined = lambda lists: list(chain.from_iterable(lists))
+    counts = np.array([len(p.tag) for p in pages], np.int64)
+    root = np.append(0, np.cumsum(counts))[:-1]
+    n = int(counts.sum())
+    parent = np.array(joined(p.parent for p in pages), np.int64) + np.repeat(root, counts)
+    parent[root] = root
+    child = np.ones(n, bool)
+    child[root] = False
+    above = parent.tolist()
+    depth_, size_ = [0] * n, [1] * n
+    for i, p in enumerate(above):
+        if i != p:
+            depth_[i] = depth_[p] + 1
+    for i in range(n - 1, -1, -1):
+        if above[i] != i:
+            size_[above[i]] += size_[i]
+    depth, end = np.array(depth_, np.int64), np.arange(n) + np.array(size_, np.int64)
+
+    names, tag = np.unique(np.array(joined(p.tag for p in pages)), return_inverse=True)
+    of_name = lambda wanted: np.array([x in wanted for x in names.tolist()], bool)[tag]
+    run = of_name(("#",))
+    kind = np.array([_KINDS.get(x, 7.0) for x in names.tolist()])[tag]
+    at = np.flatnonzero(run)
+    chars, spaces, marks, capitals = _text_counts([t for p in pages for t in p.text if t])
+
+    def subtrees(values: np.ndarray) -> np.ndarray:
+        total = np.append(0, np.cumsum(values))
+        return total[end] - total[:n]
+
+    def of_runs(values: np.ndarray) -> np.ndarray:
+        out = np.zeros(n, np.int64)
+        out[at] = values
+        return out
+
+    own = of_runs(chars)
+    c, words, punct, caps = (subtrees(x) for x in (own, of_runs(spaces + 1), of_runs(marks), of_runs(capitals)))
+    linked = subtrees(of_runs(np.minimum(np.array(joined(p.linked for p in pages), np.int64)[at], chars)))
+    tags = subtrees(np.where(run, np.array(joined(p.inline for p in pages), np.int64), 1))
+    runs, paras, heads, items = (subtrees(x) for x in (run, of_name(("p",)), of_name(HEADINGS), of_name(("li",))))
+
+    low, high = np.zeros(n), np.zeros(n)
+    for i, tokens in enumerate(joined(p.tokens for p in pages)):
+        if tokens:
+            known = [weights.get(x, 0.0) for x in tokens]
+            low[i], high[i] = min(0.0, *known), max(0.0, *known)
+    all_chars = np.repeat(np.maximum(1, c[root]), counts)
+    hidden = np.array(joined(p.hidden for p in pages), bool)
+    strong, part = (kind <= 5) | (kind >= 10), c / all_chars <= WHOLE
+    l1, h1, l2, h2, hid = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n, bool)
+    k1, k2 = np.full(n, 7.0), np.full(n, 7.0)
+    by_depth = np.argsort(depth, kind="stable")
+    level = np.searchsorted(depth[by_depth], np.arange(1, int(depth.max(initial=0)) + 2))
+    for a, b in zip(level[:-1].tolist(), level[1:].tolist(), strict=True):
+        i = by_depth[a:b]
         p = parent[i]
-        for total in (chars, words, linked, tags, punct, runs, paras, heads, items, caps):
-            total[p] += total[i]
-    out = np.empty((n, len(FEATURES)))
-    all_chars, before = max(1, chars[0]), 0
-    above = [(0.0, 0.0, 0.0, 0.0, 7.0, 7.0, False)] * n
-    alike = [0.0] * n
-    for i in range(n):
-        p = parent[i] if i else 0
-        c, share = chars[i], chars[p] / all_chars
-        if i:
-            l1, h1, l2, h2, k1, k2, hid = above[p]
-            kind = _KINDS.get(page.tag[p], 7.0)
-            strong = kind <= 5 or kind >= 10
-            part = share <= WHOLE
-            above[i] = (min(l1, low[p]), max(h1, high[p]), min(l2, low[p]) if part else l2, max(h2, high[p]) if part else h2,
-                        kind if strong and not k1 <= 5 else k1, kind if part and strong and not k2 <= 5 else k2, hid or page.hidden[p])
-        sib = len(kids[p]) if i else 1
-        l1, h1, l2, h2, k1, k2, hid = above[i]
-        if kids[i]:
-            names = Counter(page.tag[k] for k in kids[i])
-            for k in kids[i]:
-                alike[k] = names[page.tag[k]] / len(kids[i])
-        out[i] = (
-            c, words[i], linked[i] / max(1, c), tags[i] / max(1, c), punct[i] / max(1, words[i]), runs[i], paras[i], heads[i], items[i], c / all_chars, c / max(1, chars[p]), depth[i], before / all_chars,
-            sib, place[i] / sib, alike[i], low[i], high[i], l1, h1, l2, h2, _KINDS.get(page.tag[i], 7.0), k1, k2,
-            page.hidden[i], hid, page.tag[i] == "#" and c < 40, before, all_chars - before - c, caps[i] / max(1, c),
-            chars[p], paras[p], linked[p] / max(1, chars[p]), punct[p] / max(1, words[p]), chars[p] / sib)
-        if page.tag[i] == "#":
-            before += c
+        is_part = part[p]
+        l1[i], h1[i] = np.minimum(l1[p], low[p]), np.maximum(h1[p], high[p])
+        l2[i], h2[i] = np.where(is_part, np.minimum(l2[p], low[p]), l2[p]), np.where(is_part, np.maximum(h2[p], high[p]), h2[p])
+        k1[i] = np.where(strong[p] & (k1[p] > 5), kind[p], k1[p])
+        k2[i] = np.where(is_part & strong[p] & (k2[p] > 5), kind[p], k2[p])
+        hid[i] = hid[p] | hidden[p]
+
+    sib = np.where(child, np.bincount(parent[child], minlength=n)[parent], 1)
+    by_parent = np.flatnonzero(child)[np.argsort(parent[child], kind="stable")]
+    place, alike = np.zeros(n), np.zeros(n)
+    place[by_parent] = np.arange(len(by_parent)) - np.searchsorted(parent[by_parent], parent[by_parent])
+    _, same, number = np.unique((parent * max(1, len(names)) + tag)[child], return_inverse=True, return_counts=True)
+    alike[child] = number[same] / sib[child]
+    before = np.append(0, np.cumsum(own))[:n]
+    before = before - np.repeat(before[root], counts)
+    of_parent = lambda x: x[parent]
+    columns = (
+        c, words, linked / np.maximum(1, c), tags / np.maximum(1, c), punct / np.maximum(1, words), runs, paras, heads, items, c / all_chars, c / np.maximum(1, of_parent(c)), depth, before / all_chars,
+        sib, place / sib, alike, low, high, l1, h1, l2, h2, kind, k1, k2,
+        hidden, hid, run & (c < 40), before, all_chars - before - c, caps / np.maximum(1, c),
+        of_parent(c), of_parent(paras), of_parent(linked) / np.maximum(1, of_parent(c)), of_parent(punct) / np.maximum(1, of_parent(words)), of_parent(c) / sib)
+    out = np.empty((n, len(FEATURES)), np.float32)
+    for j, x in enumerate(columns):
+        out[:, j] = x
     return out
 
 
@@ -316,9 +365,11 @@ def training_page(draw: random.Random) -> str:
 
     def holder(tag: str, names: tuple[str, ...], inner: str, truth: str = "") -> str:
         """An element of main text or of all: its name may be dull or speak of other things as well."""
-        name = _name(draw, named, *names)
-        if 'class="' in name and draw.random() < 0.35:
+        name, beside = _name(draw, named, *names), draw.random()
+        if 'class="' in name and beside < 0.35:
             name = name[:-1] + _beside(draw) + '"'
+        elif beside > 0.9:  # such words may stand first or alone, too
+            name = f' class="{_beside(draw).strip()}' + draw.choice(["", " " + draw.choice(names)]) + '"'
         return f"<{tag}{name}{truth}>{inner}</{tag}>"
 
     def menu(tag: str, *names: str) -> str:
@@ -415,13 +466,13 @@ class Extractor:
 
     def margins(self, pages: list[Page]) -> list[np.ndarray]:
         """Of each node of each page: log odds of main text. A wrapper of nearly all of the page says nothing itself."""
-        features = [node_features(p, self.weights) for p in pages]
-        if not features:
+        if not pages:
             return []
-        x = np.concatenate(features)
+        x = node_features(pages, self.weights)
         element = np.array([tag not in ("#", "article", "main") for p in pages for tag in p.tag])
-        margin = np.where(element & (x[:, FEATURES.index("share_of_page")] > WHOLE), 0.0, self.trees.margin(x))
-        return np.split(margin, np.cumsum([len(f) for f in features])[:-1])
+        margin = np.concatenate([self.trees.margin(x[at:at + NODES]) for at in range(0, len(x), NODES)])
+        margin[element & (x[:, FEATURES.index("share_of_page")] > WHOLE)] = 0.0
+        return np.split(margin, np.cumsum([len(p.tag) for p in pages])[:-1])
 
 
 def token_weights(pages: list[Page], most: float = 4.0) -> dict[str, float]:
@@ -441,19 +492,17 @@ def token_weights(pages: list[Page], most: float = 4.0) -> dict[str, float]:
 
 
 @lru_cache(maxsize=2)
-def trained(pages: int = 600, seed: int = 11, trees: int = 90, depth: int = 5) -> Extractor:
+def trained(pages: int = 700, seed: int = 12, trees: int = 90, depth: int = 5) -> Extractor:
     """Learned from generated pages of many layouts."""
     draw = random.Random(seed)
-    parsed = [parse(training_page(draw)) for _ in range(pages)]
+    parsed = [parse(training_page(draw), marks=True) for _ in range(pages)]
     weights = token_weights(parsed[: pages * 3 // 4])  # the trees see other pages too, so that they don't trust tokens too much
-    x, y, w = [], [], []
-    for page in parsed[pages // 4:]:
-        truth = labelled_nodes(page)
-        at = np.flatnonzero(truth >= 0)
-        x.append(node_features(page, weights)[at])
-        y.append(truth[at].astype(float))
-        w.append(np.full(len(at), 30 / max(1, len(at))))
-    return Extractor(weights, gbt.fit(np.concatenate(x), np.concatenate(y), trees=trees, depth=depth, least=25, ridge=3.0, weight=np.concatenate(w)))
+    later = parsed[pages // 4:]
+    truth = [labelled_nodes(page) for page in later]
+    known = [t >= 0 for t in truth]
+    weight = np.concatenate([np.full(k.sum(), 30 / max(1, k.sum())) for k in known])
+    x, y = node_features(later, weights)[np.concatenate(known)], np.concatenate(truth)
+    return Extractor(weights, gbt.fit(x, y[y >= 0].astype(float), trees=trees, depth=depth, least=25, ridge=3.0, weight=weight, share=0.5))
 
 
 def main_texts(sources: list[str], model: Extractor) -> list[str]:
@@ -464,7 +513,9 @@ def main_texts(sources: list[str], model: Extractor) -> list[str]:
 def extract(pages: DataFrame, model: Extractor | None = None) -> DataFrame:
     """``page_id``, ``url``, ``text`` and ``n_chars`` of each page: the main text of its whole html.
 
-    Null and empty html give an empty text. Every row is answered once, repeated and null ids too.
+    Null and empty html give an empty text. Every row is answered once, repeated and null ids too. No attribute of a page is read but class, id,
+    role, hidden, aria-hidden and style. Pages are judged in turns of ``TURN`` characters of html, or one by one where they are longer: memory follows the
+    largest page.
     """
     spark = pages.sparkSession
     small_batches(spark, 128)
@@ -473,9 +524,10 @@ def extract(pages: DataFrame, model: Extractor | None = None) -> DataFrame:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sources = [s or "" for s in batch.column(2).to_pylist()]
+            ends = np.append(0, np.cumsum([len(s) for s in sources]))
             texts = []
-            for at in range(0, len(sources), 32):
-                texts += main_texts(sources[at:at + 32], shared.value)
+            for first, end in turns(ends, TURN):
+                texts += main_texts(sources[first:end], shared.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     found = pages.select("page_id", "url", "html").mapInArrow(apply, "page_id long, url string, text string")

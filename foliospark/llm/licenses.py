@@ -17,8 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import text_buffers
-from foliospark.llm.resample import turns
+from foliospark.llm.common import text_buffers, turns
 from foliospark.llm.shingles import ALPHANUMERIC, word_codes, words
 
 # Phrases that count wherever they stand, and their labels.

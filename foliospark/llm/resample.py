@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import text_buffers, written
+from foliospark.llm.common import text_buffers, turns, written
 from foliospark.llm.shingles import ALPHANUMERIC, words
 
 #: Bytes of text of a turn, where texts aren't longer themselves.
@@ -33,15 +33,6 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def turns(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
-    """Whole rows (first, end) of about ``limit`` bytes; a longer row is a turn by itself."""
-    row, rows = 0, len(offsets) - 1
-    while row < rows:
-        stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + limit, side="right")) - 1)
-        yield row, stop
-        row = stop
-
-
 class Dictionary:
     """Word ids and the buckets of tuples of word ids, as far as a task has met them."""
 

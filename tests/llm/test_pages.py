@@ -73,7 +73,7 @@ def test_real_template(spark, sf_dir, model):
 def test_held_out_pages(model):
     draw, right, all_ = random.Random(99), 0, 0
     for _ in range(60):
-        page = htmltext.parse(htmltext.training_page(draw))
+        page = htmltext.parse(htmltext.training_page(draw), marks=True)
         truth = htmltext.labelled_nodes(page)
         kept = htmltext.decode(page, model.margins([page])[0])
         for i, tag in enumerate(page.tag):
@@ -134,6 +134,46 @@ def test_names_that_speak_of_other_things(model, name, paragraphs):
         assert htmltext.main_texts([source], model) == [" ".join(["Headline of it", *words])]
 
 
+#: Names whose first word, or all words, speak of what surrounds a text.
+MISLEADING = ["widget-area main", "widget-content", "footer-less sidebar", "footer-content", "header-fixed article", "menu-open main", "banner-page", "comment-open post", "nav-page", "share-box text", "sidebar-right content",
+              "ad-free", "notice-open", "comments-closed entry", "related-post", "popup-wrap", "search-result", "promo-page", "newsletter-issue", "cookie-page", "form-page"]
+
+
+@pytest.mark.parametrize("tag", ["article", "div", "main", "section"])
+def test_no_article_is_lost_to_its_name(model, tag):
+    words = [f"This is the clear paragraph number {i} of the text, with words." for i in range(9)]
+    page = ("<html><body><nav><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li></ul></nav><{0} class=\"{1}\"><h1>Headline of it</h1>" + "".join(f"<p>{w}</p>" for w in words)
+            + "</{0}><footer>&copy; site words at the foot.</footer></body></html>")
+    wanted = " ".join(["Headline of it", *words])
+    assert {n: t for n, t in zip(MISLEADING, htmltext.main_texts([page.format(tag, n) for n in MISLEADING], model)) if t != wanted} == {}
+
+
+def test_marks_of_training_pages_are_not_read(model):
+    page = "<body><nav data-truth=1><a href=/>Home</a> <a href=/x>News</a></nav><article{}><h1>Title of it</h1><p>Some words of the text, and more of them.</p><p>The second one, with words.</p></article></body>"
+    marks = ["", " data-truth", ' data-truth=""', ' data-truth="x"', " data-truth=0", ' DATA-TRUTH="99999999999999999999"', " data-truth='-1' hidden2"]
+    assert len(set(htmltext.main_texts([page.format(m) for m in marks], model))) == 1
+    assert htmltext.parse("<p data-truth=x>a").truth == [-1, -1, -1] and htmltext.parse("<p data-truth=0>a", marks=True).truth == [-1, 0, -1]
+
+
+def test_pages_judged_together_are_judged_alone(spark, model, monkeypatch):
+    sources = [layout(random.Random(i), i % 6)[0] for i in range(30)] + ["", "<p>x", "&amp;", "<div>" * 300 + "x", "\ud800".encode("utf-8", "surrogatepass").decode("utf-8", "replace")]
+    together = htmltext.main_texts(sources, model)
+    assert together == [t for s in sources for t in htmltext.main_texts([s], model)]
+    monkeypatch.setattr(htmltext, "TURN", 1000)
+    monkeypatch.setattr(htmltext, "NODES", 50)
+    rows = [(i, "u", s) for i, s in enumerate(sources)]
+    assert [r["text"] for r in htmltext.extract(pages(spark, rows), model).orderBy("page_id").collect()] == together
+    assert htmltext.main_texts([], model) == []
+
+
+def test_a_page_of_five_megabytes(model):
+    line = "<div><p>Words of a long page, one after the other.</p><ul><li>and an item</li></ul></div>"
+    source = "<nav><a href=/>Home</a></nav><article>" + line * (5_000_000 // len(line)) + "</article>"
+    began = time.time()
+    (text,) = htmltext.main_texts([source], model)
+    assert text.startswith("Words of a long page") and len(text) > 2_500_000 and time.time() - began < 60
+
+
 def test_odd_markup(model):
     assert htmltext.main_texts(["<main><h1>Title</h1><p>Short.</p></main>", "<article><p>Then <math><mi>E</mi>=<mi>m</mi></math> follows.</p></article>"], model) == ["Title Short.", "Then E=m follows."]
     words = "long text with <object>words</object> in it, and more; " * 40_000
