@@ -65,6 +65,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """``name``, or one like it that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def crc_part(column: str, modulus: int) -> Column:
     """crc32 of an id's decimal text, modulo ``modulus``."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from foliospark.llm.common import IdFilter, attach_groups, kept_rows, small_batches, text_buffers, written
+from foliospark.llm.common import IdFilter, attach_groups, kept_rows, small_batches, text_buffers, unused, written
 from foliospark.llm.components import components
 from foliospark.llm.shingles import mix, shingles
 
@@ -178,8 +178,8 @@ class Bitmaps:
         return out
 
 
-def _pairs(listed: np.ndarray, at: np.ndarray, n: np.ndarray, bits: Bitmaps, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(row, row) of candidates of the same list, in slices.
+def _pairs(listed: np.ndarray, at: np.ndarray, n: np.ndarray, bits: Bitmaps, percent: int, label: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, row) of candidates of the same list, in slices; with ``label`` only those whose labels differ.
 
     Rows are sorted by list, block of positions and set size. With its shingle at position p and q, sets of n and m have min(p, q) + min(n - p, m - q) in common
     at most, so a set of n only visits the blocks up to n * (1 - t) / t positions on, and there the sizes from t * n to n / t.
@@ -203,6 +203,8 @@ def _pairs(listed: np.ndarray, at: np.ndarray, n: np.ndarray, bits: Bitmaps, per
             y = np.arange(len(x)) + np.repeat(begin[a:b] - np.cumsum(m) + m, m)
             p, q, s, t = at[x], at[y], n[x], n[y]
             ok = (np.minimum(p, q) + np.minimum(s - p, t - q)) * (100 + percent) >= percent * (s + t)
+            if label is not None:
+                ok &= label[x] != label[y]
             x, y = x[ok], y[ok]
             near = bits.apart(x, y) * (100 + percent) <= (n[x] + n[y]) * (100 - percent)
             if near.any():
@@ -248,6 +250,28 @@ def _candidates(lists: DataFrame, percent: int) -> DataFrame:
             .select("token", "position", "node", "n", "bits").mapInArrow(join, "a long, b long"))
 
 
+def _open_questions(lists: DataFrame, percent: int) -> DataFrame:
+    """``node`` and ``block``: sets outside of their cluster's main class, and blocks that hold a candidate of theirs with another label.
+
+    ``lists`` are those of ``_candidates``, with each set's ``label``, its cluster's ``main`` one and its ``block``. Of two sets that ask, the later one does.
+    """
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ["token"], 4 * BLOCK):
+            node, at, n, label, main, block = (table.column(c).to_numpy().astype(np.int64) for c in ("node", "position", "n", "label", "main", "block"))
+            bits, token = Bitmaps(table.column("bits")), table.column("token").to_numpy()
+            found = np.zeros((0, 2), np.int64)
+            for x, y in _pairs(np.cumsum(np.append(0, token[1:] != token[:-1])), at, n, bits, percent, label):
+                mine = (label[x] != main[x]) & ((label[y] == main[y]) | (node[x] > node[y]))
+                x, y = np.where(mine, x, y), np.where(mine, y, x)
+                found = np.unique(np.concatenate([found, np.stack([node[x], block[y]], 1)]), axis=0)
+            if len(found):
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1], pa.int32())], names=["node", "block"])
+
+    return (lists.repartition("token").sortWithinPartitions("token", F.expr(f"position div {POSITIONS}"), "n", "node")
+            .select("token", "position", "node", "n", "bits", "label", "main", "block").mapInArrow(ask, "node long, block int").distinct())
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], key: list[str], rows: int, size: str | None = None) -> Iterator[pa.Table]:
     """Runs of whole groups out of sorted batches, of ``rows`` rows or ``BYTES`` in the column ``size`` about, or of one group where that is larger."""
     held: list[pa.RecordBatch] = []
@@ -333,28 +357,32 @@ class Answers:
         return np.flatnonzero((o > 0) & (100 * o >= self.percent * (self.n + self.n[x] - o)))
 
 
-def classes(sets: list[np.ndarray], percent: int, label: np.ndarray, ask: np.ndarray | None = None) -> np.ndarray:
-    """The labels, where labels that links connect have become their least one.
+def classes(sets: list[np.ndarray], percent: int, label: np.ndarray, ask: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The labels, where labels that links connect have become their least one; and the number of links of each set that was answered.
 
     ``ask`` marks the sets whose links to all others are searched; without it all links count: sets are answered until all that aren't have one label.
     """
     answers, (names, label) = Answers(sets, percent), np.unique(label, return_inverse=True)
+    degree = np.zeros(len(sets), np.int64)
     todo = np.ones(len(sets), bool) if ask is None else ask.copy()
     while True:
         open_ = np.flatnonzero(todo)
         if ask is None and len(open_):
             open_ = open_[label[open_] != np.bincount(label[open_]).argmax()]
         if not len(open_):
-            return names[label]
+            return names[label], degree
         x = int(open_[0])
         todo[x] = False
-        joined = np.unique(label[answers.links(x)])
+        links = answers.links(x)
+        degree[x] = len(links)
+        joined = np.unique(label[links])
         if len(joined) > 1:
             label[np.isin(label, joined)] = joined[0]
 
 
 def _classes(rows: DataFrame, words: int, percent: int) -> DataFrame:
-    """``node``, its ``label`` and the ``least`` label that links reach from there within the block, where that is another.
+    """``node``, its ``label`` and the ``least`` label that links reach from there within the block, where that is another; and one row, marked as
+    ``central``, for each class of two sets or more: of those answered the set with the most links.
 
     ``rows``: ``cluster``, ``block``, ``chunk``, ``node``, ``label``, ``ask`` (null: see ``classes``), ``bytes`` and ``text``.
     """
@@ -370,22 +398,30 @@ def _classes(rows: DataFrame, words: int, percent: int) -> DataFrame:
                 x = table.column(c).to_numpy()
                 other |= x[1:] != x[:-1]
             cuts = np.concatenate([[0], np.flatnonzero(other) + 1, [table.num_rows]])
-            least = label.copy()
+            least, central = label.copy(), np.zeros(len(label), bool)
             for low, high in zip(cuts[:-1], cuts[1:], strict=True):
                 sets = [np.unique(codes[begin[i]:begin[i + 1]]) for i in range(low, high)]
-                least[low:high] = classes(sets, percent, label[low:high], None if ask[low] is None else ask[low:high].astype(bool))
-            new = np.flatnonzero(least != label)
+                least[low:high], degree = classes(sets, percent, label[low:high], None if ask[low] is None else ask[low:high].astype(bool))
+                best = np.lexsort((-degree, least[low:high]))
+                best = best[np.append(True, np.diff(least[low:high][best]) != 0)]
+                central[low + best] = degree[best] > 1
+            new = np.flatnonzero((least != label) | central)
             if len(new):
-                yield pa.RecordBatch.from_arrays([pa.array(x[new], pa.int64()) for x in (node, label, least)], names=["node", "label", "least"])
+                columns = [pa.array(x[new], pa.int64()) for x in (node, label, least)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(central[new])], names=["node", "label", "least", "central"])
 
     return (rows.repartition(*key).sortWithinPartitions(*key, "node")
-            .select(*key, "node", "label", "ask", "bytes", "text").mapInArrow(search, "node long, label long, least long"))
+            .select(*key, "node", "label", "ask", "bytes", "text").mapInArrow(search, "node long, label long, least long, central boolean"))
 
 
-def classes_of_clusters(documents: DataFrame, sets: DataFrame, clusters: DataFrame, words: int, percent: int) -> DataFrame:
-    """``node`` and ``component`` of sets that link with one of a lower id. ``sets`` has ``node`` and ``bytes``, ``clusters`` ``node`` and ``component``.
+def classes_of_clusters(documents: DataFrame, sets: DataFrame, clusters: DataFrame, shared: DataFrame, words: int, percent: int) -> DataFrame:
+    """``node`` and ``component`` of sets that link with one of a lower id. ``sets`` has ``node``, ``n``, ``bits`` and ``bytes``, ``clusters`` ``node`` and
+    ``component``, ``shared`` the lists (``token``, ``position``, ``node``, ``large``).
 
-    A cluster of one block is done in one task. Of larger ones, blocks come first; then the sets outside of the cluster's largest class so far go to all blocks.
+    A cluster of one block is done in one task. Of larger ones, the blocks come first. Then one set of each class of a block, that with the most links,
+    visits a few other blocks (those 1, 2, 4, ... further on), and classes that it links are one: so a large group of near copies becomes one class
+    while each set travels once. Last, the sets outside of the cluster's largest class go to the blocks where the lists show a candidate of theirs
+    that isn't of their class; those of large lists, whose candidates aren't told apart, to all blocks.
     """
     members = written(clusters.join(sets.select("node", "bytes"), "node").withColumnRenamed("component", "cluster"), "members")
     number = lambda size, weight: F.greatest(F.ceil(size / F.lit(SETS)), F.ceil(weight / F.lit(BYTES)), F.lit(1)).cast("int")
@@ -398,27 +434,43 @@ def classes_of_clusters(documents: DataFrame, sets: DataFrame, clusters: DataFra
     needed = IdFilter(members, "node")
     texts = kept_rows(documents.filter(F.col("doc_id").isNotNull()), [IdFilter.slot(F.col("doc_id"))], lambda x: needed.may_hold(x[0])).withColumnRenamed("doc_id", "node")
     inside = placed.select("cluster", "block", F.lit(0).alias("chunk"), "node", F.col("node").alias("label"), F.lit(None).cast("boolean").alias("ask"), "bytes").join(texts, "node")
-    found = written(_classes(inside, words, percent).select("node", F.col("least").alias("component")), "found")
+    answered = written(_classes(inside, words, percent), "found")
+    found = answered.filter("least <> label").select("node", F.col("least").alias("component"))
     if most <= 1:
         return found
+    columns = ["cluster", "block", "chunk", "node", "label", "ask", "bytes"]
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     large = written(placed.filter("blocks > 1").join(found, "node", "left").select("cluster", "blocks", "block", "node", F.coalesce("component", "node").alias("label"), "bytes"), "large")
+
+    further = F.explode(F.filter(F.array(*[F.lit(1 << i) for i in range(31)]), lambda x: x < F.col("blocks")))
+    visitors = (large.join(answered.filter("central").select("node"), "node", "left_semi").withColumn("further", further)
+                .withColumn("block", F.pmod(F.col("block") + F.col("further"), F.col("blocks"))))
+    hosts = large.withColumn("chunk", F.lit(0))
+    met = _classes(visitors.withColumn("chunk", F.lit(0)).withColumn("ask", F.lit(True)).select(columns).unionByName(hosts.withColumn("ask", F.lit(False)).select(columns)).join(texts, "node"), words, percent)
+    large = written(_renamed(large, met, total), "large")
+
     main = large.groupBy("cluster", "label").agg(F.count("*").alias("k")).groupBy("cluster").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.sum("k").alias("size"))
     large = written(attach_groups(large, written(main, "main"), "cluster", "size", total), "large")
-    odd = large.filter("label <> main").groupBy("cluster").agg(F.count("*").alias("k"), F.sum("bytes").alias("weight")).select("cluster", number(F.col("k"), F.col("weight")).alias("chunks"))
-    odd = written(large.groupBy("cluster").agg(F.count("*").alias("size")).join(odd, "cluster"), "odd")
-    dealt = attach_groups(large, odd, "cluster", "size", total).filter("chunks IS NOT NULL")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ["cluster", "block", "chunk", "node", "label", "ask", "bytes"]
-    asking = dealt.filter("label <> main").withColumn("chunk", place(2, "chunks")).withColumn("block", each("blocks")).withColumn("ask", F.lit(True))
-    held = dealt.withColumn("chunk", each("chunks")).withColumn("ask", F.lit(False))
+    asks = large.filter("label <> main")
+    anywhere = asks.join(shared.filter("large").select("node"), "node", "left_semi").select("node", each("blocks").alias("block"))
+    listed = shared.filter("NOT large").join(large.select("node", "label", "main", "block"), "node").join(sets.select("node", "n", "bits"), "node")
+    asking = written(_open_questions(listed, percent).unionByName(anywhere).distinct().join(asks.drop("block"), "node").withColumn("spot", F.struct("cluster", "block")), "asking")
+    spots = written(asking.groupBy("spot").agg(F.count("*").alias("size"), number(F.count("*"), F.sum("bytes")).alias("chunks")), "spots")
+    asked = spots.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    asking = attach_groups(asking, spots, "spot", "size", asked).withColumn("chunk", place(2, "chunks")).withColumn("ask", F.lit(True))
+    held = large.withColumn("spot", F.struct("cluster", "block")).join(spots.select("spot", "chunks"), "spot").withColumn("chunk", each("chunks")).withColumn("ask", F.lit(False))
     links = _classes(asking.select(columns).unionByName(held.select(columns)).join(texts, "node"), words, percent)
-    roots = components(links.select(F.col("label").alias("a"), F.col("least").alias("b")))
-    names = roots.withColumnRenamed("node", "label").withColumnRenamed("component", "root")
-    sized = written(large.groupBy("label").agg(F.count("*").alias("size")).join(names, "label"), "names")
-    changed = written(attach_groups(large.select("node", "label"), sized, "label", "size", total).select("node", F.coalesce("root", "label").alias("component")).filter("node <> component"), "changed")
+    changed = written(_renamed(large, links, total).filter("node <> label").select("node", F.col("label").alias("component")), "changed")
     return found.join(large.select("node"), "node", "left_anti").unionByName(changed)
 
 
+def _renamed(rows: DataFrame, links: DataFrame, total: int) -> DataFrame:
+    """``rows`` with the least ``label`` that the ``links`` (``label``, ``least``) of all blocks reach."""
+    roots = components(links.filter("least <> label").select(F.col("label").alias("a"), F.col("least").alias("b")))
+    names = rows.groupBy("label").agg(F.count("*").alias("size")).join(roots.withColumnRenamed("node", "label").withColumnRenamed("component", "root"), "label")
+    return attach_groups(rows, written(names, "names"), "label", "size", total).withColumn("label", F.coalesce("root", "label")).drop("root")
+
+
 def similar_documents(documents: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     """``doc_id``, ``n_shingles`` (size of its set) and ``component_id`` (the least doc_id that links reach) of each row.
 
@@ -466,33 +518,33 @@ def _classes_of_sets(documents: DataFrame, live: DataFrame, distinct: DataFrame,
     shared = written(attach_groups(postings, written(lists, "lists"), "token", "size", total).filter("first IS NOT NULL"), "shared")
     near = _candidates(shared.filter("NOT large").join(sets.select("node", "n", "bits"), "node"), percent)
     stars = shared.filter("large AND node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    return classes_of_clusters(documents, sets, components(near.unionByName(stars)), words, percent)
+    return classes_of_clusters(documents, sets, components(near.unionByName(stars)), shared, words, percent)
 
 
-def _by_set(documents: DataFrame, words: int) -> DataFrame:
-    """``documents``, written, with ``_node``: an id of each row's doc_id and set, null where the doc_id is. Rows that repeat both share it."""
-    schema = documents.schema
+def _by_set(documents: DataFrame, words: int, name: str) -> DataFrame:
+    """``documents``, written, with the column ``name``: an id of each row's doc_id and set, null where the doc_id is. Rows that repeat both share it."""
+    schema, key = documents.schema, unused("_set_key", documents)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             codes, begin = shingles(*text_buffers(batch.column(batch.num_columns - 1)), words)
             keys = [_set_key(np.unique(codes[a:b])) for a, b in zip(begin[:-1], begin[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(keys, pa.binary())], names=[*batch.schema.names[:-1], "_set_key"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(keys, pa.binary())], names=[*batch.schema.names[:-1], key])
 
-    keyed = documents.select("*", F.col("text").alias("_input")).mapInArrow(sign, StructType([*schema.fields, StructField("_set_key", BinaryType())]))
-    return written(keyed.withColumn("_node", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "_set_key"))).drop("_set_key"), "keyed")
+    keyed = documents.select("*", F.col("text").alias("_input")).mapInArrow(sign, StructType([*schema.fields, StructField(key, BinaryType())]))
+    return written(keyed.withColumn(name, F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", key))).drop(key), "keyed")
 
 
-def _classes_of_nodes(keyed: DataFrame, words: int, percent: int) -> DataFrame:
-    """``doc_id``, ``_node`` and ``component`` (of nodes) of each node; ids don't link here."""
-    nodes = keyed.filter("_node IS NOT NULL")
+def _classes_of_nodes(keyed: DataFrame, words: int, percent: int, name: str = "_node") -> DataFrame:
+    """``doc_id``, ``_node`` and ``component`` (of nodes) of each node, as the column ``name`` tells them apart; ids don't link here."""
+    nodes = keyed.filter(F.col(name).isNotNull()).select("doc_id", F.col(name).alias("_node"), "text")
     found = similar_documents(nodes.select(F.col("_node").alias("doc_id"), "text"), words, percent).select(F.col("doc_id").alias("_node"), F.col("component_id").alias("component"))
     return written(found.distinct().join(nodes.select("doc_id", "_node").distinct(), "_node"), "nodes")
 
 
 def _classes_of_mixed_ids(documents: DataFrame, signed: DataFrame, words: int, percent: int) -> DataFrame:
     """``similar_documents`` where an id has several sets: classes of (doc_id, set), then links between the sets of each id."""
-    nodes = _classes_of_nodes(_by_set(documents, words), words, percent)
+    nodes = _classes_of_nodes(_by_set(documents, words, "_node"), words, percent)
     total = nodes.count()
     least = nodes.groupBy("doc_id").agg(F.min("component").alias("a"), F.count("*").alias("size"))
     links = attach_groups(nodes, least, "doc_id", "size", total).select("a", F.col("component").alias("b"))
@@ -518,12 +570,13 @@ def one_of_each(documents: DataFrame, words: int = 5, percent: int = 80) -> Data
         found = written(similar_documents(documents, words, percent).select("doc_id", "component_id"), "classes")
         return _without(documents, found.filter("doc_id <> component_id").select("doc_id").distinct())
     small_batches(documents.sparkSession, 128)
-    keyed = _by_set(documents, words)
-    nodes = _classes_of_nodes(keyed, words, percent)
+    name = unused("_node", documents)
+    keyed = _by_set(documents, words, name)
+    nodes = _classes_of_nodes(keyed, words, percent, name)
     first = nodes.groupBy("component").agg(F.min(F.struct("doc_id", "_node")).alias("first"), F.count("*").alias("size"))
     gone = attach_groups(nodes, first, "component", "size", nodes.count()).filter(F.col("_node") != F.col("first._node"))
-    out = _without(keyed, gone.select("_node"))
-    return out.filter("_node IS NOT NULL").dropDuplicates(["_node"]).unionByName(out.filter("_node IS NULL")).drop("_node")
+    out = _without(keyed, gone.select(F.col("_node").alias(name)))
+    return out.filter(F.col(name).isNotNull()).dropDuplicates([name]).unionByName(out.filter(F.col(name).isNull())).drop(name)
 
 
 def _without(documents: DataFrame, gone: DataFrame) -> DataFrame:

@@ -172,30 +172,41 @@ def test_answers_are_derived_exactly():
         assert joined[a] <= a and all(joined[a] == joined[b] for b in range(80) if 100 * len(plain[a] & plain[b]) >= 80 * len(plain[a] | plain[b]))
 
 
-def test_a_large_group_of_near_copies_gives_rows_in_proportion(spark, monkeypatch):
-    """Candidates and links of one group grow with its size, not with its square, and the classes are those of brute force."""
-    made = {}
-    candidates, links = jaccard._candidates, jaccard._classes
+@pytest.mark.parametrize("changes, alone", [(1, (0.0, 0.2)), (3, (0.3, 0.7))])
+def test_a_large_group_of_near_copies_gives_rows_in_proportion(spark, monkeypatch, changes, alone):
+    """Candidates, links and sets dealt in every class step grow with a group, not with its square, and the classes are those of brute force."""
+    made, sizes = {}, (200, 800)
+    candidates, classes = jaccard._candidates, jaccard._classes
+
+    def counted(rows, *x):
+        made["dealt"] = made.get("dealt", 0) + rows.count()
+        made["calls"] = made.get("calls", 0) + 1
+        return classes(rows, *x)
+
     monkeypatch.setattr(jaccard, "_candidates", lambda *x: made.setdefault("candidates", candidates(*x)))
-    monkeypatch.setattr(jaccard, "_classes", lambda *x: made.setdefault("links", links(*x)))
+    monkeypatch.setattr(jaccard, "_classes", counted)
+    monkeypatch.setattr(jaccard, "SETS", 50)
     rows = {}
-    for size in (200, 1000):
+    for size in sizes:
         draw = random.Random(size)
         made.clear()
         base = [f"b{i}" for i in range(60)]
         texts = []
         for _ in range(size):
             w = list(base)
-            for _ in range(draw.randint(0, 3)):
+            for _ in range(draw.randint(0, changes)):
                 w[draw.randrange(60)] = f"x{draw.randrange(10**6)}"
             texts.append(" ".join(w))
         table = docs(spark, list(enumerate(texts)))
         found = {r["doc_id"]: r["component_id"] for r in jaccard.similar_documents(table, 5, 80).collect()}
         if size == 200:
             assert found == brute_components(list(enumerate(texts)), 5, 80)
-        assert 0.3 * size < len(set(found.values())) < 0.7 * size  # about half stay alone, candidates of each other
-        rows[size] = made["candidates"].count(), made["links"].count()
-    assert all(b <= 7 * a for a, b in zip(rows[200], rows[1000], strict=True))
+        assert alone[0] * size <= len(set(found.values())) < alone[1] * size  # with 3 changes about half stay alone, candidates of each other
+        assert made["calls"] == 3 or size < 800  # a cluster of several blocks
+        rows[size] = made["candidates"].count(), made["dealt"]
+    print(rows)
+    # each set travels at most once in each of the three steps, and the few that visit or ask a few times more
+    assert all(candidates <= size and dealt <= 4 * size for size, (candidates, dealt) in rows.items()), rows
 
 
 def test_forest_spans():
