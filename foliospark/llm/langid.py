@@ -138,19 +138,26 @@ def fit(texts: list[str], languages: list[str], landmarks: int = 128, ridge: flo
     return LanguageModel(index, marks, np.linalg.solve(system, k.T @ (y * weight)).astype(np.float32), names)
 
 
+#: Languages that are learned at most, and texts that the driver gets about at most, where that leaves 8 of each language.
+LANGUAGES, SAMPLE = 500, 20_000
+
+
 def training_sample(documents: DataFrame, train: Column, limit: int, max_chars: int) -> tuple[list[str], list[str]]:
     """About ``limit`` lower-cased texts of each language, of ``max_chars`` characters at most: what the driver gets is bounded.
 
-    Of a language that only has longer texts, their beginnings are taken.
+    Of a language that only has longer texts, their beginnings are taken. The ``LANGUAGES`` commonest values of ``lang`` are learned (ties: the first in
+    order), and where these are many, fewer texts of each, so that about ``SAMPLE`` texts or 8 of each language are taken in all.
     """
     usable = documents.filter(train & F.col("lang").isNotNull() & (F.length("text") > 0))
     fits = F.length("text") <= max_chars
-    counts = {r["lang"]: (r["n"], r["short"]) for r in usable.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(fits).alias("short")).collect()}  # a row per language
+    counts = {r["lang"]: (r["n"], r["short"]) for r in usable.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(fits).alias("short")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    limit = min(limit, max(8, SAMPLE // max(1, len(counts))))
     share = F.create_map(*[F.lit(x) for n, (c, k) in sorted(counts.items()) for x in (n, min(1.0, limit / (k or c)))]) if counts else None
     if share is None:
         return [], []
     only_long = [n for n, (_, k) in counts.items() if not k]
     rows = (usable.filter(fits | F.col("lang").isin(*only_long)).withColumn("text", F.left("text", F.lit(max_chars)))
+            .filter(F.col("lang").isin(*counts))
             .filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
             .select("doc_id", F.lower("text").alias("text"), "lang").collect())
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
@@ -160,8 +167,9 @@ def training_sample(documents: DataFrame, train: Column, limit: int, max_chars:
 def identify(documents: DataFrame, train: Column, sample: int = 400, max_chars: int = 20_000, **options) -> DataFrame:
     """Predict the language of each whole text: adds ``lang_pred`` and ``score`` (0 to 1) to ``doc_id``.
 
-    ``train`` marks the rows whose ``lang`` may be learned; ``sample`` rows of each language are. A null text, a text without a
-    letter and one without any learned n-gram are ``und`` with score 0. Every row is answered once, repeated ids and null ids too.
+    ``train`` marks the rows whose ``lang`` may be learned; ``sample`` rows of each language are (see ``training_sample``). A null text and a text without a
+    letter are ``und`` with score 0. A text without any learned n-gram gets some learned language with score 0: callers that want known languages only
+    ask for a score (see ``in_known_language``). Where nothing can be learned, all are ``und``. Every row is answered once, repeated ids and null ids too.
     """
     spark = documents.sparkSession
     small_batches(spark, 128)
@@ -174,7 +182,7 @@ def identify(documents: DataFrame, train: Column, sample: int = 400, max_chars:
                 continue
             scores = model.value.scores(*text_buffers(batch.column(1)))
             best = scores.argmax(1)
-            has_letter = batch.column(2).to_numpy(zero_copy_only=False).astype(bool) & scores.any(1)
+            has_letter = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(np.where(has_letter, names[best], UNDETERMINED), pa.string()),
                  pa.array(np.where(has_letter, scores[np.arange(len(best)), best], 0.0), pa.float64())],
