@@ -1,23 +1,41 @@
-"""Measurements of page images, in numpy on batches of 8-bit grey pixels. Formulas follow the metrics' definitions, not any library's pixels."""
+"""Measurements of page images, in numpy on batches of 8-bit grey pixels. Formulas follow the metrics' definitions, not any library's pixels.
+
+A page is measured at a bounded working size, inside of its sheet: dark surroundings that reach the border aren't paper. Light is judged
+against the page's own illumination field. Each image is one row of a Spark table and is measured by itself; regions come in pixels of the source.
+"""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+from foliospark.operators import kernels as k
 
-# Working size, grids and limits of the kernels.
+# Working size, grids and limits of the metrics.
 WORK, INK_STEP, GRID, TILES = 1600, 18, 48, 6
 GLARE_LEVEL, GLARE_OVER, SHADOW_SHARE, LOW_TILE = 250, 10, 0.70, 28.0
-SAMPLE, SEED = 20_000, 7
+LEAST_SHEET, TOUCHES, VISIBLE = 0.15, 0.5, 0.85
+LEAST_PARTS, LEAST_LINES, LEAST_GLYPHS, LEAST_NEIGHBOURS = 25, 6, 80, 40
+SPREAD_ASPECT, SPREAD_BAND, VALLEY = 1.15, (0.32, 0.68), 22.0
+SIDES = ("top", "bottom", "left", "right")
+#: Pixels and glyphs that are looked at where there are more, drawn by this seed.
+SAMPLE, GLYPHS, SEED = 20_000, 1_500, 7
 
+REGION = "struct<x:int,y:int,w:int,h:int>"
 METRICS = (
     "page_id long, width int, height int, is_bitonal boolean, median_luma double, paper_level double, ink_level double, ink_paper_contrast double, ink_coverage double, text_ink_coverage double, text_component_count int, "
-    "est_text_height_px double, noise_sigma double, snr double, stroke_sharpness double, skew_deg double, rotation_deg int, rotation_confidence double, glare_area_fraction double, shadow_area_fraction double, illumination_ratio double, "
-    "tile_count int, low_contrast_tiles int, cutoff_edges array<string>, likely_spread boolean, hash long, error string")
+    "est_text_height_px double, est_dpi double, noise_sigma double, snr double, stroke_sharpness double, skew_deg double, rotation_deg int, rotation_confidence double, glare_area_fraction double, "
+    "shadow_area_fraction double, illumination_ratio double, tile_count int, low_contrast_tiles int, cutoff_edges array<string>, likely_spread boolean, hash long, error string, doc_area_fraction double, "
+    f"visible_edges array<string>, spread_split_x int, capture_profile string, worst_tile {REGION}, worst_tile_contrast double, shadow_regions array<{REGION}>, glare_regions array<{REGION}>, cutoff_regions array<{REGION}>, seconds double")
 
 
 def read_pgm(data: bytes) -> np.ndarray:
@@ -26,140 +44,336 @@ def read_pgm(data: bytes) -> np.ndarray:
     if not head or int(head[3]) > 255:
         raise ValueError("not an 8-bit binary PGM")
     w, h = int(head[1]), int(head[2])
+    if not w or not h:
+        raise ValueError("the image has no pixels")
     if len(data) < head.end() + w * h:
         raise ValueError("the image is cut off")
     return np.frombuffer(data, np.uint8, w * h, head.end()).reshape(h, w)
 
 
-def block_means(x: np.ndarray, rows: int, cols: int) -> np.ndarray:
-    """Means over a grid of nearly equal cells."""
-    r, c = np.linspace(0, x.shape[0], rows + 1).astype(int)[:-1], np.linspace(0, x.shape[1], cols + 1).astype(int)[:-1]
-    total = np.add.reduceat(np.add.reduceat(x.astype(np.float64), r, 0), c, 1)
-    return total / np.outer(np.diff(np.append(r, x.shape[0])), np.diff(np.append(c, x.shape[1])))
+def write_pgm(x: np.ndarray) -> bytes:
+    return b"P5 %d %d 255\n" % (x.shape[1], x.shape[0]) + np.ascontiguousarray(x, np.uint8).tobytes()
 
 
 def shrunk(x: np.ndarray, most: int = WORK) -> np.ndarray:
+    """At most ``most`` pixels long, by means over areas; never enlarged."""
     scale = most / max(x.shape)
-    return x.astype(np.float64) if scale >= 1 else block_means(x, max(1, int(x.shape[0] * scale)), max(1, int(x.shape[1] * scale)))
+    return x if scale >= 1 else np.rint(k.block_means(x, max(1, int(x.shape[0] * scale)), max(1, int(x.shape[1] * scale)))).astype(np.uint8)
 
 
 def illumination(x: np.ndarray) -> np.ndarray:
-    """Brightness of the paper around each pixel: the 95th percentile of cells, spread over their pixels."""
-    n = max(1, min(GRID, x.shape[0] // 8)), max(1, min(GRID, x.shape[1] // 8))
-    r, c = np.linspace(0, x.shape[0], n[0] + 1).astype(int), np.linspace(0, x.shape[1], n[1] + 1).astype(int)
-    cells = np.array([[np.percentile(x[a:b, d:e], 95) for d, e in zip(c[:-1], c[1:], strict=True)] for a, b in zip(r[:-1], r[1:], strict=True)])
-    return np.repeat(np.repeat(cells, np.diff(r), 0), np.diff(c), 1)
+    """Brightness of the paper around each pixel: a closing by a disc wider than any stroke, then a blur."""
+    size = max(15, min(x.shape) // 20 | 1)
+    return k.smooth_field(k.closed(x, k.ellipse(size)), size / 4)
+
+
+def paper_percentile(x: np.ndarray, percent: float = 85, side: int = 5) -> float:
+    """Percentile of the medians of small squares; on larger images every fourth square each way counts."""
+    step = 4 if min(x.shape) >= 200 else 1
+    y = np.pad(x, side // 2, mode="edge")
+    h, w = x.shape
+    squares = np.stack([y[i:i + h:step, j:j + w:step] for i in range(side) for j in range(side)])
+    return float(np.percentile(np.partition(squares, side * side // 2, axis=0)[side * side // 2], percent))
+
+
+def sheet(x: np.ndarray) -> tuple[np.ndarray, float, list[str]]:
+    """Mask of the sheet, its share of the frame, and the sides on which its edge can be seen.
+
+    What is dark, freed of specks and small gaps, and reaches the border is no paper. Where that leaves under 15 % of the frame, the whole frame is the sheet.
+    """
+    h, w = x.shape
+    dark = k.majority(x < max(50.0, 0.45 * paper_percentile(x)), 5)
+    dark = k.closed(k.opened(dark, k.box(7, 7)), k.box(11, 11))
+    parts = k.components(dark, diagonal=False)
+    paper = k.opened(~parts.mask(k.border_parts(parts)), k.box(7, 7))
+    share = float(paper.mean())
+    if share < LEAST_SHEET:
+        paper, share = np.ones((h, w), bool), 1.0
+    edge = max(2, int(min(h, w) * 0.004))
+    cover = (paper[:edge].mean(), paper[-edge:].mean(), paper[:, :edge].mean(), paper[:, -edge:].mean())
+    return paper, share, [side for side, c in zip(SIDES, cover, strict=True) if c < VISIBLE]
+
+
+def without_rules(ink: np.ndarray) -> np.ndarray:
+    """Ink without long straight lines: runs of a twelfth of the page, and what touches them."""
+    h, w = ink.shape
+    lines = k.long_runs(ink, max(20, w // 12)) | k.long_runs(np.ascontiguousarray(ink.T), max(20, h // 12)).T
+    return ink & ~k.dilated(lines, k.box(3, 3))
+
+
+def noise(x: np.ndarray, paper: np.ndarray) -> float:
+    """Immerkaer's noise estimate on paper away from edges; 0 with under 500 such pixels."""
+    if min(x.shape) < 8:
+        return 0.0
+    y = x.astype(np.float32)
+    down = y[:-2] - 2 * y[1:-1] + y[2:]
+    across = np.abs(down[:, :-2] - 2 * down[:, 1:-1] + down[:, 2:])
+    flat = (paper & ~k.dilated(k.edges(x, 40, 120), k.box(5, 5)))[1:-1, 1:-1]
+    return float(across[flat].mean() * np.sqrt(np.pi / 2) / 6) if flat.sum() >= 500 else 0.0
 
 
-def noise(x: np.ndarray, ink: np.ndarray) -> float:
-    """Immerkaer's noise estimate on paper without ink nearby; 0 with under 500 such pixels."""
-    if min(x.shape) < 3:
+def sharpness(x: np.ndarray, ink: np.ndarray) -> float:
+    """Mean slope at the borders of ink in shares of the step from paper to ink; a seeded sample of borders on large pages."""
+    if ink.sum() < 300:
         return 0.0
-    kernel = np.array([[1, -2, 1], [-2, 4, -2], [1, -2, 1]])
-    v = sum(kernel[i, j] * x[i:x.shape[0] - 2 + i, j:x.shape[1] - 2 + j] for i in range(3) for j in range(3))
-    near = sum(ink[i:ink.shape[0] - 2 + i, j:ink.shape[1] - 2 + j] for i in range(3) for j in range(3)) > 0
-    flat = np.abs(v[~near])
-    return float(np.sqrt(np.pi / 2) / 6 * flat.mean()) if len(flat) >= 500 else 0.0
-
-
-def sharpness(x: np.ndarray, ink: np.ndarray, contrast: float) -> float:
-    """Mean slope at the borders of ink in shares of the ink's contrast, times 10; a seeded sample of borders on large pages."""
-    border = np.zeros_like(ink)
-    border[1:-1, 1:-1] = ink[1:-1, 1:-1] & ~(ink[:-2, 1:-1] & ink[2:, 1:-1] & ink[1:-1, :-2] & ink[1:-1, 2:])
-    at = np.flatnonzero(border)
-    if ink.sum() < 300 or len(at) < 200 or contrast <= 0:
+    at = np.flatnonzero(k.dilated(ink, k.box(3, 3)) & ~k.eroded(ink, k.box(3, 3)))
+    if len(at) < 200:
         return 0.0
     if len(at) > SAMPLE:
         at = np.random.default_rng(SEED).choice(at, SAMPLE, replace=False)
-    r, c = np.divmod(at, x.shape[1])
-    return float(np.hypot(x[r, c + 1] - x[r, c - 1], x[r + 1, c] - x[r - 1, c]).mean() / contrast * 5)
+    across, down = k.slopes(x)
+    bright = float(np.percentile(x[~ink], 60)) if not ink.all() else 255.0
+    return float(np.hypot(across.ravel()[at], down.ravel()[at]).mean() / max(1.0, bright - float(x[ink].mean())))
 
 
-def runs(profile: np.ndarray) -> np.ndarray:
-    """Lengths of the runs of True."""
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], profile.astype(np.int8), [0]])))
-    return edge[1::2] - edge[::2]
+def _region(x: float, y: float, w: float, h: float, scale: float) -> dict:
+    return {"x": int(x * scale), "y": int(y * scale), "w": int(w * scale), "h": int(h * scale)}
 
 
-def skew(ink: np.ndarray) -> float:
-    """The shear in degrees, of -5 to 5 by 0.25, at which lines of ink stand out most from the gaps between them."""
-    r, c = np.nonzero(ink)
-    if len(r) < 500:
-        return 0.0
-    if len(r) > SAMPLE:
-        pick = np.random.default_rng(SEED).choice(len(r), SAMPLE, replace=False)
-        r, c = r[pick], c[pick]
-    angles = np.arange(-5, 5.01, 0.25)
-    spread = [np.bincount((r - c * np.tan(np.radians(a)) + ink.shape[1]).astype(int)).astype(float).var() for a in angles]
-    return float(angles[int(np.argmax(spread))])
+@dataclass
+class Light:
+    ratio: float = 1.0
+    shadow: float = 0.0
+    glare: float = 0.0
+    shadows: tuple = ()
+    glares: tuple = ()
+
+
+def light(field: np.ndarray, paper: np.ndarray, scale: float) -> Light:
+    """Unevenness, shadow and glare on a grid of cells of paper, with the three largest regions of each.
+
+    A bright part of over a fifth of the cells isn't glare but another sheet.
+    """
+    n = GRID, GRID
+    level, real = (k.block_means(np.pad(m, ((0, max(0, GRID - m.shape[0])), (0, max(0, GRID - m.shape[1]))), mode="edge"), *n) for m in (field, paper))
+    real = real > 200 / 255
+    if real.sum() < 40:
+        return Light()
+    middle = float(np.median(level[real]))
+    low, high = np.percentile(level[real], (5, 95))
+    glare = real & (level >= GLARE_LEVEL) & (level > middle + GLARE_OVER)
+    bright = k.components(glare)
+    glare = bright.mask(bright.area <= 0.20 * real.sum())
+    shadow = real & (level < SHADOW_SHARE * middle)
+    dy, dx = field.shape[0] / GRID * scale, field.shape[1] / GRID * scale
+
+    def regions(cells: np.ndarray) -> tuple:
+        parts = k.components(k.closed(cells, k.box(3, 3)))
+        found = []
+        for i in range(parts.number):
+            x, y, w, h = parts.boxes[i].tolist()
+            own = parts.mask(np.arange(parts.number) == i)[y:y + h, x:x + w]
+            found.append((k.spanned_area(own), {"x": int(x * dx), "y": int(y * dy), "w": int(w * dx), "h": int(h * dy)}))
+        return tuple(r for area, r in sorted(found, key=lambda f: -f[0])[:3] if area >= 4)
+
+    return Light(float(high / max(1.0, low)), float(shadow.sum() / real.sum()), float(glare.sum() / real.sum()), regions(shadow), regions(glare))
+
+
+def text_geometry(text: np.ndarray) -> tuple[int, float, float]:
+    """Number of writing-like parts, their median height, and the skew in degrees.
+
+    Closed along the line, the parts become lines; the skew is the median of the long lines' angles, weighted by length. 0 with under 25 parts or 6 lines.
+    """
+    h, w = text.shape
+    parts = k.components(text)
+    boxes = parts.boxes
+    kept = (parts.area >= 10) & (boxes[:, 3] >= 4) & (boxes[:, 3] <= 0.25 * h) & (boxes[:, 2] <= 0.5 * w)
+    number = int(kept.sum())
+    height = float(np.median(boxes[kept, 3])) if number else 0.0
+    if number < LEAST_PARTS:
+        return number, height, 0.0
+    lines = k.components(k.closed(text, k.box(3, max(9, int(4 * height) | 1))))
+    found = []
+    wide = np.flatnonzero(np.hypot(lines.boxes[:, 2], lines.boxes[:, 3]) >= 6 * height)
+    for i in wide.tolist():
+        long, short, angle = k.least_rectangle(lines.corners(i))
+        if short > 0 and long / max(short, 1.0) >= 4 and long >= 6 * height:
+            found.append((angle - 90 if angle > 45 else angle + 90 if angle < -45 else angle, long))
+    if len(found) < LEAST_LINES:
+        return number, height, 0.0
+    angle, weight = np.array(sorted(found)).T
+    total = np.cumsum(weight)
+    return number, height, float(angle[np.searchsorted(total, total[-1] / 2)])
+
+
+def line_energy(text: np.ndarray, height: float) -> float:
+    """Total length of what becomes long and thin when ink is closed along the rows."""
+    lines = k.components(k.closed(text, k.box(1, max(5, int(2.5 * height)) | 1)))
+    long, thick = lines.boxes[:, 2], lines.boxes[:, 3]
+    return float(long[(long >= 4 * thick) & (long > 6 * height)].sum())
+
+
+def rotation(text: np.ndarray, height: float) -> tuple[int, float]:
+    """0 or 90 degrees, and how sure: lines of ink and the direction in which glyphs neighbour each other must agree, else 0 with no confidence.
+
+    An upright page and one upside down look the same here, and so do both turned ones.
+    """
+    if height <= 0:
+        return 0, 0.0
+    across, down = line_energy(text, height), line_energy(np.ascontiguousarray(text.T), height)
+    by_lines = 0 if across >= down else 90
+    sure = abs(across - down) / (across + down) if across + down else 0.0
+    alone = by_lines, sure if by_lines else 0.0
+    parts = k.components(text)
+    boxes = parts.boxes
+    glyph = (parts.area >= max(10, 0.8 * height)) & (boxes[:, 3] >= 0.45 * height) & (boxes[:, 3] <= 3 * height) & (boxes[:, 2] <= 8 * height)
+    if glyph.sum() < LEAST_GLYPHS:
+        return alone
+    centres = parts.centres[glyph]
+    if len(centres) > GLYPHS:
+        centres = centres[np.random.default_rng(SEED).choice(len(centres), GLYPHS, replace=False)]
+    who, other = k.nearest(centres, 3 * height)
+    if len(who) < LEAST_NEIGHBOURS:
+        return alone
+    step = np.abs(centres[other] - centres[who])
+    votes = int((step[:, 0] > step[:, 1]).sum())
+    by_glyphs = 0 if 2 * votes >= len(who) else 90
+    if by_glyphs != by_lines:
+        return 0, 0.0
+    return by_lines, max(sure, abs(2 * votes - len(who)) / len(who))
+
+
+def tiles(x: np.ndarray, paper: np.ndarray, ink: np.ndarray, field: np.ndarray, scale: float) -> tuple[int, int, dict | None, float | None]:
+    """Number of tiles with ink on paper, those of low contrast, and the worst one with its contrast."""
+    h, w = x.shape[0] // TILES, x.shape[1] // TILES
+    found = []
+    for row in range(TILES if min(h, w) >= 12 else 0):
+        for column in range(TILES):
+            at = np.s_[row * h:(row + 1) * h, column * w:(column + 1) * w]
+            if paper[at].mean() >= 0.5 and ink[at].sum() >= max(40, int(0.002 * h * w)):
+                found.append((float(np.median(field[at][paper[at]]) - x[at][ink[at]].mean()), column * w, row * h))
+    if not found:
+        return 0, 0, None, None
+    worst = min(found, key=lambda f: f[0])
+    return len(found), sum(f[0] < LOW_TILE for f in found), _region(worst[1], worst[2], w, h, scale), worst[0]
+
+
+def fold(x: np.ndarray, paper: np.ndarray) -> int | None:
+    """The column at which a wide image is two pages: the darkest valley of the columns' means in its middle, if deep enough."""
+    h, w = x.shape
+    if w < SPREAD_ASPECT * h or not paper.any():
+        return None
+    number = paper.sum(0)
+    profile = np.where(paper, x, 0).sum(0) / np.maximum(1, number)
+    usual = float(np.median(profile[number > 0]))
+    profile = k.gaussian(np.where(number > 0, profile, usual)[None, :], 6.0)[0]
+    low, high = int(w * SPREAD_BAND[0]), int(w * SPREAD_BAND[1])
+    if low >= high:
+        return None
+    at = low + int(profile[low:high].argmin())
+    return at if float(np.median(profile) - profile[at]) > VALLEY else None
+
+
+def cut_off(text: np.ndarray, visible: list[str], height: float, scale: float) -> tuple[list[str], list[dict]]:
+    """Sides on which writing runs out of the frame, and where: four writing-like parts or more at a side along 15 % of it, whose paper edge isn't seen."""
+    h, w = text.shape
+    band = max(2, int(min(h, w) * 0.006))
+    height = height or max(4.0, 0.01 * min(h, w))
+    parts = k.components(text)
+    x, y, wide, tall = parts.boxes.T
+    like = (parts.area >= max(15.0, 0.4 * height * height)) & (tall >= 0.5 * height) & (tall <= 3.5 * height) & (wide >= 0.4 * height) & (wide <= 0.35 * w) & (tall <= 0.35 * h)
+    names, regions = [], []
+    for side, near, along, size in zip(SIDES, (y <= band, y + tall >= h - band, x <= band, x + wide >= w - band), (x, x, y, y), (w, w, h, h), strict=True):
+        at = np.flatnonzero(like & near)
+        if side not in visible and len(at) >= 4 and np.ptp(along[at]) / size >= 0.15:
+            left, top = x[at].min(), y[at].min()
+            names.append(side)
+            regions.append(_region(left, top, max(1, (x + wide)[at].max() - left), max(1, (y + tall)[at].max() - top), scale))
+    return names, regions
 
 
 def perceptual_hash(x: np.ndarray) -> int:
     """63 bits: the low frequencies of a 32 x 32 cosine transform, above or below their median."""
-    small = block_means(x, min(32, x.shape[0]), min(32, x.shape[1]))
+    small = k.block_means(x, min(32, x.shape[0]), min(32, x.shape[1]))
     small = np.pad(small, ((0, 32 - small.shape[0]), (0, 32 - small.shape[1])), mode="edge")
-    k = np.cos(np.pi * np.outer(np.arange(8), 2 * np.arange(32) + 1) / 64)
-    low = (k @ small @ k.T).ravel()[1:]
+    waves = np.cos(np.pi * np.outer(np.arange(8), 2 * np.arange(32) + 1) / 64)
+    low = (waves @ small @ waves.T).ravel()[1:]
     return sum(int(b) << i for i, b in enumerate(low > np.median(low)))
 
 
 def measure(source: np.ndarray) -> dict:
-    """All metrics of one page. Pixels are only read."""
+    """All metrics of one page of 8-bit pixels, which are only read."""
     x = shrunk(source)
+    scale = source.shape[0] / x.shape[0]
     field = illumination(x)
-    ink = field - x > INK_STEP
-    covered = float(ink.mean())
-    paper = float(np.median(x[~ink])) if (~ink).any() else float(np.median(x))
-    dark = float(np.median(x[ink])) if ink.any() else paper
-    contrast = paper - dark
-    lines = ink.mean(1) > 0.6  # ruled lines: rows that are nearly all ink
-    columns = ink.mean(0) > 0.6
-    text = ink & ~lines[:, None] & ~columns[None, :]
-    rows = runs(text.mean(1) > 0.005)
-    across, down = text.mean(1).var(), text.mean(0).var()
-    sure = float(min(1.0, max(0.0, (down - across) / (down + across + 1e-12))))
-    components = int((np.diff(text.astype(np.int8), axis=1) == 1).sum() / max(1.0, float(np.median(rows)) if len(rows) else 1.0))
-    level = block_means(x, min(GRID, x.shape[0]), min(GRID, x.shape[1]))
-    middle = float(np.median(level))
-    tiles = low = 0
-    r, c = np.linspace(0, x.shape[0], TILES + 1).astype(int), np.linspace(0, x.shape[1], TILES + 1).astype(int)
-    for a, b in zip(r[:-1], r[1:], strict=True):
-        for d, e in zip(c[:-1], c[1:], strict=True):
-            t, i = x[a:b, d:e], text[a:b, d:e]
-            if i.sum() >= 20:
-                tiles += 1
-                low += float(np.median(t[~i])) - float(np.median(t[i])) < LOW_TILE if (~i).any() else 0
-    sigma = noise(x, ink)
-    m = max(1, min(x.shape) // 100)
-    sides = {"top": text[:m], "bottom": text[-m:], "left": text[:, :m], "right": text[:, -m:]}
-    valley = x[:, int(x.shape[1] * 0.32): max(int(x.shape[1] * 0.32) + 1, int(x.shape[1] * 0.68))].mean(0)
+    paper, share, visible = sheet(x)
+    ink = k.majority((field - x > INK_STEP) & paper, 3)
+    on_paper = paper if paper.sum() > 100 else np.ones(x.shape, bool)
+    sheet_size = max(1, int(paper.sum()))
+    bright = float(np.median(field[on_paper])) if paper.sum() > 100 else 255.0
+    dark = float(x[ink].mean()) if ink.sum() > 50 else bright
+    contrast = max(0.0, bright - dark)
+    text = without_rules(ink)
+    number, height, skew = text_geometry(text)
+    turned, sure = rotation(text, height)
+    found = light(field, paper, scale)
+    counted, low, worst, worst_contrast = tiles(x, paper, ink, field, scale)
+    split = fold(x, paper)
+    edges, cut = cut_off(text, visible, height, scale)
+    sigma = noise(x, paper)
+    sampled = source[::max(1, source.shape[0] // 400), ::max(1, source.shape[1] // 400)]
     return {
-        "width": source.shape[1], "height": source.shape[0], "is_bitonal": len(np.unique(source)) <= 2, "median_luma": float(np.median(x)), "paper_level": paper, "ink_level": dark, "ink_paper_contrast": contrast,
-        "ink_coverage": covered, "text_ink_coverage": float(text.mean()), "text_component_count": components, "est_text_height_px": float(np.median(rows)) if len(rows) else 0.0, "noise_sigma": sigma,
-        "snr": contrast / sigma if sigma > 0 else 300.0, "stroke_sharpness": sharpness(x, ink, contrast), "skew_deg": skew(text), "rotation_deg": 90 if sure > 0.3 else 0, "rotation_confidence": sure if sure > 0.3 else 0.0,
-        "glare_area_fraction": float(((level >= GLARE_LEVEL) & (level > middle + GLARE_OVER)).mean()), "shadow_area_fraction": float((level < SHADOW_SHARE * middle).mean()),
-        "illumination_ratio": float(np.percentile(level, 95) / max(1.0, np.percentile(level, 5))), "tile_count": tiles, "low_contrast_tiles": int(low),
-        "cutoff_edges": [s for s, edge in sides.items() if edge.size and edge.mean() > 0.15], "likely_spread": source.shape[1] >= 1.15 * source.shape[0] and float(valley.max() - valley.min()) > 22,
-        "hash": perceptual_hash(x), "error": None}
+        "width": source.shape[1], "height": source.shape[0], "is_bitonal": len(np.unique(sampled)) <= 3, "median_luma": float(np.median(x[on_paper])), "paper_level": bright, "ink_level": dark,
+        "ink_paper_contrast": contrast, "ink_coverage": float(ink.sum()) / sheet_size, "text_ink_coverage": float(text.sum()) / sheet_size, "text_component_count": number,
+        "est_text_height_px": height * scale, "est_dpi": height * scale * 9 if height * scale > 2 else None, "noise_sigma": sigma, "snr": contrast / (sigma + 1e-6), "stroke_sharpness": sharpness(x, ink),
+        "skew_deg": skew, "rotation_deg": turned, "rotation_confidence": sure, "glare_area_fraction": found.glare, "shadow_area_fraction": found.shadow, "illumination_ratio": found.ratio,
+        "tile_count": counted, "low_contrast_tiles": low, "cutoff_edges": edges, "likely_spread": split is not None, "hash": perceptual_hash(x), "error": None, "doc_area_fraction": share,
+        "visible_edges": visible, "spread_split_x": None if split is None else int(split * scale), "capture_profile": "photo" if share < 0.95 or split is not None or found.ratio > 1.6 else "flatbed",
+        "worst_tile": worst, "worst_tile_contrast": worst_contrast, "shadow_regions": list(found.shadows), "glare_regions": list(found.glares), "cutoff_regions": cut}
 
 
-def measured(images: DataFrame) -> DataFrame:
-    """Metrics of each image (page_id, content: a PGM). An image that can't be read is a row with ``error``; the batch goes on."""
-    names = [c.split()[0] for c in METRICS.split(", ")]
+def _rows_of(images: DataFrame, schema: str, of_image: Callable[[int | None, bytes | None], list[dict]]) -> DataFrame:
+    """Rows that ``of_image`` makes of each ``page_id`` and ``content``."""
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for page, data in zip(batch["page_id"], batch["content"], strict=True):
-                try:
-                    out.append({"page_id": page} | measure(read_pgm(bytes(data))))
-                except (ValueError, TypeError) as e:
-                    out.append({"page_id": page, "width": 0, "height": 0, "error": str(e)[:200]})
-            frame = pd.DataFrame(out, columns=names)
-            for c in ("text_component_count", "rotation_deg", "tile_count", "low_contrast_tiles", "hash"):
-                frame[c] = frame[c].astype("Int64")
-            for c in ("cutoff_edges", "error", "is_bitonal", "likely_spread"):
-                frame[c] = frame[c].astype(object).where(frame[c].notna(), None)
-            yield frame
-
-    return images.select("page_id", "content").mapInPandas(run, METRICS)
+            for page, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                yield pa.RecordBatch.from_pylist(of_image(page, data), schema=arrow)
+
+    return images.select(F.col("page_id").cast("long").alias("page_id"), "content").mapInArrow(run, schema)
+
+
+def measured(images: DataFrame) -> DataFrame:
+    """Metrics of each image (page_id, content: a PGM) and the ``seconds`` it took. An image that can't be read is a row with ``error``; the others go on."""
+
+    def row(page: int | None, data: bytes | None) -> list[dict]:
+        began = time.perf_counter()
+        try:
+            found = measure(read_pgm(data or b""))
+        except ValueError as e:
+            found = {"width": 0, "height": 0, "error": str(e)[:200]}
+        return [{"page_id": page, **found, "seconds": time.perf_counter() - began}]
+
+    return _rows_of(images, METRICS, row)
+
+
+def split_spreads(images: DataFrame) -> DataFrame:
+    """``page_id``, ``part``, ``x``, ``content``: each image as it is (part 0), or, where it shows two pages, its halves (parts 1 and 2, from column ``x`` on).
+
+    An image that can't be read, or null, stays one row as it is.
+    """
+
+    def parts(page: int | None, data: bytes | None) -> list[dict]:
+        try:
+            source = read_pgm(data or b"")
+        except ValueError:
+            return [{"page_id": page, "part": 0, "x": 0, "content": data}]
+        x = shrunk(source)
+        at = fold(x, sheet(x)[0])
+        if at is None:
+            return [{"page_id": page, "part": 0, "x": 0, "content": data}]
+        at = int(at * source.shape[0] / x.shape[0])
+        return [{"page_id": page, "part": 1, "x": 0, "content": write_pgm(source[:, :at])}, {"page_id": page, "part": 2, "x": at, "content": write_pgm(source[:, at:])}]
+
+    return _rows_of(images, "page_id long, part int, x int, content binary", parts)
+
+
+def problem_regions(metrics: DataFrame) -> DataFrame:
+    """``page_id``, ``kind`` (shadow, glare, cutoff, low_contrast), ``edge`` of a cut-off, ``x``, ``y``, ``w``, ``h``: a row for each region of ``measured``."""
+    region = lambda kind, at, edge=None: F.struct(F.lit(kind).alias("kind"), (F.lit(None).cast("string") if edge is None else edge).alias("edge"), *[at[c].alias(c) for c in "xywh"])
+    none = F.array().cast("array<struct<kind:string,edge:string,x:int,y:int,w:int,h:int>>")
+    of = lambda kind: F.coalesce(F.transform(f"{kind}_regions", lambda r: region(kind, r)), none)
+    cut = F.coalesce(F.transform("cutoff_regions", lambda r, i: region("cutoff", r, F.get("cutoff_edges", i))), none)
+    worst = F.when(F.col("worst_tile_contrast") < LOW_TILE, F.array(region("low_contrast", F.col("worst_tile")))).otherwise(none)
+    return metrics.select("page_id", F.explode(F.concat(of("shadow"), of("glare"), cut, worst)).alias("r")).select("page_id", "r.*")
