@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliospark.operators import keyed
+
 HAMMING = 6
 
 
 def exact_duplicates(documents: DataFrame, group: str, content: Column, order: list[str]) -> DataFrame:
     """Copies within a group, by SHA-256: all rows but the first of each content.
 
-    Only one value per content goes through the shuffle; copies of a content aren't gathered in one task.
+    The first of each content is found by a pre-aggregated minimum, and attached so that contents with a large share of all rows stay dealt as they
+    are. Rows with a null group or content are no copies.
     """
     rows = documents.withColumn("_hash", F.sha2(content.cast("binary"), 256))
-    firsts = rows.groupBy(group, "_hash").agg(F.min(F.struct(*order)).alias("_first"))
-    return rows.join(firsts, [group, "_hash"]).filter(F.struct(*order) > F.col("_first")).drop("_hash", "_first")
+    firsts = rows.filter(F.col(group).isNotNull() & F.col("_hash").isNotNull()).groupBy(group, "_hash").agg(F.min(F.struct(*order)).alias("_first"), F.count("*").alias("_size")).filter("_size > 1")
+    found = keyed.attach(rows, firsts, [group, "_hash"], "_size", documents.count())
+    return found.filter(F.struct(*order) > F.col("_first")).drop("_hash", "_first")
 
 
 def sign_hash(vector: Column, bits: int = 63) -> Column:
@@ -26,37 +30,66 @@ def sign_hash(vector: Column, bits: int = 63) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.size(part) - 1), F.lit(0).cast("bigint"), lambda a, i: a + F.when(F.get(part, i) > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint")))
 
 
-def near_pairs(hashes: DataFrame, most: int = HAMMING, bits: int = 63) -> DataFrame:
-    """Pairs (a < b) of ids whose hashes differ in at most ``most`` bits.
+def near_pairs(hashes: DataFrame, most: int = HAMMING, bits: int = 63, agree: int | None = None, group: str | None = None) -> DataFrame:
+    """Pairs (a < b) of ids whose hashes differ in at most ``most`` bits; with ``group`` only pairs of the same one. Null hashes have none.
 
-    Exact: cut into most + 1 bands, two such hashes agree in one band at least, so bands are joined by equality.
+    Exact: of most + ``agree`` bands, ``agree`` are equal in two such hashes, so that sets of so many bands are joined by equality. More bands make
+    keys longer, and so fewer pairs that only look alike, for more rows a hash: 7 keys of 9 bits, 28 of 14, or 84 of 21. By default the number of rows chooses.
     """
-    width = -(-bits // (most + 1))
-    bands = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("hash", i * width).bitwiseAND(F.lit((1 << width) - 1)).alias("part")) for i in range(most + 1)])
-    rows = hashes.select("id", "hash", F.inline(bands))
-    a, b = rows.select(F.col("id").alias("a"), F.col("hash").alias("ha"), "band", "part"), rows.select(F.col("id").alias("b"), F.col("hash").alias("hb"), "band", "part")
+    if agree is None:
+        n = hashes.count()
+        agree = 1 if n < 20_000 else 2 if n < 2_000_000 else 3
+    number = most + agree
+    cuts = [i * bits // number for i in range(number + 1)]
+    band = [F.shiftrightunsigned("hash", a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(cuts, cuts[1:])]
+    keys = F.array(*[F.struct(F.lit(i).alias("which"), F.concat_ws(",", *[band[j].cast("string") for j in chosen]).alias("part")) for i, chosen in enumerate(combinations(range(number), agree))])
+    own = [group] if group else []
+    rows = hashes.filter(F.col("hash").isNotNull()).select("id", "hash", *own, F.inline(keys))
+    on = [*own, "which", "part"]
+    a, b = rows.select(F.col("id").alias("a"), F.col("hash").alias("ha"), *on), rows.select(F.col("id").alias("b"), F.col("hash").alias("hb"), *on)
     distance = F.bit_count(F.col("ha").bitwiseXOR(F.col("hb")))
-    return a.join(b, ["band", "part"]).filter((F.col("a") < F.col("b")) & (distance <= most)).select("a", "b", distance.alias("distance")).distinct()
+    return a.join(b, on).filter((F.col("a") < F.col("b")) & (distance <= most)).select("a", "b", distance.alias("distance")).distinct()
 
 
 def leaders(pages: DataFrame, most: int = HAMMING) -> DataFrame:
-    """Near duplicates in scan order: each page of a case is a leader, or the duplicate of the first leader within ``most`` bits.
+    """Near duplicates in scan order: each page of a case is a leader, or ``duplicate_of`` the first leader before it within ``most`` bits.
 
-    ``pages`` has case_id, ordinal, page_id and hash. A case is one sheaf of paper: its pages fit one task.
-    """
+    ``pages`` has case_id, ordinal, page_id (unique) and hash; order is by ordinal, then page_id. Pages with a null hash or case are leaders.
 
-    def cluster(case: pd.DataFrame) -> pd.DataFrame:
-        case = case.sort_values(["ordinal", "page_id"])
-        kept: list[tuple[int, np.uint64]] = []
-        out = []
-        for page, h in zip(case["page_id"], case["hash"].to_numpy().astype(np.uint64), strict=True):
-            hit = next((k for k, other in kept if int(np.bitwise_count(h ^ other)) <= most), None)
-            if hit is None:
-                kept.append((page, h))
-            out.append((page, hit))
-        return pd.DataFrame({"page_id": [p for p, _ in out], "duplicate_of": pd.array([h for _, h in out], dtype="Int64")})
-
-    return pages.groupBy("case_id").applyInPandas(cluster, "page_id long, duplicate_of long")
+    Equal hashes of a case are one node, their first page: the others follow it. Nodes settle in rounds, all cases at once: an open node without an open
+    node before it among its neighbours is a leader, and its later neighbours are duplicates. The links are those of ``near_pairs`` within cases, each round is
+    written to the shared folder, and rounds are as many as the longest chain of pages that depend on each other in turn.
+    """
+    order = F.struct("ordinal", "page_id")
+    known = pages.filter(F.col("hash").isNotNull() & F.col("case_id").isNotNull())
+    nodes = keyed.written(known.groupBy("case_id", "hash").agg(F.min(order).alias("first"), F.count("*").alias("size")), "nodes")
+    named = nodes.select("case_id", F.col("first.page_id").alias("id"), "hash", "first")
+    pairs = near_pairs(named, most, group="case_id").select("a", "b")
+    place = named.select("id", "first")
+    links = (pairs.join(place.select(F.col("id").alias("a"), F.col("first").alias("fa")), "a").join(place.select(F.col("id").alias("b"), F.col("first").alias("fb")), "b"))
+    early, late = F.when(F.col("fa") < F.col("fb"), F.col("a")).otherwise(F.col("b")), F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a"))
+    links = keyed.written(links.select(early.alias("early"), late.alias("late")), "links")
+    left, settled, rounds = links, [], 0
+    while not left.isEmpty():
+        lead = left.select(F.col("early").alias("id")).distinct().join(left.select(F.col("late").alias("id")), "id", "left_anti")
+        lead = keyed.written(lead, f"lead-{rounds}")
+        gone = left.join(lead.withColumnRenamed("id", "early"), "early", "left_semi").select(F.col("late").alias("id")).distinct()
+        gone = keyed.written(gone, f"gone-{rounds}")
+        settled.append(gone)
+        out = lead.unionByName(gone)
+        left = keyed.written(left.join(out.withColumnRenamed("id", "early"), "early", "left_anti").join(gone.withColumnRenamed("id", "late"), "late", "left_anti"), f"left-{rounds}")
+        rounds += 1
+    duplicates = settled[0] if settled else named.select("id").limit(0)
+    for more in settled[1:]:
+        duplicates = duplicates.unionByName(more)
+    leading = links.join(duplicates.withColumnRenamed("id", "early"), "early", "left_anti").join(place.withColumnRenamed("id", "early"), "early")
+    of = leading.join(duplicates.withColumnRenamed("id", "late"), "late", "left_semi").groupBy("late").agg(F.min("first").alias("leader"))
+    found = nodes.join(of.select(F.col("late").alias("_id"), F.col("leader.page_id").alias("leader")), nodes["first.page_id"] == F.col("_id"), "left")
+    found = keyed.written(found.select("case_id", "hash", "size", F.col("first.page_id").alias("first"), "leader"), "settled")
+    rows = keyed.attach(known.select("case_id", "hash", "page_id"), found, ["case_id", "hash"], "size", pages.count())
+    rest = pages.filter(F.col("hash").isNull() | F.col("case_id").isNull()).select("page_id", F.lit(None).cast("long").alias("duplicate_of"))
+    own = F.when(F.col("page_id") == F.col("first"), F.col("leader")).otherwise(F.coalesce("leader", "first"))
+    return rows.select("page_id", own.alias("duplicate_of")).unionByName(rest)
 
 
 def printed_number(label: Column) -> Column:

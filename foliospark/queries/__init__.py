@@ -23,4 +23,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-from foliospark.queries import browse, checks, pages, rules, text  # noqa: E402, F401
+from foliospark.queries import browse, checks, pages, rules, scans, text  # noqa: E402, F401

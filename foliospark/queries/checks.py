@@ -25,16 +25,24 @@ def exact_duplicates(spark, sf_dir):
 _HASH = "list_sum(list_transform(range(0, 63), lambda i: CASE WHEN embedding[i + 1] > 0 THEN CAST(1 AS BIGINT) << i ELSE 0 END))::BIGINT"
 
 
-@query(f"WITH h AS (SELECT vec_id AS id, {_HASH} AS hash FROM embeddings) SELECT x.id AS a, y.id AS b, CAST(bit_count(xor(x.hash, y.hash)) AS INTEGER) AS distance FROM h x JOIN h y ON x.id < y.id WHERE bit_count(xor(x.hash, y.hash)) <= 6")
+#: Each vector's hash, and a copy of it with two bits changed.
+_PLANTED = f"v AS (SELECT vec_id AS id, {_HASH} AS hash FROM embeddings), h AS (SELECT * FROM v UNION ALL SELECT id + 1000000000, xor(xor(hash, CAST(1 AS BIGINT) << CAST(id % 63 AS INTEGER)), CAST(1 AS BIGINT) << CAST(id % 31 AS INTEGER)) FROM v)"
+
+
+def _planted(spark, sf_dir):
+    hashes = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), checks.sign_hash(F.col("embedding")).alias("hash"), "label")
+    bit = lambda n: F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("id") % n).cast("int"))
+    return hashes.unionByName(hashes.select((F.col("id") + 1_000_000_000).alias("id"), F.col("hash").bitwiseXOR(bit(63)).bitwiseXOR(bit(31)).alias("hash"), "label"))
+
+
+@query(f"WITH {_PLANTED} SELECT x.id AS a, y.id AS b, CAST(bit_count(xor(x.hash, y.hash)) AS INTEGER) AS distance FROM h x JOIN h y ON x.id < y.id WHERE bit_count(xor(x.hash, y.hash)) <= 6")
 def near_duplicates_hamming(spark, sf_dir):
-    hashes = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), checks.sign_hash(F.col("embedding")).alias("hash"))
-    return checks.near_pairs(hashes)
+    return checks.near_pairs(_planted(spark, sf_dir))
 
 
 @query()
 def near_duplicate_leaders(spark, sf_dir):
-    hashes = _t(spark, sf_dir, "embeddings").select(F.col("label").alias("case_id"), F.col("vec_id").alias("ordinal"), F.col("vec_id").alias("page_id"), checks.sign_hash(F.col("embedding")).alias("hash"))
-    return checks.leaders(hashes)
+    return checks.leaders(_planted(spark, sf_dir).select(F.col("label").alias("case_id"), F.col("id").alias("ordinal"), F.col("id").alias("page_id"), "hash"))
 
 
 @query("""WITH n AS (SELECT l_orderkey, min(l_linenumber) AS lo, max(l_linenumber) AS hi, list(DISTINCT l_linenumber) AS seen FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_linenumber) >= 3),

@@ -8,10 +8,11 @@ import zipfile
 from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.functions.text import safe_part
+from foliospark.operators import keyed
 from foliospark.operators.rules import DEFECTS
 
 # Columns of an export in order, with their headings.
@@ -74,11 +75,13 @@ def csv_chunks(df: DataFrame, headings: dict[str, str]) -> Iterator[bytes]:
 
 
 def archive_names(pages: DataFrame) -> DataFrame:
-    """A file name of each page in an archive; a name that is taken gets ``__2``, ``__3``, ... in page order."""
+    """A file name of each page in an archive; a name that is taken gets ``__2``, ``__3``, ... in page order.
+
+    Names are numbered over ranges of (name, page), so that a name that many pages share isn't one task's work.
+    """
     base = F.concat_ws("/", safe_part(F.col("batch"), "batch"), safe_part(F.col("filename"), "file"), F.format_string("p%04d_v%d", "ordinal", "versions"))
-    order = Window.partitionBy("_base").orderBy("page_id")
-    n = F.row_number().over(order)
-    return pages.select("page_id", base.alias("_base")).withColumn("_n", n).select("page_id", F.concat("_base", F.when(F.col("_n") > 1, F.concat(F.lit("__"), F.col("_n"))).otherwise(""), F.lit(".png")).alias("name"))
+    named = keyed.numbered(pages.select("page_id", base.alias("_base")), ["_base"], ["page_id"], "_n")
+    return named.select("page_id", F.concat("_base", F.when(F.col("_n") > 1, F.concat(F.lit("__"), F.col("_n"))).otherwise(""), F.lit(".png")).alias("name"))
 
 
 def xlsx(df: DataFrame, headings: dict[str, str], parameters: dict[str, str], most: int = 100_000) -> bytes:
