@@ -83,7 +83,7 @@ def totals(rows: DataFrame, passes: Column) -> DataFrame:
 
 
 def page_summary(view: DataFrame, findings: DataFrame, regions: DataFrame, diagnoses: DataFrame, prescriptions: DataFrame) -> DataFrame:
-    """The row of a page list. ``page_class`` is the engine's; codes and categories are sorted and distinct.
+    """The row of a page list, 26 fields. ``page_class`` is the engine's; codes and categories are sorted and distinct. What a view has no column of is null.
 
     ``handwriting_region_count`` is null for pages whose handwriting was never looked at. ``diagnoses`` and ``prescriptions`` have one row a page.
     """
@@ -93,18 +93,30 @@ def page_summary(view: DataFrame, findings: DataFrame, regions: DataFrame, diagn
     for child in (codes, hand, diagnoses.select("page_id", "diagnosis_status"), prescriptions.select("page_id", "prescription_status")):
         rows = rows.join(child, "page_id", "left")
     empty = F.array().cast("array<string>")
+    known = lambda name, kind: F.col(name) if name in view.columns else F.lit(None).cast(kind).alias(name)
     return rows.select(
-        "page_id", "document_id", "batch_id", "batch", "case_id", "patient_ref", "encounter_ref", "filename", "ordinal", F.col("versions").alias("version_no"),
+        known("version_id", "long"), known("printed_label", "string"), known("width", "long"), known("height", "long"), known("colour_mode", "string"), known("capture_profile", "string"), known("quality_score", "double"), "page_id", "document_id", "batch_id", "batch", "case_id", "patient_ref", "encounter_ref", "filename", "ordinal", F.col("versions").alias("version_no"),
         F.coalesce("overall", F.lit("unchecked")).alias("page_class"), F.coalesce("defect_codes", empty).alias("defect_codes"),
         F.col("handwriting").alias("handwriting_status"), F.coalesce("handwriting_categories", empty).alias("handwriting_categories"),
         F.when(F.col("handwriting_status").isNotNull(), F.coalesce("_regions", F.lit(0))).alias("handwriting_region_count"),
         F.coalesce("diagnosis_status", F.lit("pending")).alias("diagnosis_status"), "prescription_status", "review_state", "uploaded_at")
 
 
-def document_detail(documents: DataFrame, view: DataFrame) -> DataFrame:
-    """A row per document with its pages in order (page_id, ordinal, versions, class). A document has few pages; one without any has an empty list."""
-    page = F.struct("ordinal", "page_id", F.col("versions").alias("version_count"), F.coalesce("overall", F.lit("unchecked")).alias("page_class"))
-    pages = view.groupBy("document_id").agg(F.sort_array(F.collect_list(page)).alias("pages"))
+def document_detail(documents: DataFrame, view: DataFrame, logical: DataFrame | None = None) -> DataFrame:
+    """A row per document with its pages in order (page_id, ordinal, versions, class). A document has few pages; one without any has an empty list.
+
+    ``logical`` (page_id, document_id, ordinal, printed_label, version_count) names all pages, also those without an active version: these have no
+    ``active_version_id`` and are unchecked. With it, each page also has ``printed_label`` and ``active_version_id``.
+    """
+    fields = ["ordinal", "page_id", F.coalesce("overall", F.lit("unchecked")).alias("page_class")]
+    if logical is None:
+        rows = view
+        fields.insert(2, F.col("versions").alias("version_count"))
+    else:
+        rows = logical.join(view.select("page_id", "overall", F.col("version_id").alias("active_version_id")), "page_id", "left")
+        fields = [*fields[:2], "version_count", fields[2], "printed_label", "active_version_id"]
+    page = F.struct(*fields)
+    pages = rows.groupBy("document_id").agg(F.sort_array(F.collect_list(page)).alias("pages"))
     joined = documents.join(pages, "document_id", "left")
     return joined.withColumn("pages", F.coalesce("pages", F.filter(F.array(F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in pages.schema["pages"].dataType.elementType])), lambda x: F.lit(False))))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 from functools import reduce
@@ -56,8 +57,11 @@ class PageFilters:
     review_state: str | None = None
     q: str | None = None
     strict: bool = False
+    limit: int | None = None
+    offset: int = 0
 
-    def predicates(self) -> list[Column]:
+    def predicates(self, columns: Iterable[str] = ("printed_label",)) -> list[Column]:
+        """What each row must fulfil. ``columns`` of the view: a free text also looks at printed labels where it has them. ``limit`` and ``offset`` are the export's (``listing.windowed``)."""
         out = [F.col(c) == F.lit(v) for c in ("batch_id", "case_id", "document_id", "patient_ref", "encounter_ref", "uploader") if (v := getattr(self, c)) is not None and v != ""]
         for text, end in ((self.uploaded_from, False), (self.uploaded_to, True)):
             bound = day_bound(text, end)
@@ -74,8 +78,8 @@ class PageFilters:
         elif self.review_state == "pending":
             out.append(F.col("flagged") & F.col("latest_action").isNull())
         if self.q:
-            names = ("filename", "batch", "patient_ref", "encounter_ref")
-            out.append(reduce(lambda a, b: a | b, [F.coalesce(F.col(c).ilike(f"%{self.q}%"), F.lit(False)) for c in names]))
+            names = ["filename", "batch", "patient_ref", "encounter_ref", *(c for c in columns if c == "printed_label")]
+            out.append(reduce(lambda a, b: a | b, [F.coalesce(F.col(c).ilike(f"%{self.q.strip()}%"), F.lit(False)) for c in names]))
         return out
 
 
@@ -87,7 +91,7 @@ def _given(table: DataFrame | None, name: str) -> DataFrame:
 
 def apply_filters(view: DataFrame, f: PageFilters, findings: DataFrame | None = None, regions: DataFrame | None = None, diagnoses: DataFrame | None = None) -> DataFrame:
     """Rows of the core view that pass. Child tables only decide (semi joins); they never multiply pages. A filter whose table is absent is an error."""
-    for p in f.predicates():
+    for p in f.predicates(view.columns):
         view = view.filter(p)
     if f.defect_code:
         findings = _given(findings, "findings")

@@ -17,6 +17,11 @@ def paged(view: DataFrame, limit: int, offset: int = 0) -> DataFrame:
     return view.orderBy(*page_order()).offset(offset).limit(limit)
 
 
+def windowed(view: DataFrame, limit: int | None, offset: int = 0) -> DataFrame:
+    """The rows of a bounded export: as many as asked for in page order, without a maximum; without a limit all rows, whatever the offset."""
+    return view.orderBy(*page_order()).offset(max(offset, 0)).limit(limit) if limit else view
+
+
 def newest(rows: DataFrame, order: list[str], n: int) -> DataFrame:
     return rows.orderBy(*[F.desc_nulls_last(c) for c in order]).limit(n)
 

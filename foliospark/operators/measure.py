@@ -369,6 +369,39 @@ def split_spreads(images: DataFrame) -> DataFrame:
     return _rows_of(images, "page_id long, part int, x int, content binary", parts)
 
 
+def outlined(x: np.ndarray, box: dict) -> bool:
+    """Do the first two and the last two rows of a box show an edge along more than half of its width? Boxes reach no further than the image; where nothing is left, no."""
+    crop = x[max(box["y"], 0):max(box["y"] + box["h"], 0), max(box["x"], 0):max(box["x"] + box["w"], 0)]
+    if not crop.size:
+        return False
+    found = k.edges(crop, 60, 160)
+    return (np.count_nonzero(found[:2]) + np.count_nonzero(found[-2:])) / max(box["w"], 1) > 0.5
+
+
+def framed(images: DataFrame, regions: DataFrame) -> DataFrame:
+    """``page_id``, ``group_no``, ``framed``: which regions (page_id, group_no, x, y, w, h) over 30 pixels wide and high have a hard outline on their page's image.
+
+    A page's boxes travel to its image as one list, so each image is read once. Smaller regions, pages without an image and images that can't be read have no row.
+    """
+    box = F.struct("group_no", *[F.col(c).cast("int").alias(c) for c in "xywh"])
+    boxes = regions.filter("w > 30 AND h > 30").groupBy("page_id").agg(F.collect_list(box).alias("boxes"))
+    joined = images.select("page_id", "content").filter("content IS NOT NULL").join(boxes, "page_id").select("page_id", "content", "boxes")
+    kinds = {c: regions.schema[c].dataType.simpleString() for c in ("page_id", "group_no")}
+    schema = ", ".join(f"{c} {kind}" for c, kind in kinds.items()) + ", framed boolean"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for page, data, wanted in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                try:
+                    x = read_pgm(data)
+                except ValueError:
+                    continue
+                yield pa.RecordBatch.from_pylist([{"page_id": page, "group_no": b["group_no"], "framed": outlined(x, b)} for b in wanted], schema=arrow)
+
+    return joined.mapInArrow(run, schema)
+
+
 def problem_regions(metrics: DataFrame) -> DataFrame:
     """``page_id``, ``kind`` (shadow, glare, cutoff, low_contrast), ``edge`` of a cut-off, ``x``, ``y``, ``w``, ``h``: a row for each region of ``measured``."""
     region = lambda kind, at, edge=None: F.struct(F.lit(kind).alias("kind"), (F.lit(None).cast("string") if edge is None else edge).alias("edge"), *[at[c].alias(c) for c in "xywh"])

@@ -60,7 +60,12 @@ def from_tables(spark: SparkSession, sf_dir: str) -> Records:
         F.when(F.col("tax") >= 0.06, F.struct(F.lit("NOISE").alias("code"), F.lit("medium").alias("severity"))),
         F.when(F.col("quantity") < 5, F.struct(F.lit("NEAR_BLANK").alias("code"), F.lit("low").alias("severity")))))
     shot = F.col("discount") > 0
-    pages = pages.withColumns({"overall": F.when(shot, overall), "handwriting_status": F.when(F.col("flag") == "R", "detected").when(F.col("flag") != "N", "none_detected")})
+    pages = pages.withColumns({
+        "overall": F.when(shot, overall), "handwriting_status": F.when(F.col("flag") == "R", "detected").when(F.col("flag") != "N", "none_detected"),
+        "version_id": F.col("page_id") * 100 + F.col("versions"), "printed_label": F.when(F.col("ordinal") % 3 != 0, F.format_string("(%d)", "ordinal")),
+        "width": 1240 + F.col("part") % 100, "height": 1754 + F.col("supplier") % 50, "storage_key": F.format_string("renders/%d.png", "page_id"),
+        "colour_mode": F.when(F.col("part") % 3 == 0, "bitonal").when(F.col("part") % 3 == 1, "grey").otherwise("colour"),
+        "capture_profile": F.when(F.col("supplier") % 2 == 0, "photo").otherwise("flatbed"), "quality_score": F.when(shot, F.col("quantity") * 2)})
     events = table("events")
     actions = F.create_map(*[F.lit(x) for p in (("purchase", "accept"), ("error", "request_rescan"), ("click", "correct_finding"), ("view", "comment")) for x in p])
     return Records(

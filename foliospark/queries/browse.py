@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.operators import browse, calibration, checks, counts, extract, filters, listing, rules
+from foliospark.operators import browse, calibration, checks, counts, extract, filters, listing, measure, rules
 from foliospark.operators.filters import PageFilters
 from foliospark.plans import model
 from foliospark.plans.records import core_view, from_tables
@@ -80,7 +81,8 @@ def list_totals(spark, sf_dir):
 @query(CORE + f""", {_EXTRACTIONS}, d AS (SELECT page_id, string_agg(DISTINCT code, ',' ORDER BY code) AS codes FROM findings GROUP BY 1),
 h AS (SELECT page_id, string_agg(DISTINCT role, ',' ORDER BY role) AS kinds, count(*) AS n FROM extractions GROUP BY 1),
 g AS (SELECT page_id, CASE min(CASE diagnosis_status WHEN 'unreadable' THEN 1 WHEN 'uncertain' THEN 2 WHEN 'extracted_pending_review' THEN 3 ELSE 6 END) WHEN 1 THEN 'unreadable' WHEN 2 THEN 'uncertain' WHEN 3 THEN 'extracted_pending_review' ELSE 'not_found' END AS st FROM extractions GROUP BY 1)
-SELECT page_id, document_id, batch_id, batch, case_id, patient_ref, encounter_ref, filename, ordinal, versions AS version_no, coalesce(overall, 'unchecked') AS page_class, coalesce(codes, '') AS defect_codes,
+SELECT version_id, printed_label, width, height, colour_mode, capture_profile, quality_score,
+  page_id, document_id, batch_id, batch, case_id, patient_ref, encounter_ref, filename, ordinal, versions AS version_no, coalesce(overall, 'unchecked') AS page_class, coalesce(codes, '') AS defect_codes,
   handwriting AS handwriting_status, coalesce(kinds, '') AS handwriting_categories, CASE WHEN flag <> 'N' THEN coalesce(n, 0) ELSE -1 END AS handwriting_region_count, coalesce(st, 'pending') AS diagnosis_status,
   CASE WHEN codes IS NULL THEN '' ELSE 'extracted' END AS prescription_status, review_state, uploaded_at
 FROM core LEFT JOIN d USING (page_id) LEFT JOIN h USING (page_id) LEFT JOIN g USING (page_id)""")
@@ -102,6 +104,20 @@ def document_detail_pages(spark, sf_dir):
     return browse.document_detail(r.documents, core_view(r)).select("document_id", "filename", F.size("pages").cast("long").alias("n_pages"), text.alias("pages"))
 
 
+@query(CORE + """, listed AS (SELECT document_id, v.page_id, v.ordinal, v.versions, v.printed_label, CASE WHEN v.flag <> 'A' THEN v.version_id END AS active, CASE WHEN v.flag <> 'A' THEN overall END AS overall
+  FROM versions v JOIN core USING (document_id, page_id))
+SELECT document_id, filename, count(page_id) AS n_pages, coalesce(string_agg(ordinal || ':' || versions || ':' || coalesce(overall, 'unchecked') || ':' || coalesce(printed_label, '-') || ':' || coalesce(CAST(active AS VARCHAR), 'none'),
+  ' ' ORDER BY ordinal, page_id), '') AS pages FROM documents_ LEFT JOIN listed USING (document_id) GROUP BY ALL""")
+def document_detail_withdrawn(spark, sf_dir):
+    """All pages of a document, where those of one flag were withdrawn and have no active version."""
+    r = from_tables(spark, sf_dir)
+    logical = r.versions.select("page_id", "document_id", "ordinal", "printed_label", F.col("versions").alias("version_count"))
+    kept = r.versions.filter("flag <> 'A'").select("page_id", "overall", "version_id")
+    text = F.array_join(F.transform("pages", lambda p: F.concat_ws(":", p["ordinal"].cast("string"), p["version_count"].cast("string"), p["page_class"], F.coalesce(p["printed_label"], F.lit("-")),
+                                                                   F.coalesce(p["active_version_id"].cast("string"), F.lit("none")))), " ")
+    return browse.document_detail(r.documents, kept, logical).select("document_id", "filename", F.size("pages").cast("long").alias("n_pages"), text.alias("pages"))
+
+
 @query(CORE + "SELECT page_id, effective_class, review_state FROM core WHERE effective_class = 'review'")
 def rescan_list_narrowed(spark, sf_dir):
     """A filter on the class turns the rescan rule off."""
@@ -269,6 +285,30 @@ def handwriting_regions(spark, sf_dir):
     return regions.select("l_orderkey", "group_no", "x", "y", "w", "h", F.round("confidence", 6).alias("confidence"), "text")
 
 
+@query("""WITH w AS (SELECT l_orderkey AS page_id, l_linenumber AS n, max(l_partkey % 60) + 20 AS h, max(l_suppkey % 130) + 25 AS w, max(l_returnflag) = 'R' AS inked FROM lineitem GROUP BY 1, 2)
+SELECT page_id, n AS group_no, w, h, CASE WHEN n <= 1 AND 5 * w > 2 * h AND 2 * w < 5 * h AND h < 60 THEN 'tick' WHEN inked AND h > 30 AND w > 30 AND 5 * w > 3 * h AND w < 4 * h THEN 'stamp'
+  WHEN n <= 4 AND w > 3 * h THEN 'correction' WHEN n <= 3 AND 2 * w > 5 * h THEN 'signature' WHEN n <= 6 AND 5 * w > 9 * h AND h > 20 THEN 'uncertain' WHEN n >= 4 THEN 'note' ELSE 'uncertain' END AS category FROM w""")
+def region_categories(spark, sf_dir):
+    """Lines of an order as regions of its image, drawn with a frame where their flag says so; the category as shape and edges of the image tell it."""
+    sized = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").alias("n")).agg(
+        (F.max(F.col("l_partkey") % 60) + 20).alias("h"), (F.max(F.col("l_suppkey") % 130) + 25).alias("w"), (F.max("l_returnflag") == "R").alias("inked"))
+    sized = sized.withColumns({"x": F.lit(4), "y": (F.col("n") - 1) * 84 + 4})
+
+    def drawn(regions: list) -> bytes:
+        x = np.full((max(r["y"] + r["h"] for r in regions) + 6, 164), 240, np.uint8)
+        for r in regions:
+            box = x[r["y"]:r["y"] + r["h"], r["x"]:r["x"] + r["w"]]
+            box[8:10, 8:-8] = 60  # a stroke inside
+            if r["inked"]:
+                box[:2] = box[-2:] = box[:, :2] = box[:, -2:] = 60
+        return measure.write_pgm(x)
+
+    draw = F.udf(drawn, "binary", useArrow=False)  # makes test images
+    images = sized.groupBy("page_id").agg(F.collect_list(F.struct("x", "y", "w", "h", "inked")).alias("r")).select("page_id", draw("r").alias("content"))
+    words = sized.select("page_id", F.col("n").alias("group_no"), "x", "y", "w", "h", F.lit(1).alias("order_no"), F.lit(None).cast("double").alias("confidence"), F.repeat(F.lit("x"), F.col("n").cast("int")).alias("text"))
+    return extract.assembled_regions(words, ["page_id"], images).select("page_id", "group_no", "w", "h", "category")
+
+
 @query("""WITH s AS (SELECT c_custkey AS case_id, CASE c_custkey % 4 WHEN 0 THEN 'verified' WHEN 1 THEN 'incomplete' WHEN 2 THEN 'not_verified' END AS status FROM customer)
 SELECT case_id, CASE status WHEN 'verified' THEN 'Complete against the attached checklist' WHEN 'incomplete' THEN 'Incomplete against the attached checklist' ELSE 'Completeness not verified' END AS label FROM s""")
 def completeness_labels(spark, sf_dir):

@@ -21,7 +21,10 @@ WITH newest AS (
   FROM lineitem),
 versions AS (
   SELECT l_orderkey * 100 + l_linenumber AS page_id, l_orderkey AS document_id, l_linenumber AS ordinal, l_discount AS discount, l_tax AS tax, l_quantity AS quantity, l_returnflag AS flag,
-         l_shipdate AS shipped, versions FROM newest WHERE rn = 1),
+         l_shipdate AS shipped, versions, (l_orderkey * 100 + l_linenumber) * 100 + versions AS version_id, CASE WHEN l_linenumber % 3 <> 0 THEN '(' || l_linenumber || ')' END AS printed_label,
+         1240 + l_partkey % 100 AS width, 1754 + l_suppkey % 50 AS height, 'renders/' || (l_orderkey * 100 + l_linenumber) || '.png' AS storage_key,
+         CASE l_partkey % 3 WHEN 0 THEN 'bitonal' WHEN 1 THEN 'grey' ELSE 'colour' END AS colour_mode, CASE WHEN l_suppkey % 2 = 0 THEN 'photo' ELSE 'flatbed' END AS capture_profile,
+         CASE WHEN l_discount > 0 THEN l_quantity * 2 END AS quality_score FROM newest WHERE rn = 1),
 quality AS (
   SELECT page_id, CASE WHEN discount >= 0.09 THEN 'rescan' WHEN discount >= 0.06 THEN 'review' WHEN tax = 0 THEN 'blank' WHEN tax >= 0.08 THEN 'failed' ELSE 'acceptable' END AS overall
   FROM versions WHERE discount > 0),
@@ -208,6 +211,11 @@ def filter_ilike_multi(spark, sf_dir):
     return _listed(spark, sf_dir, PageFilters(q="an_1"))
 
 
+@query(CORE + f"SELECT {_LIST} FROM core WHERE filename ILIKE '%_4)%' OR batch ILIKE '%_4)%' OR patient_ref ILIKE '%_4)%' OR encounter_ref ILIKE '%_4)%' OR printed_label ILIKE '%_4)%'")
+def filter_printed_label(spark, sf_dir):
+    return _listed(spark, sf_dir, PageFilters(q=" _4) "))
+
+
 @query(CORE + f"SELECT {_LIST} FROM core WHERE uploaded_at >= TIMESTAMP '1996-01-01' AND uploaded_at <= TIMESTAMP '1997-06-30 23:59:59.999999'")
 def filter_date_window(spark, sf_dir):
     return _listed(spark, sf_dir, PageFilters(uploaded_from="1996-01-01", uploaded_to="1997-06-30"))
@@ -284,6 +292,32 @@ def export_row(spark, sf_dir):
     return exports.export_rows(view, counts.worst_severity(r.findings), reviewed, diagnoses, counts.counted_labels(turns, "page_id", "category"))
 
 
+@query(CORE + "SELECT page_id, filename, ordinal AS page_no, versions AS version, coalesce(overall, 'unchecked') AS scan_status, coalesce(printed_label, '') AS printed_label "
+       "FROM core ORDER BY uploaded_at DESC, document_id, ordinal LIMIT 1500 OFFSET 20")
+def export_row_limited(spark, sf_dir):
+    r, view = _view(spark, sf_dir)
+    rows = exports.export_rows(view, counts.worst_severity(r.findings), reviews.ai_vs_reviewed(r.reviews, "case_id").withColumns({c: F.lit(None).cast("string") for c in ("joined", "reviewers")}), limit=1500, offset=20)
+    return rows.select("page_id", "filename", "page_no", "version", "scan_status", "printed_label")
+
+
+@query(CORE + """, f AS (SELECT page_id, string_agg(code || '=' || CASE code WHEN 'BLUR' THEN 'Blurred / out of focus' WHEN 'NOISE' THEN 'Noisy / speckled' ELSE 'Nearly blank' END || ':' || severity, ' ' ORDER BY code) AS faults FROM findings GROUP BY 1),
+t AS (SELECT conv_id * 100 + 1 AS page_id, CASE WHEN length(text) % 2 = 0 THEN 'note' ELSE 'tick' END AS kind, CASE WHEN length(text) % 3 = 0 THEN 'uncertain' ELSE 'unreadable' END AS st, role FROM conversations),
+h AS (SELECT page_id, string_agg(kind, ' ' ORDER BY kind) AS kinds, string_agg(st || ':' || role, ' ' ORDER BY st, role) AS found FROM t GROUP BY 1)
+SELECT page_id, filename, version_id AS _page_version_id, page_id AS _logical_page_id, document_id AS _document_id, storage_key AS _storage_key_render, width AS _width, height AS _height,
+  coalesce(faults, '') AS _quality_findings, coalesce(kinds, '') AS _handwriting_regions, coalesce(found, '') AS _diagnosis_regions FROM core LEFT JOIN f USING (page_id) LEFT JOIN h USING (page_id)""")
+def export_row_private(spark, sf_dir):
+    """The private columns of an export; lists as text."""
+    r, view = _view(spark, sf_dir)
+    k = F.length("text")
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select((F.col("conv_id") * 100 + 1).alias("page_id"), F.when(k % 2 == 0, "note").otherwise("tick").alias("category"),
+                                                                          F.when(k % 3 == 0, "uncertain").otherwise("unreadable").alias("diagnosis_status"), F.col("role").alias("anchor_label"))
+    rows = exports.with_private(view.select("page_id", "filename"), view, r.findings, turns.select("page_id", "category"), turns.select("page_id", "diagnosis_status", "anchor_label"))
+    text = lambda name, item: F.array_join(F.transform(name, item), " ")
+    return rows.withColumns({
+        "_quality_findings": text("_quality_findings", lambda f: F.concat(f["defect_code"], F.lit("="), f["label"], F.lit(":"), f["severity"])),
+        "_handwriting_regions": text("_handwriting_regions", lambda x: x["category"]), "_diagnosis_regions": text("_diagnosis_regions", lambda x: F.concat(x["status"], F.lit(":"), x["anchor_label"]))})
+
+
 @query("SELECT doc_id, CASE WHEN length(replace(text, chr(13), ' ')) <= 40 THEN replace(text, chr(13), ' ') ELSE regexp_replace(left(replace(text, chr(13), ' '), 39), '\\s+$', '') || '…' END AS short FROM documents")
 def truncate_with_mark(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", shortened(F.col("text"), 40).alias("short"))

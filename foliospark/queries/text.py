@@ -62,6 +62,22 @@ def legibility_status(spark, sf_dir):
     return rows.select("doc_id", extract.status(extract.readable(F.col("x"), F.col("c")), F.col("c")).alias("status"))
 
 
+@query(f"""WITH a AS (SELECT doc_id, {_ABBREVIATED} AS x, CASE WHEN doc_id % 3 > 0 THEN (doc_id % 10) / 10.0 END AS c, doc_id % 4 > 0 AS found, doc_id % 5 = 0 AS hand FROM documents),
+b AS (SELECT *, CASE WHEN doc_id % 7 = 0 THEN regexp_replace(x, '[A-Z]', '7', 'g') WHEN doc_id % 7 = 1 THEN ' X ' ELSE x END AS y FROM a),
+s AS (SELECT *, regexp_replace(y, '^\\s+|\\s+$', '', 'g') AS t, array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(y, '\\b([A-Z][A-Z/]{{1,6}})\\b', 1), lambda v: replace(v, '/', '')),
+  lambda v: v IN ({', '.join(f"'{a}'" for a in extract.ABBREVIATIONS)})))), ', ') AS kept FROM b),
+r AS (SELECT *, CASE WHEN length(t) < 2 THEN 'transcription too short to be meaningful' WHEN length(regexp_replace(t, '[^\\pL]', '', 'g')) / greatest(length(t), 1) < 0.45 THEN 'transcription is mostly non-alphabetic characters'
+  WHEN c < 0.35 THEN printf('provider confidence %.2f below the legibility floor', c) END AS reason FROM s)
+SELECT doc_id, CASE WHEN NOT found THEN 'A diagnosis label is present on the page but no value was read next to it.' ELSE concat_ws(' ', CASE WHEN reason IS NOT NULL THEN 'Not transcribed with confidence: ' || reason || '. Read the highlighted region on the image.'
+  WHEN c < 0.6 THEN printf('Low provider confidence (%.2f). Confirm against the image before use.', c) WHEN hand THEN 'Handwritten source — confirm the transcription against the image.' END,
+  CASE WHEN kept <> '' THEN 'Contains abbreviations that were left exactly as written and not expanded: ' || kept || '.' END) END AS note FROM r""")
+def extraction_notes(spark, sf_dir):
+    heads = F.get(F.array(*map(F.lit, ("TB with HTN ", "MI/CA, D/M, COPD ", "tb HTNX ", ""))), (F.col("doc_id") % 4).cast("int"))
+    rows = _t(spark, sf_dir, "documents").select("doc_id", F.concat(heads, F.regexp_replace(F.upper("text"), r"[^\x00-\x7F]", "")).alias("x"), F.when(F.col("doc_id") % 3 > 0, (F.col("doc_id") % 10) / F.lit(10.0)).alias("c"))
+    y = F.when(F.col("doc_id") % 7 == 0, F.regexp_replace("x", "[A-Z]", "7")).when(F.col("doc_id") % 7 == 1, " X ").otherwise(F.col("x"))
+    return rows.withColumn("y", y).select("doc_id", extract.note(F.col("doc_id") % 4 > 0, F.col("y"), F.col("c"), F.col("doc_id") % 5 == 0, extract.abbreviations(F.col("y"))).alias("note"))
+
+
 @query("""WITH s AS (SELECT l_orderkey AS k, list({'a': l_partkey % 1000, 'b': l_partkey % 1000 + 20}) AS spans FROM lineitem WHERE l_quantity > 25 GROUP BY 1)
 SELECT o_orderkey, CASE WHEN spans IS NOT NULL THEN len(list_filter(spans, lambda s: o_custkey % 1000 < s.b AND o_custkey % 1000 + 10 > s.a)) > 0 END AS handwritten FROM orders LEFT JOIN s ON k = o_orderkey""")
 def interval_overlap_flags(spark, sf_dir):

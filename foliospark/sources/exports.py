@@ -8,12 +8,13 @@ import zipfile
 from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.functions.text import safe_part
 from foliospark.operators import keyed
-from foliospark.operators.rules import DEFECTS
+from foliospark.operators.listing import windowed
+from foliospark.operators.rules import DEFECTS, LABELS
 
 # Columns of an export in order, with their headings.
 EXPORT = {
@@ -24,7 +25,8 @@ EXPORT = {
 CELL = 32_000
 
 
-def export_rows(view: DataFrame, severities: DataFrame, reviewed: DataFrame, diagnoses: DataFrame | None = None, categories: DataFrame | None = None) -> DataFrame:
+def export_rows(view: DataFrame, severities: DataFrame, reviewed: DataFrame, diagnoses: DataFrame | None = None, categories: DataFrame | None = None,
+                limit: int | None = None, offset: int = 0) -> DataFrame:
     """One row per active page for reports, with the columns of ``EXPORT``. Children are aggregated by their key first and joined once each.
 
     ``scan_status`` is the engine's class, not the effective one, so an accepted page still shows what was measured.
@@ -33,7 +35,9 @@ def export_rows(view: DataFrame, severities: DataFrame, reviewed: DataFrame, dia
     * ``reviewed``: case_id, joined (comments), reviewers, ai_vs_reviewed (see ``operators.reviews.ai_vs_reviewed``).
     * ``diagnoses``: page_id, diagnosis_status, qualifiers, raw, corrected. Without a row: pending, and no texts.
     * ``categories``: page_id, labels. A page's ``printed_label`` is taken from the view if that has it.
+    * ``limit``, ``offset``: only these rows of the view's page order (``listing.windowed``); children are joined to them alone.
     """
+    view = windowed(view, limit, offset)
     order = F.create_map(*[F.lit(x) for i, c in enumerate(DEFECTS) for x in (c, i)])
     place = F.coalesce(F.try_element_at(order, F.col("code")), F.lit(999))
     defects = severities.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct(place.alias("place"), "code", "severity"))).alias("_d"))
@@ -50,6 +54,37 @@ def export_rows(view: DataFrame, severities: DataFrame, reviewed: DataFrame, dia
         plain("reviewers", "reviewed_by"), plain("joined", "reviewer_comment"), F.coalesce("ai_vs_reviewed", F.lit("ai_only")).alias("ai_vs_reviewed"))
 
 
+def with_private(rows: DataFrame, view: DataFrame, findings: DataFrame, regions: DataFrame, extractions: DataFrame) -> DataFrame:
+    """Export rows (with ``page_id``) with the nine private columns that archives and checklists work from; ``public`` strips them.
+
+    * ``view``: page_id, document_id, version_id, storage_key, width, height.
+    * ``findings``: page_id, code, severity, and if known detail, source, confidence, region.
+    * ``regions``: page_id, category, and if known confidence, polygon.
+    * ``extractions``: page_id, diagnosis_status, and if known anchor_label, region.
+
+    A page's children are few; each table is gathered by page once. Lists are sorted, and empty where a page has none.
+    """
+
+    def gathered(table: DataFrame, name: str, fields: dict[str, tuple[str, str]], **more: Column) -> DataFrame:
+        of = lambda column, kind: F.col(column) if column in table.columns else F.lit(None).cast(kind)
+        item = F.struct(*[of(c, kind).alias(f) for f, (c, kind) in fields.items()], *[c.alias(f) for f, c in more.items()])
+        return table.groupBy("page_id").agg(F.sort_array(F.collect_list(item)).alias(name))
+
+    code = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair]), F.col("code")), F.col("code"))
+    children = (
+        gathered(findings, "_quality_findings", {"defect_code": ("code", "string"), "severity": ("severity", "string"), "detail": ("detail", "string"), "source": ("source", "string"),
+                                                 "confidence": ("confidence", "double"), "region": ("region", "string")}, label=code),
+        gathered(regions, "_handwriting_regions", {"category": ("category", "string"), "confidence": ("confidence", "double"), "polygon": ("polygon", "array<array<double>>")}),
+        gathered(extractions, "_diagnosis_regions", {"status": ("diagnosis_status", "string"), "anchor_label": ("anchor_label", "string"), "region": ("region", "string")}))
+    payload = view.select("page_id", F.col("version_id").alias("_page_version_id"), F.col("page_id").alias("_logical_page_id"), F.col("document_id").alias("_document_id"),
+                          F.col("storage_key").alias("_storage_key_render"), F.col("width").alias("_width"), F.col("height").alias("_height"))
+    out = rows.join(payload, "page_id")
+    for child in children:
+        name = child.columns[1]
+        out = out.join(child, "page_id", "left").withColumn(name, F.coalesce(name, F.array().cast(child.schema[name].dataType)))
+    return out
+
+
 def public(df: DataFrame) -> DataFrame:
     """Without private columns, those that begin with an underscore."""
     return df.select(*[c for c in df.columns if not c.startswith("_")])
@@ -125,4 +160,6 @@ def summary(totals: dict) -> list[tuple[str, str]]:
 
 def described(filters) -> list[tuple[str, str]]:
     """The filters that are set, as lines of a report's head."""
-    return [(name.replace("_", " ").capitalize(), ", ".join(value) if isinstance(value, list) else str(value)) for name, value in vars(filters).items() if value and name != "strict"]
+    window = [("Row limit", f"{filters.limit} (offset {filters.offset})")] if filters.limit else []
+    return [(name.replace("_", " ").capitalize(), ", ".join(value) if isinstance(value, list) else str(value))
+            for name, value in vars(filters).items() if value and name not in ("strict", "limit", "offset")] + window

@@ -29,14 +29,18 @@ ANSWER = "struct<medicines:array<struct<name:string,dose:string,confidence:strin
 
 
 def reasoning(answer: Column) -> Column:
-    """A model's JSON answer; null if it isn't a valid JSON object, which callers report as an error."""
-    whole = F.try_parse_json(answer).isNotNull() & answer.rlike(r"^\s*\{")
+    """A model's JSON answer; null if it isn't a valid JSON object, or medicines or uncertainties aren't lists (of objects; of anything), which callers report as an error."""
+    parsed = F.try_parse_json(answer)
+    kind = lambda name: F.coalesce(F.schema_of_variant(F.try_variant_get(parsed, f"$.{name}", "variant")), F.lit("VOID"))
+    lists = kind("medicines").rlike(r"^(VOID|ARRAY<(VOID|OBJECT<.*>)>)$") & kind("uncertainties").rlike(r"^(VOID|ARRAY<.*>)$")
+    whole = parsed.isNotNull() & answer.rlike(r"^\s*\{") & lists
     return F.when(whole, F.from_json(answer, ANSWER))
 
 
 def needs_confirmation(r: Column) -> Column:
-    """The model says so, a medicine isn't of high confidence, or something is uncertain."""
-    return F.coalesce(r["needs_confirmation"], F.lit(False)) | F.coalesce(F.exists(r["medicines"], lambda m: ~m["confidence"].eqNullSafe("high")), F.lit(False)) | (F.size(r["uncertainties"]) > 0)
+    """The model says so or says nothing of it, a medicine isn't of high confidence, or something is uncertain. Null without an answer."""
+    unsure = F.coalesce(F.exists(r["medicines"], lambda m: ~m["confidence"].eqNullSafe("high")), F.lit(False)) | (F.coalesce(F.size(r["uncertainties"]), F.lit(0)) > 0)
+    return F.when(r.isNotNull(), F.coalesce(r["needs_confirmation"], F.lit(True)) | unsure)
 
 
 def prescription_status(r: Column) -> Column:

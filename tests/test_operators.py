@@ -243,3 +243,53 @@ def test_labelled_entries_read_whole_lines(spark, tmp_path):
     spark.createDataFrame([(1, "one\ntwo\nthree\n" + line + "\nfive")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     found = [(r["raw_text"], r["qualifier"]) for r in QUERIES["labelled_entries"](spark, str(tmp_path)).collect()]
     assert found == [("fever with chills since the monsoon", "provisional"), ("no relief from earlier tablets", "provisional"), ("r/o sepsis of unknown origin", "ruled_out")]
+
+
+def test_answers_of_a_wrong_type_fail_and_doubt_is_kept(spark):
+    answers = {'{"medicines":"x"}': ("failed", None), '{"medicines":["x"]}': ("failed", None), '{"medicines":[],"uncertainties":"x"}': ("failed", None), '{"medicines":[{"confidence":"high"},1]}': ("failed", None),
+               '{"needs_confirmation":false}': ("extracted", False), '{"medicines":null,"needs_confirmation":false}': ("extracted", False), '{"medicines":[]}': ("extracted", True),
+               '{"needs_confirmation":false,"medicines":[{"name":"x","confidence":"high"}],"uncertainties":[]}': ("extracted", False),
+               '{"needs_confirmation":false,"medicines":[{"name":"x"}]}': ("extracted", True), '{"needs_confirmation":false,"uncertainties":["dose"]}': ("extracted", True), "x": ("failed", None)}
+    rows = spark.createDataFrame([(a,) for a in answers], "a string").withColumn("r", ocr.reasoning(F.col("a")))
+    got = rows.select("a", ocr.prescription_status(F.col("r")).alias("s"), ocr.needs_confirmation(F.col("r")).alias("c")).collect()
+    assert {x["a"]: (x["s"], x["c"]) for x in got} == answers
+
+
+def test_notes_and_regions_of_entries(spark):
+    kind = "page_id long, text string, x double, y double, height double, confidence double, width double, handwritten boolean"
+    lines = [(1, "Final Diagnosis", 50.0, 10.0, 30.0, 0.9, 100.0, None), (1, "Anaemia; TB", 40.0, 50.0, 30.0, 0.9, 200.0, True), (2, "Diagnosis: Malaria", 0.0, 0.0, 9.0, 0.5, 80.0, False),
+             (3, "Diagnosis: 12345 67", 0.0, 0.0, 9.0, None, 80.0, False), (4, "Diagnosis", 0.0, 0.0, 9.0, 0.9, 80.0, True), (5, "Diagnosis: Typhoid", 0.0, 0.0, 9.0, 0.125, 80.0, False), (6, "Diagnosis: Fever", 0.0, 0.0, 9.0, None, 80.0, None)]
+    found = {(r["page_id"], r["raw_text"]): r for r in extract.entries(extract.labelled_values(spark.createDataFrame(lines, kind))).collect()}
+    hand = "Handwritten source — confirm the transcription against the image."
+    kept = "Contains abbreviations that were left exactly as written and not expanded: TB."
+    assert {key: r["note"] for key, r in found.items()} == {
+        (1, "Anaemia"): hand, (1, "TB"): f"{hand} {kept}", (2, "Malaria"): "Low provider confidence (0.50). Confirm against the image before use.",
+        (3, "12345 67"): "Not transcribed with confidence: transcription is mostly non-alphabetic characters. Read the highlighted region on the image.",
+        (4, None): "A diagnosis label is present on the page but no value was read next to it.",
+        (5, "Typhoid"): "Not transcribed with confidence: provider confidence 0.12 below the legibility floor. Read the highlighted region on the image.", (6, "Fever"): ""}
+    assert [found[1, "TB"][c] for c in ("x", "y", "width", "height", "handwritten")] == [40.0, 10.0, 200.0, 70.0, True] and not found[6, "Fever"]["handwritten"]
+
+
+def test_framed_regions_are_stamps(spark):
+    x = np.full((200, 300), 230, np.uint8)
+    for top, left, h, w in ((20, 20, 60, 100), (120, 20, 25, 100)):
+        x[top:top + h, left:left + w] = 40
+        x[top + 2:top + h - 2, left + 2:left + w - 2] = 230
+    words = spark.createDataFrame([(p, g, left, top, w, h, 1, 0.9, "seal of office") for p in (1, 2, 3) for g, (left, top, w, h) in enumerate([(20, 20, 100, 60), (20, 120, 100, 25), (150, 20, 100, 60), (280, 150, 100, 100), (400, 10, 60, 60)])],
+                                  "page_id long, group_no int, x int, y int, w int, h int, order_no int, confidence double, text string")
+    images = spark.createDataFrame([(1, measure.write_pgm(x)), (2, b"no image")], "page_id long, content binary")
+    got = {(r["page_id"], r["group_no"]): (r["category"], r["category_confidence"]) for r in extract.assembled_regions(words, ["page_id"], images).collect()}
+    assert got == {(p, g): (("stamp", 0.58) if (p, g) == (1, 0) else ("note", 0.75)) for p in (1, 2, 3) for g in range(5)}
+    assert extract.assembled_regions(words.limit(0), ["page_id"], images).count() == 0
+
+
+def test_private_columns_of_an_export(spark):
+    view = spark.createDataFrame([(1, 7, 102, "k", 10, 20), (2, 7, 201, None, None, None)], "page_id long, document_id long, version_id long, storage_key string, width long, height long")
+    findings = spark.createDataFrame([(1, "NOISE", "low", 0.5), (1, "BLUR", "high", None), (1, "X", "low", None)], "page_id long, code string, severity string, confidence double")
+    regions = spark.createDataFrame([(1, "note"), (1, "note")], "page_id long, category string")
+    extractions = spark.createDataFrame([(1, "uncertain", "Impression")], "page_id long, diagnosis_status string, anchor_label string")
+    rows = {r["page_id"]: r for r in exports.with_private(view.select("page_id"), view, findings, regions, extractions).collect()}
+    assert [(f["defect_code"], f["label"], f["confidence"]) for f in rows[1]["_quality_findings"]] == [("BLUR", "Blurred / out of focus", None), ("NOISE", "Noisy / speckled", 0.5), ("X", "X", None)]
+    assert [f["category"] for f in rows[1]["_handwriting_regions"]] == ["note", "note"] and rows[1]["_diagnosis_regions"][0]["anchor_label"] == "Impression"
+    assert (rows[2]["_page_version_id"], rows[2]["_quality_findings"], rows[2]["_handwriting_regions"], rows[2]["_diagnosis_regions"]) == (201, [], [], [])
+    assert exports.public(exports.with_private(view.select("page_id"), view, findings, regions, extractions)).columns == ["page_id"]

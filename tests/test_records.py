@@ -169,3 +169,17 @@ def test_gaps_need_three_labels(spark):
 def test_exact_duplicates_keep_the_first(spark):
     rows = spark.createDataFrame([(1, "g", "x"), (2, "g", "x"), (3, "h", "x"), (4, "g", "y"), (5, "g", None), (6, "g", "x")], "i int, g string, t string")
     assert {r["i"] for r in checks.exact_duplicates(rows, "g", F.col("t"), ["i"]).collect()} == {2, 6}
+
+
+def test_printed_labels_answer_a_free_text(view):
+    found = filters.apply_filters(view, PageFilters(q=" (2) "))
+    assert found.count() == view.filter("printed_label = '(2)'").count() > 0
+    assert filters.apply_filters(view.drop("printed_label"), PageFilters(q="(2)")).count() == 0
+
+
+def test_an_export_of_some_rows(view):
+    f = PageFilters(limit=7, offset=3)
+    ids = [r["page_id"] for r in view.orderBy(*listing.page_order()).limit(10).collect()][3:]
+    assert sorted(r["page_id"] for r in listing.windowed(view, f.limit, f.offset).collect()) == sorted(ids)
+    assert listing.windowed(view, None, 3).count() == view.count() == filters.apply_filters(view, f).count()
+    assert exports.described(f) == [("Row limit", "7 (offset 3)")]
