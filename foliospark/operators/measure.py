@@ -381,11 +381,11 @@ def outlined(x: np.ndarray, box: dict) -> bool:
 def framed(images: DataFrame, regions: DataFrame) -> DataFrame:
     """``page_id``, ``group_no``, ``framed``: which regions (page_id, group_no, x, y, w, h) over 30 pixels wide and high have a hard outline on their page's image.
 
-    A page's boxes travel to its image as one list, so each image is read once. Smaller regions, pages without an image and images that can't be read have no row.
+    A page's boxes travel to its image as one list, so each image is read once; the lists are the hashed side of the join, and images are neither broadcast nor sorted. Smaller regions, pages without an image and images that can't be read have no row.
     """
     box = F.struct("group_no", *[F.col(c).cast("int").alias(c) for c in "xywh"])
     boxes = regions.filter("w > 30 AND h > 30").groupBy("page_id").agg(F.collect_list(box).alias("boxes"))
-    joined = images.select("page_id", "content").filter("content IS NOT NULL").join(boxes, "page_id").select("page_id", "content", "boxes")
+    joined = images.select("page_id", "content").filter("content IS NOT NULL").join(boxes.hint("shuffle_hash"), "page_id").select("page_id", "content", "boxes")
     kinds = {c: regions.schema[c].dataType.simpleString() for c in ("page_id", "group_no")}
     schema = ", ".join(f"{c} {kind}" for c, kind in kinds.items()) + ", framed boolean"
     arrow = to_arrow_schema(StructType.fromDDL(schema))

@@ -304,7 +304,8 @@ def region_categories(spark, sf_dir):
         return measure.write_pgm(x)
 
     draw = F.udf(drawn, "binary", useArrow=False)  # makes test images
-    images = sized.groupBy("page_id").agg(F.collect_list(F.struct("x", "y", "w", "h", "inked")).alias("r")).select("page_id", draw("r").alias("content"))
+    listed = sized.groupBy("page_id").agg(F.collect_list(F.struct("x", "y", "w", "h", "inked")).alias("r"))
+    images = listed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "page_id").select("page_id", draw("r").alias("content"))
     words = sized.select("page_id", F.col("n").alias("group_no"), "x", "y", "w", "h", F.lit(1).alias("order_no"), F.lit(None).cast("double").alias("confidence"), F.repeat(F.lit("x"), F.col("n").cast("int")).alias("text"))
     return extract.assembled_regions(words, ["page_id"], images).select("page_id", "group_no", "w", "h", "category")
 
