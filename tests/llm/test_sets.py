@@ -385,3 +385,59 @@ def test_pipeline_stages(spark, sf_dir):
         before = now
     ids = {r["doc_id"] for r in kept.select("doc_id").collect()}
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, sf_dir).collect()} == ids
+
+
+def plain_chain(spark, sf_dir):
+    """The pipeline's rows told one by one: the classifiers' models judge single texts, everything else is Python sets. The ids that stay, sorted."""
+    from foliospark.llm import langid, toxicity
+    from foliospark.llm.common import crc_part
+
+    table = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    alone = lambda scores, text: scores(np.frombuffer((text or "").encode(), np.uint8), np.array([0, len((text or "").encode())]))
+    rows_of = lambda df: [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
+    documents = table("documents")
+    toxic = toxicity._trained(documents, table("labels"), crc_part("doc_id", 5) != 0, "toxic", 1200, {}).value
+    calm = [(i, t) for i, t in rows_of(documents) if alone(toxic.scores, (t or "").lower())[0] < 0.5]
+    languages = {r["doc_id"]: r["lang"] for r in documents.select("doc_id", "lang").collect()}
+    first = spark.createDataFrame([(i, t, languages[i]) for i, t in calm], "doc_id long, text string, lang string")
+    sample = langid.training_sample(first, crc_part("doc_id", 4) != 2, 400, 20_000)
+    judge, letters = langid.fit(*sample), langid.spelling(*sample)
+    known = [(i, t) for i, t in calm if re.search(r"[^\W\d_]", t or "") and ((alone(judge.scores, t.lower()) >= 0.3) & alone(letters.fits, f" {t.lower()} ")).any()]
+    sets = [(i, t, shingle_set(t, 5)) for i, t in known]
+    group = list(range(len(sets)))
+    for x, (i, _, a) in enumerate(sets):
+        for y, (j, _, b) in enumerate(sets[:x]):
+            if None not in (i, j) and a and b and 100 * len(a & b) >= 80 * len(a | b):
+                group = [group[y] if g == group[x] else g for g in group]
+    single = [min((sets[x] for x in range(len(sets)) if group[x] == g), key=lambda s: s[0] is not None and s[0])[:2] for g in set(group)]
+
+    def items(text):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", (text or "").translate({i: i + 32 for i in range(65, 91)}))
+        return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    tests = [s for s in (items(r["text"]) for r in table("benchmark").collect()) if s]
+    return [("calm", len(calm)), ("known", len(known)), ("single", len(single))], sorted((i for i, t in single if not any(10 * len(s & items(t)) >= 8 * len(s) for s in tests)), key=str)
+
+
+def test_pipeline_matches_a_plain_chain(spark, sf_dir, tmp_path):
+    import corpus_pipeline
+
+    given = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = sorted(given.collect(), key=lambda r: r["doc_id"])
+    item = max((r["text"] for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()), key=len)
+    clean = next(r["text"] for r in rows if len(r["text"]) > 300)
+    made = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in rows]
+    made += [(10_001, None, "en", "s"), (10_002, "", "en", "s"), (10_003, " 12 ... ", None, "s"), (None, rows[3]["text"], "en", "s"), (None, None, None, None), (10_004, f"{clean} {item} {clean[::-1]}", "en", "s"),
+             (10_005, clean, "en", None), (10_006, f"{clean} more", "en", "s"), (10_006, f"{clean} more", "en", "s"), (10_007, " ".join(r["text"] for r in rows[:60] if r["lang"] == rows[0]["lang"]), rows[0]["lang"], "s")]
+    awkward = spark.createDataFrame([(*r, len(r[1] or ""), 0.5, -1, "clash") for r in made], "doc_id long, text string, lang string, source string, n_chars long, score double, _node int, component_id string")
+    for name, df in (("documents", awkward), ("labels", spark.read.parquet(f"{sf_dir}/labels.parquet")), ("benchmark", spark.read.parquet(f"{sf_dir}/benchmark.parquet"))):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    sizes, expected = plain_chain(spark, str(tmp_path))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"] for r in got), key=str) == expected, sizes
+    assert all(r["round_trip"] and r["n_tokens"] == len(r["ids"]) for r in got)
+    assert 10_004 not in expected and 10_006 not in expected and [n for _, n in sizes] == sorted((n for _, n in sizes), reverse=True)
+    empty = tmp_path / "none"
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{tmp_path}/{name}.parquet").limit(0).write.parquet(f"{empty}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0
