@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,6 +17,8 @@ from foliospark.operators import measure, rules
 SCHEMA = "page_id long, path string, filename string, bytes long, content binary"
 #: Bytes of files that one task reads about.
 PART_BYTES = 64 << 20
+#: Files of one task at most: packed scans are few bytes, but each is measured.
+PART_FILES = 32
 
 
 @dataclass
@@ -26,17 +29,20 @@ class ScanFiles(InputPartition):
 
 
 class ScanReader(DataSourceReader):
-    """Lists the folder once; tasks open their files themselves. A file that can't be read is a row without content."""
+    """Lists the folder once; tasks open their files themselves. A file that can't be read is a row without content.
+
+    Files that end in ``.gz`` are unpacked as they are read; ``bytes`` is their size in the folder.
+    """
 
     def __init__(self, uri: str, suffix: str, part_bytes: int):
         self.uri, self.suffix, self.part_bytes = uri, suffix.lower(), part_bytes
 
     def partitions(self) -> list[ScanFiles]:
         system, root = fs.FileSystem.from_uri(self.uri)
-        found = sorted((f.path, f.size) for f in system.get_file_info(fs.FileSelector(root, recursive=True)) if f.type == fs.FileType.File and f.path.lower().endswith(self.suffix))
+        found = sorted((f.path, f.size) for f in system.get_file_info(fs.FileSelector(root, recursive=True)) if f.type == fs.FileType.File and f.path.lower().removesuffix(".gz").endswith(self.suffix))
         parts, held, size = [], [], 0
         for i, (path, n) in enumerate(found):
-            if held and size + n > self.part_bytes:
+            if held and (size + n > self.part_bytes or len(held) >= PART_FILES):
                 parts.append(ScanFiles(held))
                 held, size = [], 0
             held.append((i, path, n))
@@ -47,7 +53,7 @@ class ScanReader(DataSourceReader):
         system, _ = fs.FileSystem.from_uri(self.uri)
         for number, path, size in partition.files:
             try:
-                with system.open_input_stream(path) as f:
+                with system.open_input_stream(path, compression="gzip" if path.lower().endswith(".gz") else None) as f:
                     content = f.read()
             except OSError:
                 content = None
@@ -77,13 +83,12 @@ def read_scans(spark: SparkSession, path: str, **options: str) -> DataFrame:
 
 def calibration(scans: DataFrame, overrides: dict | None = None) -> DataFrame:
     """A row for each scan: file, class, score, codes of its defects, and the metrics that thresholds are set by. Broken scans are rows with their ``error``."""
-    judged = rules.judge(measure.measured(scans), overrides)
+    judged = rules.judge(measure.measured(scans, beside=("filename",)), overrides)
     codes = F.array_join(F.array_sort(F.array_distinct(F.col("findings.code"))), ",")
-    rows = judged.select("page_id", F.col("overall").alias("class"), "score", codes.alias("defects"), F.col("capture_profile").alias("profile"), F.coalesce("likely_spread", F.lit(False)).alias("spread"),
+    return judged.select("page_id", "filename", F.col("overall").alias("class"), "score", codes.alias("defects"), F.col("capture_profile").alias("profile"), F.coalesce("likely_spread", F.lit(False)).alias("spread"),
                          F.round(F.col("ink_coverage") * 100, 3).alias("ink_percent"), F.round(F.col("text_ink_coverage") * 100, 3).alias("text_ink_percent"), F.round("ink_paper_contrast", 1).alias("contrast"),
                          F.round("stroke_sharpness", 4).alias("sharpness"), F.round("median_luma", 1).alias("luma"), F.round("noise_sigma", 2).alias("noise"), F.round("skew_deg", 2).alias("skew"),
                          F.col("rotation_deg").alias("rotation"), F.round("est_text_height_px", 1).alias("text_height"), F.round("seconds", 3).alias("seconds"), "error")
-    return scans.select("page_id", "filename").join(rows, "page_id")
 
 
 def counters(report: DataFrame) -> DataFrame:
@@ -104,7 +109,10 @@ def write_report(report: DataFrame, path: str, form: str) -> None:
 
 
 def write_scans(images: DataFrame, uri: str) -> DataFrame:
-    """Write each image (``filename``, ``content``) below ``uri``, by the tasks that hold them; a task that runs again writes the same files. Returns the rows' names and sizes."""
+    """Write each image (``filename``, ``content``) below ``uri``, by the tasks that hold them; a task that runs again writes the same files.
+
+    Names that end in ``.gz`` are written packed. Returns the rows' names and the images' sizes.
+    """
     root = uri if "://" in uri else f"file://{uri}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,8 +121,9 @@ def write_scans(images: DataFrame, uri: str) -> DataFrame:
         for batch in batches:
             names, sizes = batch.column(0).to_pylist(), []
             for name, content in zip(names, batch.column(1).to_pylist(), strict=True):
-                with system.open_output_stream(f"{folder}/{name}") as f:
-                    f.write(content or b"")
+                packed = name.lower().endswith(".gz")
+                with system.open_output_stream(f"{folder}/{name}", compression=None) as f:
+                    f.write(gzip.compress(content or b"", 1, mtime=0) if packed else content or b"")
                 sizes.append(len(content or b""))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], names=["filename", "bytes"])
 

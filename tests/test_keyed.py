@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -201,3 +202,33 @@ def test_written_scans_come_back(spark, tmp_path):
     sizes = scans.write_scans(images, str(tmp_path / "w")).agg(F.sum("bytes"), F.count("*")).first()
     assert tuple(sizes) == (190, 21)
     assert {r["filename"]: bytes(r["content"]) for r in scans.read_scans(spark, str(tmp_path / "w")).collect()} == {f"{i:03}.pgm": bytes([i]) * i for i in range(20)} | {"none.pgm": b""}
+
+
+def test_packed_scans_are_small_and_many_tasks(spark, tmp_path):
+    page = measure.write_pgm(np.full((300, 200), 244, np.uint8))
+    images = spark.createDataFrame([(i, f"{i:03d}.pgm.gz", page if i % 10 else b"broken") for i in range(70)], "page_id long, filename string, content binary")
+    scans.write_scans(images, str(tmp_path / "s")).count()
+    assert sum(f.stat().st_size for f in (tmp_path / "s").glob("*.gz")) < 70 * len(page) / 50  # the pixels themselves would be 60 KB each
+    read = scans.read_scans(spark, str(tmp_path / "s"))
+    assert read.rdd.getNumPartitions() == 3 and read.filter(F.col("content") == F.lit(bytearray(page))).count() == 63
+    report = scans.calibration(read)
+    assert "Join" not in report._jdf.queryExecution().optimizedPlan().toString()  # each scan is read once
+    assert {(r["kind"], r["n"]) for r in scans.counters(report).filter("kind IN ('pages', 'error')").collect()} == {("pages", 70), ("error", 7)}
+
+
+def test_settings_of_one_busy_moment(spark):
+    """Many changes of a day don't meet each of its rows: no row holds a list of them."""
+    log = spark.range(2000).select(F.timestamp_seconds(F.col("id") / 4).alias("changed_at"), F.col("id").alias("change_id"), F.lit("dark").alias("threshold"), F.col("id").cast("double").alias("value"))
+    pages = spark.range(2000).select(F.col("id").alias("page_id"), F.timestamp_seconds(F.lit(100)).alias("at"))
+    found = keyed.in_force(pages, "at", log, {"dark": 1.0, "light": 2.0})
+    assert "collect_list" not in found._jdf.queryExecution().toString()
+    assert found.columns == ["page_id", "at", "thresholds"] and found.count() == 2000
+    assert found.filter(F.col("thresholds")["dark"] == 400.0).filter(F.col("thresholds")["light"] == 2.0).count() == 2000
+
+
+def test_rounds_of_leaders_broadcast_nothing(spark, monkeypatch):
+    plans, kept = [], keyed.written
+    monkeypatch.setattr(keyed, "written", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df, name))
+    table = spark.createDataFrame([(1, i, i, (1 << (i % 7)) - 1) for i in range(60)], "case_id long, ordinal int, page_id long, hash long")
+    assert checks.leaders(table).count() == 60
+    assert len(plans) > 4 and not any("BroadcastHashJoin" in p for p in plans)
