@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A key with more than this share of all rows counts as hot, so that there are fewer hot keys than its inverse.
@@ -73,29 +72,27 @@ def in_force(rows: DataFrame, at: str, changes: DataFrame, defaults: dict[str, f
     ``changes``: changed_at, change_id, threshold, value. The last change at or before the time counts, of equal times that with the largest id; changes of
     other names, without a time or without a value are none. Rows without a time get the defaults.
 
-    The log is folded by day first: a calendar of the days from the first change to the last (366 a year, so it is broadcast) with what held when a day
-    began and that day's changes of each name. Rows meet their day by an equality join, however they are spread over days. A day's
-    changes of one name are gathered in a row: tuning changes a setting a few times a day at most.
+    Rows and changes are dealt together in ranges of time, a change before the rows of its time. The last value of each name is carried on within a range by a
+    window; what held when a range began are the last values of the ranges before it, a row for each range. So the work is a sort, however many changes and rows
+    fall on one day or one moment.
     """
     names, spark = sorted(defaults), rows.sparkSession
-    default = F.create_map(*[F.lit(x) for n in names for x in (n, float(defaults[n]))])
     log = changes.filter(F.col("threshold").isin(names) & F.col("changed_at").isNotNull() & F.col("value").isNotNull())
-    log = log.select(F.to_date("changed_at").alias("_day"), "threshold", F.struct("changed_at", "change_id", F.col("value").cast("double").alias("value")).alias("c"))
-    steps = log.groupBy("_day", "threshold").agg(F.array_sort(F.collect_list("c")).alias("log"))
-    per_day = steps.groupBy("_day").agg(F.map_from_entries(F.collect_list(F.struct("threshold", "log"))).alias("_logs"))
-    last = {r["_day"]: r["last"] for r in per_day.select("_day", F.transform_values("_logs", lambda _, v: F.element_at(v, -1)["value"]).alias("last")).collect()}
-    if not last:
-        return rows.withColumn("thresholds", default)
-    day, end, state, calendar = min(last), max(last), {}, []
-    while day <= end:
-        calendar.append((day, dict(state)))
-        state |= last.get(day, {})
-        day += timedelta(days=1)
-    held = F.broadcast(spark.createDataFrame(calendar, "_day date, _opening map<string,double>").join(per_day, "_day", "left"))
-    met = rows.withColumn("_day", F.when(F.col(at).isNotNull(), F.least(F.to_date(at), F.lit(end)))).join(held, "_day", "left")
-
-    def value(n: str) -> Column:
-        then = F.filter(F.col("_logs")[n], lambda c: c["changed_at"] <= F.col(at))
-        return F.coalesce(F.get(then, F.size(then) - 1)["value"], F.col("_opening")[n], default[n])
-
-    return met.withColumn("thresholds", F.create_map(*[x for n in names for x in (F.lit(n), value(n))])).drop("_day", "_logs", "_opening")
+    value = lambda n: F.when(F.col("threshold") == n, F.col("value").cast("double"))
+    time = rows.schema[at].dataType
+    marks = log.select(F.col("changed_at").cast(time).alias("_at"), F.col("change_id").alias("_change"), *[value(n).alias(f"_v{i}") for i, n in enumerate(names)],
+                       F.lit(None).cast(rows.select(F.struct("*")).schema[0].dataType).alias("_row"))
+    own = rows.select(F.col(at).alias("_at"), F.lit(None).cast(changes.schema["change_id"].dataType).alias("_change"), *[F.lit(None).cast("double").alias(f"_v{i}") for i in range(len(names))], F.struct("*").alias("_row"))
+    place = [F.col("_at").asc_nulls_first(), F.col("_row").isNotNull(), F.col("_change")]
+    dealt = marks.unionByName(own).withColumn("_salt", F.when(F.col("_row").isNotNull(), F.monotonically_increasing_id()))
+    dealt = written(dealt.repartitionByRange(*place, "_salt").withColumn("_part", F.spark_partition_id()), "in-force")
+    last = [F.max_by(f"_v{i}", F.when(F.col(f"_v{i}").isNotNull(), F.struct("_at", "_change"))).alias(f"_o{i}") for i in range(len(names))]
+    now, openings = [None] * len(names), []
+    for r in dealt.groupBy("_part").agg(*last).orderBy("_part").collect():  # a row for each range
+        openings.append((r["_part"], *now))
+        now = [r[f"_o{i}"] if r[f"_o{i}"] is not None else v for i, v in enumerate(now)]
+    held = spark.createDataFrame(openings, ", ".join(["_part int", *[f"_o{i} double" for i in range(len(names))]]))
+    upto = Window.partitionBy("_part").orderBy(*place).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = dealt.drop("_salt").withColumns({f"_l{i}": F.last(f"_v{i}", ignorenulls=True).over(upto) for i in range(len(names))}).filter("_row IS NOT NULL").join(F.broadcast(held), "_part", "left")
+    thresholds = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.coalesce(f"_l{i}", f"_o{i}", F.lit(float(defaults[n]))))])
+    return met.select("_row.*", F.when(F.col("_at").isNotNull(), thresholds).otherwise(F.create_map(*[F.lit(x) for n in names for x in (n, float(defaults[n]))])).alias("thresholds"))
