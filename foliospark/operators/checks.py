@@ -48,7 +48,8 @@ def near_pairs(hashes: DataFrame, most: int = HAMMING, bits: int = 63, agree: in
     on = [*own, "which", "part"]
     a, b = rows.select(F.col("id").alias("a"), F.col("hash").alias("ha"), *on), rows.select(F.col("id").alias("b"), F.col("hash").alias("hb"), *on)
     distance = F.bit_count(F.col("ha").bitwiseXOR(F.col("hb")))
-    return a.join(b, on).filter((F.col("a") < F.col("b")) & (distance <= most)).select("a", "b", distance.alias("distance")).distinct()
+    # merge: each hash becomes up to 84 rows, which the size of the table before doesn't show, so that Spark would gather them all in the driver for a broadcast
+    return a.join(b.hint("merge"), on).filter((F.col("a") < F.col("b")) & (distance <= most)).select("a", "b", distance.alias("distance")).distinct()
 
 
 def leaders(pages: DataFrame, most: int = HAMMING) -> DataFrame:
@@ -62,29 +63,33 @@ def leaders(pages: DataFrame, most: int = HAMMING) -> DataFrame:
     """
     order = F.struct("ordinal", "page_id")
     known = pages.filter(F.col("hash").isNotNull() & F.col("case_id").isNotNull())
+    def dealt(table: DataFrame) -> DataFrame:
+        """For joins: files of ids are small, but a broadcast of them unpacks them in the driver, once for each round."""
+        return table.hint("merge")
+
     nodes = keyed.written(known.groupBy("case_id", "hash").agg(F.min(order).alias("first"), F.count("*").alias("size")), "nodes")
     named = nodes.select("case_id", F.col("first.page_id").alias("id"), "hash", "first")
     pairs = near_pairs(named, most, group="case_id").select("a", "b")
     place = named.select("id", "first")
-    links = (pairs.join(place.select(F.col("id").alias("a"), F.col("first").alias("fa")), "a").join(place.select(F.col("id").alias("b"), F.col("first").alias("fb")), "b"))
+    links = (pairs.join(dealt(place.select(F.col("id").alias("a"), F.col("first").alias("fa"))), "a").join(dealt(place.select(F.col("id").alias("b"), F.col("first").alias("fb"))), "b"))
     early, late = F.when(F.col("fa") < F.col("fb"), F.col("a")).otherwise(F.col("b")), F.when(F.col("fa") < F.col("fb"), F.col("b")).otherwise(F.col("a"))
     links = keyed.written(links.select(early.alias("early"), late.alias("late")), "links")
     left, settled, rounds = links, [], 0
     while not left.isEmpty():
-        lead = left.select(F.col("early").alias("id")).distinct().join(left.select(F.col("late").alias("id")), "id", "left_anti")
+        lead = left.select(F.col("early").alias("id")).distinct().join(dealt(left.select(F.col("late").alias("id"))), "id", "left_anti")
         lead = keyed.written(lead, f"lead-{rounds}")
-        gone = left.join(lead.withColumnRenamed("id", "early"), "early", "left_semi").select(F.col("late").alias("id")).distinct()
+        gone = left.join(dealt(lead.withColumnRenamed("id", "early")), "early", "left_semi").select(F.col("late").alias("id")).distinct()
         gone = keyed.written(gone, f"gone-{rounds}")
         settled.append(gone)
         out = lead.unionByName(gone)
-        left = keyed.written(left.join(out.withColumnRenamed("id", "early"), "early", "left_anti").join(gone.withColumnRenamed("id", "late"), "late", "left_anti"), f"left-{rounds}")
+        left = keyed.written(left.join(dealt(out.withColumnRenamed("id", "early")), "early", "left_anti").join(dealt(gone.withColumnRenamed("id", "late")), "late", "left_anti"), f"left-{rounds}")
         rounds += 1
     duplicates = settled[0] if settled else named.select("id").limit(0)
     for more in settled[1:]:
         duplicates = duplicates.unionByName(more)
-    leading = links.join(duplicates.withColumnRenamed("id", "early"), "early", "left_anti").join(place.withColumnRenamed("id", "early"), "early")
-    of = leading.join(duplicates.withColumnRenamed("id", "late"), "late", "left_semi").groupBy("late").agg(F.min("first").alias("leader"))
-    found = nodes.join(of.select(F.col("late").alias("_id"), F.col("leader.page_id").alias("leader")), nodes["first.page_id"] == F.col("_id"), "left")
+    leading = links.join(dealt(duplicates.withColumnRenamed("id", "early")), "early", "left_anti").join(dealt(place.withColumnRenamed("id", "early")), "early")
+    of = leading.join(dealt(duplicates.withColumnRenamed("id", "late")), "late", "left_semi").groupBy("late").agg(F.min("first").alias("leader"))
+    found = nodes.join(dealt(of.select(F.col("late").alias("_id"), F.col("leader.page_id").alias("leader"))), nodes["first.page_id"] == F.col("_id"), "left")
     found = keyed.written(found.select("case_id", "hash", "size", F.col("first.page_id").alias("first"), "leader"), "settled")
     rows = keyed.attach(known.select("case_id", "hash", "page_id"), found, ["case_id", "hash"], "size", pages.count())
     rest = pages.filter(F.col("hash").isNull() | F.col("case_id").isNull()).select("page_id", F.lit(None).cast("long").alias("duplicate_of"))
