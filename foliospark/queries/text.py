@@ -98,7 +98,7 @@ g AS (SELECT *, CASE WHEN py IS NOT NULL AND abs(y - py) < 20 AND x - (px + pw)
 SELECT l_orderkey, CAST(sum(n) AS BIGINT) AS groups FROM g GROUP BY 1""")
 def gap_groups(spark, sf_dir):
     words = _t(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_partkey") % 200).alias("x"), (F.col("l_linenumber") * 12).alias("y"), (F.col("l_suppkey") % 30).alias("w"))
-    return extract.word_groups(words, ["l_orderkey"], F.lit(20.0)).groupBy("l_orderkey").agg((F.max("group_no") + 1).cast("long").alias("groups"))
+    return extract.word_groups(words.repartition(extract.tasks(words), "l_orderkey"), ["l_orderkey"], F.lit(20.0)).groupBy("l_orderkey").agg((F.max("group_no") + 1).cast("long").alias("groups"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '<redacted>' ELSE props END AS value, '<id> ' || event_id AS note FROM events")
