@@ -302,3 +302,22 @@ def test_a_page_takes_less_than_a_second(page):
     middle = time.time()
     m.measure(page)
     assert middle - began < 0.3 and time.time() - middle < 2
+
+
+def test_outlines_at_once_equal_each_alone():
+    draw = np.random.default_rng(8)
+    images, boxes = [], []
+    for n in range(60):
+        x = np.full((200, 180), 240, np.uint8) if n % 3 else draw.integers(0, 256, (200, 180)).astype(np.uint8)
+        for _ in range(6):
+            b = {"x": int(draw.integers(-5, 120)), "y": int(draw.integers(-5, 150)), "w": int(draw.integers(1, 90)), "h": int(draw.integers(1, 90))}
+            boxes.append((n, b))
+            box = x[max(b["y"], 0):b["y"] + b["h"], max(b["x"], 0):b["x"] + b["w"]]
+            level, part = int(draw.choice([60, 150, 205, 222])), int(draw.integers(0, max(1, box.shape[1])))
+            box[:2, part:] = box[-2:, part // 2:] = level
+            if n % 2:
+                box[:, :2] = 60
+        images.append(x)
+    found = m._outlines(images, boxes)
+    assert found == [m.outlined(images[n], b) for n, b in boxes] and 20 < sum(found) < 340
+    assert m._outlines([], []) == []
