@@ -293,3 +293,16 @@ def test_private_columns_of_an_export(spark):
     assert [f["category"] for f in rows[1]["_handwriting_regions"]] == ["note", "note"] and rows[1]["_diagnosis_regions"][0]["anchor_label"] == "Impression"
     assert (rows[2]["_page_version_id"], rows[2]["_quality_findings"], rows[2]["_handwriting_regions"], rows[2]["_diagnosis_regions"]) == (201, [], [], [])
     assert exports.public(exports.with_private(view.select("page_id"), view, findings, regions, extractions)).columns == ["page_id"]
+
+
+def test_lines_are_asked_whether_they_stop_behind_labels_alone(spark):
+    lines = spark.createDataFrame([(1, "Diagnosis:", 0.0, 0.0, 30.0, 0.9), (1, "fever", 0.0, 40.0, 30.0, 0.9), (1, "Date: 1", 0.0, 80.0, 30.0, 0.9), (1, "Impression: cough", 0.0, 120.0, 30.0, 0.9)],
+                                  "page_id int, text string, x double, y double, height double, confidence double")
+    found = extract.labelled_values(lines)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["label"], r["value"]) for r in found.collect()) == [("Diagnosis", "fever"), ("Impression", "cough")]
+    below = plan[plan.index("Window"):]  # what comes before the window, on every line
+    assert "investigations?" in plan and "investigations?" not in below
+    for pattern, _ in extract.LABELS:  # each label is let through by the hint
+        word = next(w for w in ("diagnos", "deagnosis", "impression") if w in pattern)
+        assert word in extract.LABEL_HINT
