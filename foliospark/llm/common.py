@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import pickle
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,11 +85,10 @@ def hash_share(column: str, share: float) -> Column:
     return F.pmod(F.xxhash64(F.col(column)), F.lit(1 << 30)) < F.lit(int(min(1.0, share) * (1 << 30)))
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, train: Column, limit: int,
-                    max_chars: int = 50_000) -> tuple[list[str], np.ndarray]:
-    """Whole texts and 0/1 labels for training on the driver, about ``limit`` rows of each label at most.
+def labelled_rows(documents: DataFrame, labels: DataFrame, label: str, train: Column, limit: int, max_chars: int = 50_000) -> DataFrame:
+    """``doc_id``, whole ``text`` and the 0/1 label ``y`` of rows to learn from, about ``limit`` of each label at most.
 
-    ``limit`` and ``max_chars`` (texts longer than that aren't sampled) bound what reaches the driver.
+    ``limit`` and ``max_chars`` (texts longer than that aren't sampled) bound the sample.
     Rows are taken by a hash of their id, so every part of the table is represented. Null ids, labels and
     texts are left out, as are labels other than 0 and 1; of several labels of an id the largest counts.
     """
@@ -98,13 +99,33 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, train:
     chosen = marked.filter(
         F.when(F.col("y") == 1, hash_share("doc_id", limit / max(1, counts.get(1, 0))))
         .otherwise(hash_share("doc_id", limit / max(1, counts.get(0, 0)))))
-    rows = (documents.select("doc_id", "text").filter(F.length("text") <= max_chars)
+    return (documents.select("doc_id", "text").filter(F.length("text") <= max_chars)
             .join(F.broadcast(chosen), "doc_id")  # at most about 2 * limit ids
-            .select("doc_id", "text", "y").collect())
+            .select("doc_id", "text", "y"))
+
+
+def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, train: Column, limit: int,
+                    max_chars: int = 50_000) -> tuple[list[str], np.ndarray]:
+    """``labelled_rows`` for training on the driver: texts and labels, by (doc_id, text)."""
+    rows = labelled_rows(documents, labels, label, train, limit, max_chars).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     return [r["text"] for r in rows], np.array([r["y"] for r in rows], dtype=np.float64)
 
 
+def learned(sample: DataFrame, fit: Callable[[list, list], object]) -> Broadcast:
+    """What ``fit`` learns from a bounded sample (``doc_id``, ``text`` and one more column), broadcast.
+
+    A task learns, from the texts and the other column's values by (doc_id, text), so that the driver holds the model only, never the texts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((row for batch in batches for row in zip(*[c.to_pylist() for c in batch.columns], strict=True)), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([r[1] for r in rows], [r[2] for r in rows]), 5)], pa.binary())], names=["model"])
+
+    found = sample.repartition(1).mapInArrow(run, "model binary").first()
+    return sample.sparkSession.sparkContext.broadcast(pickle.loads(found["model"]) if found else fit([], []))
+
+
 def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """Left join of ``rows`` to one row per group, where some groups may hold a large share of all rows.
 

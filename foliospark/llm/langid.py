@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import kept_rows, small_batches, text_buffers, windows
+from foliospark.llm.common import kept_rows, learned, small_batches, text_buffers, windows
 from foliospark.llm.ngrams import WINDOW, NgramIndex, as_batch, code_points, distinct_codes, rolling
 
 ORDERS = (1, 2, 3)
@@ -142,8 +142,8 @@ def fit(texts: list[str], languages: list[str], landmarks: int = 128, ridge: flo
 LANGUAGES, SAMPLE = 500, 20_000
 
 
-def training_sample(documents: DataFrame, train: Column, limit: int, max_chars: int) -> tuple[list[str], list[str]]:
-    """About ``limit`` lower-cased texts of each language, of ``max_chars`` characters at most: what the driver gets is bounded.
+def training_rows(documents: DataFrame, train: Column, limit: int, max_chars: int) -> DataFrame:
+    """``doc_id``, lower-cased ``text`` and ``lang`` of about ``limit`` texts of each language, of ``max_chars`` characters at most: a bounded sample.
 
     Of a language that only has longer texts, their beginnings are taken. The ``LANGUAGES`` commonest values of ``lang`` are learned (ties: the first in
     order), and where these are many, fewer texts of each, so that about ``SAMPLE`` texts or 8 of each language are taken in all.
@@ -152,14 +152,19 @@ def training_sample(documents: DataFrame, train: Column, limit: int, max_chars:
     fits = F.length("text") <= max_chars
     counts = {r["lang"]: (r["n"], r["short"]) for r in usable.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(fits).alias("short")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     limit = min(limit, max(8, SAMPLE // max(1, len(counts))))
-    share = F.create_map(*[F.lit(x) for n, (c, k) in sorted(counts.items()) for x in (n, min(1.0, limit / (k or c)))]) if counts else None
-    if share is None:
-        return [], []
+    if not counts:
+        return usable.select("doc_id", "text", "lang").limit(0)
+    share = F.create_map(*[F.lit(x) for n, (c, k) in sorted(counts.items()) for x in (n, min(1.0, limit / (k or c)))])
     only_long = [n for n, (_, k) in counts.items() if not k]
-    rows = (usable.filter(fits | F.col("lang").isin(*only_long)).withColumn("text", F.left("text", F.lit(max_chars)))
+    return (usable.filter(fits | F.col("lang").isin(*only_long)).withColumn("text", F.left("text", F.lit(max_chars)))
             .filter(F.col("lang").isin(*counts))
             .filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
-            .select("doc_id", F.lower("text").alias("text"), "lang").collect())
+            .select("doc_id", F.lower("text").alias("text"), "lang"))
+
+
+def training_sample(documents: DataFrame, train: Column, limit: int, max_chars: int) -> tuple[list[str], list[str]]:
+    """``training_rows`` on the driver: texts and languages, by (doc_id, text)."""
+    rows = training_rows(documents, train, limit, max_chars).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     return [r["text"] for r in rows], [r["lang"] for r in rows]
 
@@ -167,13 +172,13 @@ def training_sample(documents: DataFrame, train: Column, limit: int, max_chars:
 def identify(documents: DataFrame, train: Column, sample: int = 400, max_chars: int = 20_000, **options) -> DataFrame:
     """Predict the language of each whole text: adds ``lang_pred`` and ``score`` (0 to 1) to ``doc_id``.
 
-    ``train`` marks the rows whose ``lang`` may be learned; ``sample`` rows of each language are (see ``training_sample``). A null text and a text without a
+    ``train`` marks the rows whose ``lang`` may be learned; ``sample`` rows of each language are (see ``training_rows``). A null text and a text without a
     letter are ``und`` with score 0. A text without any learned n-gram gets some learned language with score 0: callers that want known languages only
     ask for a score (see ``in_known_language``). Where nothing can be learned, all are ``und``. Every row is answered once, repeated ids and null ids too.
     """
     spark = documents.sparkSession
     small_batches(spark, 128)
-    model = spark.sparkContext.broadcast(fit(*training_sample(documents, train, sample, max_chars), **options))
+    model = learned(training_rows(documents, train, sample, max_chars), lambda texts, languages: fit(texts, languages, **options))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array(model.value.languages, dtype=object)
@@ -202,8 +207,7 @@ def in_known_language(documents: DataFrame, train: Column, least: float = 0.3, s
     """
     spark = documents.sparkSession
     small_batches(spark, 128)
-    texts, languages = training_sample(documents, train, sample, max_chars)
-    model = spark.sparkContext.broadcast((fit(texts, languages, **options), spelling(texts, languages)))
+    model = learned(training_rows(documents, train, sample, max_chars), lambda texts, languages: (fit(texts, languages, **options), spelling(texts, languages)))
 
     def keep(x: list[pa.Array]) -> np.ndarray:
         judge, letters = model.value

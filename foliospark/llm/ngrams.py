@@ -57,6 +57,9 @@ class NgramIndex:
     def __len__(self) -> int:
         return len(self.codes)
 
+    def __reduce__(self) -> tuple:  # the table is made again where the index arrives
+        return type(self), (self.codes, self.orders)
+
     def _slots(self, codes: np.ndarray) -> np.ndarray:
         return ((codes * _STEP) >> np.uint64(64 - self.BITS)).astype(np.int64)
 

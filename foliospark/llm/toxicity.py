@@ -15,7 +15,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import kept_rows, labelled_sample, small_batches, text_buffers
+from foliospark.llm.common import kept_rows, labelled_rows, learned, small_batches, text_buffers
 from foliospark.llm.ngrams import NgramIndex, as_batch, distinct_codes
 
 ORDERS = (2, 3, 4, 5)
@@ -84,7 +84,7 @@ def _trained(documents: DataFrame, labels: DataFrame, train: Column, label: str,
     spark = documents.sparkSession
     small_batches(spark, 128)
     lowered = documents.select("doc_id", F.lower("text").alias("text"))
-    return spark.sparkContext.broadcast(fit(*labelled_sample(lowered, labels, label, train, sample, max_chars=20_000), **options))
+    return learned(labelled_rows(lowered, labels, label, train, sample, max_chars=20_000), lambda texts, y: fit(texts, np.array(y, np.float64), **options))
 
 
 def score(documents: DataFrame, labels: DataFrame, train: Column, label: str = "toxic", sample: int = 1200, **options) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliospark.llm import langid, quality, toxicity, unigram
-from foliospark.llm.common import crc_part
+from foliospark.llm.common import crc_part, labelled_sample
 from foliospark.llm.ngrams import NgramIndex, as_batch, distinct_codes, rolling
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, extra int"
@@ -34,6 +34,26 @@ def test_language_of_every_row(corpus):
     assert all(0 <= r["score"] <= 1 for r in found)
 
 
+def test_models_are_learned_off_the_driver(spark, corpus, monkeypatch):
+    """The texts of a sample don't reach the driver, and the model is the one that the driver would have learned of them."""
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    texts, languages = langid.training_sample(corpus.filter("doc_id < 60"), F.lit(True), 400, 20_000)
+    marked = labelled_sample(corpus.select("doc_id", F.lower("text").alias("text")), labels, "toxic", F.lit(True), 1200, 20_000)
+    seen, kind = [], type(corpus)
+    monkeypatch.setattr(kind, "collect", lambda self, f=kind.collect: seen.append(self.columns) or f(self))
+    assert seen == [] and corpus.select("doc_id").collect() and seen.pop() == ["doc_id"]
+    model = toxicity._trained(corpus, labels, F.lit(True), "toxic", 1200, {}).value
+    kept = langid.in_known_language(corpus.filter("doc_id < 60"), F.lit(True))
+    judge = langid.learned(langid.training_rows(corpus.filter("doc_id < 60"), F.lit(True), 400, 20_000), langid.fit).value
+    assert not any("text" in columns for columns in seen)
+    monkeypatch.undo()
+    assert kept.count() == 60
+    here = toxicity.fit(*marked)
+    assert len(model.index) and (model.index.codes == here.index.codes).all() and (model.weights == here.weights).all() and (model.bias, (model.index.table == here.index.table).all()) == (here.bias, True)
+    there = langid.fit(texts, languages)
+    assert judge.languages == there.languages and (judge.landmarks == there.landmarks).all() and np.allclose(judge.weights, there.weights, atol=1e-3)  # BLAS sums in another order with more threads
+
+
 def test_languages_without_training_rows(spark, corpus):
     found = langid.identify(corpus, train=F.lit(False)).collect()
     assert {r["lang_pred"] for r in found} == {"und"}
