@@ -82,16 +82,18 @@ def totals(rows: DataFrame, passes: Column) -> DataFrame:
     return rows.agg(F.count_if(passes).alias("total"), F.count("*").alias("grand_total"))
 
 
-def page_summary(view: DataFrame, findings: DataFrame, regions: DataFrame, diagnoses: DataFrame, prescriptions: DataFrame) -> DataFrame:
+def page_summary(view: DataFrame, findings: DataFrame | None, regions: DataFrame, diagnoses: DataFrame, prescriptions: DataFrame | None) -> DataFrame:
     """The row of a page list, 26 fields. ``page_class`` is the engine's; codes and categories are sorted and distinct. What a view has no column of is null.
 
     ``handwriting_region_count`` is null for pages whose handwriting was never looked at. ``diagnoses`` and ``prescriptions`` have one row a page.
+    Without ``findings`` the view's own array of that name counts, without ``prescriptions`` its ``prescription_status``: no join is needed then.
     """
-    codes = findings.groupBy("page_id").agg(F.sort_array(F.collect_set("code")).alias("defect_codes"))
+    codes = findings.groupBy("page_id").agg(F.sort_array(F.collect_set("code")).alias("defect_codes")) if findings is not None else None
     hand = regions.groupBy("page_id").agg(F.sort_array(F.collect_set("category")).alias("handwriting_categories"), F.count("*").alias("_regions"))
-    rows = view
-    for child in (codes, hand, diagnoses.select("page_id", "diagnosis_status"), prescriptions.select("page_id", "prescription_status")):
-        rows = rows.join(child, "page_id", "left")
+    read = prescriptions.select("page_id", "prescription_status") if prescriptions is not None else None
+    rows = view if findings is not None else view.withColumn("defect_codes", F.sort_array(F.array_compact(F.array_distinct("findings.code"))))
+    for child in (codes, hand, diagnoses.select("page_id", "diagnosis_status"), read):
+        rows = rows if child is None else rows.join(child, "page_id", "left")
     empty = F.array().cast("array<string>")
     known = lambda name, kind: F.col(name) if name in view.columns else F.lit(None).cast(kind).alias(name)
     return rows.select(

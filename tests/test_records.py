@@ -183,3 +183,31 @@ def test_an_export_of_some_rows(view):
     assert sorted(r["page_id"] for r in listing.windowed(view, f.limit, f.offset).collect()) == sorted(ids)
     assert listing.windowed(view, None, 3).count() == view.count() == filters.apply_filters(view, f).count()
     assert exports.described(f) == [("Row limit", "7 (offset 3)")]
+
+
+def _reads(df, column):
+    """How many scans of the plan read a column, and how many exchanges deal rows that came from one."""
+    plan = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    depth = lambda line: len(line) - len(line.lstrip(" :+-*()0123456789"))
+    scans = [i for i, line in enumerate(plan) if "FileScan" in line and column in line]
+    dealt = 0
+    for at in scans:
+        low = depth(plan[at])
+        for line in reversed(plan[:at]):
+            if depth(line) < low:
+                low = depth(line)
+                dealt += line.lstrip(" :+-*()0123456789").startswith("Exchange")
+    return len(scans), dealt
+
+
+@pytest.mark.parametrize("name", ["page_summary_rows"])
+def test_pages_are_read_and_dealt_once(spark, sf_dir, name):
+    """Findings, private columns and what belongs to a case don't deal the pages again; children that are small are broadcast."""
+    from foliospark.queries import QUERIES
+
+    spark.catalog.clearCache()  # a cached view would stand in for the plan
+    assert _reads(QUERIES[name](spark, sf_dir), "l_orderkey") == (1, 1)
+
+
+def test_versions_are_sorted_once(records):
+    assert records.versions._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
