@@ -200,7 +200,7 @@ def _reads(df, column):
     return len(scans), dealt
 
 
-@pytest.mark.parametrize("name", ["page_summary_rows"])
+@pytest.mark.parametrize("name", ["page_summary_rows", "export_row"])
 def test_pages_are_read_and_dealt_once(spark, sf_dir, name):
     """Findings, private columns and what belongs to a case don't deal the pages again; children that are small are broadcast."""
     from foliospark.queries import QUERIES
