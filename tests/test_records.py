@@ -6,7 +6,7 @@ from datetime import UTC, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from foliospark.operators import checks, counts, filters, listing, reviews
+from foliospark.operators import browse, checks, counts, filters, listing, reviews
 from foliospark.operators.filters import PageFilters, day_bound, parse_enum
 from foliospark.plans import model
 from foliospark.plans.records import core_view, from_tables, versioned
@@ -200,7 +200,7 @@ def _reads(df, column):
     return len(scans), dealt
 
 
-@pytest.mark.parametrize("name", ["page_summary_rows", "export_row"])
+@pytest.mark.parametrize("name", ["page_summary_rows", "export_row", "export_row_private"])
 def test_pages_are_read_and_dealt_once(spark, sf_dir, name):
     """Findings, private columns and what belongs to a case don't deal the pages again; children that are small are broadcast."""
     from foliospark.queries import QUERIES
@@ -211,3 +211,23 @@ def test_pages_are_read_and_dealt_once(spark, sf_dir, name):
 
 def test_versions_are_sorted_once(records):
     assert records.versions._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
+
+
+def test_findings_of_the_view_or_of_a_table(spark):
+    """A view with its own findings gives the rows that a table of findings gives: repeated codes, unknown ones, null ones, none, null."""
+    kind = "page_id long, document_id long, version_id long, storage_key string, width int, height int, ordinal int, versions long, overall string, handwriting string, handwriting_status string, batch_id long, batch string, case_id long, patient_ref string, encounter_ref string, filename string, review_state string, uploaded_at timestamp_ntz, findings array<struct<code string, severity string>>"
+    found = [[("NOISE", "low"), ("NOISE", "high"), ("BLUR", "medium")], [("OWN", "odd"), (None, "low"), ("BLUR", None)], [], None]
+    view = spark.createDataFrame([(i, 1, i, "k", 1, 2, i, 1, "review", "detected", "detected", 1, "b", 1, "p", "e", "f", "pending", None, f) for i, f in enumerate(found)], kind)
+    table = view.select("page_id", F.inline("findings"))
+    plain = view.drop("findings")
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    hand = spark.createDataFrame([(0, "note"), (0, "tick"), (3, "note")], "page_id long, category string")
+    status = spark.createDataFrame([(0, "uncertain")], "page_id long, diagnosis_status string")
+    read = spark.createDataFrame([(1, "extracted")], "page_id long, prescription_status string")
+    own = view.withColumn("prescription_status", F.when(F.col("page_id") == 1, "extracted"))
+    assert same(browse.page_summary(own, None, hand, status, None), browse.page_summary(plain, table, hand, status, read))
+    said = spark.createDataFrame([(1, "c", "r", "confirmed")], "case_id long, joined string, reviewers string, ai_vs_reviewed string")
+    assert same(exports.export_rows(view.join(said, "case_id"), None, None), exports.export_rows(plain, counts.worst_severity(table), said))
+    rows = view.select("page_id", "filename", "findings", *exports.PAYLOAD[1:])
+    one, other = exports.with_private(rows, None, None, hand, status), exports.with_private(rows.select("page_id", "filename"), plain, table, hand, status)
+    assert one.columns == other.columns == ["page_id", "filename", *exports.PRIVATE] and same(one, other)
