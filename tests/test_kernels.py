@@ -321,3 +321,52 @@ def test_outlines_at_once_equal_each_alone():
     found = m._outlines(images, boxes)
     assert found == [m.outlined(images[n], b) for n, b in boxes] and 20 < sum(found) < 340
     assert m._outlines([], []) == []
+
+
+def test_percentiles_medians_and_runs_equal_numpy():
+    draw = np.random.default_rng(12)
+    for n in range(60):
+        x = draw.integers(0, int(draw.choice([2, 7, 256])), draw.integers(1, 200, 2)).astype(np.uint8)
+        percent = float(draw.choice([0, 5, 50, 60, 85, 100]))
+        assert np.isclose(k.percentile(x, percent), np.percentile(x, percent))
+        assert k.ranked(lambda v: np.count_nonzero(x <= v), x.size, percent, int(draw.integers(0, 256))) == k.percentile(x, percent)
+        field = (x + draw.random(x.shape) * (n % 3)).astype(np.float32)
+        mask = draw.random(x.shape) < 0.7
+        assert k.median(field) == float(np.median(field)) and (not mask.any() or k.median(field, mask) == float(np.median(field[mask])))
+        runs = x > 0
+        assert (k.long_runs(runs, 5, down=True) == k.long_runs(np.ascontiguousarray(runs.T), 5).T).all()
+        assert (k.places(runs.ravel()) == np.flatnonzero(runs)).all()
+        rows, cols = (int(draw.integers(1, size + 1)) for size in x.shape)
+        at = [np.linspace(0, size, cells + 1).astype(int) for size, cells in zip(x.shape, (rows, cols))]
+        assert np.allclose(k.block_means(x, rows, cols), [[x[a:b, c:d].mean() for c, d in zip(at[1], at[1][1:])] for a, b in zip(at[0], at[0][1:])])
+
+
+def test_least_rectangles_of_all_components_at_once_equal_each_alone():
+    draw = np.random.default_rng(13)
+    for _ in range(40):
+        parts = k.components(draw.random(draw.integers(1, 40, 2)) < draw.choice([0.3, 0.5, 0.7]))
+        which = np.flatnonzero(parts.area >= 3)
+        found = list(zip(*k.least_rectangles(*parts.borders(which))))
+        assert len(found) == len(which)
+        for i, rectangle in zip(which, found):
+            at = parts.label == i
+            ends = np.concatenate([np.stack([parts.begin[at], parts.row[at]], 1), np.stack([parts.end[at] - 1, parts.row[at]], 1)]).astype(float)
+            sides = [(np.ptp(ends @ [np.cos(t), np.sin(t)]), np.ptp(ends @ [-np.sin(t), np.cos(t)])) for t in np.radians(np.arange(0, 90, 0.25))]
+            assert rectangle == pytest.approx(k.least_rectangle(ends)) and rectangle[0] * rectangle[1] <= min(a * b for a, b in sides) + 1e-9
+
+
+def test_paper_of_one_level_is_neither_blurred_nor_sorted(page, monkeypatch):
+    whole = m.measure(page)
+    for name in ("gaussian", "smooth_field", "least_rectangle"):
+        monkeypatch.setattr(k, name, lambda *_: pytest.fail("a pass over the page that it doesn't need"))
+    monkeypatch.setattr(np, "partition", lambda *_, **__: pytest.fail("a sort of the page"))
+    assert m.measure(page) == whole
+
+
+@pytest.mark.parametrize("level", [244, 130])
+def test_illumination_around_dark_parts_equals_the_whole(page, level):
+    x = np.minimum(page[:600, :500], level)
+    x[150:260, 60:330] = 90
+    size = max(15, min(x.shape) // 20 | 1)
+    whole = k.smooth_field(k.closed(x, k.ellipse(size)), size / 4)
+    assert np.abs(m.illumination(x) - whole).max() < 1e-4
