@@ -370,3 +370,16 @@ def test_illumination_around_dark_parts_equals_the_whole(page, level):
     size = max(15, min(x.shape) // 20 | 1)
     whole = k.smooth_field(k.closed(x, k.ellipse(size)), size / 4)
     assert np.abs(m.illumination(x) - whole).max() < 1e-4
+
+
+def test_regions_alone_need_no_levels_spreads_or_slopes(page, monkeypatch):
+    whole = m.measure(page[:, 88:])
+    for module, name in ((m, "fold"), (k, "median"), (k, "slopes"), (m, "perceptual_hash"), (m, "rotation"), (m, "text_skew")):
+        monkeypatch.setattr(module, name, lambda *_: pytest.fail("not asked for"))
+    found = m.measure(page[:, 88:], frozenset(m.REGIONS))
+    assert found["cutoff_edges"] == ["left"] and all(found[name] == whole[name] for name in m.REGIONS)
+
+
+@pytest.mark.parametrize("name", ["capture_profile", "snr", "est_dpi", "spread_split_x", "stroke_sharpness", "text_ink_coverage", "worst_tile", "glare_regions", "rotation_confidence", "median_luma", "hash", "is_bitonal"])
+def test_each_metric_alone_equals_that_of_all(page, name):
+    assert m.measure(page, frozenset([name]))[name] == m.measure(page)[name]
