@@ -81,9 +81,14 @@ def read_scans(spark: SparkSession, path: str, **options: str) -> DataFrame:
     return spark.read.format("scans").options(**options).load(path)
 
 
+#: The metrics that the rules and the report read.
+READ = ("width", "height", "is_bitonal", "median_luma", "ink_paper_contrast", "ink_coverage", "text_ink_coverage", "text_component_count", "est_text_height_px", "noise_sigma", "snr", "stroke_sharpness", "skew_deg",
+        "rotation_deg", "rotation_confidence", "glare_area_fraction", "shadow_area_fraction", "illumination_ratio", "tile_count", "low_contrast_tiles", "cutoff_edges", "likely_spread", "capture_profile")
+
+
 def calibration(scans: DataFrame, overrides: dict | None = None) -> DataFrame:
     """A row for each scan: file, class, score, codes of its defects, and the metrics that thresholds are set by. Broken scans are rows with their ``error``."""
-    judged = rules.judge(measure.measured(scans, beside=("filename",)), overrides)
+    judged = rules.judge(measure.measured(scans, READ, ("filename",)), overrides)
     codes = F.array_join(F.array_sort(F.array_distinct(F.col("findings.code"))), ",")
     return judged.select("page_id", "filename", F.col("overall").alias("class"), "score", codes.alias("defects"), F.col("capture_profile").alias("profile"), F.coalesce("likely_spread", F.lit(False)).alias("spread"),
                          F.round(F.col("ink_coverage") * 100, 3).alias("ink_percent"), F.round(F.col("text_ink_coverage") * 100, 3).alias("text_ink_percent"), F.round("ink_paper_contrast", 1).alias("contrast"),

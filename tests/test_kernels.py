@@ -383,3 +383,16 @@ def test_regions_alone_need_no_levels_spreads_or_slopes(page, monkeypatch):
 @pytest.mark.parametrize("name", ["capture_profile", "snr", "est_dpi", "spread_split_x", "stroke_sharpness", "text_ink_coverage", "worst_tile", "glare_regions", "rotation_confidence", "median_luma", "hash", "is_bitonal"])
 def test_each_metric_alone_equals_that_of_all(page, name):
     assert m.measure(page, frozenset([name]))[name] == m.measure(page)[name]
+
+
+def test_a_calibration_reads_what_it_measures_and_no_more(spark, page, monkeypatch):
+    from foliospark.sources import scans
+
+    whole = m.measure(page)
+    monkeypatch.setattr(m, "perceptual_hash", lambda *_: pytest.fail("not asked for"))
+    found = m.measure(page, frozenset(scans.READ))
+    assert all(found[name] == whole[name] for name in scans.READ)
+    images = spark.createDataFrame([(1, "a.pgm", m.write_pgm(page[:, 88:])), (2, "b.pgm", b"broken")], "page_id long, filename string, content binary")
+    judged = rules.judge(m.measured(images)).orderBy("page_id").collect()
+    report = scans.calibration(images).orderBy("page_id").collect()
+    assert [(r["class"], r["score"], r["defects"], r["profile"]) for r in report] == [(r["overall"], r["score"], ",".join(sorted({f["code"] for f in r["findings"]})), r["capture_profile"]) for r in judged]
