@@ -357,7 +357,12 @@ class Answers:
         return np.flatnonzero((o > 0) & (100 * o >= self.percent * (self.n + self.n[x] - o)))
 
 
-def classes(sets: list[np.ndarray], percent: int, label: np.ndarray, ask: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def classes(sets: list[np.ndarray], percent: int, label: np.ndarray, ask: np.ndarray | None = None) -> np.ndarray:
+    """The labels of ``classes_and_links``."""
+    return classes_and_links(sets, percent, label, ask)[0]
+
+
+def classes_and_links(sets: list[np.ndarray], percent: int, label: np.ndarray, ask: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The labels, where labels that links connect have become their least one; and the number of links of each set that was answered.
 
     ``ask`` marks the sets whose links to all others are searched; without it all links count: sets are answered until all that aren't have one label.
@@ -384,7 +389,7 @@ def _classes(rows: DataFrame, words: int, percent: int) -> DataFrame:
     """``node``, its ``label`` and the ``least`` label that links reach from there within the block, where that is another; and one row, marked as
     ``central``, for each class of two sets or more: of those answered the set with the most links.
 
-    ``rows``: ``cluster``, ``block``, ``chunk``, ``node``, ``label``, ``ask`` (null: see ``classes``), ``bytes`` and ``text``.
+    ``rows``: ``cluster``, ``block``, ``chunk``, ``node``, ``label``, ``ask`` (null: see ``classes_and_links``), ``bytes`` and ``text``.
     """
     key = ["cluster", "block", "chunk"]
 
@@ -401,7 +406,7 @@ def _classes(rows: DataFrame, words: int, percent: int) -> DataFrame:
             least, central = label.copy(), np.zeros(len(label), bool)
             for low, high in zip(cuts[:-1], cuts[1:], strict=True):
                 sets = [np.unique(codes[begin[i]:begin[i + 1]]) for i in range(low, high)]
-                least[low:high], degree = classes(sets, percent, label[low:high], None if ask[low] is None else ask[low:high].astype(bool))
+                least[low:high], degree = classes_and_links(sets, percent, label[low:high], None if ask[low] is None else ask[low:high].astype(bool))
                 best = np.lexsort((-degree, least[low:high]))
                 best = best[np.append(True, np.diff(least[low:high][best]) != 0)]
                 central[low + best] = degree[best] > 1
